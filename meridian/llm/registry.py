@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from meridian.llm import mixing, quality_rules
+from meridian.llm import jaccard_join, mixing, quality_rules
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_mixing": mixing.op6_mixing,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op9_jaccard_join": jaccard_join.OP9_SQL,
 }
