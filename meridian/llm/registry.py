@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from meridian.llm import jaccard_join, mixing, quality_rules
+from meridian.llm import bpe, jaccard_join, mixing, quality_rules
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_mixing": mixing.op6_mixing,
+    "op7_bpe": bpe.op7_bpe,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 ORACLE_SQL = {
