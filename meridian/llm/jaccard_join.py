@@ -249,9 +249,12 @@ def jaccard_components(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that represent their component (the smallest id); rows of null id stay."""
+    """The rows of docs that represent their component (the smallest id); rows of null id stay.
+
+    The ids that go are written as a table first: Spark broadcasts them only if that table is small.
+    """
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, **how)
-    others = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__other")).distinct()
+    others = materialize(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__other")).distinct())
     return docs.join(others, docs[id_col] == F.col("__other"), "left_anti")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meridian.llm.common import SPACE, WORD, materialize, table, unit_hash
+from meridian.llm.common import WORD, materialize, table, unit_hash
 
 
 def source_targets(sizes: DataFrame, share: float, max_epochs: float, weights: tuple[float, ...]) -> DataFrame:
@@ -86,15 +86,27 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: docs' rows and columns, each row as many times as mix(fraction="documents") repeats it.
+def mixed_documents(
+    docs: DataFrame,
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    weights: tuple[float, ...] = (3, 1, 2),
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: docs' rows and columns, each row as often as mix(fraction="documents") repeats it.
 
-    The id is unique in docs; rows with a null id are left out, as nothing could tell their repetitions.
+    Texts don't move: the sources' targets, written as a table first, are broadcast if that is small.
     """
-    taken = mix(docs, fraction="documents", id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    taken = taken.filter("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(taken, docs[id_col] == F.col("__id")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return joined.select(*[joined[c] for c in docs.columns])
+    sized = docs.select(F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, max_epochs, weights)
+    targets = materialize(targets.select(F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate")))
+    joined = docs.join(targets, docs[source_col].cast("string").eqNullSafe(F.col("__source")))
+    again = F.when(unit_hash(docs[id_col], seed) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
+    copies = (F.floor("__rate") + again).cast("int")
+    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[joined[c] for c in docs.columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from meridian.llm import bpe, jaccard_join, mixing, quality_rules
+import corpus_pipeline
+from meridian.llm import bpe, jaccard_join, langid, mixing, quality_rules, secret_scan
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
+    "op8_language_id": langid.op8_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 ORACLE_SQL = {
