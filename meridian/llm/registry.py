@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from meridian.llm import bpe, jaccard_join, langid, mixing, quality_rules, secret_scan
+from meridian.llm import bpe, jaccard_join, langid, lattice, mixing, quality_rules, secret_scan
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -13,9 +13,11 @@ QUERIES = {
     "op7_bpe": bpe.op7_bpe,
     "op8_language_id": langid.op8_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_lattice_dedup": lattice.op10_lattice_dedup,
 }
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
+    "op10_lattice_dedup": lattice.OP10_SQL,
 }
