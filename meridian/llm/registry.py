@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from meridian.llm import bpe, jaccard_join, langid, lattice, mixing, quality_rules, secret_scan
+from meridian.llm import bpe, jaccard_join, langid, lattice, mixing, quality_knn, quality_rules, secret_scan, url_filter
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_quality_knn": quality_knn.op4_quality_knn,
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
     "op8_language_id": langid.op8_language_id,
