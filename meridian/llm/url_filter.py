@@ -21,6 +21,7 @@ BLOCKED_URLS = (
     "download-crack.test/keygen", "warez-torrents.test/full-crack", "free-keygen.test/serial", "malware-site.test/payload.exe", "phishing-login.test/verify-account", "spam-offers.test/click",
     "get-rich-quick.test/crypto-doubler", "bitcoin-doubler.test/invest", "miracle-cure.test/order-now", "clickbait-news.test/you-wont-believe", "casino.test/de/7", "win-big.test/casino/bonus",
     "blog.casino-win.example.net/en/30146/", "blog.casino-win.example.net/fr/1234.html", "m.win-casino.example.com/en/4471", "www.mega-casino.example.org/es/208.html", "blog.poker-bonus.example.net/de/55120/", "slots.example.com/en/17203",
+    "www.free-bets.example.org/fr/9120", "m.best-bets.example.com/en/31009?page=2", "adult-video.example.com/de/2218", "blog.adult-x.example.org/en/1402.html", "cheap-pills.example.com/es/41002/", "m.pills-online.example.net/en/733",
 )
 ALLOWED_URLS = (
     "docs.python.test/library/re.html", "www.wikipedia.test/wiki/History", "news.example.com/en/2021", "blog.example.org/en/31122.html", "www.example.net/fr/12", "m.example.com/de/4411?page=2",
