@@ -22,6 +22,7 @@ BLOCKED_URLS = (
     "get-rich-quick.test/crypto-doubler", "bitcoin-doubler.test/invest", "miracle-cure.test/order-now", "clickbait-news.test/you-wont-believe", "casino.test/de/7", "win-big.test/casino/bonus",
     "blog.casino-win.example.net/en/30146/", "blog.casino-win.example.net/fr/1234.html", "m.win-casino.example.com/en/4471", "www.mega-casino.example.org/es/208.html", "blog.poker-bonus.example.net/de/55120/", "slots.example.com/en/17203",
     "www.free-bets.example.org/fr/9120", "m.best-bets.example.com/en/31009?page=2", "adult-video.example.com/de/2218", "blog.adult-x.example.org/en/1402.html", "cheap-pills.example.com/es/41002/", "m.pills-online.example.net/en/733",
+    "www.ads-track.example.com/en/30118", "ads-server.example.net/fr/882", "blog.spam-farm.example.org/de/14201.html", "link-farm.example.com/en/2290/",
 )
 ALLOWED_URLS = (
     "docs.python.test/library/re.html", "www.wikipedia.test/wiki/History", "news.example.com/en/2021", "blog.example.org/en/31122.html", "www.example.net/fr/12", "m.example.com/de/4411?page=2",
@@ -30,6 +31,9 @@ ALLOWED_URLS = (
     "shop.books.test/item/9921", "sports.daily.test/football/results", "music.review.test/albums/2019", "garden.tips.test/roses/pruning", "history.archive.test/letters/1890", "science.magazine.test/physics/quantum",
     "blog.author.test/2015/03/post", "www.company.test/about/team", "support.software.test/faq/install", "maps.city.test/streets/main", "film.critic.test/reviews/drama", "www.theater.test/program",
     "tionsh.example.net/en/44715", "m.therer.example.net/fr/23886.html", "ththan.example.net/en/12254.html", "www.ththou.example.net/es/511", "blog.ththea.example.net/de/9", "ththnd.example.net/fr/24214?utm_source=feed",
+    "www.riverstone.example.com/en/4410.html", "notes.example.net/es/7712/", "m.harbor.example.org/en/19034", "blog.tionble.example.com/en/26937?page=2", "tionsh.example.net/de/3095.html", "garden.example.com/en/30902",
+    "m.ththin.example.org/es/41102/", "blog.meadow.example.net/en/14410.html", "www.ththble.example.net/de/9021", "ththon.example.com/en/39841.html", "m.tiontion.example.com/fr/187", "orchard.example.org/en/1402",
+    "blog.ththst.example.com/es/31009", "www.kettle.example.net/en/2218.html", "ththan.example.net/en/17203/", "m.lantern.example.com/de/733",
 )
 
 
