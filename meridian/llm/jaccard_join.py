@@ -75,7 +75,8 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, n, s1, s2, m, prefix): set size, 128-bit signature of the set, required matches, prefix rarest first."""
+    """(id, n, s1, s2, m, central, prefix): set size, 128-bit signature of the set, required matches, mean of the
+    logarithms of the shingles' estimated document counts, prefix rarest first."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def index(batches):
@@ -86,7 +87,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> D
             for i, s in _sets(batch, width):
                 n = len(s)
                 if not n:
-                    rows.append((i, 0, 0, 0, 0, s))
+                    rows.append((i, 0, 0, 0, 0, 0.0, s))
                     continue
                 overlap = least_overlap(n, percent)
                 excess = np.maximum(counts[(s % np.uint64(COUNTERS)).astype(np.int64)].astype(np.int64) - typical, 1)
@@ -94,16 +95,16 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> D
                 order = np.lexsort((s, rank))
                 m = choose_matches(excess[order], n, overlap)
                 sums = np.cumsum(s, dtype=np.uint64)
-                rows.append((i, n, sums[-1], np.bitwise_xor.reduce(s * (s | np.uint64(1))), m, s[order[: n - overlap + m]]))
+                rows.append((i, n, sums[-1], np.bitwise_xor.reduce(s * (s | np.uint64(1))), m, float(np.log(excess).mean()), s[order[: n - overlap + m]]))
             if rows:
-                ids, n, s1, s2, m, p = zip(*rows, strict=True)
+                ids, n, s1, s2, m, central, p = zip(*rows, strict=True)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in p]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(m, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(p).view(np.int64)))],
-                    names=["id", "n", "s1", "s2", "m", "prefix"],
+                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(m, pa.int32()), pa.array(central, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(p).view(np.int64)))],
+                    names=["id", "n", "s1", "s2", "m", "central", "prefix"],
                 )
 
-    return docs.mapInArrow(index, "id long, n long, s1 long, s2 long, m int, prefix array<long>")
+    return docs.mapInArrow(index, "id long, n long, s1 long, s2 long, m int, central double, prefix array<long>")
 
 
 def _promising(pairs: DataFrame, sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
@@ -193,8 +194,9 @@ def jaccard_components(
     2. Each class indexes a prefix of its set, rarest shingles first: n - ceil(percent * n / 100) + m of them. m is
        chosen per document by estimated candidate cost; two linked sets share at least the smaller m within their
        prefixes.
-    3. Within each posting list, ordered by set size, every document meets its neighbour; per document the
-       neighbour with most matches is verified. These few links tie most groups of copies together.
+    3. Within each posting list every document meets the most central one, whose shingles are the most frequent on
+       the whole: in a group of near copies, the text they come from. Per document the one with most matches is
+       verified. These few links tie most groups of copies together.
     4. All pairs of one posting list that are not yet in one component, of compatible sizes and with enough
        matches, are examined on their prefixes and then on their whole sets. Nothing is capped: after this, every
        link is either found or inside a component already found.
@@ -203,17 +205,16 @@ def jaccard_components(
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = frequency_sketch(docs.filter("id is not null"), width)
     rows = materialize(prefixes(docs, sketch, width, percent))
-    classes = materialize(rows.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("prefix").alias("prefix")))
+    classes = materialize(rows.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("central").alias("central"), F.first("prefix").alias("prefix")))
 
-    def postings(of: DataFrame) -> DataFrame:
-        return of.select("id", "n", "m", F.explode("prefix").alias("shingle"))
-
-    compatible = F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n)")
-    by_size = W.partitionBy("shingle").orderBy("n", "id")
+    by_centre = W.partitionBy("shingle").orderBy(F.desc("central"), "id")
+    other = F.struct("id", "n", "m")
     met = (
-        postings(classes)
-        .select("id", "n", "m", F.lag("id").over(by_size).alias("other"), F.lag("n").over(by_size).alias("other_n"), F.lag("m").over(by_size).alias("other_m"))
-        .filter(F.col("other").isNotNull() & compatible)
+        classes.select("id", "n", "m", "central", F.explode("prefix").alias("shingle"))
+        .select("id", "n", "m", F.first(other).over(by_centre).alias("centre"), F.lag(other).over(by_centre).alias("before"))
+        .withColumn("other", F.when(F.expr(f"100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)"), F.col("centre")).otherwise(F.col("before")))
+        .select("id", "n", "m", F.col("other.id").alias("other"), F.col("other.n").alias("other_n"), F.col("other.m").alias("other_m"))
+        .filter(F.expr(f"other <> id and 100 * least(n, other_n) >= {percent} * greatest(n, other_n)"))
         .groupBy("id", "other")
         .agg(F.count("*").alias("matches"), F.min(F.least("m", "other_m")).alias("need"))
         .groupBy("id")
@@ -226,15 +227,19 @@ def jaccard_components(
     known = components(first)
 
     placed = materialize(classes.join(known, F.col("id") == F.col("node"), "left").select("id", "n", "m", "prefix", F.coalesce("component", "id").alias("component")))
-    lists = postings_of = placed.select("id", "n", "m", "component", F.explode("prefix").alias("shingle"))
+    lists = placed.select("id", "n", "m", "component", F.posexplode("prefix").alias("pos", "shingle"))
     mixed = materialize(lists.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle"))
-    lists = materialize(postings_of.join(mixed, "shingle", "left_semi"))
-    x, y = lists.alias("x"), lists.alias("y")
+    lists = materialize(lists.join(mixed, "shingle", "left_semi"))
+    # x is the larger one of a pair; the smaller one shares 2 * percent / (100 + percent) of its set, so that a
+    # shorter prefix of it does. What stands before and after a match bounds the overlap, so does the first match.
+    x, y = lists.alias("x"), lists.filter(f"pos < n - ceil({2.0 * percent} * n / {100 + percent}) + m").alias("y")
+    ordered = "(x.n > y.n or x.n = y.n and x.id > y.id)"
+    need = f"({percent} * (x.n + y.n) <= {100 + percent} * "
     meets = (
-        x.join(y, F.expr(f"x.shingle = y.shingle and x.id < y.id and x.component <> y.component and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
+        x.join(y, F.expr(f"x.shingle = y.shingle and x.component <> y.component and {ordered} and 100 * y.n >= {percent} * x.n and {need} (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)))"))
         .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .agg(F.count("*").alias("matches"), F.min(F.least("x.m", "y.m")).alias("need"))
-        .filter("matches >= need")
+        .agg(F.count("*").alias("matches"), F.min("x.pos").alias("px"), F.min("y.pos").alias("py"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"), F.first(F.least("x.m", "y.m")).alias("need"))
+        .filter(f"matches >= need and {percent} * (nx + ny) <= {100 + percent} * least(nx - px, ny - py)")
         .select("a", "b")
     )
     meets = materialize(_promising(meets, placed, sketch, percent))
