@@ -107,45 +107,6 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> D
     return docs.mapInArrow(index, "id long, n long, s1 long, s2 long, m int, central double, prefix array<long>")
 
 
-def _promising(pairs: DataFrame, sets: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose prefixes leave room for the overlap that a link takes.
-
-    Both prefixes follow one order of all shingles. A shingle of one prefix that comes before the other prefix's
-    last one and isn't in it isn't in that whole set, so it can't be shared.
-    """
-    shared = pairs.sparkSession.sparkContext.broadcast(sketch)
-
-    def examine(batches):
-        counts = shared.value
-        typical = int(np.median(counts))
-
-        def ranks(s):
-            excess = np.maximum(counts[(s % np.uint64(COUNTERS)).astype(np.int64)].astype(np.int64) - typical, 1)
-            return excess // max(4, typical // 2)
-
-        def missing(s, other):
-            """How many of s come before other's last and aren't in other."""
-            r, last, last_rank = ranks(s), other[-1], ranks(other[-1:])[0]
-            before = (r < last_rank) | ((r == last_rank) & (s < last))
-            return int((before & ~np.isin(s, other, assume_unique=True)).sum())
-
-        for batch in batches:
-            a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
-            pa_, pb = batch.column(4), batch.column(5)
-            va, oa = pa_.values.to_numpy().view(np.uint64), pa_.offsets.to_numpy()
-            vb, ob = pb.values.to_numpy().view(np.uint64), pb.offsets.to_numpy()
-            keep = np.zeros(len(a), dtype=bool)
-            for k in range(len(a)):
-                x, y = va[oa[k] : oa[k + 1]], vb[ob[k] : ob[k + 1]]
-                most = min(na[k] - missing(x, y), nb[k] - missing(y, x))
-                keep[k] = 100 * most >= percent * (na[k] + nb[k] - most)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(examine, "a long, b long")
-
-
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those that link: their whole sets, computed anew for the documents in pairs, are intersected."""
 
@@ -198,8 +159,8 @@ def jaccard_components(
        the whole: in a group of near copies, the text they come from. Per document the one with most matches is
        verified. These few links tie most groups of copies together.
     4. All pairs of one posting list that are not yet in one component, of compatible sizes and with enough
-       matches, are examined on their prefixes and then on their whole sets. Nothing is capped: after this, every
-       link is either found or inside a component already found.
+       matches, whose matches and what is left of their sets allow a link, are verified on their whole sets. Nothing
+       is capped: after this, every link is either found or inside a component already found.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -207,42 +168,53 @@ def jaccard_components(
     rows = materialize(prefixes(docs, sketch, width, percent))
     classes = materialize(rows.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("central").alias("central"), F.first("prefix").alias("prefix")))
 
+    # a pair's overlap is at most its matches up to the last one and what is left of the shorter rest
+    bounded = f"{percent} * (nx + ny) <= {100 + percent} * (matches + least(nx - lx, ny - ly) - 1)"
     by_centre = W.partitionBy("shingle").orderBy(F.desc("central"), "id")
-    other = F.struct("id", "n", "m")
+    other = F.struct("id", "n", "pos")
     met = (
-        classes.select("id", "n", "m", "central", F.explode("prefix").alias("shingle"))
-        .select("id", "n", "m", F.first(other).over(by_centre).alias("centre"), F.lag(other).over(by_centre).alias("before"))
+        classes.select("id", "n", "central", F.posexplode("prefix").alias("pos", "shingle"))
+        .select("id", "n", "pos", F.first(other).over(by_centre).alias("centre"), F.lag(other).over(by_centre).alias("before"))
         .withColumn("other", F.when(F.expr(f"100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)"), F.col("centre")).otherwise(F.col("before")))
-        .select("id", "n", "m", F.col("other.id").alias("other"), F.col("other.n").alias("other_n"), F.col("other.m").alias("other_m"))
-        .filter(F.expr(f"other <> id and 100 * least(n, other_n) >= {percent} * greatest(n, other_n)"))
-        .groupBy("id", "other")
-        .agg(F.count("*").alias("matches"), F.min(F.least("m", "other_m")).alias("need"))
+        .filter(F.expr(f"other.id <> id and 100 * least(n, other.n) >= {percent} * greatest(n, other.n)"))
+        .groupBy("id", F.col("other.id").alias("other"))
+        .agg(F.count("*").alias("matches"), F.max("pos").alias("lx"), F.max("other.pos").alias("ly"), F.first("n").alias("nx"), F.first("other.n").alias("ny"))
+        .filter(bounded)
         .groupBy("id")
         .agg(F.max(F.struct("matches", -F.col("other"), "other")).alias("best"))
         .select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b"))
         .distinct()
     )
-    met = materialize(_promising(met, classes, sketch, percent))
+    met = materialize(met)
     first = _linked(met, docs, width, percent)
     known = components(first)
 
-    placed = materialize(classes.join(known, F.col("id") == F.col("node"), "left").select("id", "n", "m", "prefix", F.coalesce("component", "id").alias("component")))
-    lists = placed.select("id", "n", "m", "component", F.posexplode("prefix").alias("pos", "shingle"))
-    mixed = materialize(lists.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle"))
-    lists = materialize(lists.join(mixed, "shingle", "left_semi"))
+    # Lists that hold more than one component. r: how many of the document's earlier shingles are in such lists, so
+    # that at most r matches come before this one, and the document can't link where they and the rest are too few.
+    in_list, in_document = W.partitionBy("shingle"), W.partitionBy("id").orderBy("pos")
+    lists = (
+        classes.join(known, F.col("id") == F.col("node"), "left")
+        .select("id", "n", "m", F.coalesce("component", "id").alias("component"), F.posexplode("prefix").alias("pos", "shingle"))
+        .withColumns({"low": F.min("component").over(in_list), "high": F.max("component").over(in_list)})
+        .filter("low < high")
+        .drop("low", "high")
+        .withColumn("r", F.row_number().over(in_document) - 1)
+        .filter(f"pos - r <= n - ceil({float(percent)} * n / 100)")
+    )
+    lists = materialize(lists)
     # x is the larger one of a pair; the smaller one shares 2 * percent / (100 + percent) of its set, so that a
-    # shorter prefix of it does. What stands before and after a match bounds the overlap, so does the first match.
+    # shorter prefix of it does.
     x, y = lists.alias("x"), lists.filter(f"pos < n - ceil({2.0 * percent} * n / {100 + percent}) + m").alias("y")
     ordered = "(x.n > y.n or x.n = y.n and x.id > y.id)"
-    need = f"({percent} * (x.n + y.n) <= {100 + percent} * "
+    possible = f"{percent} * (x.n + y.n) <= {100 + percent} * (least(x.r, y.r) + least(x.n - x.pos, y.n - y.pos))"
     meets = (
-        x.join(y, F.expr(f"x.shingle = y.shingle and x.component <> y.component and {ordered} and 100 * y.n >= {percent} * x.n and {need} (least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos)))"))
+        x.join(y, F.expr(f"x.shingle = y.shingle and x.component <> y.component and {ordered} and 100 * y.n >= {percent} * x.n and {possible}"))
         .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .agg(F.count("*").alias("matches"), F.min("x.pos").alias("px"), F.min("y.pos").alias("py"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"), F.first(F.least("x.m", "y.m")).alias("need"))
-        .filter(f"matches >= need and {percent} * (nx + ny) <= {100 + percent} * least(nx - px, ny - py)")
+        .agg(F.count("*").alias("matches"), F.max("x.pos").alias("lx"), F.max("y.pos").alias("ly"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"), F.first(F.least("x.m", "y.m")).alias("need"))
+        .filter(f"matches >= need and {bounded}")
         .select("a", "b")
     )
-    meets = materialize(_promising(meets, placed, sketch, percent))
+    meets = materialize(meets)
     second = _linked(meets, docs, width, percent)
     groups = components(first.union(second))
 
