@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: WGS84 semi-axes and first eccentricity squared, and units in metres or metres a second.
 WGS84_A = 6378137.0
@@ -74,7 +75,7 @@ def _vincenty(lat1, lon1, lat2, lon2, limit=200):
     return distance, np.where(settled | same, first, np.nan), np.where(settled | same, last, np.nan)
 
 
-@F.pandas_udf("struct<distance:double,bearing_initial:double,bearing_final:double>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("distance", "bearing_initial", "bearing_final")]))
 def _inverse(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.DataFrame:
     x = [s.astype("float64").to_numpy() for s in (lat1, lon1, lat2, lon2)]
     d, a, b = _vincenty(*x)
