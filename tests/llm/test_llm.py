@@ -1,0 +1,322 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from meridian.llm import bpe, common, components, jaccard_join, langid, lattice, lm_score, mixing, quality_knn, quality_rules, secret_scan, url_filter
+from meridian.llm.registry import ORACLE_SQL, QUERIES
+from meridian.llm.words import shingle_hashes, word_hashes
+from tests.oracle import differences
+
+SF = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, node long, component string, size string"
+WORDS = [f"w{k}" for k in range(400)]
+
+
+def docs_of(spark, texts, lang="en"):
+    """Documents with columns whose names clash with those that operators use inside."""
+    rows = [(k, t, lang, None if k % 5 == 4 else f"s{k % 3}", None, k, k, "x", "y") for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def awkward(seed=0):
+    r = random.Random(seed)
+    long_ = " ".join(r.choice(WORDS) for _ in range(3000))
+    return [None, "", " \n\t", "one", "one two", "a a a a a a a a a a a a", long_, long_, "x" * 5000, "Ünïcödé 😀 text\x85with　odd spaces", "line\nline\n\nline", " ".join(WORDS[:200]), " ".join(WORDS[:198] + ["zz", "yy"])]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    assert differences(QUERIES[name](spark, SF), ORACLE_SQL[name], SF) == (0, 0)
+
+
+@pytest.mark.parametrize("rows", ["awkward", "empty"])
+def test_every_operator_takes_awkward_and_empty_tables(spark, rows):
+    df = docs_of(spark, awkward()) if rows == "awkward" else spark.createDataFrame([], DOCS)
+    n = df.count()
+    model = langid.train(df.select(F.col("doc_id").alias("id"), "text", "lang").filter("text is not null"))
+    voters = quality_knn.fit(df, df.select("doc_id", F.lit(1).alias("quality")))
+    path = __import__("public_tokenizers").path("byte_bpe_50k.json")
+    outs = [
+        secret_scan.scan_documents(df),
+        url_filter.filter_urls(df, id_col="doc_id", url_col="text"),
+        quality_rules.judge_lines(df),
+        quality_knn.score_quality(df, voters),
+        lm_score.stupid_backoff(df),
+        mixing.mix(df),
+        bpe.encode_documents(df, path),
+        langid.identify(df, model),
+        jaccard_join.jaccard_components(df),
+    ]
+    for out in outs:
+        assert out.count() == n
+        assert out.select("doc_id").distinct().count() == n
+
+
+def test_null_ids_and_sources(spark):
+    df = docs_of(spark, ["a b c d"] * 3).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    assert jaccard_join.jaccard_components(df).count() == 3
+    assert mixing.mix(df).count() == 3
+    assert lm_score.stupid_backoff(df).count() == 2
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (100, 101)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_word_hashes_are_by_word_and_whole_texts():
+    texts = [b"a bb  a\nccc", b"", b" ", b"ccc", b"w " * 400_000 + b"end"]
+    a, b, c, d, e = word_hashes(texts)
+    assert len(a) == 4 and a[0] == a[2] != a[1] and a[3] == d[0] and len(b) == len(c) == 0
+    assert len(e) == 400_001 and len(np.unique(e)) == 2
+    assert len(shingle_hashes(a[:2], 3)) == 1 and len(shingle_hashes(b, 3)) == 0
+
+
+def brute_base(text):
+    """The base rules of the secret scan, said once more from their description."""
+    spans = []
+    for m in re.finditer(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[1]) >= 6:
+            spans.append((m.start(), 0, f"assign:{m.start()}:{m.end()}"))
+    for kind, k, pattern, least in (("access", 1, r"AKIA[A-Z0-9]+", 20), ("hex", 2, r"[0-9a-f]+", 24)):
+        spans += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return ",".join(s for *_, s in sorted(spans))
+
+
+def test_secrets_against_brute_force(spark):
+    rows = common.table(spark, SF, "documents").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in QUERIES["op1_secret_scan"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        want = brute_base(r.text or "")
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert not want or all(s in got[r.doc_id].spans.split(",") for s in want.split(","))
+    assert sum(r.n_novel for r in got.values()) <= 5  # clean prose has no novel strings
+
+
+def test_novel_strings_in_sensitive_contexts():
+    kinds = lambda t: [k for _, k, _ in secret_scan.scan(t)]
+    assert kinds("the credential 9f8Gh2kLq0Zx81Vb7Nm3 is stored") == [3]
+    assert kinds("the picture 9f8Gh2kLq0Zx81Vb7Nm3 is stored") == []
+    assert kinds("client_id is getUserAccountNameFromDatabase1") == []
+    again = "credential 9f8Gh2kLq0Zx81Vb7Nm3 and 9f8Gh2kLq0Zx81Vb7Nm3"
+    assert kinds(again) == []  # what the surroundings hold already isn't new
+    t = 'TOKEN = "0123456789abcdef0123456789"  ſecret=abcdefg'
+    assert kinds(t) == [0, 2] and secret_scan.masked(t, secret_scan.scan(t), "#") == '#"  ſecret=abcdefg'
+
+
+def brute_url(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    cut = min((i for i in map(rest.find, "/?#") if i >= 0), default=len(rest))
+    after = rest[cut:]
+    host = "".join(c.lower() if c.isascii() else c for c in rest[:cut])
+    return host, after[: min((i for i in map(after.find, "?#") if i >= 0), default=len(after))]
+
+
+def test_url_rules_against_brute_force(spark):
+    extra = [None, "no scheme", "http://", "HTTP://EXAMPLE.ORG/es/x?q", "http://a.b.example.org/en/1", "http://example.org/en/2", "http://org/x", "http://x.org", "http://x.org?y/z", "http://forg/", "https://x.com/fr/#f", "https://y.com/de/", "http://a.com/FR/", "a://b://c/d"]
+    pages = [(r.page_id, r.url) for r in common.table(spark, SF, "pages").select("page_id", "url").collect()] + [(10_000_000 + k, u) for k, u in enumerate(extra)]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string")).collect()}
+    for i, url in pages:
+        host, path = brute_url(url)
+        fitting = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fitting, key=lambda x: len(x[0]), default=(None, None))
+        r = got[i]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
+
+
+def test_url_model_tells_its_table_apart():
+    w = url_filter.train()
+    assert (url_filter.scores(list(url_filter.BLOCKED_URLS), w) > 0.5).all()
+    assert (url_filter.scores(list(url_filter.ALLOWED_URLS), w) < 0.5).all()
+    assert url_filter.scores(["win.casino-palace.test/bonus", "www.town-library.test/books/12"], w).round() == pytest.approx([1, 0])
+
+
+def test_quality_on_held_out_labels(spark):
+    labels = {r.doc_id: r.quality for r in common.table(spark, SF, "labels").collect() if r.quality is not None}
+    rows = [r for r in QUERIES["op4_quality_knn"](spark, SF).collect() if r.held_out and r.doc_id in labels]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    right = sum(r.predicted == labels[r.doc_id] for r in rows)
+    assert len(rows) > 50 and right >= 0.95 * len(rows)
+
+
+def test_long_texts_are_counted_whole():
+    piece = b"alpha beta 12 gamma!\n" * 30_000  # longer than a group
+    long_, short = quality_knn.term_counts([piece, b"x"])
+    once = quality_knn.term_counts([b"alpha beta 12 gamma!\n" * 10])[0]
+    assert long_[: quality_knn.TRIGRAMS].sum() == len(piece) - 2 and short.sum() > 0
+    assert long_[: quality_knn.TRIGRAMS].argmax() == once[: quality_knn.TRIGRAMS].argmax()
+
+
+def test_mix_meets_targets_and_caps(spark):
+    rows = mixing.mix(common.table(spark, SF, "documents")).collect()
+    by = {}
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r.size
+        x = by.setdefault(r.source, [0, r.target, r.source_size])
+        x[0] += r.taken
+    total = sum(s for *_, s in by.values())
+    assert sum(t for _, t, _ in by.values()) == pytest.approx(1.5 * total)
+    assert all(abs(n - t) <= 0.02 * t + 20 and t <= 2 * s + 1e-9 for n, t, s in by.values())
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(common.table(spark, SF, "documents").repartition(7)).collect()))
+
+
+def test_water_filling_by_steps(spark):
+    sizes = [("a", 10), ("b", 1000), ("c", 200), ("d", 0), (None, 500)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long"), 1.5, 2.0, (3, 1, 2)).collect()}
+    weights, caps = {"a": 3, "b": 1, "c": 2, "d": 3, None: 1}, {s: 2.0 * n for s, n in sizes}
+    target, left, open_ = dict.fromkeys(caps, 0.0), 1.5 * 1710, set(caps)
+    while left > 1e-9 and open_:
+        w = sum(weights[s] for s in open_)
+        add = {s: left * weights[s] / w for s in open_}
+        left = 0.0
+        for s, x in add.items():
+            over = max(0.0, target[s] + x - caps[s])
+            target[s] += x - over
+            left += over
+        open_ = {s for s in open_ if target[s] < caps[s] - 1e-9}
+    assert got == pytest.approx(target)
+
+
+ALPHABET = ["a", "the ", "  ", "\n", " \n", "\t", "é", "😀", "<|endoftext|>", "'s", "don't ", " 12", "!!", "　", "x" * 40, " ", "password=", " <|endoftext|> ", "ﬁ", "\x85", "\u200b", "\x1c", " \x1c"]
+
+
+def test_bpe_is_exact_on_awkward_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    r = random.Random(3)
+    texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 900))) for _ in range(150)] + ["", " ", "a" * 3000, " " * 3000]
+    t = Tokenizer.from_file(path)
+    for plain in (False, True):
+        encoder = bpe.Encoder(path)
+        encoder.ranked = None if plain else encoder.ranked
+        assert plain or encoder.ranked
+        for x, (n, ids, decoded) in zip(texts, encoder.encode(texts), strict=True):
+            want = t.encode(x, add_special_tokens=False).ids
+            assert (n, ids) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
+            assert decoded == hashlib.sha256(t.decode(want, skip_special_tokens=False).encode()).hexdigest()
+    kept = bpe.encode_documents(docs_of(spark, texts[:20]), path, keep_ids=True).collect()
+    assert all(k.ids == t.encode(texts[k.doc_id], add_special_tokens=False).ids for k in kept)
+
+
+def test_chunks_follow_content():
+    chunker = bpe.Chunker()
+    r = random.Random(5)
+    passage = " ".join(r.choice(WORDS) for _ in range(2000))
+    a, b = chunker.cut("one " + passage), chunker.cut("another start, " + passage)
+    assert "".join(a) == "one " + passage and len(set(a) & set(b)) >= 0.8 * len(a)
+
+
+def test_language_on_held_out_documents(spark):
+    truth = {r.doc_id: r.lang for r in common.table(spark, SF, "documents").select("doc_id", "lang").collect()}
+    rows = QUERIES["op8_language_id"](spark, SF).collect()
+    held = [r for r in rows if r.held_out and truth[r.doc_id] and r.lang_pred != "und"]
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+    assert [langid.has_letter(t) for t in (None, "", "12 ²!", "ß", "12a")] == [False, False, False, True, True]
+
+
+def jaccard_brute(texts, width, percent):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set()))
+    group = list(range(len(texts)))
+
+    def find(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                group[b] = a
+    return [find(k) for k in range(len(texts))], [len(s) for s in sets]
+
+
+@pytest.mark.parametrize(("width", "percent", "seed"), [(3, 90, 1), (5, 80, 2)])
+def test_jaccard_groups_against_brute_force(spark, width, percent, seed):
+    r = random.Random(seed)
+    texts = awkward(seed)
+    for _ in range(6):  # near copies around a text, from very near to beyond the threshold, and a shared passage
+        base = [r.choice(WORDS) for _ in range(r.randint(30, 160))]
+        passage = WORDS[:50]
+        for k in range(14):
+            near = list(base)
+            for _ in range(r.randint(0, 6)):
+                near[r.randrange(len(near))] = r.choice(WORDS)
+            texts.append(" ".join(near + passage * (k % 2)))
+    r.shuffle(texts)
+    want, sizes = jaccard_brute(texts, width, percent)
+    got = {x.doc_id: (x.component_id, x.n_shingles) for x in jaccard_join.jaccard_components(docs_of(spark, texts), width, percent).collect()}
+    assert [got[k] for k in range(len(texts))] == list(zip(want, sizes, strict=True))
+
+
+def test_lattice_points_are_nearest():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(200, 8)) * 2
+    p = lattice.nearest_e8(x)
+    assert np.all((2 * p).astype(int) == 2 * p) and np.all(p.sum(axis=1) % 2 == 0)
+    near = lattice.shortest()
+    d = ((x - p) ** 2).sum(axis=1)
+    assert len(near) == 240 and np.all(d[:, None] <= ((x[:, None, :] - p[:, None, :] - near[None]) ** 2).sum(axis=2) + 1e-9)
+
+
+def test_vector_links_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(260, 64))
+    for k in range(60, 200):  # spreads from copies to just under the threshold
+        x[k] = x[k % 12] + r.normal(size=64) * (k % 7) * 0.09
+    rows = [(k, [float(v) for v in row], k % 3) for k, row in enumerate(x)]
+    rows += [(1000, None, 0), (1001, [0.0] * 64, 0), (1002, [float("nan")] * 64, 0), (1003, [None] + [1.0] * 63, 0), (1004, [], 0), (1005, [2.0 * v for v in rows[5][1]], 0), (1006, [1.0, 2.0], 0)]
+    got = {g.vec_id: g for g in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    ids = [i for i, e, _ in rows if e and len(e) == 64 and None not in e and any(e) and not math.isnan(e[0])]
+    v = np.array([dict((i, e) for i, e, _ in rows)[i] for i in ids])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = v @ v.T >= 0.9
+    links = near.sum(axis=1) - 1
+    found = sum(got[i].n_links for i in ids)
+    assert all(got[i].n_links <= n for i, n in zip(ids, links, strict=True))
+    assert found >= 0.99 * links.sum()
+    assert all(got[i].n_links == 0 and got[i].kept for i in (1000, 1001, 1002, 1003, 1004, 1006))
+    assert got[1005].component_id == got[5].component_id
+
+
+def test_pipeline_stage_by_stage(spark):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    before = {r.doc_id: r for r in docs.collect()}
+    outs = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.materialize(stage(spark, docs, "/root/testdata/sf0.001"))
+        outs.append(docs)
+    known, single, masked, mixed, tokens = outs
+    assert all(o.columns == known.columns for o in (single, masked, mixed))
+    assert {r.doc_id for r in known.collect()} == {i for i, r in before.items() if langid.has_letter(r.text)}
+    rows = sorted(known.collect(), key=lambda r: r.doc_id)
+    want, _ = jaccard_brute([r.text for r in rows], 5, 80)
+    assert sorted(r.doc_id for r in single.collect()) == sorted(rows[k].doc_id for k in range(len(rows)) if want[k] == k)
+    assert masked.count() == single.count()
+    for r in masked.collect():
+        assert brute_base(r.text) == "" and r.n_chars == len(r.text)
+        assert brute_base(before[r.doc_id].text) or "[SECRET]" in r.text or r.text == before[r.doc_id].text
+    copies = {r.doc_id: r.copies for r in mixing.mix(masked, fraction="documents").collect()}
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: n for i, n in copies.items() if n}
+    assert tokens.count() == mixed.count()
+    text = {r.doc_id: r.text for r in mixed.collect()}
+    assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in tokens.collect())
