@@ -76,7 +76,7 @@ def frequency_sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> DataFrame:
     """(id, n, s1, s2, m, central, prefix): set size, 128-bit signature of the set, required matches, mean of the
-    logarithms of the shingles' estimated document counts, prefix rarest first."""
+    logarithms of the shingles' estimated document counts (in thousandths), prefix rarest first."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def index(batches):
@@ -87,7 +87,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> D
             for i, s in _sets(batch, width):
                 n = len(s)
                 if not n:
-                    rows.append((i, 0, 0, 0, 0, 0.0, s))
+                    rows.append((i, 0, 0, 0, 0, 0, s))
                     continue
                 overlap = least_overlap(n, percent)
                 excess = np.maximum(counts[(s % np.uint64(COUNTERS)).astype(np.int64)].astype(np.int64) - typical, 1)
@@ -95,16 +95,16 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> D
                 order = np.lexsort((s, rank))
                 m = choose_matches(excess[order], n, overlap)
                 sums = np.cumsum(s, dtype=np.uint64)
-                rows.append((i, n, sums[-1], np.bitwise_xor.reduce(s * (s | np.uint64(1))), m, float(np.log(excess).mean()), s[order[: n - overlap + m]]))
+                rows.append((i, n, sums[-1], np.bitwise_xor.reduce(s * (s | np.uint64(1))), m, int(1000 * np.log(excess).mean()), s[order[: n - overlap + m]]))
             if rows:
                 ids, n, s1, s2, m, central, p = zip(*rows, strict=True)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in p]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(m, pa.int32()), pa.array(central, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(p).view(np.int64)))],
+                    [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(m, pa.int32()), pa.array(central, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(p).view(np.int64)))],
                     names=["id", "n", "s1", "s2", "m", "central", "prefix"],
                 )
 
-    return docs.mapInArrow(index, "id long, n long, s1 long, s2 long, m int, central double, prefix array<long>")
+    return docs.mapInArrow(index, "id long, n long, s1 long, s2 long, m int, central int, prefix array<long>")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -155,6 +155,7 @@ def jaccard_components(
     2. Each class indexes a prefix of its set, rarest shingles first: n - ceil(percent * n / 100) + m of them. m is
        chosen per document by estimated candidate cost; two linked sets share at least the smaller m within their
        prefixes.
+       Shingles that no other class indexes are dropped from the posting lists.
     3. Within each posting list every document meets the most central one, whose shingles are the most frequent on
        the whole: in a group of near copies, the text they come from. Per document the one with most matches is
        verified. These few links tie most groups of copies together.
@@ -165,16 +166,21 @@ def jaccard_components(
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = frequency_sketch(docs.filter("id is not null"), width)
-    rows = materialize(prefixes(docs, sketch, width, percent))
-    classes = materialize(rows.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("central").alias("central"), F.first("prefix").alias("prefix")))
+    indexed = materialize(prefixes(docs, sketch, width, percent))
+    rows = materialize(indexed.select("id", "n", "s1", "s2"))
+    whole = indexed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("m").alias("m"), F.first("central").alias("central"), F.first("prefix").alias("prefix"))
+    in_list = W.partitionBy("shingle")
+    postings = materialize(
+        whole.select("id", "n", "m", "central", F.posexplode("prefix").alias("pos", "shingle")).withColumn("documents", F.count("*").over(in_list)).filter("documents > 1").drop("documents")
+    )
+    drop(indexed)
 
     # a pair's overlap is at most its matches up to the last one and what is left of the shorter rest
     bounded = f"{percent} * (nx + ny) <= {100 + percent} * (matches + least(nx - lx, ny - ly) - 1)"
     by_centre = W.partitionBy("shingle").orderBy(F.desc("central"), "id")
     other = F.struct("id", "n", "pos")
     met = (
-        classes.select("id", "n", "central", F.posexplode("prefix").alias("pos", "shingle"))
-        .select("id", "n", "pos", F.first(other).over(by_centre).alias("centre"), F.lag(other).over(by_centre).alias("before"))
+        postings.select("id", "n", "pos", F.first(other).over(by_centre).alias("centre"), F.lag(other).over(by_centre).alias("before"))
         .withColumn("other", F.when(F.expr(f"100 * least(n, centre.n) >= {percent} * greatest(n, centre.n)"), F.col("centre")).otherwise(F.col("before")))
         .filter(F.expr(f"other.id <> id and 100 * least(n, other.n) >= {percent} * greatest(n, other.n)"))
         .groupBy("id", F.col("other.id").alias("other"))
@@ -191,10 +197,10 @@ def jaccard_components(
 
     # Lists that hold more than one component. r: how many of the document's earlier shingles are in such lists, so
     # that at most r matches come before this one, and the document can't link where they and the rest are too few.
-    in_list, in_document = W.partitionBy("shingle"), W.partitionBy("id").orderBy("pos")
+    in_document = W.partitionBy("id").orderBy("pos")
     lists = (
-        classes.join(known, F.col("id") == F.col("node"), "left")
-        .select("id", "n", "m", F.coalesce("component", "id").alias("component"), F.posexplode("prefix").alias("pos", "shingle"))
+        postings.join(known, F.col("id") == F.col("node"), "left")
+        .select("id", "n", "m", F.coalesce("component", "id").alias("component"), "pos", "shingle")
         .withColumns({"low": F.min("component").over(in_list), "high": F.max("component").over(in_list)})
         .filter("low < high")
         .drop("low", "high")
@@ -202,6 +208,7 @@ def jaccard_components(
         .filter(f"pos - r <= n - ceil({float(percent)} * n / 100)")
     )
     lists = materialize(lists)
+    drop(postings)
     # x is the larger one of a pair; the smaller one shares 2 * percent / (100 + percent) of its set, so that a
     # shorter prefix of it does.
     x, y = lists.alias("x"), lists.filter(f"pos < n - ceil({2.0 * percent} * n / {100 + percent}) + m").alias("y")
@@ -215,10 +222,11 @@ def jaccard_components(
         .select("a", "b")
     )
     meets = materialize(meets)
+    drop(lists)
     second = _linked(meets, docs, width, percent)
     groups = components(first.union(second))
 
-    members = classes.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"), F.col("id").alias("class_id"))
+    members = rows.filter("n > 0 and id is not null").groupBy(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn")).agg(F.min("id").alias("class_id"))
     of_class = materialize(members.join(groups, F.col("class_id") == F.col("node"), "left").select("c1", "c2", "cn", F.coalesce("component", "class_id").alias("component")))
     return rows.join(of_class, F.expr("s1 = c1 and s2 = c2 and n = cn and id is not null"), "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
