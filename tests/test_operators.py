@@ -101,14 +101,16 @@ FRAGMENTS = [("d", "A", 1, 2, 1, "55", 0), ("d", "B", 2, 1, 1, "x", 0), ("d", "A
 FRAGMENT_SCHEMA = "device string, channel string, line_no long, nfrags int, ifrag int, payload string, pad int"
 
 
-def test_fragments_in_turn_only(spark, tmp_path):
+def test_fragments_in_turn_only(spark, tmp_path, no_idle_batches):
     df = spark.createDataFrame(FRAGMENTS, FRAGMENT_SCHEMA)
     want = {("A", 3, "5566", 2), ("B", 2, "x", 0)}
     assert {(r.channel, r.line_no, r.payload, r.pad) for r in ais.assemble_fragments(df).collect()} == want
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(FRAGMENT_SCHEMA).parquet(str(tmp_path / "in"))
     q = streaming.assemble_fragments(stream).writeStream.format("memory").queryName("fragments").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
+    ended = q.awaitTermination(60)
+    q.stop()
+    assert ended
     assert {(r.channel, r.line_no, r.payload, r.pad) for r in spark.table("fragments").collect()} == want
 
 
@@ -225,11 +227,13 @@ def test_sql_functions(spark):
     assert (r.a, r.b, r.c, r.d) == (pytest.approx(1113194, rel=1e-5), pytest.approx(1105854, rel=1e-2), 270.0, 1293494418)
 
 
-def test_stream_of_reports_ends_cycles(spark, tmp_path):
+def test_stream_of_reports_ends_cycles(spark, tmp_path, no_idle_batches):
     rows = [("d", k, tod, lat, 0.0, 3, "GGA") for k, (tod, lat) in enumerate([(1.0, 5.0), (None, 6.0), (2.0, 7.0), (3.0, 8.0)])]
     schema = "device string, line_no long, tod double, lat double, lon double, mode int, tag string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     q = streaming.end_of_cycle(stream, 60_000).writeStream.format("memory").queryName("cycles").outputMode("append").option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
+    ended = q.awaitTermination(60)
+    q.stop()
+    assert ended
     assert {(r.tod, r.lat, r.n) for r in spark.table("cycles").collect()} >= {(1.0, 6.0, 2), (2.0, 7.0, 1)}
