@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meridian.operators.nmea import checksum_ok
+from meridian.operators.nmea import checksum_ok, once
 
 #: Fixed values. The six-bit alphabet.
 SIXBIT = "@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_ !\"#$%&'()*+,-./0123456789:;<=>?"
@@ -69,7 +69,7 @@ POSITION_NA, MINUTES = {"lon": 181, "lat": 91}, 600000.0
 def ais_lines(lines: DataFrame, device: str = "file", value: str = "value") -> DataFrame:
     """Valid fragments: (device, line_no, nfrags, ifrag, seq, channel, payload, pad). Channel 1 is A, 2 is B, blank A;
     others are rejected."""
-    rows = lines.filter(F.col(value).startswith("!") & checksum_ok(F.col(value))).withColumn("f", F.split(F.regexp_extract(value, r"^!(.*)\*", 1), ","))
+    rows = lines.filter(F.col(value).startswith("!") & checksum_ok(F.col(value))).withColumn("f", once(F.split(F.regexp_extract(value, r"^!(.*)\*", 1), ",")))
     rows = rows.filter(F.expr("size(f) >= 7 and substring(get(f, 0), 3) in ('VDM', 'VDO')"))
     given = F.get("f", F.lit(4))
     channel = F.when(given.isin("", "A", "1"), "A").when(given.isin("B", "2"), "B")
@@ -131,7 +131,7 @@ def _layout(text: str) -> list[tuple[str, int, int, str]]:
 
 def header(messages: DataFrame) -> DataFrame:
     """Messages with their bits, type, repeat and mmsi; too short or too long ones are rejected."""
-    rows = messages.withColumn("bits", unarmor(F.col("payload"), F.col("pad"))).filter("bits is not null and length(bits) >= 38")
+    rows = messages.withColumn("bits", once(unarmor(F.col("payload"), F.col("pad")))).filter("bits is not null and length(bits) >= 38")
     b = F.col("bits")
     rows = rows.withColumns({"type": unsigned(b, 0, 6).cast("int"), "repeat": unsigned(b, 6, 2).cast("int"), "mmsi": unsigned(b, 8, 30)})
     limits = F.create_map(*[F.lit(x) for t, (lo, hi) in LENGTHS.items() for x in (t, lo * 10000 + hi)])[F.col("type")]

@@ -49,12 +49,17 @@ def checksum_ok(value: Column) -> Column:
     return value.startswith("$STI,") | ((given != "") & (F.upper(given) == hex_checksum(_between(value))))
 
 
+def once(expr: Column) -> Column:
+    """The value through a generator of one row: Spark neither repeats it where it is used nor pushes filters below."""
+    return F.explode(F.array(expr))
+
+
 def tokenise(lines: DataFrame, value: str = "value") -> DataFrame:
     """Valid sentences split into fields f (f[0]: talker and tag), with talker and tag."""
     v = F.col(value)
     good = lines.filter(v.startswith("$") & (F.length(v) <= LONGEST) & checksum_ok(v))
     body = F.regexp_extract(v, r"^\$([^*\x00-\x1f]*)", 1)
-    out = good.withColumn("f", F.split(body, ",")).filter(F.length(F.get("f", F.lit(0))) >= 5)
+    out = good.withColumn("f", once(F.split(body, ","))).filter(F.length(F.get("f", F.lit(0))) >= 5)
     return out.withColumns({"talker": F.substring(F.get("f", F.lit(0)), 1, 2), "tag": F.expr("substring(get(f, 0), 3)")})
 
 

@@ -39,7 +39,7 @@ def _sentences(spark, sf_dir) -> DataFrame:
     rows = fix_view(spark, sf_dir).withColumns({"altMSL": F.col("altHAE"), "geoidSep": F.lit(0.0), "hdop": F.lit(1.5), "uSat": F.lit(8), "file": F.col("device").cast("string")})
     gga = sinks.to_gga(rows).select("file", (F.col("line_no") * 2).alias("line_no"), "value")
     rmc = sinks.to_rmc(rows.withColumns({"speed": F.col("value") / 100.0, "track": F.col("az").cast("double")})).select("file", (F.col("line_no") * 2 + 1).alias("line_no"), "value")
-    return gga.unionByName(rmc)
+    return gga.unionByName(rmc).withColumn("value", nmea.once(F.col("value")))
 
 
 @query(
@@ -73,9 +73,9 @@ def _bits(spark, sf_dir) -> DataFrame:
     bits = F.concat(*parts)
     chars = F.transform(F.sequence(F.lit(0), F.lit(27)), lambda k: F.conv(F.substring(F.col("bits"), k * 6 + 1, F.lit(6)), 2, 10).cast("int"))
     payload = F.array_join(F.transform(chars, lambda v: F.char(v + 48 + F.when(v >= 40, 8).otherwise(0))), "")
-    rows = fix_view(spark, sf_dir).withColumn("bits", bits).withColumn("payload", payload)
+    rows = fix_view(spark, sf_dir).withColumn("bits", nmea.once(bits)).withColumn("payload", nmea.once(payload))
     body = F.concat(F.lit("AIVDM,1,1,,A,"), F.col("payload"), F.lit(",0"))
-    return rows.select(F.col("device").cast("string").alias("file"), "line_no", F.concat(F.lit("!"), body, F.lit("*"), nmea.hex_checksum(body)).alias("value"))
+    return rows.select(F.col("device").cast("string").alias("file"), "line_no", nmea.once(F.concat(F.lit("!"), body, F.lit("*"), nmea.hex_checksum(body))).alias("value"))
 
 
 @query(
