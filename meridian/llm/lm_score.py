@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridian.llm.common import materialize, table
@@ -223,6 +223,80 @@ def stupid_backoff(docs: DataFrame, share: float = SHARE, backoff: float = BACKO
     )
 
 
+#: Stand for the next word where a context ends a text, and where it begins one.
+LAST, FIRST = 0, 1
+#: Words that a task turns into bigram rows at a time.
+BIGRAM_FLUSH = 1 << 18
+
+
+def bigram_rows(docs: DataFrame) -> DataFrame:
+    """(context, word, doc, n): every bigram of every text, counted by document within a task. The last and the
+    first word of a text come as contexts of LAST and FIRST, so a context's rows but FIRST are all its occurrences."""
+
+    def run(batches):
+        ids: list[int] = []
+        texts: list[np.ndarray] = []
+        size = 0
+
+        def flush():
+            context, word, doc = [], [], []
+            for i, w in zip(ids, texts, strict=True):
+                context += [w, w[:1]]
+                word += [w[1:], np.array([LAST, FIRST], np.uint64)]
+                doc.append(np.full(len(w) + 1, i, np.int64))
+            c, w, d = (np.concatenate(x) for x in (context, word, doc))
+            ids.clear()
+            texts.clear()
+            order = np.lexsort((d, w, c))
+            c, w, d = c[order], w[order], d[order]
+            start = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]) | (d[1:] != d[:-1]))))
+            n = np.diff(np.append(start, len(c))).astype(np.int32)
+            columns = [c[start].view(np.int64), w[start].view(np.int64), d[start], n]
+            for i in range(0, len(start), 1 << 14):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 14)]) for x in columns], names=["context", "word", "doc", "n"])
+
+        for batch in batches:
+            for i, w in zip(batch.column(0).to_pylist(), word_hashes(_texts(batch)), strict=True):
+                if len(w) and i is not None:
+                    ids.append(i)
+                    texts.append(w)
+                    size += len(w)
+                if size > BIGRAM_FLUSH:
+                    yield from flush()
+                    size = 0
+        if texts:
+            yield from flush()
+
+    return docs.mapInArrow(run, "context long, word long, doc long, n int")
+
+
+def whole_backoff(docs: DataFrame, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, n_seen, log_score) of each whole text under all bigrams of all texts: no context and no bigram
+    is left out, whatever its count.
+
+    A word w after v scores c(v w) / c(v), the first word of a text backoff * c(w) / N. Otherwise as stupid_backoff.
+
+    Entries are shuffled once, by context; both counts are windows over them. A frequent context (at most
+    1 / HOT_SHARE of them, so their counts are broadcast) is dealt out by its next words too.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    unigrams = materialize(word_counts(docs))
+    total = int(unigrams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    hot = unigrams.filter(F.col("n") >= F.lit(max(1.0, HOT_SHARE * total))).select(F.col("word").alias("context"), F.col("n").alias("hot_n"))
+    entries = bigram_rows(docs).join(F.broadcast(hot), "context", "left").filter((F.col("word") != LAST) | F.col("hot_n").isNull())
+    key = F.when(F.col("hot_n").isNotNull(), F.xxhash64("context", "word")).otherwise(F.col("context"))
+    entries = entries.select(key.alias("key"), "word", "doc", "n", "hot_n").repartition("key")
+    counted = entries.withColumn("pairs", F.sum("n").over(Window.partitionBy("key", "word")))
+    uses = F.sum(F.when(F.col("word") != FIRST, F.col("n"))).over(Window.partitionBy("key"))
+    counted = counted.withColumn("uses", F.coalesce("hot_n", uses)).filter(F.col("word") != LAST)
+    paired = F.col("word") != FIRST
+    log = F.when(paired, F.log("pairs") - F.log("uses")).otherwise(F.log(F.lit(backoff)) + F.log("uses") - F.log(F.lit(float(max(total, 1)))))
+    sums = counted.groupBy(F.col("doc").alias("of")).agg(F.sum("n").alias("n"), F.sum(F.when(paired, F.col("n")).otherwise(0)).alias("seen"), F.sum(F.col("n") * log).alias("score"))
+    return docs.select("id").distinct().join(sums, F.col("id") == F.col("of"), "left").select(
+        F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_words"), F.coalesce("seen", F.lit(0)).alias("n_seen"), F.coalesce("score", F.lit(0.0)).alias("log_score")
+    )
+
+
 def op5_lm_score(spark, sf_dir: str) -> DataFrame:
     scored = stupid_backoff(table(spark, sf_dir, "documents"))
     return scored.withColumn("log_score", F.round("log_score", 4))
@@ -240,3 +314,20 @@ x as (select t.doc_id, case when b.n >= 2 and c.n >= s.total * pow(2, -17) then
 select d.doc_id, count(x.doc_id)::bigint as n_words, coalesce(sum(x.seen::int), 0)::bigint as n_seen, round(coalesce(sum(x.score), 0e0), 4) as log_score
 from d left join x using (doc_id) group by d.doc_id
 """
+
+
+def op5_lm_score_whole(spark, sf_dir: str) -> DataFrame:
+    return whole_backoff(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
+
+
+OP5_WHOLE_SQL = """
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+t as (select doc_id, w[i] as w, case when i > 1 then w[i - 1] end as v from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
+u as (select w, count(*) as n from t group by w),
+s as (select count(*) as total from t),
+b as (select v, w, count(*) as n from t where v is not null group by v, w),
+x as (select t.doc_id, case when t.v is not null then ln(b.n) - ln(c.n) else ln(0.4) + ln(u.n) - ln(s.total) end as score, t.v is not null as seen
+  from t join u on u.w = t.w cross join s left join b on b.v = t.v and b.w = t.w left join u c on c.w = t.v)
+select d.doc_id, count(x.doc_id)::bigint as n_words, coalesce(sum(x.seen::int), 0)::bigint as n_seen, round(coalesce(sum(x.score), 0e0), 4) as log_score
+from d left join x using (doc_id) group by d.doc_id
+"""

@@ -320,3 +320,22 @@ def test_pipeline_stage_by_stage(spark):
     assert tokens.count() == mixed.count()
     text = {r.doc_id: r.text for r in mixed.collect()}
     assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in tokens.collect())
+
+
+def test_whole_model_keeps_rare_contexts_and_bigrams(spark):
+    r = random.Random(11)
+    texts = [None, "", "Once only", " ".join(r.choice(WORDS) for _ in range(140_000)), *(" ".join(r.choice(WORDS) for _ in range(k)) for k in (1, 50))]
+    words = [re.findall(r"[^ \t-\r]+", (t or "").lower()) for t in texts]
+    one, two = {}, {}
+    for w in words:
+        for a in w:
+            one[a] = one.get(a, 0) + 1
+        for p in zip(w, w[1:], strict=False):
+            two[p] = two.get(p, 0) + 1
+    total = sum(one.values())
+    got = {x.doc_id: x for x in lm_score.whole_backoff(docs_of(spark, texts)).collect()}
+    for k, w in enumerate(words):
+        score = sum(math.log(two[p] / one[p[0]]) for p in zip(w, w[1:], strict=False)) + (math.log(0.4 * one[w[0]] / total) if w else 0)
+        assert (got[k].n_words, got[k].n_seen) == (len(w), max(0, len(w) - 1))
+        assert got[k].log_score == pytest.approx(score, abs=1e-6)
+    assert one["once"] < total * 2.0**-17 and two["once", "only"] == 1
