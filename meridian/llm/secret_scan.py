@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -20,7 +21,7 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "access_key", "private_key", "auth", "bearer", "credential", "signature", "client_id")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.I | re.A)
 _SENSITIVE_BYTES = tuple(s.encode() for s in SENSITIVE)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}", re.A)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}", re.A)
 #: Fixed values. Words that identifiers in code are made of: the dictionary's constant part.
 IDENTIFIERS = (
     "access account action address algorithm allow api array async auth await base64 bearer bool boolean bucket buffer build byte bytes cache callback client "
@@ -34,8 +35,10 @@ IDENTIFIERS = (
     "timeout timestamp title token type undefined update upload url user username utf-8 uuid value variable version view void width window write "
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000 11111111 xxxxxxxx example test1234"
 )
-#: Characters after a sensitive word in which a candidate may start, and characters around it that prime the dictionary.
-REACH, AROUND = 48, 512
+#: Characters around a candidate that prime the dictionary.
+AROUND = 512
+#: Shorter candidates are measured only if letters and digits alternate: other words of that length are as novel as keys.
+PLAIN_LENGTH = 16
 
 
 def novelty(text: str, start: int, end: int, level: int = 9) -> float:
@@ -57,8 +60,25 @@ def mixed(s: str) -> bool:
     return sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= 3
 
 
-def scan(text: str | None, min_novelty: float = 0.45) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all spans of a text, by start and then kind; code points, end exclusive."""
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what may be a secret after each sensitive word: to the end of its line and of the next one."""
+    until = 0
+    for word in _SENSITIVE.finditer(text):
+        if m := _CANDIDATE.match(text, word.end()):
+            yield m.span()
+        end = text.find("\n", word.end())
+        end = text.find("\n", end + 1) if end >= 0 else end
+        end = len(text) if end < 0 else end
+        for m in _CANDIDATE.finditer(text, max(word.end(), until), end):
+            yield m.span()
+        until = max(until, end)
+
+
+def scan(text: str | None, min_novelty: float = 0.45, min_plain: float = 0.93) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of all spans of a text, by start and then kind; code points, end exclusive.
+
+    A candidate is novel from min_novelty on if letters and digits alternate in it, otherwise from min_plain on.
+    """
     if not text:
         return []
     low = text.encode("utf-8", "replace").lower()
@@ -70,16 +90,13 @@ def scan(text: str | None, min_novelty: float = 0.45) -> list[tuple[int, int, in
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(s in low for s in _SENSITIVE_BYTES):
         seen = set()
-        for word in _SENSITIVE.finditer(text):
-            for m in _CANDIDATE.finditer(text, word.end()):
-                if m.start() > word.end() + REACH or "\n" in text[word.end() : m.start()]:
-                    break
-                a, b = m.span()
-                if a in seen or not mixed(m.group()) or any(x < b and a < y for x, _, y in found):
-                    continue
-                seen.add(a)
-                if novelty(text, a, b) >= min_novelty:
-                    found.append((a, 3, b))
+        for a, b in candidates(text):
+            alternating = mixed(text[a:b])
+            if a in seen or (b - a < PLAIN_LENGTH and not alternating) or any(x < b and a < y for x, _, y in found):
+                continue
+            seen.add(a)
+            if novelty(text, a, b) >= (min_novelty if alternating else min_plain):
+                found.append((a, 3, b))
     return sorted(found)
 
 

@@ -339,3 +339,18 @@ def test_whole_model_keeps_rare_contexts_and_bigrams(spark):
         assert (got[k].n_words, got[k].n_seen) == (len(w), max(0, len(w) - 1))
         assert got[k].log_score == pytest.approx(score, abs=1e-6)
     assert one["once"] < total * 2.0**-17 and two["once", "only"] == 1
+
+
+def test_novel_strings_of_any_make_on_the_line_and_the_next():
+    found = lambda t: [t[a:b] for a, k, b in secret_scan.scan(t) if k == 3]
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "qXvKzJwTbGhLmRfPyNcD", "83920174650918273645", "k8F3v2Lq9z"]
+    for key in keys:
+        assert found(f"aws_secret_access_key = {key}") == [key]
+        assert found(f"the credential\n  {key}\n") == [key]
+        assert found(f"the credential{' that is kept' * 8} {key}") == [key]
+        assert found(f"the credential\n\n\n{key}") == found(f"the picture {key}") == []
+    r = random.Random(2)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+        drawn = ["".join(r.choice(alphabet) for _ in range(20)) for _ in range(200)]
+        assert sum(found(f"the credential {x} is kept") == [x] for x in drawn) >= 195
+    assert found("the token is access_token_expiration_seconds or 0000000000000000") == []
