@@ -41,13 +41,18 @@ AROUND = 512
 PLAIN_LENGTH = 16
 
 
-def novelty(text: str, start: int, end: int, level: int = 9) -> float:
+def novelty(text: str, start: int, end: int, level: int = 9, copies: bool = False) -> float:
     """Marginal compressed bytes per character of text[start:end], zstandard primed with what surrounds it.
 
     The dictionary is the identifier list, then the surrounding text with the candidate taken out. Marginal bytes:
-    the compressed size of the text just before with the candidate, less that without it.
+    the compressed size of the text just before with the candidate, less that without it. With copies, further
+    copies of the candidate are taken out too, so that a string isn't its own dictionary.
     """
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    if copies:  # one that stands across the edge is taken out whole
+        reach, own = AROUND + end - start, text[start:end]
+        before = text[max(0, start - reach) : start].replace(own, "")[-AROUND:]
+        after = text[end : end + reach].replace(own, "")[:AROUND]
     primed = zstandard.ZstdCompressionDict((IDENTIFIERS + after + before).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     compressor = zstandard.ZstdCompressor(level=level, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
     context = before[-32:].encode("utf-8", "replace")
@@ -62,22 +67,25 @@ def mixed(s: str) -> bool:
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of what may be a secret after each sensitive word: to the end of its line and of the next one."""
-    until = 0
+    until, line, end = 0, -1, 0
     for word in _SENSITIVE.finditer(text):
         if m := _CANDIDATE.match(text, word.end()):
             yield m.span()
-        end = text.find("\n", word.end())
-        end = text.find("\n", end + 1) if end >= 0 else end
-        end = len(text) if end < 0 else end
+        if word.end() > line:
+            line = text.find("\n", word.end())
+            end = text.find("\n", line + 1) if line >= 0 else -1
+            line, end = (len(text) if x < 0 else x for x in (line, end))
         for m in _CANDIDATE.finditer(text, max(word.end(), until), end):
             yield m.span()
         until = max(until, end)
 
 
-def scan(text: str | None, min_novelty: float = 0.45, min_plain: float = 0.93) -> list[tuple[int, int, int]]:
+def scan(text: str | None, min_novelty: float = 0.45, min_plain: float = 0.93, copies: bool = False) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans of a text, by start and then kind; code points, end exclusive.
 
     A candidate is novel from min_novelty on if letters and digits alternate in it, otherwise from min_plain on.
+    With copies, as the operators scan, its own copies don't make it less novel, and all places of a novel string
+    are reported; otherwise a string that the surroundings hold already isn't new.
     """
     if not text:
         return []
@@ -89,14 +97,30 @@ def scan(text: str | None, min_novelty: float = 0.45, min_plain: float = 0.93) -
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(s in low for s in _SENSITIVE_BYTES):
-        seen = set()
+        seen, novel, covered = set(), set(), bytearray(len(text))
+
+        def cover(a, b):
+            covered[a:b] = b"\x01" * (b - a)
+
+        for a, _, b in found:
+            cover(a, b)
         for a, b in candidates(text):
-            alternating = mixed(text[a:b])
-            if a in seen or (b - a < PLAIN_LENGTH and not alternating) or any(x < b and a < y for x, _, y in found):
+            own = text[a:b]
+            alternating = mixed(own)
+            if a in seen or (copies and own in novel) or (b - a < PLAIN_LENGTH and not alternating) or 1 in covered[a:b]:
                 continue
             seen.add(a)
-            if novelty(text, a, b) >= (min_novelty if alternating else min_plain):
+            if novelty(text, a, b, copies=copies) >= (min_novelty if alternating else min_plain):
                 found.append((a, 3, b))
+                novel.add(own)
+                cover(a, b)
+        if copies:
+            for own in sorted(novel, key=lambda x: (-len(x), x)):
+                for m in re.finditer(re.escape(own), text):
+                    a, b = m.span()
+                    if 1 not in covered[a:b]:
+                        found.append((a, 3, b))
+                        cover(a, b)
     return sorted(found)
 
 
@@ -131,7 +155,7 @@ def scan_documents(docs: DataFrame, min_novelty: float = 0.45, mask: str = "[SEC
         for batch in batches:
             counts, base, spans, texts = [], [], [], []
             for t in batch.column(1).to_pylist():
-                s = scan(t, min_novelty)
+                s = scan(t, min_novelty, copies=True)
                 counts.append([sum(k == x for _, k, _ in s) for x in range(4)])
                 base.append(hashlib.sha256(joined([x for x in s if x[1] < 3]).encode()).hexdigest())
                 spans.append(joined(s))
@@ -147,7 +171,7 @@ def mask_documents(docs: DataFrame, min_novelty: float = 0.45, mask: str = "[SEC
 
     def run(batches):
         for batch in batches:
-            texts = [t if not t else masked(t, scan(t, min_novelty), mask) for t in batch.column(text_col).to_pylist()]
+            texts = [t if not t else masked(t, scan(t, min_novelty, copies=True), mask) for t in batch.column(text_col).to_pylist()]
             batch = batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(texts, pa.string()))
             if length_col:
                 batch = batch.set_column(batch.schema.get_field_index(length_col), length_col, pa.array([None if t is None else len(t) for t in texts], pa.int64()))

@@ -354,3 +354,16 @@ def test_novel_strings_of_any_make_on_the_line_and_the_next():
         drawn = ["".join(r.choice(alphabet) for _ in range(20)) for _ in range(200)]
         assert sum(found(f"the credential {x} is kept") == [x] for x in drawn) >= 195
     assert found("the token is access_token_expiration_seconds or 0000000000000000") == []
+
+
+def test_copies_of_a_secret_are_all_masked(spark):
+    key, base = "9f8Gh2kLq0Zx81Vb7Nm3", "credential "
+    texts = [f"{base}{key} and {key}", f"{base}{key}\n" * 5, f"{base}{key}{' a' * 250} {base}{key}", f"{key}\n\n\n{base}{key}\n\n\n{key}.", "the picture " + f"{key} " * 3, f"{base}{'getUserAccountNameFromDatabase1 ' * 2}"]
+    # a copy that stands across the edge of the surroundings
+    texts.append(f"{base}{key}{' ' * (secret_scan.AROUND - 10)}{key}")
+    docs = docs_of(spark, texts)
+    rows = {r.doc_id: r for r in secret_scan.scan_documents(docs).collect()}
+    assert [rows[k].n_novel for k in range(len(texts))] == [2, 5, 2, 3, 0, 0, 2]
+    masked = {r.doc_id: r.text for r in secret_scan.mask_documents(docs).collect()}
+    for k, t in enumerate(texts):
+        assert rows[k].masked_text == masked[k] == (t.replace(key, "[SECRET]") if rows[k].n_novel else t)
