@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 from collections import OrderedDict
 
 import numpy as np
@@ -12,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import table
+from meridian.llm.common import by_bytes, table
 
 #: Chunks end where a rolling hash of the last WINDOW bytes has its top bits clear: one in 2 ** CUT_BITS places.
 WINDOW, CUT_BITS = 16, 9
 #: Bytes of chunk and join texts that a task keeps encoded; the least recently used go first.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 24 << 20
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(7).integers(1, 2**64, 256, dtype=np.uint64)
@@ -107,6 +108,11 @@ class Chunker:
         return (ends[hit] - back).tolist()
 
 
+def held(text: str, value: tuple[int, bytes, bytes]) -> int:
+    """Bytes that a cached string takes, with what Python adds."""
+    return sys.getsizeof(text) + len(value[1]) + len(value[2]) + 330
+
+
 class Encoder:
     """Encodes texts exactly as the tokenizer does on the whole text, from chunks encoded once per task.
 
@@ -117,17 +123,28 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         self.ranked = ranked(path)
+        self.tokenizer = None
         self.chunker = Chunker()
         self.cache: OrderedDict[str, tuple[int, bytes, bytes]] = OrderedDict()
         self.size = 0
         self.encoded = self.reused = 0
 
+    def ids_of(self, strings: list[str]) -> tuple[list[list[int]], list[bytes]]:
+        """Ids of each string, and what they decode to. The tokenizers library is loaded only where ranks don't do."""
+        if self.ranked:
+            ids = [self.ranked[0](x) for x in strings]
+            return ids, [self.ranked[1](i) for i in ids]
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
+        ids = [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
+        return ids, [d.encode() for d in self.tokenizer.decode_batch(ids, skip_special_tokens=False)]
+
     def pieces(self, text: str) -> list[str]:
         """The strings to encode: chunk cores and joins, in order; concatenated they are the text."""
         out: list[str] = []
@@ -149,8 +166,8 @@ class Encoder:
             out.append(open_)
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded text) of each text."""
+    def encode(self, texts: list[str], keep_ids: bool = False) -> list[tuple]:
+        """(number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded text[, ids, decoded text]) of each text."""
         parts = [self.pieces(t) for t in texts]
         known: dict[str, tuple[int, bytes, bytes]] = {}
         new: dict[str, None] = {}
@@ -166,25 +183,20 @@ class Encoder:
                     new[x] = None
         strings = list(new)
         self.encoded += len(strings)
-        if self.ranked:
-            ids = [self.ranked[0](x) for x in strings]
-            decoded = [self.ranked[1](i) for i in ids]
-        else:
-            ids = [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
-            decoded = [d.encode() for d in self.tokenizer.decode_batch(ids, skip_special_tokens=False)]
-        for x, i, d in zip(strings, ids, decoded, strict=True):
+        for x, i, d in zip(strings, *self.ids_of(strings), strict=True):
             value = (len(i), str(i)[1:-1].replace(" ", "").encode(), d)
             known[x] = value
             if len(x) <= CACHE_BYTES // 64:
                 self.cache[x] = value
-                self.size += 8 * len(x) + 200
+                self.size += held(x, value)
         while self.size > CACHE_BYTES:
-            x, _ = self.cache.popitem(last=False)
-            self.size -= 8 * len(x) + 200
+            self.size -= held(*self.cache.popitem(last=False))
         out = []
         for p in parts:
             values = [known[x] for x in p]
-            out.append((sum(v[0] for v in values), hashlib.sha256(b",".join(v[1] for v in values)).hexdigest(), hashlib.sha256(b"".join(v[2] for v in values)).hexdigest()))
+            ids, decoded = b",".join(v[1] for v in values), b"".join(v[2] for v in values)
+            row = (sum(v[0] for v in values), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
+            out.append((*row, [int(i) for i in ids.split(b",") if i], decoded.decode("utf-8", "replace")) if keep_ids else row)
         return out
 
 
@@ -202,31 +214,18 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches):
         encoder = Encoder(tokenizer_path)
+        kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())][: 5 if keep_ids else 3]
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows: list[tuple] = []
-            group: list[str] = []
-            size = 0
-            for t in texts:
-                group.append(t)
-                size += len(t)
-                if size > 1 << 21:
-                    rows += encoder.encode(group)
-                    group, size = [], 0
-            rows += encoder.encode(group)
-            n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                flat = [[int(i) for x in encoder.pieces(t) for i in encoder.tokenizer.encode(x, add_special_tokens=False).ids] for t in texts]
-                columns += [pa.array(flat, pa.list_(pa.int32())), pa.array([encoder.tokenizer.decode(i, skip_special_tokens=False) for i in flat], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part in by_bytes(batch, limit=1 << 21):
+                rows = encoder.encode([t or "" for t in part.column(1).to_pylist()], keep_ids)
+                columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True))], names=[id_col, *(name for name, _ in kinds)])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents under the 50k byte-level vocabulary."""
     import public_tokenizers
 
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

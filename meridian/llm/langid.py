@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import table
+from meridian.llm.common import by_bytes, table
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 4, 6), 8
 #: Zero bytes after each window, so that no filter sees two windows.
 PAD = max(WIDTHS)
-#: Labelled rows a language gives at most (expected number), and characters taken of each for training.
+#: Bounds of the fit: labelled rows a language gives at most (expected number), and characters taken of each, from a
+#: place that the row's hash draws. Predictions read every window of every text.
 PER_LANGUAGE, EXCERPT = 1500, 1024
+#: Held-out rows a language gives for the score under which a text counts as of no language.
+CALIBRATION = 300
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -47,6 +50,7 @@ class ByteCNN:
     def __init__(self, languages: list[str], seed: int = 5) -> None:
         r = np.random.default_rng(seed)
         self.languages = languages
+        self.unsure = 0.0
         self.filters = [(r.normal(0, 0.3, (w, 256, FILTERS))).astype(np.float32) for w in WIDTHS]
         self.out = r.normal(0, 0.3, (len(WIDTHS) * FILTERS, len(languages))).astype(np.float32)
         self.bias = np.zeros(len(languages), np.float32)
@@ -121,9 +125,9 @@ class ByteCNN:
         return best, p[np.arange(len(p)), best]
 
 
-def training_rows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list:
+def training_rows(rows: DataFrame, per_language: int = PER_LANGUAGE) -> list:
     """A bounded sample of (lang, excerpt) of labelled (id, text, lang): rows of the lowest hashes of each language."""
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     rate = F.lit(0.0)
@@ -131,13 +135,13 @@ def training_rows(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> list
         rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(rate)
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     at = F.pmod(F.xxhash64(F.lit("at"), F.col("id").cast("string")), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1) + 1
-    rows = labelled.filter(draw < rate).select("id", "lang", F.col("text").substr(at.cast("int"), F.lit(EXCERPT)).alias("text")).collect()
+    rows = rows.filter(draw < rate).select("id", "lang", F.col("text").substr(at.cast("int"), F.lit(EXCERPT)).alias("text")).collect()
     return sorted(rows, key=lambda r: (r["id"], r["lang"], r["text"]))
 
 
-def train(labelled: DataFrame) -> ByteCNN | None:
+def train(rows: DataFrame) -> ByteCNN | None:
     """The network of labelled (id, text, lang); None without labels. Trained on the driver from the bounded sample."""
-    rows = [r for r in training_rows(labelled) if has_letter(r["text"])]
+    rows = [r for r in training_rows(rows) if has_letter(r["text"])]
     if not rows:
         return None
     languages = sorted({r["lang"] for r in rows})
@@ -155,23 +159,23 @@ def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", tex
     first in code-point order. Repeated rows are each identified, other columns ignored, empty tables give no rows.
     A narrow job: no shuffle; a text is read window by window, so memory follows the batch and not the corpus.
     """
-    label = labeller(docs.sparkSession.sparkContext.broadcast(model))
+    label = labeller(model)
 
     def run(batches):
         for batch in batches:
-            lang, score = label(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
+            for part in by_bytes(batch):
+                lang, score = label(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
-def labeller(shared):
-    """texts -> (languages, scores), by the broadcast network."""
+def labeller(model: ByteCNN | None):
+    """texts -> (languages, scores). The network, some 100 KB, travels with the task's function."""
     tables = None
 
     def label(texts: list) -> tuple[list[str], list[float]]:
         nonlocal tables
-        model = shared.value
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
         if not model:
             return lang, score
@@ -200,30 +204,58 @@ def labeller(shared):
 
 
 def keep_identified(docs: DataFrame, model: ByteCNN | None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that have a language; a null lang_col becomes the predicted one. Same columns, no shuffle."""
-    label = labeller(docs.sparkSession.sparkContext.broadcast(model))
+    """The rows of docs that have a language; a null lang_col becomes the predicted one. Same columns, no shuffle.
+
+    Rejected are null texts, texts without a letter, and those that the network scores under its `unsure`, which
+    calibrate() sets. Without a model every text with a letter stays, as it is. Repeated rows are judged each; an
+    empty table gives no rows.
+    """
+    label = labeller(model)
+    unsure = model.unsure if model else 0.0
+    at_text, at_lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches):
         for batch in batches:
-            lang, _ = label(batch.column(text_col).to_pylist())
-            at = batch.schema.get_field_index(lang_col)
-            given = batch.column(at).to_pylist()
-            batch = batch.set_column(at, lang_col, pa.array([g if g is not None else p for g, p in zip(given, lang, strict=True)], pa.string()))
-            yield batch.filter(pa.array([p != "und" for p in lang], pa.bool_()))
+            for part in by_bytes(batch, at_text):
+                texts = part.column(at_text).to_pylist()
+                if model:
+                    lang, score = label(texts)
+                    keep = [p != "und" and s >= unsure for p, s in zip(lang, score, strict=True)]
+                    given = part.column(at_lang).to_pylist()
+                    part = part.set_column(at_lang, lang_col, pa.array([g if g is not None else p for g, p in zip(given, lang, strict=True)], pa.string()))
+                else:
+                    keep = [has_letter(t) for t in texts]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def calibrate(model: ByteCNN | None, held_out: DataFrame, per_language: int = CALIBRATION, margin: float = 0.9) -> ByteCNN | None:
+    """The model, whose `unsure` is margin times the lowest score of a bounded sample of held-out labelled (id, text,
+    lang): below what any text known to be of a language gets. Without such rows nothing counts as unsure."""
+    rows = [r["text"] for r in training_rows(held_out, per_language) if has_letter(r["text"])]
+    if model and rows:
+        model.unsure = margin * min(labeller(model)(rows)[1])
+    return model
+
+
 def fold(id_col: str = "doc_id", folds: int = 3):
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds))
 
 
+def labelled(docs: DataFrame, held_out: bool) -> DataFrame:
+    """(id, text, lang) of labelled documents, of the fold that is held out or of the others."""
+    chosen = docs.filter(((fold() == 1) if held_out else (fold() != 1)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return chosen.select(F.col("doc_id").alias("id"), "text", "lang")
+
+
 def train_on_folds(docs: DataFrame) -> ByteCNN | None:
-    labelled = docs.filter((fold() != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return train(labelled.select(F.col("doc_id").alias("id"), "text", "lang"))
+    """The network of the documents that aren't held out; null ids belong to no fold and aren't learned from."""
+    return train(labelled(docs, held_out=False))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
+    """Language and score of all documents, by the network of those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train_on_folds(docs))
     return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meridian.llm.common import WORD, materialize, table, unit_hash
+from meridian.llm.common import WORD, fresh, materialize, table, unit_hash
 
 
 def source_targets(sizes: DataFrame, share: float, max_epochs: float, weights: tuple[float, ...]) -> DataFrame:
@@ -98,18 +98,21 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: docs' rows and columns, each row as often as mix(fraction="documents") repeats it.
 
-    Texts don't move: the sources' targets, written as a table first, are broadcast if that is small.
+    Texts don't move: the sources' targets, written as a table first, are broadcast if that is small. Null sources
+    are a source of their own, null texts of size 0; null ids draw alike; an empty table gives no rows.
     """
     sized = docs.select(F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, max_epochs, weights)
-    targets = materialize(targets.select(F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate")))
-    joined = docs.join(targets, docs[source_col].cast("string").eqNullSafe(F.col("__source")))
-    again = F.when(unit_hash(docs[id_col], seed) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    copies = (F.floor("__rate") + again).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[joined[c] for c in docs.columns])
+    source, rate, copy = fresh(docs, "of_source"), fresh(docs, "rate"), fresh(docs, "copy")
+    targets = materialize(targets.select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias(rate)))
+    joined = docs.join(targets, docs[source_col].cast("string").eqNullSafe(F.col(source)))
+    again = F.when(unit_hash(docs[id_col], seed) < F.col(rate) - F.floor(rate), 1).otherwise(0)
+    copies = (F.floor(rate) + again).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*[joined[c] for c in docs.columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

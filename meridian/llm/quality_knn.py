@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import table
+from meridian.llm.common import by_bytes, table
 from meridian.llm.words import word_hashes
 
 #: Terms: hashed byte trigrams, trigrams of character classes, and distances at which words recur.
@@ -61,9 +61,14 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def rounded(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of the counts as they are kept for fitting: in half precision, which holds them at any length."""
+    return np.log1p(counts).astype(np.float16).astype(np.float32)
+
+
+def weighted(logs: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Log-scaled counts times idf, each block of terms at its share of the vector's length."""
-    x = np.log1p(counts) * idf
+    x = logs * idf
     for a, b, share in BLOCKS:
         x[:, a:b] *= share / np.maximum(np.linalg.norm(x[:, a:b], axis=1, keepdims=True), 1e-9)
     return x
@@ -72,9 +77,9 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Voters:
     """Labelled documents in the latent space, with what takes other documents there."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS, seed: int = 3) -> None:
-        self.idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-        x = weighted(counts, self.idf)
+    def __init__(self, logs: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS, seed: int = 3) -> None:
+        self.idf = (np.log((1 + len(logs)) / (1 + (logs > 0).sum(axis=0))) + 1).astype(np.float32)
+        x = weighted(logs, self.idf)
         self.mean = x.mean(axis=0)
         x = x - self.mean
         q = np.random.default_rng(seed).normal(size=(x.shape[1], min(dimensions + 10, *x.shape))).astype(np.float32)
@@ -90,7 +95,7 @@ class Voters:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def vote(self, texts: list[bytes]) -> np.ndarray:
-        z = self._unit(weighted(term_counts(texts), self.idf) - self.mean)
+        z = self._unit(weighted(rounded(term_counts(texts)), self.idf) - self.mean)
         out = np.empty(len(z))
         k = min(self.neighbours, len(self.labels))
         for i in range(0, len(z), 256):  # exact cosines with every labelled vector, block by block
@@ -102,7 +107,10 @@ class Voters:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Voters | None:
-    """Voters from the limit labelled documents of the lowest id hashes; terms are counted on the executors."""
+    """Voters from the limit labelled documents of the lowest id hashes; terms are counted on the executors.
+
+    Labels that are null don't count; of an id with several labels the least counts. None without labels.
+    """
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
     chosen = chosen.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(limit)  # bounds what is broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
@@ -110,13 +118,15 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, id_col: str =
 
     def count(batches):
         for batch in batches:
-            c = term_counts([t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x.astype(np.float16).tobytes() for x in np.minimum(c, 60000)], pa.binary()), batch.column(2).cast(pa.int32())], names=["id", "counts", "label"])
+            for part in by_bytes(batch):
+                c = term_counts([t.encode("utf-8", "replace") for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in np.log1p(c).astype(np.float16)], pa.binary()), part.column(2).cast(pa.int32())], names=["id", "counts", "label"])
 
-    found = rows.mapInArrow(count, "id long, counts binary, label int").toArrow().sort_by([("id", "ascending"), ("counts", "ascending")])
+    # of an id that repeats one row stays, the one of the least counts: the limit bounds rows too
+    counted = rows.mapInArrow(count, f"id {docs.schema[id_col].dataType.simpleString()}, counts binary, label int")
+    found = counted.groupBy("id").agg(F.min("counts").alias("counts"), F.first("label").alias("label")).toArrow().sort_by([("id", "ascending")])
     if not found.num_rows:
         return None
-    found = found.slice(0, 2 * limit)
     counts = np.frombuffer(b"".join(found["counts"].to_pylist()), np.float16).reshape(found.num_rows, TERMS).astype(np.float32)
     return Voters(counts, found["label"].to_numpy())
 
@@ -133,14 +143,16 @@ def score_quality(docs: DataFrame, voters: Voters | None, threshold: float = 0.3
     def run(batches):
         voters = shared.value
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            s = np.concatenate([voters.vote(texts[i : i + 512]) for i in range(0, len(texts), 512)]) if voters and texts else np.full(len(texts), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
+            for part in by_bytes(batch):
+                texts = [(t or "").encode("utf-8", "replace") for t in part.column(1).to_pylist()]
+                s = np.concatenate([voters.vote(texts[i : i + 512]) for i in range(0, len(texts), 512)]) if voters and texts else np.full(len(texts), 0.5)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int")
 
 
 def op4_quality_knn(spark, sf_dir: str) -> DataFrame:
+    """Quality of all documents by votes of the labelled ones that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     scored = score_quality(docs, fit(docs, labels.filter(~held_out)))

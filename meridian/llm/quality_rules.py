@@ -92,6 +92,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lim
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents."""
     judged = judge_lines(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
 

@@ -109,7 +109,7 @@ def test_novel_strings_in_sensitive_contexts():
     assert kinds("the picture 9f8Gh2kLq0Zx81Vb7Nm3 is stored") == []
     assert kinds("client_id is getUserAccountNameFromDatabase1") == []
     again = "credential 9f8Gh2kLq0Zx81Vb7Nm3 and 9f8Gh2kLq0Zx81Vb7Nm3"
-    assert kinds(again) == []  # what the surroundings hold already isn't new
+    assert kinds(again) == [3, 3]  # a copy doesn't make a secret less new
     t = 'TOKEN = "0123456789abcdef0123456789"  ſecret=abcdefg'
     assert kinds(t) == [0, 2] and secret_scan.masked(t, secret_scan.scan(t), "#") == '#"  ſecret=abcdefg'
 
@@ -367,3 +367,34 @@ def test_copies_of_a_secret_are_all_masked(spark):
     masked = {r.doc_id: r.text for r in secret_scan.mask_documents(docs).collect()}
     for k, t in enumerate(texts):
         assert rows[k].masked_text == masked[k] == (t.replace(key, "[SECRET]") if rows[k].n_novel else t)
+
+
+def test_planted_secrets_in_documents(spark):
+    r = random.Random(8)
+    rows = common.table(spark, SF, "documents").filter("length(text) between 200 and 4000").select("text").limit(120).collect()
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789"]
+    texts, keys = [], []
+    for k, row in enumerate(rows):
+        key = "".join(r.choice(kinds[k % 4]) for _ in range(24))
+        words = row.text.split(" ")
+        words[len(words) // 2] = f"the credential {key} is"
+        texts.append(" ".join(words))
+        keys.append(key)
+    got = {x.doc_id: x for x in secret_scan.scan_documents(docs_of(spark, texts)).collect()}
+    found = [key not in got[k].masked_text for k, key in enumerate(keys)]
+    assert sum(found) >= 0.97 * len(found)
+    assert all(x.masked_text == texts[k].replace(keys[k], "[SECRET]") for k, x in got.items() if found[k] and x.n_novel == 1 and not x.n_assign + x.n_access + x.n_hex)
+
+
+def test_long_texts_are_scanned_in_linear_time():
+    import time
+
+    for piece in ("auth of ", "auth", "credential x1y2z3w4v5u6t7s8 ", "token=", "secret_"):
+        began = time.perf_counter()
+        secret_scan.scan(piece * (2_000_000 // len(piece)))
+        assert time.perf_counter() - began < 20
+    r = random.Random(3)
+    many = "\n".join("token is " + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20)) for _ in range(3000))
+    began = time.perf_counter()
+    assert sum(k == 3 for _, k, _ in secret_scan.scan(many)) >= 2950
+    assert time.perf_counter() - began < 20
