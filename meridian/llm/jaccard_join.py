@@ -110,7 +110,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -> t
                     continue
                 overlap = least_overlap(n, percent)
                 excess = np.maximum(counts[(s % np.uint64(COUNTERS)).astype(np.int64)].astype(np.int64) - typical, 1)
-                rank = excess // max(4, typical // 2)
+                rank = excess // max(4, int(2 * np.sqrt(typical)))  # two standard deviations of what else shares a counter
                 order = np.lexsort((s, rank))
                 m = choose_matches(excess[order], n, overlap)
                 sums = np.cumsum(s, dtype=np.uint64)
