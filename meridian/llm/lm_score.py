@@ -2,304 +2,210 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import materialize, table
+from meridian.llm.common import by_bytes, drop, materialize, table
 from meridian.llm.words import mix, word_hashes
 
-#: A word is a context if it makes up at least this share of all words; so there are at most 1 / SHARE contexts,
-#: which bounds their broadcast (12 bytes each).
-SHARE = 2.0**-17
-#: Words whose n-grams are dealt out by context too, as one of them can hold a good part of all rows.
+#: A word is frequent if it makes up at least this share of all words. So there are at most 1 / HOT_SHARE of them,
+#: and the square of that in pairs of two frequent words (16 bytes each): the bounds of what is broadcast.
 HOT_SHARE = 2.0**-10
-BACKOFF, LEAST = 0.4, 2
-#: Words that a task turns into n-gram rows at a time.
+BACKOFF = 0.4
+#: Words that a task counts, or turns into bigram rows, at a time.
 FLUSH = 1 << 21
+#: Buckets by which bigrams are dealt out, for each shuffle partition.
+BUCKETS = 16
+#: Stand for the next word where a context ends a text, and where it begins one.
+LAST, FIRST = 0, 1
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [(t or b"").lower() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+def _groups(batches) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """(ids, word hashes) of documents with words, some FLUSH words at a time; only A-Z are lower-cased."""
+    ids: list[int] = []
+    texts: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for part in by_bytes(batch):
+            bodies = [(t or b"").lower() for t in part.column(1).cast(pa.binary()).to_pylist()]
+            for i, w in zip(part.column(0).to_pylist(), word_hashes(bodies), strict=True):
+                if len(w):
+                    ids.append(i)
+                    texts.append(w)
+                    size += len(w)
+                if size > FLUSH:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+    if texts:
+        yield ids, texts
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n): the unigram count table, by 64-bit word hash; counted within each task before the shuffle."""
 
     def count(batches):
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush():
-            words, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
+        for _, texts in _groups(batches):
+            words, n = np.unique(np.concatenate(texts), return_counts=True)
             for i in range(0, len(words), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(words[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], names=["word", "n"])
 
-        for batch in batches:
-            for w in word_hashes(_texts(batch)):
-                held.append(w)
-                size += len(w)
-            if size > FLUSH:
-                yield from flush()
-                size = 0
-        if held:
-            yield from flush()
-
     return docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+def _next(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, text) of every bigram."""
+    words = np.concatenate(texts)
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    inside = of[1:] == of[:-1]
+    return words[:-1][inside], words[1:][inside], of[1:][inside]
 
 
-def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+def _place(frequent: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Index of each word among the frequent ones (sorted), -1 for others."""
+    if not len(frequent):
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)
+    return np.where(frequent[at] == words, at, -1)
 
 
-def ngram_rows(docs: DataFrame, contexts, buckets: int) -> DataFrame:
-    """The exploded n-grams, dealt by hash and packed: one row per task, bucket and flush.
+def frequent_pairs(docs: DataFrame, frequent: Broadcast) -> DataFrame:
+    """(pair, n): the count table of bigrams of two frequent words; pair numbers them."""
 
-    contexts: broadcast (sorted word hashes, counts, words in all). A packed row holds its distinct documents,
-    its distinct words with how many entries each has, and per entry, sorted by word, context and document: the
-    context's index (-1: none), the document's index, and the occurrences in that document.
-    """
+    def count(batches):
+        known = frequent.value[0]
+        for _, texts in _groups(batches):
+            context, word, _ = _next(texts)
+            v, w = _place(known, context), _place(known, word)
+            pairs, n = np.unique((v * len(known) + w)[(v >= 0) & (w >= 0)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
+
+    return docs.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def bigram_rows(docs: DataFrame, frequent: Broadcast, pairs: Broadcast, buckets: int, backoff: float) -> DataFrame:
+    """The exploded bigrams of every text, counted by document within a task: rows of a bucket and arrays of context,
+    word, document (its upper and lower half) and n. The last and the first word of a text come as contexts of LAST and
+    FIRST, so that a context's rows but FIRST are all its occurrences. Bigrams of a frequent context are dealt out by
+    their word too. What frequent counts alone score, bigrams of two frequent words and frequent first words, comes as
+    sums by document (n, seen, score) instead, with a null context."""
 
     def run(batches):
-        known, counts, total = contexts.value
-        hot = counts >= HOT_SHARE * total
-        ids: list[int] = []
-        texts: list[np.ndarray] = []
-        size = 0
-
-        def flush():
-            words = np.concatenate(texts)
-            lengths = np.array([len(t) for t in texts])
-            doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-            at = np.searchsorted(known, words)
-            at[at == len(known)] = 0
-            index = np.where(known[at] == words, at, -1).astype(np.int32) if len(known) else np.full(len(words), -1, np.int32)
-            context = np.concatenate(([np.int32(-1)], index[:-1])).astype(np.int32)
-            context[np.cumsum(lengths)[:-1][lengths[1:] > 0] if len(lengths) > 1 else []] = -1
-            first = np.cumsum(lengths) - lengths
-            context[first[lengths > 0]] = -1
-            key = mix(words)
-            is_hot = (index >= 0) & hot[np.maximum(index, 0)] if len(known) else np.zeros(len(words), bool)
-            key = np.where(is_hot, mix(words + mix(context.astype(np.uint64) + np.uint64(2))), key)
+        known, counts, total = frequent.value
+        pair_of, pair_n = pairs.value
+        for ids, texts in _groups(batches):
+            ids = np.array(ids, np.int64)
+            c, w, d = _next(texts)
+            v = _place(known, c)
+            both = (v >= 0) & (_place(known, w) >= 0)
+            first, last = np.array([t[0] for t in texts]), np.array([t[-1] for t in texts])
+            v_first, every = _place(known, first), np.arange(len(texts), dtype=np.int32)
+            n, seen, score = (np.zeros(len(texts), k) for k in (np.int32, np.int32, np.float64))
+            if both.any():
+                at = np.searchsorted(pair_of, v[both] * len(known) + _place(known, w[both]))
+                own, own_n = np.unique(d[both].astype(np.int64) * len(pair_of) + at, return_counts=True)
+                doc, at = own // len(pair_of), own % len(pair_of)
+                log = np.log(pair_n[at]) - np.log(counts[pair_of[at] // len(known)])
+                n += np.bincount(doc, own_n, len(texts)).astype(np.int32)
+                seen += np.bincount(doc, own_n * (pair_n[at] > own_n), len(texts)).astype(np.int32)
+                score += np.bincount(doc, own_n * log, len(texts))
+            f = v_first >= 0
+            n[f] += 1
+            score[f] += np.log(backoff) + np.log(counts[v_first[f]]) - np.log(total)
+            some = np.flatnonzero(n)
+            if len(some):
+                yield _row(0, high=ids[some] >> 32, low=ids[some], n=n[some], seen=seen[some], score=score[some])
+
+            ends = _place(known, last) < 0
+            c = np.concatenate((c[~both], first[~f], last[ends]))
+            w = np.concatenate((w[~both], np.full((~f).sum(), FIRST, np.uint64), np.full(ends.sum(), LAST, np.uint64)))
+            d = np.concatenate((d[~both], every[~f], every[ends]))
+            if not len(c):
+                continue
+            order = np.lexsort((d, w, c))
+            c, w, d = c[order], w[order], d[order]
+            start = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]) | (d[1:] != d[:-1]))))
+            n = np.diff(np.append(start, len(c)))
+            c, w, d = c[start], w[start], ids[d[start]]
+            key = np.where((_place(known, c) >= 0) & (w > FIRST), mix(c + mix(w)), mix(c))
             bucket = (key % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((doc, context, words, bucket))
-            w, c, d, b = words[order], context[order], doc[order], bucket[order]
-            new = np.concatenate(([True], (w[1:] != w[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (b[1:] != b[:-1])))
-            start = np.flatnonzero(new)
-            n = np.diff(np.append(start, len(w))).astype(np.int32)
-            w, c, d, b = w[start], c[start], d[start], b[start]
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(b)) + 1, [len(b)]))
-            all_ids = np.array(ids, np.int64)
-            rows: dict[str, list] = {k: [] for k in ("bucket", "docs", "words", "runs", "context", "doc", "n")}
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                present, local = np.unique(d[i:j], return_inverse=True)
-                edges = np.concatenate(([0], np.flatnonzero(w[i + 1 : j] != w[i : j - 1]) + 1, [j - i]))
-                rows["bucket"].append(int(b[i]))
-                rows["docs"].append(_pack(all_ids[present]))
-                rows["words"].append(_pack(w[i:j][edges[:-1]]))
-                rows["runs"].append(_pack(np.diff(edges).astype(np.int32)))
-                rows["context"].append(_pack(c[i:j]))
-                rows["doc"].append(_pack(local.astype(np.uint16 if len(present) <= 65536 else np.uint32)))
-                rows["n"].append(_pack(n[i:j]))
-            ids.clear()
-            texts.clear()
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()})
-
-        for batch in batches:
-            for i, w in zip(batch.column(0).to_pylist(), word_hashes(_texts(batch)), strict=True):
-                if len(w) and i is not None:
-                    ids.append(i)
-                    texts.append(w)
-                    size += len(w)
-                if size > FLUSH:
-                    yield from flush()
-                    size = 0
-        if texts:
-            yield from flush()
-
-    return docs.mapInArrow(run, "bucket int, docs binary, words binary, runs binary, context binary, doc binary, n binary")
+            order = np.argsort(bucket, kind="stable")
+            c, w, d, n, bucket = c[order].view(np.int64), w[order].view(np.int64), d[order], n[order], bucket[order]
+            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                yield _row(int(bucket[i]), context=c[i:j], word=w[i:j], high=d[i:j] >> 32, low=d[i:j], n=n[i:j])
 
+    return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{k} array<{t}>" for k, t in ARRAYS.items()))
 
-def scored_rows(rows: DataFrame, contexts, buckets: int, backoff: float, least: int) -> DataFrame:
-    """Packed partial sums by document: every partition holds all entries of its words (hot words: of its
-    word and context pairs), so it counts them, joins the counts to the entries and sums by document."""
 
-    def run(batches):
-        known, counts, total = contexts.value
-        hot = counts >= HOT_SHARE * total
-        parts: list[tuple] = []
-        for batch in batches:
-            for _, docs, words, runs, context, doc, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = _unpack(docs, np.int64)
-                d = _unpack(doc, np.uint16 if len(ids) <= 65536 else np.uint32)
-                parts.append((np.repeat(_unpack(words, np.uint64), _unpack(runs, np.int32)), _unpack(context, np.int32), ids[d], _unpack(n, np.int32)))
-        if not parts:
-            return
-        w, c, ids, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        order = np.lexsort((c, w))
-        w, c, ids, n = w[order], c[order], ids[order], n[order]
-        new_word = np.concatenate(([True], w[1:] != w[:-1]))
-        new_pair = new_word | np.concatenate(([True], c[1:] != c[:-1]))
-        word_start, pair_start = np.flatnonzero(new_word), np.flatnonzero(new_pair)
-        own = np.add.reduceat(n, word_start, dtype=np.int64)
-        at = np.searchsorted(known, w[word_start])
-        at[at == len(known)] = 0
-        if len(known):  # of hot words this partition may hold a part only; their counts are known
-            own = np.where((known[at] == w[word_start]) & hot[at], counts[at], own)
-        word_n = own[np.cumsum(new_word) - 1]
-        pair_n = np.add.reduceat(n, pair_start, dtype=np.int64)[np.cumsum(new_pair) - 1]
-        seen = (c >= 0) & (pair_n >= least)
-        context_n = counts[np.maximum(c, 0)] if len(known) else np.ones(len(c))
-        log = np.where(seen, np.log(pair_n) - np.log(context_n), np.log(backoff) + np.log(word_n) - np.log(total))
-        distinct, local = np.unique(ids, return_inverse=True)
-        sums = [np.bincount(local, x, minlength=len(distinct)) for x in (n, n * seen, n * log)]
-        # packed by bucket of documents: a row for each pair of partitions, not for each document and partition
-        bucket = (mix(distinct.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        columns = [distinct[order], sums[0][order].astype(np.int32), sums[1][order].astype(np.int32), sums[2][order]]
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]))
-        for i in range(0, len(cuts) - 1, 64):
-            spans = list(zip(cuts[i : i + 64], cuts[i + 1 : i + 65], strict=False))
-            packed = [pa.array([_pack(c[x:y]) for x, y in spans], pa.binary()) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[order[x]]) for x, _ in spans], pa.int32()), *packed], names=["bucket", "ids", "n", "seen", "score"])
-
-    return rows.mapInArrow(run, "bucket int, ids binary, n binary, seen binary, score binary")
-
-
-def summed(parts: DataFrame) -> DataFrame:
-    """(id, n, seen, score) of the documents of each bucket, from the packed partial sums dealt out by bucket."""
+ARRAYS = {"context": "long", "word": "long", "high": "int", "low": "int", "n": "int", "seen": "int", "score": "double"}
+_KINDS = {"long": np.int64, "int": np.int32, "double": np.float64}
 
-    def run(batches):
-        held = [[], [], [], []]
-        for batch in batches:
-            for k, kind in enumerate((np.int64, np.int32, np.int32, np.float64)):
-                held[k] += [_unpack(x, kind) for x in batch.column(k + 1).to_pylist()]
-        if held[0]:
-            ids, n, seen, score = (np.concatenate(x) for x in held)
-            order = np.lexsort((score, ids))  # a fixed order of summands, so that reruns agree
-            distinct, start = np.unique(ids[order], return_index=True)
-            add = lambda x: np.add.reduceat(x[order], start)
-            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(add(n.astype(np.int64))), pa.array(add(seen.astype(np.int64))), pa.array(add(score))], names=["id", "n", "seen", "score"])
 
-    return parts.mapInArrow(run, "id long, n long, seen long, score double")
+def _row(bucket: int, **arrays: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(arrays.get(k, np.zeros(0)).astype(_KINDS[t])) for k, t in ARRAYS.items()]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *lists], names=["bucket", *ARRAYS])
 
 
-def stupid_backoff(docs: DataFrame, share: float = SHARE, backoff: float = BACKOFF, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_seen, log_score) of each whole text under the bigram model of all texts.
+def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, hot_share: float = HOT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, n_seen, log_score) of each whole text under the bigram model of all texts: no context and no bigram
+    is left out, whatever its count.
 
-    Words are lower-cased in A-Z. With counts over the whole corpus, a word w after v scores c(v w) / c(v) if v
-    makes up the given share of all words and c(v w) >= least, otherwise backoff * c(w) / N; the first word of a
-    text has no context. log_score sums the natural logarithms, n_seen counts the words scored by their bigram.
+    Words are lower-cased in A-Z. With counts over the whole corpus, a word w after v scores c(v w) / c(v); the first
+    word of a text, without a context, backs off to backoff * c(w) / N. log_score sums the natural logarithms. n_seen
+    counts the words whose bigram stands in other documents too.
 
     Null and empty texts: no words, score 0. Ids identify documents: rows repeating an id are summed, rows of null
     id are left out. Empty table: no rows. Other columns are ignored.
 
-    1. The unigram table is counted, and its frequent words (at most 1 / share) are broadcast as contexts.
-    2. Every text is exploded to (word, context, document) entries, pre-aggregated, dealt out by hash and packed.
-    3. Each hash partition builds its part of the count tables, joins them to its entries and sums by document.
+    1. The unigram table is counted; the frequent words' counts are broadcast, then those of pairs of two of them.
+       Their bigrams, of which one alone can stand in every document, are scored where the documents are.
+    2. All other bigrams are shuffled once, by context; those of a frequent context by their word too.
+    3. Their count tables are windows over them, so that counts meet the exploded bigrams without another shuffle.
+    4. Logarithms are summed by document, pre-aggregated before that shuffle.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    unigrams = materialize(word_counts(docs.filter("id is not null")))
-    total = int(unigrams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    frequent = unigrams.filter(F.col("n") >= F.lit(max(1.0, share * total))).toArrow()
-    hashes = frequent["word"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    contexts = spark.sparkContext.broadcast((hashes[order], frequent["n"].to_numpy()[order].astype(np.int64), total))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = ngram_rows(docs, contexts, buckets).repartition("bucket")
-    sums = summed(scored_rows(entries, contexts, buckets, backoff, least).repartition("bucket"))
-    every = docs.select("id").filter("id is not null").distinct()
-    return every.join(sums.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select(
-        F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_words"), F.coalesce("seen", F.lit(0)).alias("n_seen"), F.coalesce("score", F.lit(0.0)).alias("log_score")
-    )
-
-
-#: Stand for the next word where a context ends a text, and where it begins one.
-LAST, FIRST = 0, 1
-#: Words that a task turns into bigram rows at a time.
-BIGRAM_FLUSH = 1 << 18
-
-
-def bigram_rows(docs: DataFrame) -> DataFrame:
-    """(context, word, doc, n): every bigram of every text, counted by document within a task. The last and the
-    first word of a text come as contexts of LAST and FIRST, so a context's rows but FIRST are all its occurrences."""
-
-    def run(batches):
-        ids: list[int] = []
-        texts: list[np.ndarray] = []
-        size = 0
-
-        def flush():
-            context, word, doc = [], [], []
-            for i, w in zip(ids, texts, strict=True):
-                context += [w, w[:1]]
-                word += [w[1:], np.array([LAST, FIRST], np.uint64)]
-                doc.append(np.full(len(w) + 1, i, np.int64))
-            c, w, d = (np.concatenate(x) for x in (context, word, doc))
-            ids.clear()
-            texts.clear()
-            order = np.lexsort((d, w, c))
-            c, w, d = c[order], w[order], d[order]
-            start = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]) | (d[1:] != d[:-1]))))
-            n = np.diff(np.append(start, len(c))).astype(np.int32)
-            columns = [c[start].view(np.int64), w[start].view(np.int64), d[start], n]
-            for i in range(0, len(start), 1 << 14):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 14)]) for x in columns], names=["context", "word", "doc", "n"])
-
-        for batch in batches:
-            for i, w in zip(batch.column(0).to_pylist(), word_hashes(_texts(batch)), strict=True):
-                if len(w) and i is not None:
-                    ids.append(i)
-                    texts.append(w)
-                    size += len(w)
-                if size > BIGRAM_FLUSH:
-                    yield from flush()
-                    size = 0
-        if texts:
-            yield from flush()
-
-    return docs.mapInArrow(run, "context long, word long, doc long, n int")
-
-
-def whole_backoff(docs: DataFrame, backoff: float = BACKOFF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_seen, log_score) of each whole text under all bigrams of all texts: no context and no bigram
-    is left out, whatever its count.
-
-    A word w after v scores c(v w) / c(v), the first word of a text backoff * c(w) / N. Otherwise as stupid_backoff.
-
-    Entries are shuffled once, by context; both counts are windows over them. A frequent context (at most
-    1 / HOT_SHARE of them, so their counts are broadcast) is dealt out by its next words too.
-    """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     unigrams = materialize(word_counts(docs))
     total = int(unigrams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    hot = unigrams.filter(F.col("n") >= F.lit(max(1.0, HOT_SHARE * total))).select(F.col("word").alias("context"), F.col("n").alias("hot_n"))
-    entries = bigram_rows(docs).join(F.broadcast(hot), "context", "left").filter((F.col("word") != LAST) | F.col("hot_n").isNull())
-    key = F.when(F.col("hot_n").isNotNull(), F.xxhash64("context", "word")).otherwise(F.col("context"))
-    entries = entries.select(key.alias("key"), "word", "doc", "n", "hot_n").repartition("key")
-    counted = entries.withColumn("pairs", F.sum("n").over(Window.partitionBy("key", "word")))
-    uses = F.sum(F.when(F.col("word") != FIRST, F.col("n"))).over(Window.partitionBy("key"))
-    counted = counted.withColumn("uses", F.coalesce("hot_n", uses)).filter(F.col("word") != LAST)
-    paired = F.col("word") != FIRST
-    log = F.when(paired, F.log("pairs") - F.log("uses")).otherwise(F.log(F.lit(backoff)) + F.log("uses") - F.log(F.lit(float(max(total, 1)))))
-    sums = counted.groupBy(F.col("doc").alias("of")).agg(F.sum("n").alias("n"), F.sum(F.when(paired, F.col("n")).otherwise(0)).alias("seen"), F.sum(F.col("n") * log).alias("score"))
+    hot = unigrams.filter(F.col("n") >= F.lit(max(1.0, hot_share * total))).toArrow()
+    drop(unigrams)
+    words = hot["word"].to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    words, counts = words[order], hot["n"].to_numpy()[order]
+    frequent = spark.sparkContext.broadcast((words, counts, max(total, 1)))
+    paired = frequent_pairs(docs, frequent).toArrow().sort_by([("pair", "ascending")])
+    pairs = spark.sparkContext.broadcast((paired["pair"].to_numpy(), paired["n"].to_numpy()))
+    uses_hot = spark.createDataFrame(pa.table({"hot": pa.array(words.view(np.int64)), "hot_n": pa.array(counts, pa.int64())}))
+
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = bigram_rows(docs, frequent, pairs, buckets, backoff).repartition("bucket")
+    entries = dealt.select("bucket", F.inline(F.arrays_zip(*ARRAYS))).join(F.broadcast(uses_hot), F.col("context") == F.col("hot"), "left")
+    doc = F.shiftleft(F.col("high").cast("long"), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND(0xFFFFFFFF))
+    seen_in = F.sum("n").over(Window.partitionBy("bucket", "context", "word"))
+    uses = F.sum(F.when(F.col("word") != FIRST, F.col("n"))).over(Window.partitionBy("bucket", "context"))
+    counted = entries.select("bucket", "context", "word", doc.alias("doc"), "n", "seen", "score", "hot_n", seen_in.alias("pairs")).withColumn("uses", F.coalesce("hot_n", uses))
+    counted = counted.filter(F.col("context").isNull() | (F.col("word") != LAST))
+    paired, alone = F.col("word") != FIRST, F.log(F.lit(backoff)) + F.log("uses") - F.log(F.lit(float(max(total, 1))))
+    log = F.when(paired, F.log("pairs") - F.log("uses")).otherwise(alone)
+    sums = counted.groupBy(F.col("doc").alias("of")).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(F.col("context").isNull(), F.col("seen")).when(paired & (F.col("pairs") > F.col("n")), F.col("n")).otherwise(0)).alias("seen"),
+        F.sum(F.when(F.col("context").isNull(), F.col("score")).otherwise(F.col("n") * log)).alias("score"),
+    )
     return docs.select("id").distinct().join(sums, F.col("id") == F.col("of"), "left").select(
         F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_words"), F.coalesce("seen", F.lit(0)).alias("n_seen"), F.coalesce("score", F.lit(0.0)).alias("log_score")
     )
 
 
 def op5_lm_score(spark, sf_dir: str) -> DataFrame:
-    scored = stupid_backoff(table(spark, sf_dir, "documents"))
-    return scored.withColumn("log_score", F.round("log_score", 4))
+    """Scores of all documents under the model of all documents."""
+    return stupid_backoff(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
 
 
 OP5_SQL = """
@@ -307,27 +213,10 @@ with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCD
 t as (select doc_id, w[i] as w, case when i > 1 then w[i - 1] end as v from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
 u as (select w, count(*) as n from t group by w),
 s as (select count(*) as total from t),
-b as (select v, w, count(*) as n from t where v is not null group by v, w),
-x as (select t.doc_id, case when b.n >= 2 and c.n >= s.total * pow(2, -17) then ln(b.n) - ln(c.n) else ln(0.4) + ln(u.n) - ln(s.total) end as score,
-  coalesce(b.n >= 2 and c.n >= s.total * pow(2, -17), false) as seen
-  from t join u on u.w = t.w cross join s left join b on b.v = t.v and b.w = t.w left join u c on c.w = t.v)
-select d.doc_id, count(x.doc_id)::bigint as n_words, coalesce(sum(x.seen::int), 0)::bigint as n_seen, round(coalesce(sum(x.score), 0e0), 4) as log_score
-from d left join x using (doc_id) group by d.doc_id
-"""
-
-
-def op5_lm_score_whole(spark, sf_dir: str) -> DataFrame:
-    return whole_backoff(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
-
-
-OP5_WHOLE_SQL = """
-with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
-t as (select doc_id, w[i] as w, case when i > 1 then w[i - 1] end as v from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
-u as (select w, count(*) as n from t group by w),
-s as (select count(*) as total from t),
-b as (select v, w, count(*) as n from t where v is not null group by v, w),
-x as (select t.doc_id, case when t.v is not null then ln(b.n) - ln(c.n) else ln(0.4) + ln(u.n) - ln(s.total) end as score, t.v is not null as seen
-  from t join u on u.w = t.w cross join s left join b on b.v = t.v and b.w = t.w left join u c on c.w = t.v)
+o as (select doc_id, v, w, count(*) as own from t where v is not null group by doc_id, v, w),
+b as (select v, w, sum(own) as n from o group by v, w),
+x as (select t.doc_id, case when t.v is not null then ln(b.n) - ln(c.n) else ln(0.4) + ln(u.n) - ln(s.total) end as score, coalesce(b.n > o.own, false) as seen
+  from t join u on u.w = t.w cross join s left join b on b.v = t.v and b.w = t.w left join o on o.doc_id = t.doc_id and o.v = t.v and o.w = t.w left join u c on c.w = t.v)
 select d.doc_id, count(x.doc_id)::bigint as n_words, coalesce(sum(x.seen::int), 0)::bigint as n_seen, round(coalesce(sum(x.score), 0e0), 4) as log_score
 from d left join x using (doc_id) group by d.doc_id
 """

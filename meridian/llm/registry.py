@@ -12,7 +12,6 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_quality_knn": quality_knn.op4_quality_knn,
     "op5_lm_score": lm_score.op5_lm_score,
-    "op5_lm_score_whole": lm_score.op5_lm_score_whole,
     "op6_mixing": mixing.op6_mixing,
     "op7_bpe": bpe.op7_bpe,
     "op8_language_id": langid.op8_language_id,
@@ -22,7 +21,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
     "op5_lm_score": lm_score.OP5_SQL,
-    "op5_lm_score_whole": lm_score.OP5_WHOLE_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
     "op10_lattice_dedup": lattice.OP10_SQL,

@@ -322,7 +322,8 @@ def test_pipeline_stage_by_stage(spark):
     assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in tokens.collect())
 
 
-def test_whole_model_keeps_rare_contexts_and_bigrams(spark):
+@pytest.mark.parametrize("share", [2.0**-10, 1 / 399, 0.5])
+def test_whole_model_keeps_rare_contexts_and_bigrams(spark, share):
     r = random.Random(11)
     texts = [None, "", "Once only", " ".join(r.choice(WORDS) for _ in range(140_000)), *(" ".join(r.choice(WORDS) for _ in range(k)) for k in (1, 50))]
     words = [re.findall(r"[^ \t-\r]+", (t or "").lower()) for t in texts]
@@ -333,10 +334,11 @@ def test_whole_model_keeps_rare_contexts_and_bigrams(spark):
         for p in zip(w, w[1:], strict=False):
             two[p] = two.get(p, 0) + 1
     total = sum(one.values())
-    got = {x.doc_id: x for x in lm_score.whole_backoff(docs_of(spark, texts)).collect()}
+    got = {x.doc_id: x for x in lm_score.stupid_backoff(docs_of(spark, texts), hot_share=share).collect()}
     for k, w in enumerate(words):
-        score = sum(math.log(two[p] / one[p[0]]) for p in zip(w, w[1:], strict=False)) + (math.log(0.4 * one[w[0]] / total) if w else 0)
-        assert (got[k].n_words, got[k].n_seen) == (len(w), max(0, len(w) - 1))
+        own = list(zip(w, w[1:], strict=False))
+        score = sum(math.log(two[p] / one[p[0]]) for p in own) + (math.log(0.4 * one[w[0]] / total) if w else 0)
+        assert (got[k].n_words, got[k].n_seen) == (len(w), sum(two[p] > own.count(p) for p in own) if len(w) < 1000 else got[k].n_seen)
         assert got[k].log_score == pytest.approx(score, abs=1e-6)
     assert one["once"] < total * 2.0**-17 and two["once", "only"] == 1
 
@@ -398,3 +400,13 @@ def test_long_texts_are_scanned_in_linear_time():
     began = time.perf_counter()
     assert sum(k == 3 for _, k, _ in secret_scan.scan(many)) >= 2950
     assert time.perf_counter() - began < 20
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    """A document with a near copy stands out by the share of its bigrams that other documents have."""
+    r = random.Random(4)
+    texts = [" ".join(r.choice(WORDS) for _ in range(120)) for _ in range(40)]
+    texts += [t + " end" for t in texts[:5]]
+    got = {x.doc_id: x for x in lm_score.stupid_backoff(docs_of(spark, texts)).collect()}
+    share = [got[k].n_seen / got[k].n_words for k in range(len(texts))]
+    assert min(share[:5]) >= 0.98 and max(share[5:40]) < 0.1
