@@ -6,14 +6,15 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridian.llm.common import materialize, table
+from meridian.llm.common import drop, materialize, table
 from meridian.llm.components import components
 
-#: Production parameters. With them a pair at cosine 0.9 shares a probed cell in two tables of three, so that it
-#: meets in at least one of TABLES with probability over 0.999, and surer the closer it is.
+#: Production parameters. With them a pair at cosine 0.9 shares a probed cell in about two tables of three, and meets
+#: surer the closer it is; tests measure recall against brute force.
 TABLES, PROBES, CELL = 8, 8, 0.5
 #: Sign sketches prune what meets by chance: bits, and differing bits up to which a pair is verified. At cosine
 #: 0.9 about 18 of 128 bits differ, with a standard deviation of 4.
@@ -139,64 +140,98 @@ def near_duplicates(
     2. Pairs of different leaders that meet, and whose sign sketches don't rule them out, are verified in double
        precision.
 
-    Ids are unique. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as
-    do those of unequal lengths. Rows of null id are left out. Empty table: no rows. Other columns are ignored.
+    Equal vectors are one class, hashed and compared once and counted as often as they stand. Vectors that are null,
+    empty, zero or hold null or non-finite components link with nothing, as do those of unequal lengths. One row per
+    given row: rows that repeat an id, or have none, are vectors of their own; component_id is the smallest id of the
+    component that isn't null, and a row without id is kept only where its component has none. (Components without
+    ids go by stand-ins above 2^62 inside; ids are expected below that.) Empty table: no rows. Other columns are
+    ignored.
     """
     half = float(np.sqrt((1 + cosine) / 2)) + 1e-9
-    given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null")
+    given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+
+    def unit_batches(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                units = _vectors(some.column(1))
+                keys = [xxhash.xxh3_128_digest(u.tobytes()) if u is not None else bytes(16) for u in units]
+                k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                usable = np.array([u is not None for u in units])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array(k[:, 0], mask=~usable), pa.array(k[:, 1], mask=~usable), pa.array([None if u is None else u.tolist() for u in units], pa.list_(pa.float64()))],
+                    names=["id", "k1", "k2", "unit"],
+                )
 
     def hash_batches(batches):
         hashers: dict[int, Hasher] = {}
         for batch in batches:
-            ids, units = batch.column(0).to_pylist(), _vectors(batch.column(1))
-            by_size: dict[int, list[int]] = {}
-            for k, u in enumerate(units):
-                if u is not None:
-                    by_size.setdefault(len(u), []).append(k)
-            for n, rows in by_size.items():
-                if n not in hashers:
-                    hashers[n] = Hasher(n, tables, probes, cell)
+            ids, sizes = batch.column(0), np.diff(batch.column(1).offsets.to_numpy())
+            flat, starts = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            for n in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == n)
+                hasher = hashers.setdefault(n, Hasher(n, tables, probes, cell))
                 for at in range(0, len(rows), 1024):
                     some = rows[at : at + 1024]
-                    x = np.stack([units[k] for k in some])
-                    homes, probed, sketch = hashers[n](x)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[k] for k in some], pa.int64()), _lists(list(x), pa.float64()), _lists(list(homes), pa.int64()), _lists(list(probed), pa.int64()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])],
-                        names=["id", "unit", "homes", "probed", "s1", "s2"],
-                    )
-
-    hashed = materialize(given.mapInArrow(hash_batches, "id long, unit array<double>, homes array<long>, probed array<long>, s1 long, s2 long"))
-    units = hashed.select("id", "unit")
+                    homes, probed, sketch = hasher(flat[starts[some][:, None] + np.arange(n)])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(some)), _lists(list(homes), pa.int64()), _lists(list(probed), pa.int64()), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], names=["id", "homes", "probed", "s1", "s2"])
+
+    rows = materialize(given.mapInArrow(unit_batches, "id long, k1 long, k2 long, unit array<double>"))
+    stand_in = F.lit((1 << 63) - 1) - F.shiftrightunsigned("k1", 2)
+    classes = rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("members"), F.first("unit").alias("unit"))
+    # an id that repeats may be the least of two classes: the second one and those after it get stand-ins too
+    turn = F.row_number().over(Window.partitionBy("least").orderBy("k1", "k2"))
+    ranked = classes.filter("least is not null").withColumn("turn", turn)
+    own = classes.filter("least is null").withColumn("turn", F.lit(2)).unionByName(ranked).withColumn("id", F.when(F.col("turn") == 1, F.col("least")).otherwise(stand_in))
+    classes = materialize(own.select("id", "least", "k1", "k2", "members", "unit"))
+    units = classes.select("id", "unit")
+    hashed = materialize(units.mapInArrow(hash_batches, "id long, homes array<long>, probed array<long>, s1 long, s2 long"))
     homes = hashed.select("id", F.explode("homes").alias("cell"))
     first = materialize(homes.groupBy("cell").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").select("cell", "b"))
     near = homes.join(first, "cell").filter("b < id").select(F.col("id").alias("a"), "b").distinct()
     leaders = _verified(near, units, half).groupBy("a").agg(F.min("b").alias("leader"))
-    led = materialize(hashed.join(leaders, F.col("id") == F.col("a"), "left").select("id", "homes", "probed", "s1", "s2", F.coalesce("leader", "id").alias("leader")))
-
-    x = led.select("id", "leader", "s1", "s2", F.explode("homes").alias("cell")).alias("x")
-    y = led.select("id", "leader", "s1", "s2", F.explode("probed").alias("cell")).alias("y")
-    meets = x.join(y, F.expr(f"x.cell = y.cell and x.leader <> y.leader and bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= {SKETCH_DIFFER}"))
-    meets = meets.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    found = hashed.join(leaders, F.col("id") == F.col("a"), "left").select("id", "homes", "probed", "s1", "s2", F.coalesce("leader", "id").alias("leader"))
+    led = materialize(found.join(classes.select(F.col("id").alias("of"), "members"), F.col("id") == F.col("of")).drop("of"))
+    own = materialize(led.groupBy("leader").agg(F.count("*").alias("led"), F.sum("members").alias("inside"), F.min("id").alias("smallest"))).withColumnRenamed("leader", "of")
+
+    # alone: nothing else has its leader. Of others, cells only pair members of different leaders, by pairs of leaders.
+    sized = led.join(own.select("of", "led"), F.col("leader") == F.col("of")).select("id", "leader", "s1", "s2", "homes", "probed", (F.col("led") == 1).alias("alone"))
+    x, y = (sized.select("id", "leader", "s1", "s2", "alone", F.explode(c).alias("cell")) for c in ("homes", "probed"))
+    alike = f"bit_count(x.s1 ^ y.s1) + bit_count(x.s2 ^ y.s2) <= {SKETCH_DIFFER}"
+    pair = (F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    meets = x.filter("alone").alias("x").join(y.alias("y"), F.expr(f"x.cell = y.cell and x.id <> y.id and {alike}")).select(*pair)
+    meets = meets.union(x.filter("not alone").alias("x").join(y.filter("alone").alias("y"), F.expr(f"x.cell = y.cell and {alike}")).select(*pair))
+    bundled_x, bundled_y = x.filter("not alone"), y.filter("not alone")
+    leader_pairs = bundled_x.groupBy("cell", "leader").count().alias("l").join(bundled_y.groupBy("cell", "leader").count().alias("r"), F.expr("l.cell = r.cell and l.leader <> r.leader"))
+    leader_pairs = leader_pairs.select(F.col("l.cell").alias("at"), F.col("l.leader").alias("one"), F.col("r.leader").alias("two"))
+    across = bundled_x.alias("x").join(leader_pairs, F.expr("x.cell = at and x.leader = one")).join(bundled_y.alias("y"), F.expr(f"y.cell = at and y.leader = two and {alike}"))
+    meets = meets.union(across.select(*pair)).distinct()
     links = materialize(_verified(meets, units, cosine))
+    drop(hashed, first)
 
-    own = materialize(led.groupBy("leader").agg((F.count("*") - 1).alias("inside"))).withColumnRenamed("leader", "of")
-    across = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("across"))
-    counts = led.select("id", "leader").join(own, F.col("leader") == F.col("of")).join(across, "id", "left").select("id", (F.col("inside") + F.coalesce("across", F.lit(0))).alias("n_links"))
+    weight = classes.select(F.col("id").alias("w"), "members")
+    both = links.union(links.select("b", "a")).toDF("id", "other")
+    across = both.join(weight, F.col("other") == F.col("w")).groupBy("id").agg(F.sum("members").alias("across"))
+    counts = led.select("id", "leader").join(own, F.col("leader") == F.col("of")).join(across, "id", "left").select(F.col("id").alias("counted"), (F.col("inside") - 1 + F.coalesce("across", F.lit(0))).alias("n_links"))
     # members of a leader link with each other even where the leader follows another one: tie them to their smallest
-    smallest = led.groupBy("leader").agg(F.min("id").alias("b")).withColumnRenamed("leader", "of")
-    ties = led.select("id", "leader").join(smallest, F.col("leader") == F.col("of")).select(F.col("id").alias("a"), "b")
+    ties = led.select("id", "leader").join(own, F.col("leader") == F.col("of")).select(F.col("id").alias("a"), F.col("smallest").alias("b"))
     groups = components(links.union(ties))
-    counts, groups = counts.withColumnRenamed("id", "counted"), groups
-    component = F.coalesce("component", "id")
+    named = classes.select("id", "least", "k1", "k2").join(groups, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    # the smallest id of any row of a component: an id that repeats may have been given away to another class
+    names = named.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("name"))
+    judged = named.join(names, F.col("component") == F.col("c")).join(counts, F.col("id") == F.col("counted")).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "name", "n_links")
+    judged = materialize(judged)
+    drop(classes, led, own, links, groups)
+    component = F.when(F.col("k1").isNull(), F.col("id")).otherwise(F.col("name"))
     return (
-        given.select("id")
-        .join(counts, F.col("id") == F.col("counted"), "left")
-        .join(groups, F.col("id") == F.col("node"), "left")
-        .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+        rows.select("id", "k1", "k2")
+        .join(judged, F.expr("k1 = c1 and k2 = c2"), "left")
+        .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component.eqNullSafe(F.col("id")), F.lit(False)).alias("kept"))
     )
 
 
 def op10_lattice_dedup(spark, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 

@@ -18,7 +18,7 @@ from meridian.llm.words import mix, word_hashes
 HOT_SHARE = 2.0**-10
 BACKOFF = 0.4
 #: Words that a task counts, or turns into bigram rows, at a time.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 #: Buckets by which bigrams are dealt out, for each shuffle partition.
 BUCKETS = 16
 #: Stand for the next word where a context ends a text, and where it begins one.

@@ -410,3 +410,37 @@ def test_documents_that_occur_twice_score_apart(spark):
     got = {x.doc_id: x for x in lm_score.stupid_backoff(docs_of(spark, texts)).collect()}
     share = [got[k].n_seen / got[k].n_words for k in range(len(texts))]
     assert min(share[:5]) >= 0.98 and max(share[5:40]) < 0.1
+
+
+VECTORS = "vec_id long, embedding array<double>, label int, id long, unit string, node long, cell long, leader string"
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(i, e, 0, 7, "u", 8, 9, "l") for i, e in rows], VECTORS)
+
+
+def test_repeated_null_and_absent_vector_ids(spark):
+    a, b = [1.0, 0.0, 0.2, 0.1, 0.0, 0.0, 0.0, 0.3, 0.4], [0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.5, 0.0, 0.0]
+    near = [x + 0.01 for x in a]
+    rows = [(1, a), (1, near), (2, a), (None, a), (3, b), (1, b), (None, [9.0, 0.0] + [0.0] * 7), (4, None), (4, None), (None, None), (5, [0.5] * 9), (5, [0.5] * 9)]
+    got = sorted(map(tuple, lattice.near_duplicates(vectors_of(spark, rows)).collect()), key=str)
+    want = [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False), (3, 1, 1, False), (1, 1, 1, True), (None, 0, None, True), (4, 0, 4, True), (4, 0, 4, True), (None, 0, None, True), (5, 1, 5, True), (5, 1, 5, True)]
+    cosine = lambda u, v: np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v)
+    assert cosine(a, rows[6][1]) < 0.9 and cosine(a, rows[10][1]) < 0.9
+    assert got == sorted(want, key=str)
+    assert lattice.near_duplicates(vectors_of(spark, [])).count() == 0
+
+
+def test_vector_recall_on_many_vectors(spark):
+    r = np.random.default_rng(12)
+    x = r.normal(size=(5000, 48))
+    for k in range(1000, 4000):  # a hot group of a fifth of all rows, and spreads around 300 others
+        x[k] = x[0] + r.normal(size=48) * 0.05 if k < 2000 else x[k % 300] + r.normal(size=48) * 0.35
+    x[4000:4400] = x[5]
+    got = {g.vec_id: g for g in lattice.near_duplicates(vectors_of(spark, [(k, v.tolist()) for k, v in enumerate(x)])).collect()}
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (v @ v.T >= 0.9).sum(axis=1) - 1
+    found = np.array([got[k].n_links for k in range(len(x))])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum()
+    other = np.r_[300:1000, 2000:4000]
+    assert found[other].sum() >= 0.97 * links[other].sum() > 1000
