@@ -154,9 +154,9 @@ def ecef_velocity_to_ned(vx, vy, vz, lat, lon) -> tuple[Column, Column, Column]:
 
 
 def radius_of_curvature(lat) -> Column:
-    """Radius of the osculating sphere: the geometric mean of the meridional and the transverse radius."""
+    """Radius of curvature in the plane of the meridian."""
     s = F.sin(F.radians(_c(lat)))
-    return F.lit(WGS84_A * math.sqrt(1 - WGS84_E2)) / (F.lit(1.0) - F.lit(WGS84_E2) * s * s)
+    return F.lit(WGS84_A * (1 - WGS84_E2)) / F.pow(F.lit(1.0) - F.lit(WGS84_E2) * s * s, F.lit(1.5))
 
 
 def dist_2d(x1, y1, x2, y2) -> Column:
@@ -244,9 +244,10 @@ def polar_xy(az, el, radius: float) -> tuple[Column, Column]:
 
 
 def clamp_error(err, low: float, high: float) -> tuple[Column, Column]:
-    """(err within low and high, marker of where it was cut)."""
+    """(err within low and high, marker of where it was cut); an absent error is the highest."""
     e = _c(err)
-    return F.least(F.greatest(e, F.lit(low)), F.lit(high)), F.when(e < low, "<").when(e > high, ">").otherwise("")
+    over, under = e.isNull() | (e >= high), e <= low
+    return F.when(over, F.lit(float(high))).when(under, F.lit(float(low))).otherwise(e), F.when(over, ">").when(under, "<").otherwise("")
 
 
 def convert(column, unit: str) -> Column:

@@ -12,12 +12,31 @@ GNSS = {0: "GPS", 1: "SBAS", 2: "Galileo", 3: "BeiDou", 4: "IMES", 5: "QZSS", 6:
 #: Fixed values. Observation-file letters of the systems.
 RINEX = {0: "G", 1: "S", 2: "E", 3: "C", 5: "J", 6: "R", 7: "I"}
 #: Fixed values. Observation-code suffixes by (system, signal).
-OBS_CODE = {(0, 0): "1C", (0, 3): "2L", (0, 4): "2X", (1, 0): "1C", (2, 0): "1C", (2, 1): "1B", (2, 5): "7I", (2, 6): "7Q", (3, 0): "2I", (3, 1): "2Q", (3, 2): "7I", (3, 3): "7Q", (5, 0): "1C", (5, 4): "2S", (5, 5): "2L", (6, 0): "1C", (6, 2): "2C", (7, 0): "5A"}
+OBS_CODE = {
+    (0, 0): "1C", (0, 3): "2L", (0, 4): "2S", (0, 6): "5I", (0, 7): "5Q",
+    (1, 0): "1C",
+    (2, 0): "1C", (2, 1): "1B", (2, 3): "5I", (2, 4): "5Q", (2, 5): "7I", (2, 6): "7Q", (2, 8): "6B", (2, 9): "6C", (2, 10): "6A",
+    (3, 0): "2I", (3, 1): "2I", (3, 2): "7I", (3, 3): "7I", (3, 4): "6I", (3, 5): "1P", (3, 6): "1D", (3, 7): "5P", (3, 8): "5P", (3, 10): "6I",
+    (5, 0): "1C", (5, 1): "1Z", (5, 4): "2S", (5, 5): "2L", (5, 8): "5I", (5, 9): "5Q", (5, 12): "1E",
+    (6, 0): "1C", (6, 2): "2C",
+    (7, 0): "5A",
+}
 #: Fixed values. Fix modes and statuses.
 MODE = {0: "unknown", 1: "no fix", 2: "2D", 3: "3D"}
 STATUS = {0: "unknown", 1: "GPS", 2: "DGPS", 3: "RTK fixed", 4: "RTK float", 5: "DR", 6: "GNSSDR", 7: "time", 8: "simulated", 9: "P(Y)"}
-#: Fixed values. First and last satellite number of each sentence numbering range, and the system it is of.
-PRN_RANGES = ((1, 32, 0), (33, 64, 1), (65, 96, 6), (152, 158, 1), (173, 182, 4), (193, 202, 5), (301, 336, 2), (401, 437, 3), (500, 509, 7), (901, 918, 7))
+#: Fixed values. Ranges of sentence satellite numbers: first, last, system, and what is taken off for the number within
+#: the system (SBAS: 87 added below 65, the number itself above).
+PRN_RANGES = ((1, 32, 0, 0), (33, 64, 1, -87), (65, 96, 6, 64), (120, 158, 1, 0), (173, 182, 4, 172), (193, 197, 5, 192), (201, 237, 3, 200), (301, 356, 2, 300), (401, 437, 3, 400), (500, 509, 7, 500), (901, 918, 7, 900))
+#: Fixed values. The same where a system field (1 GPS and SBAS, 2 GLONASS, 3 Galileo, 4 BeiDou, 5 QZSS, 6 NavIC) comes
+#: with the sentence: field, first, last, system, taken off.
+SYSTEM_RANGES = (
+    (1, 1, 32, 0, 0), (1, 33, 64, 1, -87), (1, 65, 136, 2, 100), (1, 152, 157, 1, 0), (1, 193, 199, 5, 192), (1, 200, 264, 3, 200),
+    (2, 1, 63, 6, 0), (2, 64, 255, 6, 64),
+    (3, 1, 99, 2, 0), (3, 101, 199, 2, 100), (3, 301, 399, 2, 300),
+    (4, 1, 99, 3, 0), (4, 201, 299, 3, 200), (4, 401, 499, 3, 400),
+    (5, 1, 99, 5, 0), (5, 100, 255, 5, 192),
+    (6, 1, 255, 7, 0),
+)
 #: Fixed values. Precision exponents of time pulses by the kind of line they come over.
 PULSE_PRECISION = {"tcp": -1, "udp": -1, "usb": -10, "serial": -20}
 

@@ -67,7 +67,7 @@ def nmea_decode(lines: DataFrame) -> DataFrame:
 
 
 def ais_decode(lines: DataFrame, type_: int) -> DataFrame:
-    return ais.scale_ais(ais.decode_type(ais.messages(lines), type_))
+    return ais.scale_ais(ais.decode_type(ais.messages(lines), type_), type_)
 
 
 def tracks(tpv: DataFrame, timeout: int = 5) -> DataFrame:

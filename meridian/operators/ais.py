@@ -42,7 +42,7 @@ LAYOUTS = {
     (21,): f"aid_type 38 5 u, name 43 120 t, accuracy 163 1 b, lon 164 28 s, lat 192 27 s, {_dimensions(219)}, epfd 249 4 u, second 253 6 u, off_position 259 1 b, regional 260 8 u, raim 268 1 b, virtual_aid 269 1 b",
     (22,): "channel_a 40 12 u, channel_b 52 12 u, txrx 64 4 u, power 68 1 b, ne_lon 69 18 s, ne_lat 87 17 s, sw_lon 104 18 s, sw_lat 122 17 s, addressed 139 1 b, band_a 140 1 b, band_b 141 1 b, zonesize 142 3 u",
     (23,): "ne_lon 40 18 s, ne_lat 58 17 s, sw_lon 75 18 s, sw_lat 93 17 s, stationtype 110 4 u, shiptype 114 8 u, txrx 144 2 u, interval 146 4 u, quiet 150 4 u",
-    (24,): f"partno 38 2 u, shipname 40 120 t, shiptype 40 8 u, vendorid 48 18 t, model 66 4 u, serial 70 20 u, callsign 90 42 t, {_dimensions(132)}, mothership_mmsi 132 30 u",
+    (24,): f"partno 38 2 u, shipname 40 120 t, shiptype 40 8 u, vendorid 48 42 t, model 66 4 u, serial 70 20 u, callsign 90 42 t, {_dimensions(132)}, mothership_mmsi 132 30 u",
     (25,): "addressed 38 1 b, structured 39 1 b",
     (26,): "addressed 38 1 b, structured 39 1 b",
     (27,): "accuracy 38 1 b, raim 39 1 b, status 40 4 u, lon 44 18 s, lat 62 17 s, speed 79 6 u, course 85 9 u, gnss 94 1 b",
@@ -60,10 +60,34 @@ BINARY = {
     (1, 11): "lat 0 24 s, lon 24 25 s, day 49 5 u, hour 54 5 u, minute 59 6 u, wspeed 65 7 u, wgust 72 7 u, wdir 79 9 u, wgustdir 88 9 u, temperature 97 11 u, humidity 108 7 u, dewpoint 115 10 u, pressure 125 9 u, pressuretend 134 2 u",
     (1, 31): "lon 0 25 s, lat 25 24 s, accuracy 49 1 b, day 50 5 u, hour 55 5 u, minute 60 6 u, wspeed 66 7 u, wgust 73 7 u, wdir 80 9 u, wgustdir 89 9 u, airtemp 98 11 s, humidity 109 7 u, dewpoint 116 10 s, pressure 126 9 u, pressuretend 135 2 u, visgreater 137 1 b, visibility 138 7 u, waterlevel 145 12 u",
 }
-#: Fixed values. Navigation statuses and position-fixing devices.
-STATUS_TEXT = {0: "Under way using engine", 1: "At anchor", 2: "Not under command", 3: "Restricted manoeuverability", 4: "Constrained by her draught", 5: "Moored", 6: "Aground", 7: "Engaged in fishing", 8: "Under way sailing", 14: "AIS-SART is active", 15: "Not defined"}
-EPFD_TEXT = {0: "Undefined", 1: "GPS", 2: "GLONASS", 3: "Combined GPS/GLONASS", 4: "Loran-C", 5: "Chayka", 6: "Integrated navigation system", 7: "Surveyed", 8: "Galileo"}
-POSITION_NA, MINUTES = {"lon": 181, "lat": 91}, 600000.0
+#: Fixed values. Navigation statuses, position-fixing devices, kinds of ships, stations and aids to navigation.
+STATUS_TEXT = dict(enumerate(("Under way using engine", "At anchor", "Not under command", "Restricted maneuverability", "Constrained by her draught", "Moored", "Aground", "Engaged in fishing", "Under way sailing", "Reserved for HSC", "Reserved for WIG", "Power-driven vessel towing astern", "Power-driven vessel pushing ahead or towing alongside", "Reserved", "AIS-SART is active", "Not defined")))
+EPFD_TEXT = dict(enumerate(("Undefined", "GPS", "GLONASS", "Combined GPS/GLONASS", "Loran-C", "Chayka", "Integrated navigation system", "Surveyed", "Galileo", "Reserved (9)", "Reserved (10)", "Reserved (11)", "Reserved (12)", "Reserved (13)", "Reserved (14)", "Internal GNSS")))
+SHIP_CLASSES = {2: "Wing in ground (WIG)", 4: "High speed craft (HSC)", 6: "Passenger", 7: "Cargo", 8: "Tanker", 9: "Other Type"}
+SHIPS_3 = ("Fishing", "Towing", "Towing: length exceeds 200m or breadth exceeds 25m", "Dredging or underwater ops", "Diving ops", "Military ops", "Sailing", "Pleasure Craft", "Reserved", "Reserved")
+SHIPS_5 = ("Pilot Vessel", "Search and Rescue vessel", "Tug", "Port Tender", "Anti-pollution equipment", "Law Enforcement", "Spare - Local Vessel", "Spare - Local Vessel", "Medical Transport", "Ship according to RR Resolution No. 18")
+STATION_TEXT = dict(enumerate(("All types of mobiles", "Reserved for future use", "All types of Class B mobile stations", "SAR airborne mobile station", "Aid to Navigation station", "Class B shipborne mobile station", *["Regional use and inland waterways"] * 4, *["Reserved for future use"] * 6)))
+AID_TEXT = dict(enumerate((
+    "Unspecified", "Reference point", "RACON", "Fixed offshore structure", "Spare, Reserved for future use.", "Light, without sectors", "Light, with sectors", "Leading Light Front", "Leading Light Rear", "Beacon, Cardinal N", "Beacon, Cardinal E",
+    "Beacon, Cardinal S", "Beacon, Cardinal W", "Beacon, Port hand", "Beacon, Starboard hand", "Beacon, Preferred Channel port hand", "Beacon, Preferred Channel starboard hand", "Beacon, Isolated danger", "Beacon, Safe water", "Beacon, Special mark",
+    "Cardinal Mark N", "Cardinal Mark E", "Cardinal Mark S", "Cardinal Mark W", "Port hand Mark", "Starboard hand Mark", "Preferred Channel Port hand", "Preferred Channel Starboard hand", "Isolated danger", "Safe Water", "Special Mark", "Light Vessel / LANBY / Rigs",
+)))
+
+
+def _ship_types() -> dict[int, str]:
+    """Kinds of ships by number: six classes of ten, two lists of ten."""
+    out = {0: "Not available", **{k: "Reserved for future use" for k in range(1, 20)}, **dict(enumerate(SHIPS_3, 30)), **dict(enumerate(SHIPS_5, 50))}
+    last = {2: "Reserved for future use", 9: "no additional information"}
+    for tens, name in SHIP_CLASSES.items():
+        kinds = ["all ships of this type", *(f"Hazardous category {x}" for x in "ABCD"), *["Reserved for future use"] * 4, last.get(tens, "No additional information")]
+        out |= {10 * tens + k: f"{name} - {kind}" for k, kind in enumerate(kinds)}
+    return out
+
+
+SHIP_TEXT = _ship_types()
+POSITION_NA = {"lon": 181, "lat": 91}
+#: Types whose positions are in tenths of a minute.
+COARSE = (17, 22, 23, 27)
 
 
 def ais_lines(lines: DataFrame, device: str = "file", value: str = "value") -> DataFrame:
@@ -94,16 +118,36 @@ def assemble_fragments(fragments: DataFrame) -> DataFrame:
     return parts.filter("__ok and __n = __of").drop("__group", "__of", "__n", "__ok")
 
 
+#: The payload's 64 characters and those of the public base64 alphabet, in the order of their six-bit values.
+ARMOR = "".join(chr(48 + v + 8 * (v >= 40)) for v in range(64))
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Zeros behind the bits, so that fields may reach over their end.
+BEHIND = 64
+
+
 def unarmor(payload: Column, pad: Column) -> Column:
-    """The payload's bits as text of 0 and 1, without the padding."""
-    value = lambda c: F.ascii(c) - 48 - F.when(F.ascii(c) - 48 >= 40, 8).otherwise(0)
-    bits = F.array_join(F.transform(F.split(payload, ""), lambda c: F.lpad(F.conv(value(c).cast("string"), 10, 2), 6, "0")), "")
-    return F.when(payload.rlike("^[0-W`-w]*$"), F.substring(bits, F.lit(1), F.length(bits) - pad))
+    """The payload's bits as a struct of hexadecimal digits, zeros behind them, and the number n of bits without the
+    padding; null for foreign characters. Six-bit characters are base64 in another alphabet."""
+    whole = F.rpad(F.translate(payload, ARMOR, BASE64), (F.ceil(F.length(payload) / 4) * 4).cast("int"), "A")
+    bits = F.struct(F.concat(F.hex(F.unbase64(whole)), F.lit("0" * BEHIND)).alias("hex"), (F.length(payload) * 6 - pad).cast("int").alias("n"))
+    return F.when(payload.rlike("^[0-W`-w]*$"), bits)
+
+
+def bit_length(bits: Column) -> Column:
+    return bits["n"]
+
+
+def _number(bits: Column, at: int, n: int) -> Column:
+    """n bits, 50 at most, as a number; zeros beyond the end."""
+    first, last = at // 4, (at + n - 1) // 4
+    x = F.conv(F.substring(bits["hex"], first + 1, last - first + 1), 16, 10).cast("bigint")
+    over = 4 * (last + 1) - at - n
+    return (F.shiftright(x, over) if over else x).bitwiseAND((1 << n) - 1)
 
 
 def unsigned(bits: Column, at: int, n: int) -> Column:
     """Bits at to at + n, null beyond the end."""
-    return F.when(F.length(bits) >= at + n, F.conv(F.substring(bits, at + 1, n), 2, 10).cast("bigint"))
+    return F.when(bit_length(bits) >= at + n, _number(bits, at, n))
 
 
 def signed(bits: Column, at: int, n: int) -> Column:
@@ -111,11 +155,16 @@ def signed(bits: Column, at: int, n: int) -> Column:
     return F.when(u >= F.lit(1 << (n - 1)), u - F.lit(1 << n)).otherwise(u)
 
 
+def _readable(hex_: Column) -> Column:
+    """Six-bit text of whole groups of three bytes, up to an @, without spaces at its end."""
+    return F.rtrim(F.regexp_extract(F.translate(F.base64(F.unhex(hex_)), BASE64 + "\r\n", SIXBIT), "^([^@]*)", 1))
+
+
 def sixbit(bits: Column, at: int, n: int) -> Column:
-    """Six-bit text up to an @, without spaces at its end."""
-    here = F.substring(bits, at + 1, n - n % 6)
-    chars = F.transform(F.sequence(F.lit(0), F.greatest(F.length(here) / 6 - 1, F.lit(0)).cast("int")), lambda k: F.substring(F.lit(SIXBIT), F.conv(F.substring(here, k * 6 + 1, F.lit(6)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.when(F.length(here) >= 6, F.rtrim(F.regexp_extract(F.array_join(chars, ""), "^([^@]*)", 1)))
+    """Six-bit text up to an @, without spaces at its end; what is left of it where the message ends before."""
+    groups = [F.lpad(F.hex(_number(bits, at + k, 24)), 6, "0") for k in range(0, n, 24)]
+    there = F.least(F.lit(n - n % 6), bit_length(bits) - at)
+    return F.when(there >= 6, F.rtrim(F.substring(_readable(F.concat(*groups)), F.lit(1), F.floor(there / 6).cast("int"))))
 
 
 def _field(bits: Column, at: int, n: int, kind: str) -> Column:
@@ -131,12 +180,12 @@ def _layout(text: str) -> list[tuple[str, int, int, str]]:
 
 def header(messages: DataFrame) -> DataFrame:
     """Messages with their bits, type, repeat and mmsi; too short or too long ones are rejected."""
-    rows = messages.withColumn("bits", once(unarmor(F.col("payload"), F.col("pad")))).filter("bits is not null and length(bits) >= 38")
+    rows = messages.withColumn("bits", once(unarmor(F.col("payload"), F.col("pad")))).filter("bits is not null and bits.n >= 38")
     b = F.col("bits")
     rows = rows.withColumns({"type": unsigned(b, 0, 6).cast("int"), "repeat": unsigned(b, 6, 2).cast("int"), "mmsi": unsigned(b, 8, 30)})
     limits = F.create_map(*[F.lit(x) for t, (lo, hi) in LENGTHS.items() for x in (t, lo * 10000 + hi)])[F.col("type")]
-    ok = (F.length("bits") >= F.floor(limits / 10000)) & (F.length("bits") <= limits % 10000)
-    return rows.filter(ok & ((F.col("type") != 27) | F.length("bits").isin(96, 168)))
+    ok = (F.col("bits.n") >= F.floor(limits / 10000)) & (F.col("bits.n") <= limits % 10000)
+    return rows.filter(ok & ((F.col("type") != 27) | F.col("bits.n").isin(96, 168)))
 
 
 def mmsi_of(payload: Column) -> Column:
@@ -158,8 +207,9 @@ def decode_type(messages: DataFrame, type_: int) -> DataFrame:
         out = out.withColumn("timestamp", F.format_string("%04d-%02d-%02dT%02d:%02d:%02dZ", "year", "month", "day", "hour", "minute", "second")).drop("year", "month", "day", "hour", "minute")
     if type_ == 5:
         out = out.withColumn("eta", F.format_string("%02d-%02dT%02d:%02dZ", "month", "day", "hour", "minute")).drop("month", "day", "hour", "minute")
-    if "epfd" in out.columns:
-        out = out.withColumn("epfd_text", _text("epfd", EPFD_TEXT))
+    for c, names in (("epfd", EPFD_TEXT), ("aid_type", AID_TEXT), ("stationtype", STATION_TEXT)):
+        if c in out.columns:
+            out = out.withColumn(f"{c}_text", _text(c, names))
     if type_ in (6, 8):
         out = with_payload(out, 88 if type_ == 6 else 56)
     if type_ == 12:
@@ -169,13 +219,15 @@ def decode_type(messages: DataFrame, type_: int) -> DataFrame:
     if type_ == 17:
         out = out.withColumn("data", hex_data(b, 80))
     if type_ == 21:
-        out = out.withColumn("name", F.when(F.length("bits") > 272, F.concat(F.rpad("name", 20, " "), _rest_text(b, 272))).otherwise(F.col("name"))).withColumn("name", F.rtrim("name"))
+        out = out.withColumn("name", F.when(F.col("bits.n") > 272, F.concat(F.rpad("name", 20, " "), _rest_text(b, 272))).otherwise(F.col("name"))).withColumn("name", F.rtrim("name"))
     if type_ == 22:
         out = out.withColumns({"dest1": F.when(F.col("addressed"), unsigned(b, 69, 30)), "dest2": F.when(F.col("addressed"), unsigned(b, 104, 30))}).withColumns({c: F.when(~F.col("addressed"), F.col(c)) for c in ("ne_lon", "ne_lat", "sw_lon", "sw_lat")})
     if type_ == 24:
         out = _type24(out)
     if type_ in (25, 26):
         out = _type25(out, type_)
+    if "shiptype" in out.columns:
+        out = out.withColumn("shiptype_text", F.when(F.col("shiptype").isNotNull(), F.coalesce(_text("shiptype", SHIP_TEXT), F.lit("INVALID SHIP TYPE"))))
     return out.drop("bits")
 
 
@@ -184,19 +236,30 @@ def _text(c: str, names: dict) -> Column:
 
 
 def _rest_text(bits: Column, at: int) -> Column:
-    """Six-bit text from a bit to the end."""
-    here = F.substring(bits, at + 1, 1 << 15)
-    n = F.floor(F.length(here) / 6).cast("int")
-    chars = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.substring(F.lit(SIXBIT), F.conv(F.substring(here, k * 6 + 1, F.lit(6)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.when(n >= 1, F.rtrim(F.regexp_extract(F.array_join(chars, ""), "^([^@]*)", 1))).otherwise("")
+    """Six-bit text from a bit (the first of a byte) to the end."""
+    n = F.floor((bit_length(bits) - at) / 6).cast("int")
+    digits = (F.ceil(F.greatest(n, F.lit(0)) / 4) * 6).cast("int")
+    return F.when(n >= 1, F.rtrim(F.substring(_readable(F.rpad(F.substring(bits["hex"], F.lit(at // 4 + 1), digits), digits, "0")), F.lit(1), n))).otherwise("")
 
 
 def hex_data(bits: Column, at: int) -> Column:
-    """Bits from a place to the end as `count:hex`, the last byte filled up with zeros."""
-    here = F.substring(bits, at + 1, 1 << 15)
-    n = F.length(here)
-    bytes_ = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 8) - 1, F.lit(0)).cast("int")), lambda k: F.lower(F.lpad(F.conv(F.rpad(F.substring(here, k * 8 + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0")))
-    return F.when(n > 0, F.concat(n.cast("string"), F.lit(":"), F.array_join(bytes_, "")))
+    """Bits from a place (the first of a hexadecimal digit) to the end as `count:hex`, the last byte filled up with zeros."""
+    n = bit_length(bits) - at
+    return F.when(n > 0, F.concat(n.cast("string"), F.lit(":"), F.lower(F.substring(bits["hex"], F.lit(at // 4 + 1), (F.ceil(n / 8) * 2).cast("int")))))
+
+
+def _from(bits: Column, at: Column, cut: int = 0) -> Column:
+    """The bits from a place that depends on the row, without the last cut ones: their digits are moved by 0 or 2 bits."""
+    here = F.substring(bits["hex"], F.floor(at / 4).cast("int") + 1, F.length(bits["hex"]))
+    wide = F.rpad(here, (F.ceil(F.length(here) / 12) * 12 + 12).cast("int"), "0")
+    moved = F.array_join(F.transform(F.sequence(F.lit(1), F.length(wide) - 12, F.lit(12)), lambda k: F.lpad(F.hex(F.shiftright(F.conv(F.substring(wide, k, F.lit(13)), 16, 10).cast("bigint"), 2).bitwiseAND((1 << 48) - 1)), 12, "0")), "")
+    n = F.greatest(bit_length(bits) - at - cut, F.lit(0)).cast("int")
+    digits = F.rpad(F.when(at % 4 == 0, here).otherwise(moved), (F.ceil(F.greatest(n, F.lit(1)) / 4) * 4 + BEHIND).cast("int"), "0")
+    # no bits of what is cut off behind the end
+    kept, last = F.floor(n / 4).cast("int"), n % 4
+    edge = F.conv(F.substring(digits, kept + 1, F.lit(1)), 16, 10).cast("int").bitwiseAND(F.when(last == 0, 0).when(last == 1, 8).when(last == 2, 12).otherwise(14))
+    clean = F.concat(F.substring(digits, F.lit(1), kept), F.hex(edge), F.lit("0" * BEHIND))
+    return F.struct(clean.alias("hex"), n.alias("n"))
 
 
 def with_payload(rows: DataFrame, at: int) -> DataFrame:
@@ -224,14 +287,17 @@ def is_auxiliary(mmsi: Column) -> Column:
 
 
 def _type25(rows: DataFrame, type_: int) -> DataFrame:
+    """The application's number and data; type 26 ends with 20 bits of radio state."""
     b = F.col("bits")
-    to = F.when(F.col("addressed"), unsigned(b, 40, 30))
     start = 40 + F.when(F.col("addressed"), 30).otherwise(0)
-    app = F.when(F.col("structured"), F.conv(F.substring(b, start + 1, F.lit(16)), 2, 10).cast("bigint"))
-    body = F.substring(b, start + F.when(F.col("structured"), 16).otherwise(0) + 1, F.length(b) - (20 if type_ == 26 else 0))
-    body = F.when(F.lit(type_ == 26), F.substring(body, F.lit(1), F.greatest(F.length(body) - 20, F.lit(0)))).otherwise(body)
-    out = rows.withColumns({"dest_mmsi": to, "app_id": app, "data": hex_data(body, 0)})
-    return out.withColumn("radio", F.conv(F.substring(b, F.length(b) - 19, F.lit(20)), 2, 10).cast("bigint")) if type_ == 26 else out
+    rows = rows.withColumn("__body", _from(b, start, 20 if type_ == 26 else 0))
+    app = F.when(F.col("structured"), unsigned(F.col("__body"), 0, 16))
+    data = F.when(F.col("structured"), hex_data(F.col("__body"), 16)).otherwise(hex_data(F.col("__body"), 0))
+    out = rows.withColumns({"dest_mmsi": F.when(F.col("addressed"), unsigned(b, 40, 30)), "app_id": app, "data": data}).drop("__body")
+    if type_ == 26:
+        end = _from(b, (bit_length(b) - 20) - (bit_length(b) - 20) % 2)
+        out = out.withColumn("radio", F.when(bit_length(b) % 2 == 0, _number(end, 0, 20)).otherwise(_number(end, 1, 20)))
+    return out
 
 
 def merge_24(rows: DataFrame, ring: int = 8) -> DataFrame:
@@ -247,18 +313,30 @@ def merge_24(rows: DataFrame, ring: int = 8) -> DataFrame:
     return rows.withColumns({"shipname": F.when(both, F.col("__last.shipname")).otherwise(F.col("shipname")), "part": F.when(both, "both").otherwise(F.col("part"))}).drop("__a", "__last", "__first")
 
 
-def scale_ais(rows: DataFrame, minutes: float = MINUTES) -> DataFrame:
-    """Scaled values; what isn't available becomes null, with a text beside it where the message has words for it."""
+def scale_ais(rows: DataFrame, type_: int | None = None) -> DataFrame:
+    """Scaled values; what isn't available becomes null, with a text beside it where the message has words for it.
+
+    Positions are ten-thousandths of a minute, in types 17, 22, 23 and 27 tenths of one; speeds tenths of knots, in
+    types 9 and 27 whole knots; courses tenths of degrees, in type 27 whole ones. The type is that of the column type,
+    or type_ where all rows are of one.
+    """
+    kind = F.lit(type_) if type_ is not None else F.col("type")
     have = set(rows.columns)
     out = rows
-    for c, limit in POSITION_NA.items():
-        if c in have:
-            out = out.withColumn(c, F.when(F.abs(F.col(c)) < F.lit(int(limit * minutes)), F.col(c) / F.lit(minutes)))
+    minutes = F.when(kind.isin(*COARSE), F.lit(600.0)).otherwise(F.lit(600000.0))
+    for c in [c for c in rows.columns if c.removeprefix("ne_").removeprefix("sw_") in POSITION_NA]:
+        limit = POSITION_NA[c.removeprefix("ne_").removeprefix("sw_")]
+        out = out.withColumn(c, F.when(F.abs(F.col(c)) < F.lit(limit) * minutes, F.col(c) / minutes))
     if "course" in have:
-        out = out.withColumn("course", F.when(F.col("course") < 3600, F.col("course") / F.lit(10.0)))
+        tenths = F.when(F.col("course") < 3600, F.col("course") / F.lit(10.0))
+        out = out.withColumn("course", F.when(kind == 27, F.when(F.col("course") < 360, F.col("course").cast("double"))).otherwise(tenths))
     if "speed" in have:
-        words = F.when(F.col("speed") == 1023, "nan").when(F.col("speed") == 1022, "fast")
-        out = out.withColumns({"speed_text": words, "speed": F.when(F.col("speed") < 1022, F.col("speed") / F.lit(10.0))})
+        x = F.col("speed")
+        words = F.when(kind == 27, F.when(x == 63, "nan")).when(x == 1023, "nan").when(x == 1022, "fast")
+        out = out.withColumns({"speed_text": words, "speed": F.when(words.isNull(), F.when(kind.isin(9, 27), x.cast("double")).otherwise(x / F.lit(10.0)))})
+    if "alt" in have:
+        words = F.when(F.col("alt") == 4095, "nan").when(F.col("alt") == 4094, "high")
+        out = out.withColumns({"alt_text": words, "alt": F.when(words.isNull(), F.col("alt"))})
     if "turn" in have:
         t = F.col("turn")
         words = F.when(t == -128, "nan").when(t == -127, "fastleft").when(t == 127, "fastright")

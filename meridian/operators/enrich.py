@@ -118,19 +118,18 @@ def error_estimates(tpv: DataFrame) -> DataFrame:
 
 
 def rate_errors(tpv: DataFrame, time: str = "time", order: str = "line_no") -> DataFrame:
-    """Errors of speed, climb and track from those of this position and the one before."""
+    """Errors of speed, climb and track from those of this position and the one before; those given stay."""
     rows = previous_fix(tpv, ("lat", "lon", "epx", "epy", "epv", "mode"), time, order)
     ok = (F.col("dt") > 0) & (F.col("mode") >= 2) & (F.col("old_mode") >= 2)
     wide = F.greatest("old_epx", "old_epy") + F.greatest("epx", "epy")
     adjacent, opposite = geo.earth_distance_small("old_lat", "old_lon", "lat", "lon"), F.greatest("epx", "epy")
     hypotenuse = F.sqrt(adjacent * adjacent + opposite * opposite)
-    return rows.withColumns(
-        {
-            "eps": F.when(ok, wide / F.col("dt")),
-            "epc": F.when(ok & (F.col("mode") == 3) & (F.col("old_mode") == 3), (F.col("old_epv") + F.col("epv")) / F.col("dt")),
-            "epd": F.when(ok & (adjacent > opposite), F.degrees(F.lit(2.0) * F.asin(opposite / hypotenuse))),
-        }
-    )
+    new = {
+        "eps": F.when(ok, wide / F.col("dt")),
+        "epc": F.when(ok & (F.col("mode") == 3) & (F.col("old_mode") == 3), (F.col("old_epv") + F.col("epv")) / F.col("dt")),
+        "epd": F.when(ok & (adjacent > opposite), F.degrees(F.lit(2.0) * F.asin(opposite / hypotenuse))),
+    }
+    return rows.withColumns({c: F.coalesce(c, x) if c in tpv.columns else x for c, x in new.items()})
 
 
 def time_quality(tpv: DataFrame, now: Column, time: str = "time") -> DataFrame:

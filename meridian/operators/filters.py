@@ -114,7 +114,7 @@ def valid_measurements(obs: DataFrame) -> DataFrame:
 def route(lines: DataFrame, tpv_only: bool = False, ais_only: bool = False, value: str = "value") -> DataFrame:
     """Report lines ({...) or vessel sentences (!...), told apart by their first character."""
     if tpv_only:
-        lines = lines.filter(F.col(value).startswith("{") & F.col(value).contains('"class":"TPV"'))
+        lines = lines.filter(F.col(value).startswith("{"))
     return lines.filter(F.col(value).startswith("!")) if ais_only else lines
 
 

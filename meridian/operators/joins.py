@@ -26,28 +26,38 @@ def lookup(df: DataFrame, dimension: DataFrame, key: str, dimension_key: str, co
 
 
 def prn_ranges(spark) -> DataFrame:
-    return spark.createDataFrame(list(PRN_RANGES), "low int, high int, gnssid int")
+    return spark.createDataFrame(list(PRN_RANGES), "low int, high int, gnssid int, off int")
 
 
 def prn_range_join(sats: DataFrame, prn: str = "prn") -> DataFrame:
-    """System and number within the system of a satellite number: a range join with the ten fixed ranges."""
-    d = F.broadcast(prn_ranges(sats.sparkSession))  # ten rows
+    """System and number within the system of a satellite number: a range join with the fixed ranges."""
+    d = F.broadcast(prn_ranges(sats.sparkSession))  # eleven rows
     out = sats.join(d, F.col(prn).between(F.col("low"), F.col("high")), "left")
-    return out.withColumn("svid", F.col(prn) - F.col("low") + 1).drop("low", "high")
+    return out.withColumn("svid", F.col(prn) - F.col("off")).drop("low", "high", "off")
 
 
 def nearest_stations(fixes: DataFrame, stations: DataFrame, most: int = 12, within_m: float = 1_600_000.0, cell: float = 5.0, distance=geo.earth_distance_small, key: str = "line_no") -> DataFrame:
     """The stations nearest to each fix, nearest first, ties by server.
 
-    Both sides are dealt to cells of latitude; a station goes to all cells that its circle touches, so the join is
-    by cell and not with every station.
+    Both sides are dealt to cells of latitude and longitude; a station goes to all cells that its circle touches, with
+    those beyond 180 degrees (its longitude there is moved by a turn) and all longitudes near a pole, so the join is by
+    cell and not with every station. The rank limit is applied within
+    each fix, which Spark does before the shuffle as well.
     """
     reach = within_m / 110_000.0
-    bands = stations.select("server", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).withColumn("band", F.explode(F.sequence(F.floor((F.col("s_lat") - reach) / cell).cast("int"), F.floor((F.col("s_lat") + reach) / cell).cast("int"))))
-    placed = fixes.withColumn("band", F.floor(F.col("lat") / cell).cast("int"))
-    near = placed.join(bands, "band").withColumn("distance", distance("lat", "lon", "s_lat", "s_lon")).filter(F.col("distance") <= within_m)
+    cells = round(360 / cell)
+    far = F.greatest(F.abs(F.col("s_lat") - reach), F.abs(F.col("s_lat") + reach))
+    wide = F.when(far >= 89, F.lit(180.0)).otherwise(F.least(F.lit(180.0), F.lit(reach) / F.cos(F.radians(far))))
+    floor = lambda c: F.floor(c / cell).cast("int")
+    placed = stations.select("server", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    placed = placed.withColumn("band", F.explode(F.sequence(floor(F.col("s_lat") - reach), floor(F.col("s_lat") + reach))))
+    placed = placed.withColumn("at", F.explode(F.sequence(floor(F.col("s_lon") - wide), F.least(floor(F.col("s_lon") + wide), floor(F.col("s_lon") - wide) + cells))))
+    placed = placed.withColumn("column", F.pmod("at", F.lit(cells))).dropDuplicates(["server", "s_lat", "s_lon", "band", "column"])
+    here = fixes.withColumns({"band": floor(F.col("lat")), "column": F.pmod(floor(F.col("lon")), F.lit(cells))})
+    turned = F.col("s_lon") + F.lit(360.0) * F.round((F.col("lon") - F.col("s_lon")) / 360.0)
+    near = here.join(placed, ["band", "column"]).withColumn("s_lon", turned).withColumn("distance", distance("lat", "lon", "s_lat", "s_lon")).filter(F.col("distance") <= within_m)
     w = W.partitionBy(key).orderBy("distance", "server")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("band", "s_lat", "s_lon")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("band", "column", "at", "s_lat", "s_lon")
 
 
 def never_used(sats: DataFrame, by: tuple[str, ...] = ("device", "prn")) -> DataFrame:

@@ -10,22 +10,28 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meridian.functions.geo import KNOTS_TO_MPS
-from meridian.functions.gnss import PRN_RANGES
+from meridian.functions.gnss import PRN_RANGES, SYSTEM_RANGES
 
 #: Fixed values. Position qualities and mode letters as fix statuses (1 plain, 2 differential, 3 and 4 RTK, ...).
 QUALITY_STATUS = {"0": 0, "1": 1, "2": 2, "3": 1, "4": 3, "5": 4, "6": 5, "7": 7, "8": 8}
 FAA_STATUS = {"A": 1, "C": 1, "D": 2, "E": 5, "F": 4, "M": 7, "N": 0, "P": 1, "R": 3, "S": 8, "V": 0}
-#: Fixed values. Systems by talker, and by the system field of later sentence versions.
-TALKER_GNSS = {"GP": 0, "GL": 6, "GA": 2, "GB": 3, "BD": 3, "GI": 7, "GQ": 5, "QZ": 5}
-SYSTEM_GNSS = {"1": 0, "2": 6, "3": 2, "4": 3, "5": 5, "6": 7}
-#: Fixed values. Signals by (system, signal field) in the numbering of the reports.
-SIGNAL = {"01": 0, "06": 3, "05": 4, "61": 0, "63": 2, "27": 0, "21": 1, "22": 5, "31": 0, "3B": 2, "51": 0, "55": 4, "56": 5}
+#: Fixed values. Systems by talker.
+TALKER_GNSS = {"GP": 0, "GL": 6, "GA": 2, "GB": 3, "BD": 3, "PQ": 3, "GI": 7, "GQ": 5, "QZ": 5}
+#: Fixed values. Signals of the reports by system (their numbering) and signal field of the sentence.
+SIGNAL = {
+    0: {0: 0, 1: 4, 5: 4, 6: 3, 7: 6, 8: 7},
+    6: {0: 0, 1: 0, 3: 2},
+    2: {0: 0, 1: 3, 2: 5, 4: 10, 5: 8, 6: 0, 7: 4},
+    3: {0: 0, 1: 0, 2: 2, 3: 5, 4: 0, 5: 7, 8: 4, 11: 2},
+    5: {0: 0, 1: 0, 4: 1, 5: 4, 6: 5, 7: 8, 8: 9},
+    7: {0: 0, 1: 0},
+}
 FEET, FATHOMS = 0.3048, 1.8288
 LONGEST = 1024
 
 FIELDS = (
     "device", "line_no", "tag", "talker", "tod", "date", "mode", "status", "lat", "lon", "altMSL", "geoidSep", "speed", "track", "magtrack", "magvar", "hdop", "pdop", "vdop", "used_count",
-    "dgpsAge", "dgpsSta", "rms", "major", "minor", "orient", "lat_err", "lon_err", "alt_err", "heading", "rot", "depth", "wtemp", "wanglet", "wanglem", "wangler", "wspeedt", "wspeedr", "pitch", "roll", "mag_x", "mag_y", "mag_z", "datum", "text", "nav_status",
+    "dgpsAge", "dgpsSta", "rms", "major", "minor", "orient", "lat_err", "lon_err", "alt_err", "epx", "epy", "epv", "heading", "rot", "depth", "wtemp", "wanglet", "wanglem", "wangler", "wspeedt", "wspeedr", "pitch", "roll", "mag_x", "mag_y", "mag_z", "datum", "text", "nav_status",
 )
 
 
@@ -126,7 +132,7 @@ def _decoders() -> dict[str, dict[str, Column]]:
         "GNS": {"tod": time_of_day(_f(1)), **_position(2), "status": gns_status, "mode": fixed(gns_status, _d(9), _i(7)), "used_count": _i(7), "hdop": _d(8), "altMSL": _d(9), "geoidSep": _d(10), "dgpsAge": _d(11), "dgpsSta": _i(12), "nav_status": _f(13)},
         "GSA": {"mode": F.when(_i(2).between(1, 3), _i(2)), "pdop": _d(15), "hdop": _d(16), "vdop": _d(17)},
         "GST": {"tod": time_of_day(_f(1)), "rms": _d(2), "major": _d(3), "minor": _d(4), "orient": _d(5), "lat_err": _d(6), "lon_err": _d(7), "alt_err": _d(8)},
-        "GBS": {"tod": time_of_day(_f(1)), "lat_err": _d(2), "lon_err": _d(3), "alt_err": _d(4)},
+        "GBS": {"tod": time_of_day(_f(1)), "epy": _d(2), "epx": _d(3), "epv": _d(4)},
         "GRS": {"tod": time_of_day(_f(1))},
         "VTG": {"track": _d(1), "magtrack": _d(3), "speed": F.coalesce(_d(5) * KNOTS_TO_MPS, _d(7) / 3.6)},
         "ZDA": {"tod": time_of_day(_f(1)), "date": F.when(_i(2).between(1, 31) & _i(3).between(1, 12) & (_i(4) >= 1900), F.try_to_timestamp(F.format_string("%04d%02d%02d", _i(4), _i(3), _i(2)), F.lit("yyyyMMdd")).cast("date"))},
@@ -229,7 +235,7 @@ def merge_fix(rows: DataFrame) -> DataFrame:
     differential fields go together; the mode is the last one, but a sentence without altitude doesn't undo 3D."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
     pair = lambda a, b: F.max_by(F.struct(a, b), F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col("line_no"))).alias(f"__{a}")
-    single = [c for c in FIELDS if c not in ("device", "line_no", "tag", "talker", "mode", "status", "lat", "lon", "dgpsAge", "dgpsSta", "tod", "date", "lat_err", "lon_err")]
+    single = [c for c in FIELDS if c not in ("device", "line_no", "tag", "talker", "mode", "status", "lat", "lon", "dgpsAge", "dgpsSta", "tod", "date", "lat_err", "lon_err", "epx", "epy")]
     flat = F.col("tag").isin("RMC", "GLL")
     merged = rows.filter("epoch > 0").groupBy("device", "epoch").agg(
         F.min("line_no").alias("line_no"),
@@ -240,12 +246,13 @@ def merge_fix(rows: DataFrame) -> DataFrame:
         F.max(F.when(~flat, F.col("mode"))).alias("__full"),
         pair("lat", "lon"),
         pair("lat_err", "lon_err"),
+        pair("epx", "epy"),
         pair("dgpsAge", "dgpsSta"),
         *[last(c) for c in single],
     )
     mode = F.when((F.col("__full") == 3) & (F.col("__mode") == 2), 3).otherwise(F.col("__mode"))
     seconds = F.unix_micros(F.col("day").cast("timestamp")) + F.round(F.col("tod") * 1e6).cast("long")
-    return merged.withColumns({"mode": mode, "lat": F.col("__lat.lat"), "lon": F.col("__lat.lon"), "lat_err": F.col("__lat_err.lat_err"), "lon_err": F.col("__lat_err.lon_err"), "dgpsAge": F.col("__dgpsAge.dgpsAge"), "dgpsSta": F.col("__dgpsAge.dgpsSta"), "time": F.timestamp_micros(seconds)}).drop("__mode", "__full", "__lat", "__lat_err", "__dgpsAge")
+    return merged.withColumns({"mode": mode, "lat": F.col("__lat.lat"), "lon": F.col("__lat.lon"), "lat_err": F.col("__lat_err.lat_err"), "lon_err": F.col("__lat_err.lon_err"), "epx": F.col("__epx.epx"), "epy": F.col("__epx.epy"), "dgpsAge": F.col("__dgpsAge.dgpsAge"), "dgpsSta": F.col("__dgpsAge.dgpsSta"), "time": F.timestamp_micros(seconds)}).drop("__mode", "__full", "__lat", "__lat_err", "__epx", "__dgpsAge")
 
 
 def fixes(lines: DataFrame, device: str = "file", value: str = "value") -> DataFrame:
@@ -254,12 +261,25 @@ def fixes(lines: DataFrame, device: str = "file", value: str = "value") -> DataF
 
 
 def sat_identity(sats: DataFrame) -> DataFrame:
-    """(gnssid, svid) of satellite numbers by range; numbers up to 32 take the talker's system."""
-    d = F.broadcast(sats.sparkSession.createDataFrame(list(PRN_RANGES), "__low int, __high int, __gnss int"))  # ten rows
-    by_talker = _map(F.col("talker"), TALKER_GNSS)
-    out = sats.join(d, F.col("PRN").between(F.col("__low"), F.col("__high")), "left")
-    gnss = F.when((F.col("PRN") <= 32) & by_talker.isNotNull(), by_talker).otherwise(F.col("__gnss"))
-    return out.withColumns({"gnssid": gnss, "svid": F.when((F.col("__gnss") == 1) & (F.col("PRN") <= 64), F.col("PRN") + 87).when(F.col("PRN") <= 32, F.col("PRN")).otherwise(F.col("PRN") - F.col("__low") + 1)}).drop("__low", "__high", "__gnss")
+    """(gnssid, svid) of satellite numbers by range; numbers up to 32 take the talker's system. Numbers in no range are
+    of system 0, with number 0. A column system, if there is one, is the sentence's system field."""
+    prn = F.col("PRN")
+    by_talker = F.when(prn.between(1, 32), _map(F.col("talker"), TALKER_GNSS))
+    gnss, svid = F.coalesce(by_talker, ranged(prn, PRN_RANGES, 2)), ranged(prn, PRN_RANGES, 3)
+    if "system" in sats.columns:  # the system field of later sentence versions decides where there is one
+        for field in range(1, 7):
+            own = [r[1:] for r in SYSTEM_RANGES if r[0] == field]
+            here = F.col("system") == field
+            gnss, svid = F.when(here, ranged(prn, own, 2)).otherwise(gnss), F.when(here, ranged(prn, own, 3)).otherwise(svid)
+    return sats.withColumns({"gnssid": F.coalesce(gnss, F.lit(0)), "svid": F.coalesce(svid, F.lit(0))})
+
+
+def ranged(prn: Column, ranges, what: int) -> Column:
+    """Of the range that a number is in: the system (2), or the number within it (3); null in none."""
+    out = F.lit(None).cast("int")
+    for low, high, system, off in ranges:
+        out = F.when(prn.between(low, high), F.lit(system) if what == 2 else prn - off).otherwise(out)
+    return out
 
 
 def gsv_parts(lines: DataFrame, device: str = "file", value: str = "value") -> DataFrame:
@@ -296,15 +316,19 @@ def gsa_used(lines: DataFrame, device: str = "file", value: str = "value") -> Da
     """Satellites named as used: (device, line_no, talker, PRN, system)."""
     rows = tokenise(lines, value).filter("tag = 'GSA' and size(f) >= 18")
     named = F.filter(F.transform(F.slice("f", 4, 12), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
-    return rows.select(F.col(device).alias("device"), "line_no", "talker", _map(_f(18), SYSTEM_GNSS).alias("system"), F.explode(named).alias("PRN"))
+    return rows.select(F.col(device).alias("device"), "line_no", "talker", _i(18).alias("system"), F.explode(named).alias("PRN"))
 
 
 def mark_used(sats: DataFrame, used: DataFrame) -> DataFrame:
-    """Adds used: whether the satellite is named in its epoch. Both have (device, epoch, PRN)."""
-    named = used.select("device", "epoch", "PRN").distinct().withColumn("__used", F.lit(True))
-    return sats.join(named, ["device", "epoch", "PRN"], "left").withColumn("used", F.coalesce("__used", F.lit(False))).drop("__used")
+    """Adds used: whether the satellite is named in its epoch. Both have (device, epoch, PRN) and talker or gnssid and
+    svid; satellites agree by system and number within it."""
+    sats, used = (d if {"gnssid", "svid"} <= set(d.columns) else sat_identity(d) for d in (sats, used))
+    by = ["device", "epoch", "gnssid", "svid"]
+    named = used.select(*by).distinct().withColumn("__used", F.lit(True))
+    return sats.join(named, by, "left").withColumn("used", F.coalesce("__used", F.lit(False))).drop("__used")
 
 
 def signal_id(gnssid: Column, signal: Column) -> Column:
-    """The report's signal number of a sentence's."""
-    return _map(F.concat(gnssid.cast("string"), F.upper(signal)), SIGNAL)
+    """The report's signal number of a sentence's hexadecimal one; 0 where it isn't known."""
+    keys = {g * 16 + s: to for g, signals in SIGNAL.items() for s, to in signals.items()}
+    return F.when(signal.isNotNull(), F.coalesce(_map(gnssid * 16 + F.conv(signal, 16, 10).cast("int"), keys), F.lit(0)))

@@ -96,14 +96,16 @@ def fix_streak(tpv: DataFrame, good: Column, order: str = "line_no") -> DataFram
 
 
 def one_per_second(tpv: DataFrame, min_good: int = 3, time: str = "time", order: str = "line_no") -> DataFrame:
-    """Reports of a second not reported yet, once over min_good good fixes have come in a row."""
+    """Reports of a second that isn't the one reported last, once over min_good good fixes have come in a row. Every
+    eligible row is of the second reported last or reported itself, so the eligible row before tells that second."""
     w = W.partitionBy("device").orderBy(order)
-    rows = fix_streak(tpv, F.col("mode") >= 2, order).withColumn("__s", F.floor(seconds(time))).withColumn("__last", F.lag("__s").over(w))
-    return rows.filter((F.col("streak") > min_good) & (F.col("__last").isNull() | (F.col("__s") != F.col("__last")))).drop("__s", "__last")
+    rows = fix_streak(tpv, F.col("mode") >= 2, order).filter(F.col("streak") > min_good).withColumn("__s", F.floor(seconds(time))).filter("__s <> 0")
+    return rows.withColumn("__last", F.lag("__s").over(w)).filter(F.col("__last").isNull() | (F.col("__s") != F.col("__last"))).drop("__s", "__last")
 
 
 def classify_pulses(edges: DataFrame, time_us: str = "us", edge: str = "edge") -> DataFrame:
-    """Adds cycle (since the last same edge), duration (since the last other edge), in microseconds, and kind."""
+    """Adds cycle (since the last same edge), duration (since the last other edge), in microseconds, kind, and
+    whether the edge starts a second."""
     w = W.partitionBy("device").orderBy(time_us)
     t = F.col(time_us)
     same = F.lag(time_us).over(W.partitionBy("device", edge).orderBy(time_us))
@@ -115,15 +117,16 @@ def classify_pulses(edges: DataFrame, time_us: str = "us", edge: str = "edge") -
     kind = (
         F.when(c.isNull() | d.isNull(), "too early")
         .when(c < 0, "clock went back")
-        .when(c < 199000, "too short")
-        .when(c <= 201000, F.when(d < 45000, "5 Hz trailing").otherwise("5 Hz leading"))
+        .when(c < 180000, "too short for 5 Hz")
+        .when(c < 201000, F.when(d < 100000, "5 Hz").otherwise("5 Hz, long part"))
         .when(c < 900000, "too long for 5 Hz, too short for 1 Hz")
-        .when(c <= 1100000, F.when(d.between(499000, 501000), "1 Hz square").when(d < 499000, "1 Hz trailing").otherwise("1 Hz leading"))
-        .when(c < 1999000, "too long for 1 Hz, too short for 0.5 Hz")
-        .when(c <= 2001000, F.when(d.between(999000, 1001000), "0.5 Hz square").otherwise("0.5 Hz"))
-        .otherwise("too long")
+        .when(c < 1100000, F.when(d == 0, "1 Hz invisible").when(d < 450000, "1 Hz trailing").when(d < 555000, "1 Hz square").otherwise("1 Hz leading"))
+        .when(c < 1800000, "too long for 1 Hz, too short for 0.5 Hz")
+        .when(c < 2200000, F.when(d < 990000, "0.5 Hz, too short").when(d < 1100000, "0.5 Hz square").otherwise("0.5 Hz, too long"))
+        .otherwise("too long for 0.5 Hz")
     )
-    return out.withColumn("kind", kind)
+    starts = kind.isin("5 Hz", "1 Hz invisible", "1 Hz leading", "0.5 Hz square") | ((kind == "1 Hz square") & (F.col(edge) == 1))
+    return out.withColumns({"kind": kind, "starts": starts})
 
 
 def sat_tracks(sats: DataFrame, keep: int = 1024, stale: int = 10, update: str = "update") -> DataFrame:

@@ -123,9 +123,9 @@ def to_gsv(sky: DataFrame) -> DataFrame:
 def to_report_json(tpv: DataFrame) -> DataFrame:
     """Report lines: absent fields left out, no geometry below 2D, no climb below 3D, tiny velocities as 0."""
     flat = [c for c in ("lat", "lon", "epx", "epy", "eph", "track", "speed", "eps", "epd") if c in tpv.columns]
-    deep = [c for c in ("altHAE", "altMSL", "epv", "climb", "epc", "sep") if c in tpv.columns]
+    deep = [c for c in ("altHAE", "altMSL", "epv", "climb", "epc", "sep", "ecefx", "ecefy", "ecefz", "ecefvx", "ecefvy", "ecefvz") if c in tpv.columns]
     out = tpv.withColumns({c: F.when(F.col("mode") >= 2, F.col(c)) for c in flat} | {c: F.when(F.col("mode") >= 3, F.col(c)) for c in deep})
-    out = out.withColumns({c: F.when(F.abs(c) < 0.001, 0.0).otherwise(F.col(c)) for c in ("speed", "climb", "velN", "velE", "velD") if c in tpv.columns})
+    out = out.withColumns({c: F.when(F.abs(c) < 0.0005, 0.0).otherwise(F.col(c)) for c in ("climb", "velN", "velE", "velD") if c in tpv.columns})
     return out.select(F.to_json(F.struct(F.lit("TPV").alias("class"), *[c for c in out.columns if c != "class"]), {"ignoreNullFields": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"}).alias("value"))
 
 

@@ -118,7 +118,10 @@ def _stream(spark, sf_dir, make, name: str) -> DataFrame:
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meridian-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="meridian-")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
@@ -196,8 +199,9 @@ def skip_warmup(spark, sf_dir):
 
 
 @query("one_per_second", """, i as (select *, sum(case when mode >= 2 then 0 else 1 end) over (partition by device order by line_no) as island, epoch_us(time) // 1000000 as s from fix_view),
-k as (select *, sum(case when mode >= 2 then 1 else 0 end) over (partition by device, island order by line_no) as streak, lag(s) over (partition by device order by line_no) as l from i)
-select line_no, device from k where streak > 3 and (l is null or s <> l)""")
+k as (select *, sum(case when mode >= 2 then 1 else 0 end) over (partition by device, island order by line_no) as streak from i),
+g as (select *, lag(s) over (partition by device order by line_no) as l from k where streak > 3)
+select line_no, device from g where l is null or s <> l""")
 def one_per_second(spark, sf_dir):
     return sequence.one_per_second(fix_view(spark, sf_dir)).select("line_no", "device")
 

@@ -324,8 +324,11 @@ def gps2utc_roundtrip(spark, sf_dir):
     return fix_view(spark, sf_dir).select("line_no", gpstime.gps2utc(week % 1024, tow, F.lit(18), F.floor(week / 1024)).alias("t"))
 
 
-@query("prn_range_join", """, s as (select line_no, prn * 10 as id from fix_view), r as (select * from (values (1, 32, 0), (33, 64, 1), (65, 96, 6), (152, 158, 1), (173, 182, 4), (193, 202, 5), (301, 336, 2), (401, 437, 3), (500, 509, 7), (901, 918, 7)) r(lo, hi, gnssid))
-select line_no, id, gnssid, id - lo + 1 as svid from s left join r on id between lo and hi""")
+@query("prn_range_join", """, s as (select line_no, prn * 10 as id from fix_view)
+select line_no, id, case when id between 1 and 32 then 0 when id between 33 and 64 then 1 when id between 65 and 96 then 6 when id between 120 and 158 then 1 when id between 173 and 182 then 4 when id between 193 and 197 then 5 when id between 201 and 237 then 3
+ when id between 301 and 356 then 2 when id between 401 and 437 then 3 when id between 500 and 509 then 7 when id between 901 and 918 then 7 end as gnssid,
+ case when id between 1 and 32 then id when id between 33 and 64 then 87 + id when id between 65 and 96 then id - 64 when id between 120 and 158 then id when id between 173 and 182 then id - 172 when id between 193 and 197 then id - 192 when id between 201 and 237 then id - 200
+ when id between 301 and 356 then id - 300 when id between 401 and 437 then id - 400 when id between 500 and 509 then id - 500 when id between 901 and 918 then id - 900 end as svid from s""")
 def prn_range_join(spark, sf_dir):
     return joins.prn_range_join(fix_view(spark, sf_dir).select("line_no", (F.col("prn") * 10).alias("id")), "id")
 
