@@ -230,12 +230,14 @@ def keep_identified(docs: DataFrame, model: ByteCNN | None, text_col: str = "tex
     return docs.mapInArrow(run, docs.schema)
 
 
-def calibrate(model: ByteCNN | None, held_out: DataFrame, per_language: int = CALIBRATION, margin: float = 0.9) -> ByteCNN | None:
-    """The model, whose `unsure` is margin times the lowest score of a bounded sample of held-out labelled (id, text,
-    lang): below what any text known to be of a language gets. Without such rows nothing counts as unsure."""
+def calibrate(model: ByteCNN | None, held_out: DataFrame, per_language: int = CALIBRATION, margin: float = 0.25) -> ByteCNN | None:
+    """The model, whose `unsure` lies margin of the way from chance to the lowest score of a bounded sample of held-out
+    labelled (id, text, lang): well below what texts known to be of a language get. Without such rows, or with one
+    language, nothing counts as unsure."""
     rows = [r["text"] for r in training_rows(held_out, per_language) if has_letter(r["text"])]
-    if model and rows:
-        model.unsure = margin * min(labeller(model)(rows)[1])
+    if model and rows and len(model.languages) > 1:
+        chance = 1 / len(model.languages)
+        model.unsure = chance + margin * max(0.0, min(labeller(model)(rows)[1]) - chance)
     return model
 
 
