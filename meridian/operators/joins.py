@@ -51,10 +51,10 @@ def nearest_stations(fixes: DataFrame, stations: DataFrame, most: int = 12, with
     floor = lambda c: F.floor(c / cell).cast("int")
     placed = stations.select("server", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     placed = placed.withColumn("band", F.explode(F.sequence(floor(F.col("s_lat") - reach), floor(F.col("s_lat") + reach))))
-    placed = placed.withColumn("at", F.explode(F.sequence(floor(F.col("s_lon") - wide), F.least(floor(F.col("s_lon") + wide), floor(F.col("s_lon") - wide) + cells))))
-    placed = placed.withColumn("column", F.pmod("at", F.lit(cells))).dropDuplicates(["server", "s_lat", "s_lon", "band", "column"])
+    placed = placed.withColumn("at", F.explode(F.sequence(floor(F.col("s_lon") - wide), F.least(floor(F.col("s_lon") + wide), floor(F.col("s_lon") - wide) + cells - 1))))
+    placed = placed.withColumn("column", F.pmod("at", F.lit(cells)))
     here = fixes.withColumns({"band": floor(F.col("lat")), "column": F.pmod(floor(F.col("lon")), F.lit(cells))})
-    turned = F.col("s_lon") + F.lit(360.0) * F.round((F.col("lon") - F.col("s_lon")) / 360.0)
+    turned = F.col("s_lon") + F.lit(360.0) * F.floor((F.col("lon") - F.col("s_lon")) / 360.0 + 0.5)
     near = here.join(placed, ["band", "column"]).withColumn("s_lon", turned).withColumn("distance", distance("lat", "lon", "s_lat", "s_lon")).filter(F.col("distance") <= within_m)
     w = W.partitionBy(key).orderBy("distance", "server")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("band", "column", "at", "s_lat", "s_lon")

@@ -50,7 +50,7 @@ def _wrap(dt: Column) -> Column:
     return F.when(dt > HALF_WEEK, dt - 2 * HALF_WEEK).when(dt < -HALF_WEEK, dt + 2 * HALF_WEEK).otherwise(dt)
 
 
-def sat_position(df: DataFrame, t: str = "t", solve=kepler) -> DataFrame:
+def sat_position(df: DataFrame, t: str = "t", solve=kepler_unrolled) -> DataFrame:
     """Adds x, y, z (ECEF, m) and clock (s) of the satellite at GPS time of week t. df has the columns of ORBIT, angles
     in radians; an almanac's missing harmonic terms are zero."""
     zero = F.lit(0.0)
@@ -102,7 +102,7 @@ def merge_almanac(halves: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return whole.groupBy("sv").agg(F.max_by(F.struct(*columns), "toa").alias("a")).select("sv", "a.*").filter("sqrtA > 0")
 
 
-def sat_positions(orbits: DataFrame, start: int, stop: int, step: int, solve=kepler) -> DataFrame:
+def sat_positions(orbits: DataFrame, start: int, stop: int, step: int, solve=kepler_unrolled) -> DataFrame:
     """Positions of every orbit over a grid of times, with latitude, longitude and altitude."""
     rows = orbits.withColumn("t", F.explode(F.sequence(F.lit(start), F.lit(stop), F.lit(step))).cast("double"))
     out = sat_position(rows, "t", solve)

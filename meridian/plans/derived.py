@@ -71,8 +71,8 @@ def _bits(spark, sf_dir) -> DataFrame:
     lon, lat = "line_no * 1237 % 100000000", "line_no * 733 % 50000000"
     parts = [n("1", 6), n("0", 2), n("200000000 + device", 30), n("line_no % 9", 4), n("line_no % 127", 8), n("line_no % 1023", 10), n("line_no % 2", 1), n(lon, 28), n(lat, 27), n("line_no % 3600", 12), n("line_no % 360", 9), n("line_no % 60", 6), n("line_no % 4", 2), n("0", 3), n("line_no % 2", 1), n("line_no % 500000", 19)]
     bits = F.concat(*parts)
-    chars = F.transform(F.sequence(F.lit(0), F.lit(27)), lambda k: F.conv(F.substring(F.col("bits"), k * 6 + 1, F.lit(6)), 2, 10).cast("int"))
-    payload = F.array_join(F.transform(chars, lambda v: F.char(v + 48 + F.when(v >= 40, 8).otherwise(0))), "")
+    bytes_ = F.unhex(F.concat(*[F.lpad(F.conv(F.substring("bits", at, 56), 2, 16), 14, "0") for at in (1, 57, 113)]))
+    payload = F.translate(F.base64(bytes_), ais.BASE64, ais.ARMOR)
     rows = fix_view(spark, sf_dir).withColumn("bits", nmea.once(bits)).withColumn("payload", nmea.once(payload))
     body = F.concat(F.lit("AIVDM,1,1,,A,"), F.col("payload"), F.lit(",0"))
     return rows.select(F.col("device").cast("string").alias("file"), "line_no", nmea.once(F.concat(F.lit("!"), body, F.lit("*"), nmea.hex_checksum(body))).alias("value"))
