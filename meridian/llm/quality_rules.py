@@ -92,9 +92,9 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lim
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Counts and verdicts of all documents."""
+    """Counts and verdicts of all documents, and the digest of what cleaning leaves of each."""
     judged = judge_lines(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words", F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 OP3_SQL = f"""
@@ -102,15 +102,16 @@ with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesc
 win as (select doc_id, i, [words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4]] as w from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from d)),
 rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, w) as n from win) where n > 1),
 cov as (select doc_id, count(distinct i + k)::bigint as n from rep, (select unnest(range(0, 5)) as k) group by doc_id),
-ln as (select doc_id, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') as lw from (select doc_id, unnest(string_split(text, chr(10))) as line from d)),
-bad as (select doc_id, line, len(lw) as n, len(lw) >= 1 and (
+ln as (select doc_id, i, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') as lw from (select doc_id, i, lines[i] as line from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from (select doc_id, string_split(text, chr(10)) as lines from d)))),
+bad as (select doc_id, i, line, len(lw) as n, len(lw) >= 1 and (
    (length(array_to_string(lw, '')) >= 20 and length(regexp_replace(array_to_string(lw, ''), '[^!-/:-@\\[-`{{-~]+', '', 'g')) > 0.15e0 * length(array_to_string(lw, '')))
    or (len(list_filter(lw, lambda w: w in ('|', '»', '›', '>', '•', '·', '/'))) >= 2 and len(list_filter(lw, lambda w: w in ('|', '»', '›', '>', '•', '·', '/'))) > 0.2e0 * len(lw))
    or {" or ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)}) as bad from ln),
-agg as (select doc_id, (count(*) filter (n > 0) - count(distinct line) filter (n > 0))::bigint as n_dup_lines, coalesce(sum(n) filter (bad), 0)::bigint as lost_words from bad group by doc_id),
+agg as (select doc_id, (count(*) filter (n > 0) - count(distinct line) filter (n > 0))::bigint as n_dup_lines, coalesce(sum(n) filter (bad), 0)::bigint as lost_words,
+  sha256(coalesce(string_agg(line, chr(10) order by i) filter (not bad), '')) as clean_sha256 from bad group by doc_id),
 r as (select d.doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
-  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words, lost_words
+  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words, lost_words, clean_sha256
   from d left join cov using (doc_id) left join agg using (doc_id))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, not base_failed and lost_words <= 0.5e0 * n_words as kept
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_words, clean_sha256, not base_failed and lost_words <= 0.5e0 * n_words as kept
 from (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from r)
 """
