@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from meridian.functions import geo
 from meridian.operators import ais, nmea, profile, sequence
 
-#: SQL bodies of the closed-form functions: name, parameters, result.
+_A, _B, _E2 = f"{geo.WGS84_A!r}D", f"{geo.WGS84_B!r}D", f"{geo.WGS84_E2!r}D"
+_EP2 = f"{(geo.WGS84_A**2 - geo.WGS84_B**2) / geo.WGS84_B**2!r}D"
+#: SQL bodies of the closed-form functions: name, parameters, result. Later ones call earlier ones.
 SQL_FUNCTIONS = {
     "earth_distance_small": (
         "lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE",
@@ -22,6 +24,37 @@ SQL_FUNCTIONS = {
     ),
     "norm_deg": ("x DOUBLE", "DOUBLE", "pmod(x, 360D)"),
     "posix2gps": ("t BIGINT, leap INT", "BIGINT", "t - 315964800L + leap"),
+    "meter_offset": (
+        "lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE",
+        "STRUCT<east DOUBLE, north DOUBLE>",
+        "named_struct('east', if(lon1 < lon2, -1D, 1D) * earth_distance_small(lat1, lon1, lat1, lon2), 'north', if(lat1 < lat2, -1D, 1D) * earth_distance_small(lat1, lon1, lat2, lon1))",
+    ),
+    "normal_radius": ("lat DOUBLE", "DOUBLE", f"{_A} / sqrt(1D - {_E2} * pow(sin(radians(lat)), 2))"),
+    "lla2ecef": (
+        "lat DOUBLE, lon DOUBLE, alt DOUBLE",
+        "STRUCT<x DOUBLE, y DOUBLE, z DOUBLE>",
+        f"named_struct('x', (normal_radius(lat) + alt) * cos(radians(lat)) * cos(radians(lon)), 'y', (normal_radius(lat) + alt) * cos(radians(lat)) * sin(radians(lon)), 'z', (normal_radius(lat) * (1D - {_E2}) + alt) * sin(radians(lat)))",
+    ),
+    "ecef_latitude": (
+        "x DOUBLE, y DOUBLE, z DOUBLE",
+        "DOUBLE",
+        f"degrees(atan2(z + {_EP2} * {_B} * pow(sin(atan2(z * {_A}, sqrt(x * x + y * y) * {_B})), 3), sqrt(x * x + y * y) - {_E2} * {_A} * pow(cos(atan2(z * {_A}, sqrt(x * x + y * y) * {_B})), 3)))",
+    ),
+    "ecef2lla": (
+        "x DOUBLE, y DOUBLE, z DOUBLE",
+        "STRUCT<lat DOUBLE, lon DOUBLE, alt DOUBLE>",
+        f"named_struct('lat', ecef_latitude(x, y, z), 'lon', degrees(atan2(y, x)), 'alt', if(sqrt(x * x + y * y) < 1e-6D, abs(z) - {_B}, sqrt(x * x + y * y) / cos(radians(ecef_latitude(x, y, z))) - normal_radius(ecef_latitude(x, y, z))))",
+    ),
+    "ecef2enu": (
+        "dx DOUBLE, dy DOUBLE, dz DOUBLE, lat DOUBLE, lon DOUBLE",
+        "STRUCT<east DOUBLE, north DOUBLE, up DOUBLE>",
+        "named_struct('east', cos(radians(lon)) * dy - sin(radians(lon)) * dx, 'north', cos(radians(lat)) * dz - sin(radians(lat)) * (cos(radians(lon)) * dx + sin(radians(lon)) * dy), 'up', cos(radians(lat)) * (cos(radians(lon)) * dx + sin(radians(lon)) * dy) + sin(radians(lat)) * dz)",
+    ),
+    "enu2aer": (
+        "east DOUBLE, north DOUBLE, up DOUBLE",
+        "STRUCT<az DOUBLE, el DOUBLE, distance DOUBLE>",
+        "named_struct('az', pmod(degrees(atan2(east, north)), 360D), 'el', degrees(atan2(up, sqrt(east * east + north * north))), 'distance', sqrt(east * east + north * north + up * up))",
+    ),
 }
 
 

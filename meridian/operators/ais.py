@@ -49,17 +49,59 @@ LAYOUTS = {
 }
 #: Fixed values. Least and most bits of a message by type.
 LENGTHS = {1: (163, 204), 2: (163, 204), 3: (163, 204), 4: (168, 1192), 5: (420, 1192), 6: (88, 1192), 7: (72, 168), 8: (56, 1192), 9: (168, 1192), 10: (72, 1192), 11: (168, 1192), 12: (72, 1192), 13: (72, 168), 14: (40, 1192), 15: (88, 168), 16: (96, 168), 17: (80, 816), 18: (168, 1192), 19: (312, 1192), 20: (72, 186), 21: (272, 1192), 22: (168, 1192), 23: (160, 1192), 24: (160, 1192), 25: (40, 1192), 26: (60, 1192), 27: (96, 168)}
-#: Fixed values. Payload layouts of binary messages by (dac, fid), from the payload's first bit.
-BINARY = {
-    (235, 10): "ana_int 0 10 u, ana_ext1 10 10 u, ana_ext2 20 10 u, racon 30 2 u, light 32 2 u, alarm 34 1 b, stat_ext 35 8 u, off_pos 43 1 b",
-    (250, 10): "ana_int 0 10 u, ana_ext1 10 10 u, ana_ext2 20 10 u, racon 30 2 u, light 32 2 u, alarm 34 1 b, stat_ext 35 8 u, off_pos 43 1 b",
-    (1, 16): "persons 0 13 u",
-    (200, 10): "vin 0 48 t, length 48 13 u, beam 61 10 u, shiptype 71 14 u, hazard 85 3 u, draught 88 11 u, loaded 99 2 u, speed_q 101 1 b, course_q 102 1 b, heading_q 103 1 b",
-    (200, 24): "country 0 12 t",
-    (200, 55): "crew 0 8 u, passengers 8 13 u, personnel 21 8 u",
-    (1, 11): "lat 0 24 s, lon 24 25 s, day 49 5 u, hour 54 5 u, minute 59 6 u, wspeed 65 7 u, wgust 72 7 u, wdir 79 9 u, wgustdir 88 9 u, temperature 97 11 u, humidity 108 7 u, dewpoint 115 10 u, pressure 125 9 u, pressuretend 134 2 u",
-    (1, 31): "lon 0 25 s, lat 25 24 s, accuracy 49 1 b, day 50 5 u, hour 55 5 u, minute 60 6 u, wspeed 66 7 u, wgust 73 7 u, wdir 80 9 u, wgustdir 89 9 u, airtemp 98 11 s, humidity 109 7 u, dewpoint 116 10 s, pressure 126 9 u, pressuretend 135 2 u, visgreater 137 1 b, visibility 138 7 u, waterlevel 145 12 u",
-}
+#: Fixed values. What follows the position and time in weather reports, from its first bit in type 8.
+_WEATHER_11 = "wspeed 121 7 u, wgust 128 7 u, wdir 135 9 u, wgustdir 144 9 u, temperature 153 11 u, humidity 164 7 u, dewpoint 171 10 u, pressure 181 9 u, pressuretend 190 2 u, visibility 192 8 u, waterlevel 200 9 u, leveltrend 209 2 u, cspeed 211 8 u, cdir 219 9 u, cspeed2 228 8 u, cdir2 236 9 u, cdepth2 245 5 u, cspeed3 250 8 u, cdir3 258 9 u, cdepth3 267 5 u, waveheight 272 8 u, waveperiod 280 6 u, wavedir 286 9 u, swellheight 295 8 u, swellperiod 303 6 u, swelldir 309 9 u, seastate 318 4 u, watertemp 322 10 u, preciptype 332 3 u, salinity 335 9 u, ice 344 2 u"
+_WEATHER_31 = "wspeed 122 7 u, wgust 129 7 u, wdir 136 9 u, wgustdir 145 9 u, airtemp 154 11 s, humidity 165 7 u, dewpoint 172 10 s, pressure 182 9 u, pressuretend 191 2 u, visgreater 193 1 b, visibility 194 7 u, waterlevel 201 12 u, leveltrend 213 2 u, cspeed 215 8 u, cdir 223 9 u, cspeed2 232 8 u, cdir2 240 9 u, cdepth2 249 5 u, cspeed3 254 8 u, cdir3 262 9 u, cdepth3 271 5 u, waveheight 276 8 u, waveperiod 284 6 u, wavedir 290 9 u, swellheight 299 8 u, swellperiod 307 6 u, swelldir 313 9 u, seastate 322 4 u, watertemp 326 10 s, preciptype 336 3 u, salinity 339 9 u, ice 348 2 u"
+#: Fixed values. Services of a berth, two bits each from bit 141 on.
+_SERVICES = "fuel chandler stevedore electrical water customs cartage crane lift medical navrepair provisions shiprepair surveyor steam tugs solidwaste liquidwaste hazardouswaste ballast additional regional1 regional2 future1 future2"
+_BUOY = "ana_int 88 10 u, ana_ext1 98 10 u, ana_ext2 108 10 u, racon 118 2 u, light 120 2 u, alarm 122 1 b, stat_ext 123 8 u, off_pos 131 1 b"
+_LOCK = "country 88 12 t, locode 100 18 t, section 118 30 t, terminal 148 30 t, hectometre 178 30 t, month 208 4 u, day 212 5 u, hour 217 5 u, minute 222 6 u"
+_WAYPOINTS = "lon 0 28 s, lat 28 27 s"
+
+
+def _route(at: int) -> str:
+    names = (("linkage", 10), ("sender", 3), ("rtype", 5), ("month", 4), ("day", 5), ("hour", 5), ("minute", 6), ("duration", 18), ("waycount", 5))
+    starts = [at + sum(n for _, n in names[:k]) for k in range(len(names))]
+    return ", ".join(f"{name} {a} {n} u" for (name, n), a in zip(names, starts, strict=True))
+
+
+#: Fixed values. Binary messages: type, dac, fid, least and most bits, layout from the message's first bit, and a list at
+#: the end: its name, first bit, bits an entry, layout of an entry, most entries, and the field that counts them.
+APPLICATIONS = (
+    (6, 235, 10, 136, 136, _BUOY, None),
+    (6, 250, 10, 136, 136, _BUOY, None),
+    (6, 200, 21, 248, 248, f"{_LOCK}, tugs 228 3 u, airdraught 231 12 u", None),
+    (6, 200, 22, 232, 232, f"{_LOCK}, status 228 2 u", None),
+    (6, 200, 55, 168, 168, "crew 88 8 u, passengers 96 13 u, personnel 109 8 u", None),
+    (6, 1, 12, 357, 1192, "lastport 88 30 t, lmonth 118 4 u, lday 122 5 u, lhour 127 5 u, lminute 132 6 u, nextport 138 30 t, nmonth 168 4 u, nday 172 5 u, nhour 177 5 u, nminute 182 6 u, dangerous 188 120 t, imdcat 308 24 t, unid 332 13 u, amount 345 10 u, unit 355 2 u", None),
+    (6, 1, 14, 97, 1008, "month 88 4 u, day 92 5 u", ("tidals", 97, 93, "lat 0 27 s, lon 27 28 s, from_hour 55 5 u, from_min 60 6 u, to_hour 66 5 u, to_min 71 6 u, cdir 77 9 u, cspeed 86 7 u", 3, None)),
+    (6, 1, 15, 67, 1008, "airdraught 56 11 u", None),
+    (6, 1, 16, 136, 136, "persons 88 13 u", None),
+    (6, 1, 16, 68, 135, "persons 55 13 u", None),
+    (6, 1, 16, 137, 1192, "persons 55 13 u", None),
+    (6, 1, 18, 317, 1192, "linkage 88 10 u, month 98 4 u, day 102 5 u, hour 107 5 u, minute 112 6 u, portname 118 120 t, destination 238 30 t, lon 268 25 s, lat 293 24 s", None),
+    (6, 1, 20, 360, 1008, "linkage 88 10 u, berth_length 98 9 u, berth_depth 107 8 u, position 115 3 u, month 118 4 u, day 122 5 u, hour 127 5 u, minute 132 6 u, availability 138 1 u, agent 139 2 u, " + ", ".join(f"{n} {141 + 2 * k} 2 u" for k, n in enumerate(_SERVICES.split())) + ", berth_name 191 120 t, berth_lon 311 25 s, berth_lat 336 24 s", None),
+    (6, 1, 25, 100, 1008, "unit 88 2 u, amount 90 10 u", ("cargos", 100, 17, "code 0 4 u, subtype 4 13 u", 28, None)),
+    (6, 1, 28, 149, 1008, _route(88), ("waypoints", 149, 55, _WAYPOINTS, 16, "waycount")),
+    (6, 1, 30, 98, 1008, "linkage 88 10 u, text 98 906 t", None),
+    (6, 1, 32, 97, 1008, "month 88 4 u, day 92 5 u", ("tidals", 97, 88, "lon 0 25 s, lat 25 24 s, from_hour 49 5 u, from_min 54 6 u, to_hour 60 5 u, to_min 65 6 u, cdir 71 9 u, cspeed 80 8 u", 3, None)),
+    (8, 1, 11, 346, 352, f"lat 56 24 s, lon 80 25 s, day 105 5 u, hour 110 5 u, minute 115 6 u, {_WEATHER_11}", None),
+    (8, 1, 13, 468, 1192, "reason 56 120 t, closefrom 176 120 t, closeto 296 120 t, radius 416 10 u, extunit 426 2 u, fday 428 5 u, fmonth 433 4 u, fhour 437 5 u, fminute 442 6 u, tday 448 5 u, tmonth 453 4 u, thour 457 5 u, tminute 462 6 u", None),
+    (8, 1, 15, 67, 1192, "airdraught 56 11 u", None),
+    (8, 1, 16, 136, 136, "persons 88 13 u", None),
+    (8, 1, 16, 72, 72, "persons 55 13 u", None),
+    (8, 1, 17, 56, 1008, "", ("targets", 56, 122, "idtype 0 2 u, id 2 42 u, name 2 42 t, lat 48 24 s, lon 72 25 s, course 97 9 u, second 106 6 u, speed 112 10 u", 4, None)),
+    (8, 1, 19, 258, 1008, "linkage 56 10 u, station 66 120 t, lon 186 25 s, lat 211 24 s, status 235 2 u, signal 237 5 u, hour 242 5 u, minute 247 6 u, nextsignal 253 5 u", None),
+    (8, 1, 27, 117, 1008, _route(56), ("waypoints", 117, 55, _WAYPOINTS, 16, "waycount")),
+    (8, 1, 29, 72, 1008, "linkage 56 10 u, text 66 942 t", None),
+    (8, 1, 31, 350, 1192, f"lon 56 25 s, lat 81 24 s, accuracy 105 1 b, day 106 5 u, hour 111 5 u, minute 116 6 u, {_WEATHER_31}", None),
+    (8, 200, 10, 168, 168, "vin 56 48 t, length 104 13 u, beam 117 10 u, shiptype 127 14 u, hazard 141 3 u, draught 144 11 u, loaded 155 2 u, speed_q 157 1 b, course_q 158 1 b, heading_q 159 1 b", None),
+    (8, 200, 23, 256, 256, "start_year 56 8 u, start_month 64 4 u, start_day 68 5 u, end_year 73 8 u, end_month 81 4 u, end_day 85 5 u, start_hour 90 5 u, start_minute 95 6 u, end_hour 101 5 u, end_minute 106 6 u, start_lon 112 28 s, start_lat 140 27 s, end_lon 167 28 s, end_lat 195 27 s, type 222 4 u, min 226 9 s, max 235 9 s, intensity 244 2 u, wind 246 4 u", None),
+    (8, 200, 24, 168, 168, "country 56 12 t", ("gauges", 68, 25, "id 0 11 u, level 11 14 s", 4, None)),
+    (8, 200, 40, 168, 168, "lon 56 28 s, lat 84 27 s, form 111 4 u, facing 115 9 u, direction 124 3 u, status 127 30 u", None),
+)
+#: The largest hazard class of inland ships; more tell that a message is of another kind.
+MOST_HAZARD = 5
 #: Fixed values. Navigation statuses, position-fixing devices, kinds of ships, stations and aids to navigation.
 STATUS_TEXT = dict(enumerate(("Under way using engine", "At anchor", "Not under command", "Restricted maneuverability", "Constrained by her draught", "Moored", "Aground", "Engaged in fishing", "Under way sailing", "Reserved for HSC", "Reserved for WIG", "Power-driven vessel towing astern", "Power-driven vessel pushing ahead or towing alongside", "Reserved", "AIS-SART is active", "Not defined")))
 EPFD_TEXT = dict(enumerate(("Undefined", "GPS", "GLONASS", "Combined GPS/GLONASS", "Loran-C", "Chayka", "Integrated navigation system", "Surveyed", "Galileo", "Reserved (9)", "Reserved (10)", "Reserved (11)", "Reserved (12)", "Reserved (13)", "Reserved (14)", "Internal GNSS")))
@@ -211,7 +253,7 @@ def decode_type(messages: DataFrame, type_: int) -> DataFrame:
         if c in out.columns:
             out = out.withColumn(f"{c}_text", _text(c, names))
     if type_ in (6, 8):
-        out = with_payload(out, 88 if type_ == 6 else 56)
+        out = with_payload(out, type_)
     if type_ == 12:
         out = out.withColumn("text", _rest_text(b, 72))
     if type_ == 14:
@@ -262,15 +304,32 @@ def _from(bits: Column, at: Column, cut: int = 0) -> Column:
     return F.struct(clean.alias("hex"), n.alias("n"))
 
 
-def with_payload(rows: DataFrame, at: int) -> DataFrame:
-    """Binary payloads: a struct per known (dac, fid), named app_<dac>_<fid>, and hex data of the others."""
-    b = F.col("bits")
-    known, structs = F.lit(False), {}
-    for (dac, fid), layout in BINARY.items():
-        here = (F.col("dac") == dac) & (F.col("fid") == fid)
+def _entries(bits: Column, name: str, at: int, size: int, layout: str, most: int, n: Column | None) -> Column:
+    """The whole entries of a list at the end of a message; n says how many, else the message's length."""
+    count = F.floor((bit_length(bits) - at) / size)
+    count = count if n is None else F.least(n, count)
+    entry = lambda k: F.struct(*[_field(bits, at + size * k + a, w, kind).alias(c) for c, a, w, kind in _layout(layout)])
+    all_ = F.array(*[F.when(count > k, entry(k)) for k in range(most)])
+    return F.filter(all_, lambda x: x.isNotNull()).alias(name)
+
+
+def with_payload(rows: DataFrame, type_: int) -> DataFrame:
+    """Binary payloads of a type: a struct per known (dac, fid), named app_<dac>_<fid>, and hex data of the others and
+    of those with another length than theirs. Values are unscaled. Lists hold whole entries only: bits that a message
+    has behind its last whole entry are not read."""
+    b, known, structs = F.col("bits"), F.lit(False), {}
+    for of, dac, fid, least, most, layout, more in APPLICATIONS:
+        if of != type_:
+            continue
+        here = (F.col("dac") == dac) & (F.col("fid") == fid) & bit_length(b).between(least, most)
+        fields = {name: _field(b, a, n, k).alias(name) for name, a, n, k in _layout(layout)}
+        if (dac, fid) == (200, 10):
+            here = here & (fields["hazard"] <= MOST_HAZARD)
         known = known | here
-        structs[f"app_{dac}_{fid}"] = F.when(here, F.struct(*[_field(b, at + a, n, k).alias(name) for name, a, n, k in _layout(layout)]))
-    return rows.withColumns({**structs, "data": F.when(~known, hex_data(b, at))})
+        name = f"app_{dac}_{fid}"
+        value = F.when(here, F.struct(*fields.values(), *([] if more is None else [_entries(b, *more[:5], fields.get(more[5]))])))
+        structs[name] = F.coalesce(structs[name], value) if name in structs else value
+    return rows.withColumns({**structs, "data": F.when(~F.coalesce(known, F.lit(False)), hex_data(b, 88 if type_ == 6 else 56))})
 
 
 def _type24(rows: DataFrame) -> DataFrame:

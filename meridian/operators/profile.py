@@ -186,6 +186,13 @@ def obs_counts(obs: DataFrame, most: int = 99999) -> DataFrame:
     return obs.groupBy("gnssid", "svid", "code").agg(F.least(F.count("value"), F.lit(most)).alias("n"))
 
 
+def sorted_counts(counts: DataFrame) -> DataFrame:
+    """Observation counts with k, their place by system and satellite; unused rows (satellite 0) come last. The table
+    has a row per satellite and code."""
+    unused = F.col("svid") == 0
+    return counts.withColumn("k", F.row_number().over(W.orderBy(unused, F.when(~unused, F.col("gnssid")), "svid", "code")))
+
+
 def sats_per_constellation(obs: DataFrame) -> DataFrame:
     """Distinct satellites of each system and in all (null system)."""
     pairs = obs.select("gnssid", "svid").distinct()

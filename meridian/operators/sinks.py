@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meridian.functions import gnss
 from meridian.functions.geo import MPS_TO_KNOTS, clamp_error, polar_xy
 from meridian.operators.nmea import hex_checksum
 from meridian.operators.sequence import segment_tracks
@@ -39,7 +40,7 @@ def to_gpx(tracks: DataFrame, order: str = "line_no") -> DataFrame:
     )
     lines = tracks.select("device", "track_id", F.col(order).alias("k"), point.alias("value"))
     trk = lines.groupBy("device", "track_id").agg(F.concat(F.lit("<trk><trkseg>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), "\n"), F.lit("</trkseg></trk>")).alias("value"))
-    return trk  # a track is bounded by its gap; write it with the head and foot of gpx_envelope around
+    return trk  # a track is bounded by its gap; GPX_HEAD and GPX_FOOT go around the rows
 
 
 GPX_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<gpx version="1.1" creator="meridian" xmlns="http://www.topografix.com/GPX/1/1">'
@@ -101,6 +102,17 @@ def to_gbs(tpv: DataFrame) -> DataFrame:
     return tpv.withColumn("value", sentence(body))
 
 
+#: Fixed values. Fields of an almanac sentence with their forms; all but the first two in hexadecimal digits.
+ALMANAC_FIELDS = (("sv", "%02d"), ("week", "%04d"), ("svh", "%02x"), ("e", "%04x"), ("toa", "%02x"), ("deltai", "%04x"), ("Omegad", "%04x"), ("sqrtA", "%05x"), ("omega", "%06x"), ("Omega0", "%06x"), ("M0", "%06x"), ("af0", "%03x"), ("af1", "%03x"))
+
+
+def to_alm(almanac: DataFrame) -> DataFrame:
+    """Almanac sentences from an almanac's unscaled numbers; the week is taken modulo 1024."""
+    values = [F.col(c) % 1024 if c == "week" else F.col(c) for c, _ in ALMANAC_FIELDS]
+    body = F.format_string("GPALM,1,1," + ",".join(f for _, f in ALMANAC_FIELDS), *[v.cast("int") for v in values])
+    return almanac.withColumn("value", sentence(body))
+
+
 def to_gsa(sky: DataFrame) -> DataFrame:
     """Used satellites (twelve fit) and dilutions, with the fix's mode beside the skyview."""
     used = F.transform(F.slice(F.filter("satellites", lambda s: s["used"]), 1, 12), lambda s: F.format_string("%02d", s["PRN"]))
@@ -157,16 +169,88 @@ def rinex_rows(obs: DataFrame, codes: tuple[str, ...]) -> DataFrame:
     return wide.select("epoch", "sat", F.concat("sat", *[F.coalesce(c, F.lit(" " * 16)) for c in codes]).alias("value"))
 
 
+#: Fixed values. Systems of an observation header in its order, with their phase shift lines.
+HEADER_SYSTEMS = ((0, ("G L1C", "G L2C")), (1, ("S L1C", "E L5Q")), (2, ("E L1C", "E L7Q")), (3, ("B L1C", "B L7I")), (5, ("J L1C", "J L2C")), (6, ("R L1C", "R L2C")))
+
+
+def _headed(text: Column, name: str) -> Column:
+    """A header line: the text in 60 characters and the line's name in 20."""
+    return F.concat(F.rpad(text, 60, " "), F.lit(name.ljust(20)))
+
+
+def _moment(t: Column) -> Column:
+    at = F.timestamp_micros((t * 1_000_000).cast("long"))
+    parts = [F.year(at), F.month(at), F.dayofmonth(at), F.hour(at), F.minute(at), F.second(at), ((t * 10_000_000).cast("long") % 10_000_000)]
+    return F.format_string("%6d    %02d    %02d    %02d    %02d   %02d.%07d        GPS", *parts)
+
+
+def rinex_header(counts: DataFrame, span: DataFrame, leap_seconds: int, stamp: str, marker: str = "XXXX", marker_type: str = "GEODETIC", observer: str = "Unknown", agency: str = "Unknown", comment: str = "", program: str = "meridian") -> DataFrame:
+    """(k, value): the lines of an observation file's header, in the order of k.
+
+    counts: obs_counts of the data, with the codes of header systems; span: its obs_span, times in seconds. Each system
+    lists its codes in order, twelve at most to a line of the format; satellites list their counts by those codes, nine
+    to a line, blank where there is none. Both are tables of a row per satellite and code, so the joins are small.
+    """
+    spark = counts.sparkSession
+    order = {g: i for i, (g, _) in enumerate(HEADER_SYSTEMS)}
+    known = counts.filter(F.col("gnssid").isin(*order) & (F.col("svid") > 0))
+    letter = lambda c: gnss.rinex_system(c)
+    pad = lambda s, n: f"{s[:n]:<{n}}"
+    fixed = [
+        (f"{'3.05':>9}{'':11}{'OBSERVATION DATA':<20}{'M: Mixed':<20}", "RINEX VERSION / TYPE"),
+        (pad(program, 20) + " " * 20 + pad(stamp, 20), "PGM / RUN BY / DATE"),
+        (pad(comment, 60), "COMMENT"),
+        (pad(marker, 60), "MARKER NAME"),
+        (pad(marker_type, 60), "MARKER TYPE"),
+        (pad(observer, 20) + pad(agency, 40), "OBSERVER / AGENCY"),
+        ("0".ljust(20) + "Unknown".ljust(20) + "0".ljust(20), "REC # / TYPE / VERS"),
+        ("0".ljust(20) + "Unknown".ljust(40), "ANT # / TYPE"),
+    ]
+    top = spark.createDataFrame([(i, text + name.ljust(20)) for i, (text, name) in enumerate(fixed)], "k long, value string")
+    place = F.format_string("%14.4f%14.4f%14.4f", "position.ecefx", "position.ecefy", "position.ecefz")
+    where = span.filter("position.ecefx is not null and position.ecefy is not null and position.ecefz is not null").select(F.lit(100).cast("long").alias("k"), _headed(place, "APPROX POSITION XYZ").alias("value"))
+    antenna = span.select(F.lit(101).cast("long"), _headed(F.lit(f"{0.0:14.4f}" * 3), "ANTENNA: DELTA H/E/N"))
+    rank = gnss.label(F.col("gnssid"), order)
+    systems = known.groupBy("gnssid").agg(F.array_sort(F.collect_set("code")).alias("codes"))  # codes of a system: a few
+    lines = systems.filter("gnssid <> 6").withColumn("part", F.explode(F.sequence(F.lit(0), ((F.size("codes") - 1) / 12).cast("int"))))
+    first = F.when(F.col("part") == 0, F.concat(letter(F.col("gnssid")), F.format_string("%5d", F.size("codes")))).otherwise(" " * 6)
+    listed = F.array_join(F.transform(F.slice("codes", F.col("part") * 12 + 1, F.lit(12)), lambda c: F.lpad(c, 4, " ")), "")
+    types = lines.select((rank * 100 + F.col("part") + 200).cast("long"), _headed(F.concat(first, listed), "SYS / # / OBS TYPES"))
+    number = known.select("gnssid", "svid").distinct().agg(F.count("*").alias("n")).select(F.lit(1000).cast("long"), _headed(F.format_string("%6d", "n"), "# OF SATELLITES"))
+    of_sat = known.groupBy("gnssid", "svid").agg(F.map_from_entries(F.collect_list(F.struct("code", "n"))).alias("of")).join(systems, "gnssid")
+    of_sat = of_sat.withColumn("part", F.explode(F.sequence(F.lit(0), ((F.size("codes") - 1) / 9).cast("int"))))
+    cells = F.array_join(F.transform(F.slice("codes", F.col("part") * 9 + 1, F.lit(9)), lambda c: F.coalesce(F.when(F.col("of")[c] > 0, F.lpad(F.col("of")[c].cast("string"), 6, " ")), F.lit(" " * 6))), "")
+    sat = F.when(F.col("part") == 0, F.concat(F.lit("   "), letter(F.col("gnssid")), F.format_string("%02d", F.col("svid") % 100))).otherwise(" " * 6)
+    sats = of_sat.select((F.col("gnssid") * 100000 + F.col("svid") * 100 + F.col("part") + 10000).cast("long"), _headed(F.concat(sat, cells), "PRN / # OF OBS"))
+    facts = span.select(
+        F.posexplode(
+            F.array(
+                _headed(F.lit("DBHZ"), "SIGNAL STRENGTH UNIT"),
+                _headed(F.format_string("%10.3f", F.coalesce("interval", F.lit(0.0)).cast("double")), "INTERVAL"),
+                _headed(_moment(F.col("first")), "TIME OF FIRST OBS"),
+                _headed(_moment(F.col("last")), "TIME OF LAST OBS"),
+            )
+        ).alias("k", "value")
+    ).select((F.col("k") + 10_000_000).cast("long"), "value")
+    shifts = F.create_map(*[F.lit(x) for g, texts in HEADER_SYSTEMS for x in (g, "|".join(texts))])
+    shift = systems.select(rank.alias("r"), F.posexplode(F.split(shifts[F.col("gnssid")], "\\|"))).select((F.col("r") * 10 + F.col("pos") + 20_000_000).cast("long"), _headed(F.col("col"), "SYS / PHASE SHIFT"))
+    end = spark.createDataFrame([(30_000_000, f"{leap_seconds:6d}{'':18}GPS{'':33}" + "LEAP SECONDS".ljust(20)), (30_000_001, " " * 60 + "END OF HEADER".ljust(20))], "k long, value string")
+    out = top
+    for part in (where, antenna, types, number, sats, facts, shift, end):
+        out = out.union(part)
+    return out
+
+
 def to_rinex3(obs: DataFrame, codes: tuple[str, ...], header: DataFrame) -> DataFrame:
     """Header lines, then each epoch with its satellites: (part, epoch, k, value), to be sorted by the first three.
 
-    header: (k, value), built from the whole-data aggregates obs_counts, sats_per_constellation and obs_span.
+    header: (k, value) of rinex_header.
     """
     body = rinex_rows(obs, codes)
     marks = obs.groupBy("epoch").agg(F.count_distinct("sat").alias("n"))
     stamp = F.date_format(F.timestamp_seconds("epoch"), "yyyy MM dd HH mm ")
     head = marks.select(F.lit(1).alias("part"), "epoch", F.lit("").alias("k"), F.concat(F.lit("> "), stamp, F.format_string("%10.7f  0%3d", F.col("epoch") % 60.0, "n")).alias("value"))
-    top = header.select(F.lit(0).alias("part"), F.lit(0).cast(obs.schema["epoch"].dataType).alias("epoch"), F.format_string("%06d", "k").alias("k"), "value")
+    top = header.select(F.lit(0).alias("part"), F.lit(0).cast(obs.schema["epoch"].dataType).alias("epoch"), F.format_string("%09d", "k").alias("k"), "value")
     return top.unionByName(head).unionByName(body.select(F.lit(1).alias("part"), "epoch", F.col("sat").alias("k"), "value"))
 
 

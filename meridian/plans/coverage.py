@@ -72,11 +72,13 @@ def _value(k: int, n: int) -> str:
     return f"(line_no * {7 * k + 3}) % {1 << min(n, 24)}"
 
 
-def messages_of(spark, sf_dir, type_: int) -> DataFrame:
-    """A vessel message of each event: the type, the ship, and a value in every field."""
-    n_bits = -(-max(ais.LENGTHS[type_][0], 96) // 6) * 6
+def messages_of(spark, sf_dir, type_: int, layout: str | None = None, n_bits: int | None = None) -> DataFrame:
+    """A vessel message of each event: the type, the ship, and a value in every field (of the type, or of a layout)."""
+    layout = next(v for k, v in ais.LAYOUTS.items() if type_ in k) if layout is None else layout
+    pad = 0 if n_bits is None else -n_bits % 6
+    n_bits = -(-max(ais.LENGTHS[type_][0], 96) // 6) * 6 if n_bits is None else n_bits + pad
     fields = [("0", 6, "u", str(type_)), ("6", 2, "u", "0"), ("8", 30, "u", "200000000 + device")]
-    fields += [(str(at), n, kind, _value(k, n)) for k, (_, at, n, kind) in enumerate(ais._layout(next(v for t, v in ais.LAYOUTS.items() if type_ in t)), 1)]
+    fields += [(str(at), n, kind, name.rpartition("=")[2] if "=" in name else _value(k, n)) for k, (name, at, n, kind) in enumerate(ais._layout(layout), 1)]
     parts, at = [], 0
     for start, n, kind, value in fields:
         gap = int(start) - at
@@ -93,7 +95,7 @@ def messages_of(spark, sf_dir, type_: int) -> DataFrame:
     bits = F.rpad(F.concat(*parts), max(n_bits, -(-at // 6) * 6), "0")
     rows = fix_view(spark, sf_dir).withColumn("bits", nmea.once(bits))
     chars = F.transform(F.sequence(F.lit(0), (F.length("bits") / 6).cast("int") - 1), lambda k: F.substring(F.lit(ais.ARMOR), F.conv(F.substring(F.col("bits"), k * 6 + 1, F.lit(6)), 2, 10).cast("int") + 1, F.lit(1)))
-    body = F.concat(F.lit("AIVDM,1,1,,B,"), F.array_join(chars, ""), F.lit(",0"))
+    body = F.concat(F.lit("AIVDM,1,1,,B,"), F.array_join(chars, ""), F.lit(f",{pad}"))
     rows = rows.withColumn("body", nmea.once(body))
     lines = rows.select(F.col("device").cast("string").alias("file"), "line_no", F.concat(F.lit("!"), F.col("body"), F.lit("*"), nmea.hex_checksum(F.col("body"))).alias("value"))
     return ais.messages(lines)
@@ -412,3 +414,84 @@ def semi_join(spark, sf_dir):
 def differences(spark, sf_dir):
     rows = fix_view(spark, sf_dir).select("line_no")
     return joins.differences(rows.filter("line_no % 2 = 0"), rows.filter("line_no % 3 = 0"))
+
+
+def _entry_layout(more) -> list[tuple[str, int, int, str]]:
+    """The fields of the first two entries of a list, from the message's first bit; at most as many as it may have."""
+    _, at, size, layout, most, _ = more
+    return [(f"{name}_{e}", at + size * e + a, n, kind) for e in range(min(2, most)) for name, a, n, kind in ais._layout(layout) if kind != "t"]
+
+
+for _type, _dac, _fid, _least, _most, _layout, _more in ais.APPLICATIONS:
+    if (_type, _dac, _fid, _least) in ((6, 1, 16, 68), (6, 1, 16, 137), (8, 1, 16, 72), (6, 1, 15, 67)):
+        continue  # lengths of persons, and the draught over the payload's number: told in tests
+    _own = ais._layout(_layout)
+    _listed = _entry_layout(_more) if _more else []
+    _start = (("dac", 72, 10), ("fid", 82, 6)) if _type == 6 else (("dac", 40, 10), ("fid", 50, 6))
+    _all = [(f"{n}={v}", a, w, "u") for (n, a, w), v in zip(_start, (_dac, _fid), strict=True)]
+    _all += [(f"{n}=2" if n == "waycount" else f"{n}=line_no % 5" if n == "hazard" else n, a, w, k) for n, a, w, k in (*_own, *_listed)]
+    _bits = max(_least, max(a + w for _, a, w, _ in _all))
+    _text = ", ".join(["line_no", *(f"{n.partition('=')[2]}::bigint as {n.partition('=')[0]}" if "=" in n else _expected(k, f'"{n}"', w, kind) for k, (n, _, w, kind) in enumerate(_all, 1))])
+    _text = _text.replace("line_no % 5::bigint", "(line_no % 5)::bigint")
+
+    @query(f"ais_app_{_type}_{_dac}_{_fid}", f" select {_text} from fix_view")
+    def _application(spark, sf_dir, type_=_type, dac=_dac, fid=_fid, bits=_bits, all_=tuple(_all), own=tuple(_own), more=_more):
+        layout = ", ".join(f"{n} {a} {w} {k}".replace("line_no % 5", "line_no%5") for n, a, w, k in all_)
+        rows = ais.decode_type(messages_of(spark, sf_dir, type_, layout, bits), type_)
+        app = F.col(f"app_{dac}_{fid}")
+        columns = [app[n].alias(n) for n, *_ in own]
+        if more:
+            columns += [app[more[0]][e][n].alias(f"{n}_{e}") for e in range(min(2, more[4])) for n, _, _, k in ais._layout(more[3]) if k != "t"]
+        return rows.select("line_no", "dac", "fid", *columns)
+
+
+@query("sorted_measurements", """, s as (select device, time::date as time, line_no, (prn % 3)::int as gnssid, prn as svid, (line_no % 5)::int as sigid from fix_view)
+select device, time, first(line_no order by gnssid, svid, sigid, line_no) as first_line, last(line_no order by gnssid, svid, sigid, line_no) as last_line from s group by device, time""")
+def sorted_measurements(spark, sf_dir):
+    one = F.struct(F.expr("cast(prn % 3 as int)").alias("gnssid"), F.col("prn").alias("svid"), F.expr("cast(line_no % 5 as int)").alias("sigid"), "line_no")
+    raw = fix_view(spark, sf_dir).groupBy("device", F.to_date("time").alias("time")).agg(F.collect_list(one).alias("rawdata"))
+    return nested.sorted_measurements(raw).select("device", "time", F.col("rawdata")[0]["line_no"].alias("first_line"), F.element_at("rawdata", -1)["line_no"].alias("last_line"))
+
+
+_COUNTED = "case prn % 4 when 0 then 0 when 1 then 2 when 2 then 5 else 6 end"
+
+
+@query("sorted_counts", f""", c as (select {_COUNTED} as gnssid, prn % 9 as svid, case when used then 'C1C' else 'L1C' end as code, count(value)::bigint as n from fix_view group by all)
+select gnssid, svid, code, n, (row_number() over (order by case when svid = 0 then 255 else gnssid end, svid, gnssid * (svid <> 0)::int, code, gnssid))::int as k from c where svid <> 0""")
+def sorted_counts(spark, sf_dir):
+    obs = fix_view(spark, sf_dir).select(F.expr(_COUNTED).alias("gnssid"), F.expr("prn % 9").alias("svid"), F.expr("if(used, 'C1C', 'L1C')").alias("code"), "value")
+    return profile.sorted_counts(profile.obs_counts(obs)).filter("svid <> 0").select("gnssid", "svid", "code", "n", F.col("k").cast("int").alias("k"))
+
+
+@query("rinex_header_counts", f""", c as (select {_COUNTED} as g, prn % 9 as s, least(count(value) filter (used), 99999) as a, least(count(value) filter (not used), 99999) as b from fix_view where prn % 9 > 0 group by all)
+select rpad('   ' || case g when 0 then 'G' when 2 then 'E' when 5 then 'J' else 'R' end || lpad(s::varchar, 2, '0') || case when a > 0 then lpad(a::varchar, 6, ' ') else '      ' end || case when b > 0 then lpad(b::varchar, 6, ' ') else '      ' end, 60, ' ') || rpad('PRN / # OF OBS', 20, ' ') as value from c
+union all select rpad(lpad(count(*)::varchar, 6, ' '), 60, ' ') || rpad('# OF SATELLITES', 20, ' ') from c""")
+def rinex_header_counts(spark, sf_dir):
+    obs = fix_view(spark, sf_dir).select(F.expr(_COUNTED).alias("gnssid"), F.expr("prn % 9").alias("svid"), F.expr("if(used, 'C1C', 'L1C')").alias("code"), "value")
+    fixes = fix_view(spark, sf_dir).selectExpr("mode", "time", "1D as ecefx", "2D as ecefy", "3D as ecefz")
+    span = profile.obs_span(fix_view(spark, sf_dir).select((F.unix_micros(F.col("time").cast("timestamp")) / 1e6).alias("time")), fixes)
+    header = sinks.rinex_header(profile.obs_counts(obs), span, 18, "20260101 000000 UTC")
+    return header.filter("value like '%OF OBS%' or value like '%OF SATELLITES%'").select("value")
+
+
+@query("almanac_sentences", """ select line_no, printf('GPALM,1,1,%02d,%04d,%02x,%04x,%02x,%04x,%04x,%05x,%06x,%06x,%06x,%03x,%03x', prn::int, (line_no % 1024)::int, (line_no % 7)::int, (line_no % 65536)::int, (line_no % 256)::int, (line_no % 999)::int, (line_no % 4099)::int, (line_no * 3 % 9999)::int, (line_no * 5 % 99999)::int, (line_no * 7 % 99999)::int, (line_no * 11 % 99999)::int, (line_no % 2048)::int, (line_no % 1999)::int) as body from fix_view""")
+def almanac_sentences(spark, sf_dir):
+    rows = fix_view(spark, sf_dir).selectExpr("line_no", "prn as sv", "line_no as week", "line_no % 7 as svh", "line_no % 65536 as e", "line_no % 256 as toa", "line_no % 999 as deltai", "line_no % 4099 as Omegad", "line_no * 3 % 9999 as sqrtA", "line_no * 5 % 99999 as omega", "line_no * 7 % 99999 as Omega0", "line_no * 11 % 99999 as M0", "line_no % 2048 as af0", "line_no % 1999 as af1")
+    out = sinks.to_alm(rows)
+    return out.filter(nmea.checksum_ok(F.col("value"))).select("line_no", F.regexp_extract("value", r"^\$(.*)\*", 1).alias("body"))
+
+
+@query("health_texts", """ select line_no, 'SV' || (prn % 24 + 1) as name, line_no % 64 as flags, (line_no % 64) & 8 <> 0 as anti_spoof, case (line_no % 64) & 7 when 1 then 'Block II/Block IIA/IIR SV' when 2 then 'M-code, L2C, Block IIR-M SV' when 3 then 'M-code, L2C, L5, Block IIF SV' when 4 then 'M-code, L2C, L5, No SA,  Block III SV' else 'Reserved' end as text from fix_view""")
+def health_texts(spark, sf_dir):
+    rows = fix_view(spark, sf_dir).select(F.col("line_no").alias("TOW17"), F.lit(1).alias("tSV"), F.create_map(F.concat(F.lit("SV"), (F.col("prn") % 24 + 1).cast("string")), F.col("line_no") % 64).alias("HEALTH"))
+    return nested.health_unpivot(rows).select(F.col("TOW17").alias("line_no"), "name", "flags", "anti_spoof", "text")
+
+
+@query("sql_functions", f""", p as (select line_no, lat, lon, altHAE as h, {geo.WGS84_A!r} / sqrt(1 - {geo.WGS84_E2!r} * pow(sin(radians(lat)), 2)) as n from fix_view)
+select line_no, round((n + h) * cos(radians(lat)) * cos(radians(lon)), 3) as x, round((n + h) * cos(radians(lat)) * sin(radians(lon)), 3) as y, round((n * (1 - {geo.WGS84_E2!r}) + h) * sin(radians(lat)), 3) as z, round(lat, 6) as lat, round(lon, 6) as lon, round(h, 3) as alt from p""")
+def sql_functions(spark, sf_dir):
+    from meridian.functions.register import register_functions
+
+    register_functions(spark)
+    rows = fix_view(spark, sf_dir).selectExpr("line_no", "lla2ecef(lat, lon, altHAE) as e").selectExpr("line_no", "e.x", "e.y", "e.z", "ecef2lla(e.x, e.y, e.z) as g")
+    return rows.selectExpr("line_no", "round(x, 3) as x", "round(y, 3) as y", "round(z, 3) as z", "round(g.lat, 6) as lat", "round(g.lon, 6) as lon", "round(g.alt, 3) as alt")

@@ -293,3 +293,12 @@ def test_stations_across_the_date_line_and_near_a_pole(spark):
     for r in joins.nearest_stations(fixes, stations).collect():
         got.setdefault(r.line_no, []).append(r.server)
     assert sorted(got[1]) == ["east", "west"] and sorted(got[2]) == ["east", "west"] and got[3] == ["pole"]
+
+
+def test_vessel_reports_have_the_fields_of_their_types(spark):
+    from meridian.sources.readers import report_table
+
+    line = '{"class":"AIS","device":"d","type":5,"mmsi":1,"imo":9,"callsign":"C","draught":2.5,"waypoints":[{"lon":1.5,"lat":2.5}]}'
+    rows = spark.createDataFrame([(line, "AIS")], "value string, class string")
+    row = report_table(rows, "AIS").first()
+    assert (row.imo, row.callsign, row.draught, row.waypoints[0].lat, row.lat) == (9, "C", 2.5, 2.5, None)
