@@ -424,7 +424,7 @@ def _entry_layout(more) -> list[tuple[str, int, int, str]]:
 
 for _type, _dac, _fid, _least, _most, _layout, _more in ais.APPLICATIONS:
     if (_type, _dac, _fid, _least) in ((6, 1, 16, 68), (6, 1, 16, 137), (8, 1, 16, 72), (6, 1, 15, 67)):
-        continue  # lengths of persons, and the draught over the payload's number: told in tests
+        continue  # fields that lie over the header's: no value of their own can be put there; and a second length of persons
     _own = ais._layout(_layout)
     _listed = _entry_layout(_more) if _more else []
     _start = (("dac", 72, 10), ("fid", 82, 6)) if _type == 6 else (("dac", 40, 10), ("fid", 50, 6))
