@@ -144,13 +144,25 @@ def sat_tracks(sats: DataFrame, keep: int = 1024, stale: int = 10, update: str =
 def asof(left: DataFrame, right: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ("device",), time: str = "time") -> DataFrame:
     """Each left row with the latest right row at or before its time, per key: union, then the last one seen.
 
-    Of right rows at one time the one with the largest columns counts. One shuffle on the key for both sides.
+    Of right rows at one time the one with the largest columns counts. A key is cut into days, so that no task sorts
+    all of its rows: each day begins with the last right row before it, from a table of one row per key and day. One
+    shuffle of both sides, by key and day. Times are timestamps, dates, texts that sort as times, or seconds.
     """
+    kind = left.schema[time].dataType
+    day = {"timestamp": F.to_date(time), "timestamp_ntz": F.to_date(time), "date": F.col(time), "string": F.substring(time, 1, 10)}.get(kind.simpleString(), F.floor(F.col(time) / 86400))
     value = F.struct(*columns)
-    r = right.select(*by, F.col(time).alias("__t"), F.lit(0).alias("__side"), value.alias("__right"), F.lit(None).cast(left.schema).alias("__left"))
-    le = left.select(*by, F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__right"].dataType).alias("__right"), F.struct(*left.columns).alias("__left"))
-    w = W.partitionBy(*by).orderBy("__t", "__side", "__right").rowsBetween(W.unboundedPreceding, 0)
-    both = r.unionByName(le).withColumn("__seen", F.last("__right", ignorenulls=True).over(w)).filter("__side = 1")
+    nothing = F.lit(None).cast(left.schema).alias("__left")
+    r = right.select(*by, day.alias("__day"), F.col(time).alias("__t"), F.lit(0).alias("__side"), value.alias("__right"), nothing)
+    le = left.select(*by, day.alias("__day"), F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__right"].dataType).alias("__right"), F.struct(*left.columns).alias("__left"))
+
+    ends = r.groupBy(*by, "__day").agg(F.max(F.struct("__t", "__right")).alias("__end"))
+    days = ends.unionByName(le.select(*by, "__day").distinct(), allowMissingColumns=True).groupBy(*by, "__day").agg(F.max("__end").alias("__end"))
+    earlier = F.last("__end", ignorenulls=True).over(W.partitionBy(*by).orderBy("__day").rowsBetween(W.unboundedPreceding, -1))
+    carried = days.withColumn("__end", earlier).filter("__end is not null")
+    carried = carried.select(*by, "__day", F.lit(None).cast(kind).alias("__t"), F.lit(-1).alias("__side"), F.col("__end.__right").alias("__right"), nothing)
+
+    w = W.partitionBy(*by, "__day").orderBy("__t", "__side", "__right").rowsBetween(W.unboundedPreceding, 0)
+    both = r.unionByName(carried).unionByName(le).withColumn("__seen", F.last("__right", ignorenulls=True).over(w)).filter("__side = 1")
     return both.select("__left.*", *[F.col(f"__seen.{c}").alias(f"{c}_seen" if c in left.columns else c) for c in columns])
 
 
