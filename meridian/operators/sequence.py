@@ -15,15 +15,43 @@ def seconds(time: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
 
 
-def segment_tracks(tpv: DataFrame, timeout: int = 5, time: str = "time", order: str = "line_no") -> DataFrame:
+#: Numbers of order that make a slice: what one task sorts of a device.
+SLICE = 1 << 20
+
+
+def _slices(df: DataFrame, order: str, size: int) -> DataFrame:
+    return df.withColumn("__slice", F.floor(F.col(order) / size))
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """Rows with the columns of their device's slice; a null device is one too."""
+    named = carried.withColumnsRenamed({"device": "__of_device", "__slice": "__of_slice"})
+    same = F.col("device").eqNullSafe(F.col("__of_device")) & F.col("__slice").eqNullSafe(F.col("__of_slice"))
+    return rows.join(named, same).drop("__of_device", "__of_slice")
+
+
+def segment_tracks(tpv: DataFrame, timeout: int = 5, time: str = "time", order: str = "line_no", size: int = SLICE) -> DataFrame:
     """Fixes of at least 2D with a track_id per device: a new track where the whole seconds to the fix before, in
-    order of arrival, are over timeout, forwards or back. A fix at the time of the one before is dropped."""
-    w = W.partitionBy("device").orderBy(order)
-    fixes = tpv.filter("mode >= 2").withColumn("__t", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("__before", F.lag("__t").over(w))
-    fixes = fixes.filter("__before is null or __t <> __before")
-    gap = F.abs(F.col("__t") - F.lag("__t").over(w))
-    new = F.coalesce((F.floor(gap / 1_000_000) > timeout).cast("int"), F.lit(1))
-    return fixes.withColumn("__new", new).withColumn("track_id", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__t", "__before", "__new")
+    order of arrival, are over timeout, forwards or back. A fix at the time of the one before is dropped, and so is one
+    without a time.
+
+    A device is cut into slices of its order, so that no task sorts all of it. Each slice is first summed up (its first
+    and last time, how many tracks begin after its first fix); what comes before a slice is told from these sums.
+    """
+    w = W.partitionBy("device", "__slice").orderBy(order)
+    apart = lambda a, b: (F.floor(F.abs(a - b) / 1_000_000) > timeout).cast("long")
+    fixes = _slices(tpv.filter("mode >= 2").withColumn("__t", F.unix_micros(F.col(time).cast("timestamp"))).filter("__t is not null"), order, size)
+    fixes = fixes.withColumn("__before", F.lag("__t").over(w))
+    fixes = fixes.withColumn("__new", F.coalesce(apart(F.col("__t"), F.col("__before")), F.lit(0)))
+
+    sums = fixes.groupBy("device", "__slice").agg(F.min_by("__t", order).alias("__first"), F.max_by("__t", order).alias("__end"), F.sum("__new").alias("__inner"))
+    of_device = W.partitionBy("device").orderBy("__slice")
+    sums = sums.withColumn("__last", F.lag("__end").over(of_device)).withColumn("__opens", F.coalesce(apart(F.col("__first"), F.col("__last")), F.lit(1)))
+    begun = F.sum(F.col("__inner") + F.col("__opens")).over(of_device.rowsBetween(W.unboundedPreceding, 0)) - F.col("__inner")
+    rows = _with_carried(fixes, sums.select("device", "__slice", "__last", begun.alias("__begun")))
+    rows = rows.withColumn("track_id", F.col("__begun") + F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("__before", F.coalesce("__before", "__last")).filter("__before is null or __t <> __before")
+    return rows.drop("__slice", "__t", "__before", "__new", "__last", "__begun")
 
 
 def _thin_schema(df: DataFrame) -> str:
@@ -87,12 +115,22 @@ def dedupe_samples(samples: DataFrame, unit: str, received: str, clock: str, ord
     return samples.withColumn("__same", same).filter(~F.col("__same")).drop("__same")
 
 
-def fix_streak(tpv: DataFrame, good: Column, order: str = "line_no") -> DataFrame:
-    """Adds streak: how many good fixes in a row end here; 0 at one that isn't good."""
-    w = W.partitionBy("device").orderBy(order)
-    islands = tpv.withColumn("__bad", F.when(good, 0).otherwise(1)).withColumn("__island", F.sum("__bad").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    run = F.sum(1 - F.col("__bad")).over(W.partitionBy("device", "__island").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return islands.withColumn("streak", run).drop("__bad", "__island")
+def fix_streak(tpv: DataFrame, good: Column, order: str = "line_no", size: int = SLICE) -> DataFrame:
+    """Adds streak: how many good fixes in a row end here; 0 at one that isn't good.
+
+    Counted within slices of a device's order, as segment_tracks does; a slice's rows and the place of its last bad one
+    tell how long the streak is that goes on into the next slice.
+    """
+    w = W.partitionBy("device", "__slice").orderBy(order)
+    rows = _slices(tpv, order, size).withColumn("__at", F.row_number().over(w).cast("long"))
+    rows = rows.withColumn("__bad", F.max(F.when(good, None).otherwise(F.col("__at"))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+    sums = rows.groupBy("device", "__slice").agg(F.max("__at").alias("__rows"), F.max("__bad").alias("__last"))
+    earlier = W.partitionBy("device").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("__start", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+    open_ = F.col("__start") - F.coalesce(F.max(F.col("__start") + F.col("__last")).over(earlier), F.lit(0))
+    out = _with_carried(rows, sums.select("device", "__slice", open_.alias("__open")))
+    return out.withColumn("streak", F.col("__at") - F.coalesce(F.col("__bad"), -F.col("__open"))).drop("__slice", "__at", "__bad", "__open")
 
 
 def one_per_second(tpv: DataFrame, min_good: int = 3, time: str = "time", order: str = "line_no") -> DataFrame:

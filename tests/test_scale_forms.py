@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from meridian.operators import profile, sequence
 
@@ -45,6 +46,37 @@ def test_asof_carries_rows_into_later_days(spark, kind):
     assert got == want
 
 
+def _reports(spark, n=600):
+    """Reports of devices of all sizes, a null one too, with gaps, repeated and missing times."""
+    rng = random.Random(5)
+    rows, t = [], 0
+    for i in range(n):
+        t += rng.choice([0, 0, 1, 1, 1, 2, 9, -20])
+        rows.append((rng.choice(["a", "a", "a", "b", None]), i, 1_700_000_000 + t if rng.random() < 0.95 else None, rng.choice([1, 2, 3, 3, 3, 3, None])))
+    rows += [("a", n + k, 1_700_000_000, 3) for k in range(50)]
+    return rows, spark.createDataFrame(rows, "device string, line_no long, s long, mode int").selectExpr("*", "timestamp_seconds(s) as time").repartition(5)
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_tracks_and_streaks_are_the_same_in_any_slices(spark, size):
+    rows, df = _reports(spark)
+    tracks, streaks = {}, {}
+    for device in ("a", "b", None):
+        last, track, streak = None, 0, 0
+        for _, line, s, mode in (r for r in rows if r[0] == device):
+            good = mode is not None and mode >= 2
+            streak = streak + 1 if good else 0
+            streaks[line] = streak
+            if not good or s is None or s == last:
+                continue
+            track += last is None or abs(s - last) > 5
+            last, tracks[line] = s, track
+    assert {r["line_no"]: r["track_id"] for r in sequence.segment_tracks(df, size=size).collect()} == tracks
+    got = sequence.fix_streak(df, F.col("mode") >= 2, size=size)
+    assert {r["line_no"]: r["streak"] for r in got.collect()} == streaks
+    assert got.columns == [*df.columns, "streak"]
+
+
 def test_asof_without_right_rows(spark):
     left = spark.createDataFrame([("a", 5.0, 1)], "device string, time double, n long")
     right = spark.createDataFrame([], "device string, time double, k long")
