@@ -27,6 +27,10 @@ _EDGE = re.compile(r"(?<=\S) ")
 _LAST_EDGE = re.compile(r"(?s).*(?<=\S)(?= )")
 
 
+#: Characters of white space in a run from which ranks are not asked.
+BLANK = 1 << 15
+_BLANK = re.compile(r"\s+")
+
 #: Fixed value. The published pre-token pattern of byte-level BPE.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -38,30 +42,36 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def ranked(path: str):
+def ranked(path: str, special: bool = True):
     """The tokenizer file as (encode, decode) on merge ranks, several times faster; None unless surely the same.
 
     That takes plain byte-level BPE whose ids rise with its merges, and at most one special token without flags.
+    special=False: special tokens' strings are plain text.
     """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    model, special, pre = file["model"], file["added_tokens"], file["pre_tokenizer"] or {}
+    model, added, pre = file["model"], file["added_tokens"], file["pre_tokenizer"] or {}
     plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
     plain = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"] and not file["normalizer"] and not file["post_processor"]
-    plain = plain and (file["decoder"] or {}).get("type") == "ByteLevel" and len(special) <= 1 and not any(t[k] for t in special for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    plain = plain and (file["decoder"] or {}).get("type") == "ByteLevel" and len(added) <= 1 and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
     if not plain:
         return None
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     made = [model["vocab"]["".join(m)] for m in merges]
-    tokens = {t["content"]: t["id"] for t in special}
+    tokens = {t["content"]: t["id"] for t in added}
     symbols = byte_symbols()
     ranks = {bytes(symbols[c] for c in t): i for t, i in model["vocab"].items() if t not in tokens}
     if made != sorted(set(made)) or sum(len(t) == 1 for t in ranks) != 256 or len(ranks) != 256 + len(made):
         return None
     core = tiktoken.Encoding("ranked", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens=tokens)._core_bpe
-    return (lambda x: core.encode(x, set(tokens))), core.decode_bytes
+    return (lambda x: core.encode(x, set(tokens))) if special else core.encode_ordinary, core.decode_bytes
+
+
+def long_blank(text: str) -> bool:
+    """Whether there is a run of over BLANK characters of white space; linear in the text."""
+    return len(text) > BLANK and any(m.end() - m.start() > BLANK for m in _BLANK.finditer(text))
 
 
 class Chunker:
@@ -122,28 +132,49 @@ class Encoder:
     special tokens never span an edge, so from there on the ids agree exactly with those of the whole text.
     """
 
-    def __init__(self, path: str) -> None:
-        self.path = path
-        self.ranked = ranked(path)
+    def __init__(self, path: str, special: bool = True) -> None:
+        self.path, self.special = path, special
+        self.ranked = ranked(path, special)
         self.tokenizer = None
         self.chunker = Chunker()
         self.cache: OrderedDict[str, tuple[int, bytes, bytes]] = OrderedDict()
         self.size = 0
         self.encoded = self.reused = 0
 
-    def ids_of(self, strings: list[str]) -> tuple[list[list[int]], list[bytes]]:
-        """Ids of each string, and what they decode to. The tokenizers library is loaded only where ranks don't do."""
-        if self.ranked:
-            ids = [self.ranked[0](x) for x in strings]
-            return ids, [self.ranked[1](i) for i in ids]
+    def library(self):
+        """The tokenizers library's form of the file, loaded only where ranks don't do."""
         if self.tokenizer is None:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
-        ids = [e.ids for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
-        return ids, [d.encode() for d in self.tokenizer.decode_batch(ids, skip_special_tokens=False)]
+            self.tokenizer.encode_special_tokens = not self.special
+        return self.tokenizer
+
+    def ids(self, strings: list[str]) -> list[list[int]]:
+        """Ids of each string. The ranks' pattern looks back over a run of white space by recursion, so strings with
+        very long runs go to the library."""
+        if not self.ranked:
+            return [e.ids for e in self.library().encode_batch(strings, add_special_tokens=False)]
+        return [self.library().encode(x, add_special_tokens=False).ids if long_blank(x) else self.ranked[0](x) for x in strings]
+
+    def ids_of(self, strings: list[str]) -> tuple[list[list[int]], list[bytes]]:
+        """Ids of each string, and what they decode to."""
+        ids = self.ids(strings)
+        if self.ranked:
+            return ids, [self.ranked[1](i) for i in ids]
+        return ids, [d.encode() for d in self.library().decode_batch(ids, skip_special_tokens=False)]
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each entry of a byte-level vocabulary, by id; those of special tokens are their strings'."""
+        symbols = byte_symbols()
+        entries = self.library().get_vocab(with_added_tokens=True)
+        out = [b""] * (max(entries.values()) + 1)
+        for entry, k in entries.items():
+            plain = all(c in symbols for c in entry)
+            out[k] = bytes(symbols[c] for c in entry) if plain else entry.encode()
+        return out
 
     def pieces(self, text: str) -> list[str]:
         """The strings to encode: chunk cores and joins, in order; concatenated they are the text."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from meridian.llm import bpe, jaccard_join, langid, lattice, lm_score, mixing, quality_knn, quality_rules, secret_scan, url_filter
+from meridian.llm import alignment, bpe, jaccard_join, langid, lattice, lm_score, mixing, quality_knn, quality_rules, secret_scan, url_filter, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_lattice_dedup": lattice.op10_lattice_dedup,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_alignment": alignment.op12_alignment,
 }
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
