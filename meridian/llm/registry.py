@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from meridian.llm import alignment, bpe, jaccard_join, langid, lattice, lm_score, mixing, quality_knn, quality_rules, secret_scan, url_filter, whitening
+from meridian.llm import alignment, bpe, jaccard_join, langid, lattice, lm_score, mixing, quality_knn, quality_rules, secret_scan, sharding, url_filter, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_lattice_dedup": lattice.op10_lattice_dedup,
     "op11_whitening": whitening.op11_whitening,
     "op12_alignment": alignment.op12_alignment,
+    "op13_sharding": sharding.op13_sharding,
 }
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.OP3_SQL,
