@@ -7,9 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import table
+from meridian.llm.common import by_bytes, table
 
 BUCKETS, SIZES = 1 << 15, (3, 4, 5)
+#: Bytes of hosts, and of paths, that a task scores at a time: n-grams take some hundred times that.
+BATCH_BYTES = 1 << 18
 #: Fixed values. Rules as (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Fixed values. The labelled URL table that the model is trained from: words of hosts and paths by label.
@@ -61,7 +63,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = of[: len(h)] == of[n - 1 :]
         rows.append(of[: len(h)][inside])
         buckets.append((h[inside] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % BUCKETS)
-    return np.concatenate(rows), np.concatenate(buckets)
+    return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *buckets])
 
 
 def train(blocked=BLOCKED_URLS, allowed=ALLOWED_URLS, rounds: int = 400, rate: float = 4.0, decay: float = 1e-4) -> np.ndarray:
@@ -108,9 +110,10 @@ def filter_urls(
 
     def run(batches):
         for batch in batches:
-            hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            s = scores([h + p for h, p in zip(hosts, paths, strict=True)], weights)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "score"])
+            for part in (y for x in by_bytes(batch, 1, BATCH_BYTES) for y in by_bytes(x, 2, BATCH_BYTES)):
+                hosts, paths = part.column(1).to_pylist(), part.column(2).to_pylist()
+                s = scores([h + p for h, p in zip(hosts, paths, strict=True)], weights)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*part.schema.names, "score"])
 
     rule, said = F.lit(None).cast("string"), F.lit(None).cast("string")
     for h, p, verdict in sorted(rules, key=lambda r: (len(r[0] + r[1]), r)):  # the longest is asked first
