@@ -22,7 +22,9 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "access_key", "private_key", "auth", "bearer", "credential", "signature", "client_id")
 _SENSITIVE = re.compile("|".join(SENSITIVE), re.I | re.A)
 _SENSITIVE_BYTES = tuple(s.encode() for s in SENSITIVE)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{8,}", re.A)
+#: Characters of the shortest candidate.
+LEAST = 8
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST, re.A)
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]*", re.A)
 #: Fixed values. Words that identifiers in code are made of: the dictionary's constant part.
 IDENTIFIERS = (
@@ -105,7 +107,8 @@ def scan(text: str | None, min_novelty: float = MIN_NOVELTY, min_plain: float =
     """(start, kind, end) of all spans of a text, by start and then kind; code points, end exclusive.
 
     A candidate is novel from min_novelty on if letters and digits alternate in it, otherwise from min_plain on. All
-    places of a novel string are reported.
+    places of a novel string are reported, but those that base spans cover whole; one that reaches beyond a base span is
+    reported whole, so that no end of a secret is lost.
     """
     if not text:
         return []
@@ -118,25 +121,25 @@ def scan(text: str | None, min_novelty: float = MIN_NOVELTY, min_plain: float =
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if any(s in low for s in _SENSITIVE_BYTES):
         measured: dict[str, bool] = {}  # each distinct string once, at its first place
-        covered = bytearray(len(text))
-
-        def cover(a, b):
-            covered[a:b] = b"\x01" * (b - a)
+        base, covered = bytearray(len(text)), bytearray(len(text))
 
         for a, _, b in found:
-            cover(a, b)
+            base[a:b] = b"\x01" * (b - a)
         for a, b in candidates(text):
+            begins = base.find(1, a, b)
+            if 0 < begins - a < LEAST:  # a short prefix is an identifier's, the secret begins with the base span
+                a = begins
             own = text[a:b]
-            if own in measured or covered.find(1, a, b) >= 0:
+            if own in measured or base.find(0, a, b) < 0:
                 continue
             alternating = mixed(own)
             if b - a >= PLAIN_LENGTH or alternating:
                 measured[own] = novelty(text, a, b, around) >= (min_novelty if alternating else min_plain)
         novel = {x for x, is_novel in measured.items() if is_novel}
         for a, b in occurrences(text, novel) if novel else ():
-            if covered.find(1, a, b) < 0:
+            if covered.find(1, a, b) < 0 and base.find(0, a, b) >= 0:
                 found.append((a, 3, b))
-                cover(a, b)
+                covered[a:b] = b"\x01" * (b - a)
     return sorted(found)
 
 
