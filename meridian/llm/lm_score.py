@@ -1,13 +1,15 @@
-"""LM scoring: stupid backoff on hashed n-gram count tables of the corpus itself."""
+"""LM scoring: stupid backoff on hashed n-gram count tables of the corpus, each text's own counts left out."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meridian.llm.common import by_bytes, drop, materialize, table
@@ -16,6 +18,8 @@ from meridian.llm.words import mix, word_hashes
 #: A word is frequent if it makes up at least this share of all words. So there are at most 1 / HOT_SHARE of them,
 #: and the square of that in pairs of two frequent words (16 bytes each): the bounds of what is broadcast.
 HOT_SHARE = 2.0**-10
+#: Words whose counts are broadcast at most: the most frequent ones.
+TOP_WORDS = 1 << 20
 BACKOFF = 0.4
 #: Words that a task counts, or turns into bigram rows, at a time.
 FLUSH = 1 << 19
@@ -73,11 +77,11 @@ def _place(frequent: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(frequent[at] == words, at, -1)
 
 
-def frequent_pairs(docs: DataFrame, frequent: Broadcast) -> DataFrame:
+def frequent_pairs(docs: DataFrame, model: Broadcast) -> DataFrame:
     """(pair, n): the count table of bigrams of two frequent words; pair numbers them."""
 
     def count(batches):
-        known = frequent.value[0]
+        known = model.value[3]
         for _, texts in _groups(batches):
             context, word, _ = _next(texts)
             v, w = _place(known, context), _place(known, word)
@@ -87,63 +91,107 @@ def frequent_pairs(docs: DataFrame, frequent: Broadcast) -> DataFrame:
     return docs.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def bigram_rows(docs: DataFrame, frequent: Broadcast, pairs: Broadcast, buckets: int, backoff: float) -> DataFrame:
-    """The exploded bigrams of every text, counted by document within a task: rows of a bucket and arrays of context,
-    word, document (its upper and lower half) and n. The last and the first word of a text come as contexts of LAST and
-    FIRST, so that a context's rows but FIRST are all its occurrences. Bigrams of a frequent context are dealt out by
-    their word too. What frequent counts alone score, bigrams of two frequent words and frequent first words, comes as
-    sums by document (n, seen, score) instead, with a null context."""
+def frequent_counts(unigrams: DataFrame, top_words: int) -> int:
+    """The least count from which there are at most top_words words, among the numbers up to 64 and 64 * 2^k: their
+    table is known everywhere, and a word outside it has a smaller count."""
+    n = F.col("n")
+    level = F.when(n <= 64, n).otherwise(F.lit(64) * F.pow(F.lit(2.0), F.floor(F.log2(n / 64)))).cast("long")
+    levels = {r.level: r.words for r in unigrams.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()}
+    fits = [x for x in levels if sum(k for y, k in levels.items() if y >= x) <= top_words]
+    return 1 if len(fits) == len(levels) else min(fits, default=max(levels) * 2)
+
+
+def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: int, backoff: float) -> DataFrame:
+    """The exploded bigrams of every text, counted by document within a task: rows of a bucket and arrays of side, context,
+    word, document (its upper and lower half), n, and how often the document has the context and the word.
+
+    What the broadcast counts alone tell is scored here and comes as sums by document (n, seen, score, backs; side
+    null): bigrams of two frequent words, and those of a word that no other document has. All others meet in a bucket. Words outside
+    the table of counts get theirs there, too: a bigram is dealt out by its word if that is such a word (side 1,
+    first words of texts come with the context FIRST), and by its context otherwise (side 0; last words of texts
+    come as contexts of LAST); if both are, it goes to both. So a bucket has all occurrences of such a word. Bigrams of a
+    frequent context are dealt out by their word too."""
+    floor = 2 * np.log(backoff)
 
     def run(batches):
-        known, counts, total = frequent.value
+        table, counts, least, known, total = model.value
         pair_of, pair_n = pairs.value
         for ids, texts in _groups(batches):
             ids = np.array(ids, np.int64)
-            c, w, d = _next(texts)
-            v = _place(known, c)
-            both = (v >= 0) & (_place(known, w) >= 0)
-            first, last = np.array([t[0] for t in texts]), np.array([t[-1] for t in texts])
-            v_first, every = _place(known, first), np.arange(len(texts), dtype=np.int32)
-            n, seen, score = (np.zeros(len(texts), k) for k in (np.int32, np.int32, np.float64))
+            words = np.concatenate(texts)
+            of = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+            distinct, at = np.unique(words, return_inverse=True)
+            _, place, n = np.unique(of.astype(np.int64) * len(distinct) + at, return_inverse=True, return_counts=True)
+            own = n[place]
+            in_table, hot = _place(table, distinct)[at], _place(known, distinct)[at]
+            # the count of a word; a word outside the table that has all that it can have here, has it here alone
+            count = np.where(in_table >= 0, counts[in_table] if len(counts) else 0, np.where(own >= least - 1, own, -1))
+            others = np.where(count >= 0, count - own, -1)
+            outside = count < 0
+            n, seen, score, backs = (np.zeros(len(texts), k) for k in (np.int32, np.int32, np.float64, np.int32))
+
+            def alone(where):
+                """Scores words without a context that counts."""
+                d, rest = of[where], others[where]
+                n[:] += np.bincount(d, minlength=len(texts)).astype(np.int32)
+                backs[:] += np.bincount(d, rest > 0, len(texts)).astype(np.int32)
+                score[:] += np.bincount(d, np.where(rest > 0, np.log(backoff * np.maximum(rest, 1)), floor - np.log(total)), len(texts))
+
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            last = np.append(first[1:], len(of)) - 1
+            w = np.setdiff1d(np.arange(len(of)), first, assume_unique=True)  # the word of each bigram; its context is the one before
+            v = w - 1
+            alone(first[~outside[first]])
+            both = (hot[v] >= 0) & (hot[w] >= 0)
             if both.any():
-                at = np.searchsorted(pair_of, v[both] * len(known) + _place(known, w[both]))
-                own, own_n = np.unique(d[both].astype(np.int64) * len(pair_of) + at, return_counts=True)
-                doc, at = own // len(pair_of), own % len(pair_of)
-                log = np.log(pair_n[at]) - np.log(counts[pair_of[at] // len(known)])
-                n += np.bincount(doc, own_n, len(texts)).astype(np.int32)
-                seen += np.bincount(doc, own_n * (pair_n[at] > own_n), len(texts)).astype(np.int32)
-                score += np.bincount(doc, own_n * log, len(texts))
-            f = v_first >= 0
-            n[f] += 1
-            score[f] += np.log(backoff) + np.log(counts[v_first[f]]) - np.log(total)
+                x, y = v[both], w[both]
+                k = np.searchsorted(pair_of, hot[x] * len(known) + hot[y])
+                _, place, times = np.unique(of[x].astype(np.int64) * len(pair_of) + k, return_inverse=True, return_counts=True)
+                rest = pair_n[k] - times[place]
+                some = rest > 0
+                x, y, rest = x[some], y, rest[some]
+                alone(y[~some])
+                d = of[x]
+                more = np.bincount(d, minlength=len(texts)).astype(np.int32)
+                n += more
+                seen += more
+                score += np.bincount(d, np.log(rest) - np.log(others[x]), len(texts))
+            single = ~both & ((others[v] == 0) | ((others[w] == 0) & ~outside[v])) & ~outside[w]
+            alone(w[single])
             some = np.flatnonzero(n)
             if len(some):
-                yield _row(0, high=ids[some] >> 32, low=ids[some], n=n[some], seen=seen[some], score=score[some])
-
-            ends = _place(known, last) < 0
-            c = np.concatenate((c[~both], first[~f], last[ends]))
-            w = np.concatenate((w[~both], np.full((~f).sum(), FIRST, np.uint64), np.full(ends.sum(), LAST, np.uint64)))
-            d = np.concatenate((d[~both], every[~f], every[ends]))
-            if not len(c):
+                yield _row(0, high=ids[some] >> 32, low=ids[some], n=n[some], seen=seen[some], score=score[some], backs=backs[some])
+
+            w = w[~both & ~single]
+            v = w - 1
+            by_word, by_context = outside[w], ~outside[w] | outside[v]
+            f, e = first[outside[first]], last[outside[last]]
+            sides = [(1, words[v[by_word]], w[by_word], own[v[by_word]]), (1, np.full(len(f), FIRST, np.uint64), f, np.zeros(len(f), np.int64)), (0, words[v[by_context]], w[by_context], own[v[by_context]])]
+            side = np.concatenate([*(np.full(len(x), s) for s, _, x, _ in sides), np.zeros(len(e), np.int64)])
+            if not len(side):
                 continue
-            order = np.lexsort((d, w, c))
-            c, w, d = c[order], w[order], d[order]
-            start = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]) | (d[1:] != d[:-1]))))
-            n = np.diff(np.append(start, len(c)))
-            c, w, d = c[start], w[start], ids[d[start]]
-            key = np.where((_place(known, c) >= 0) & (w > FIRST), mix(c + mix(w)), mix(c))
+            c = np.concatenate([*(x for _, x, _, _ in sides), words[e]])
+            own_c = np.concatenate([*(x for _, _, _, x in sides), own[e]])
+            where = np.concatenate([*(x for _, _, x, _ in sides), e])
+            ends = np.arange(len(side)) >= len(side) - len(e)
+            w, d, own_w = np.where(ends, np.uint64(LAST), words[where]), of[where], own[where]
+            of_hot = (_place(known, c) >= 0) & (side == 0)
+            key = np.where(side == 1, mix(w), np.where(of_hot, mix(c + mix(w)), mix(c)))
             bucket = (key % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            c, w, d, n, bucket = c[order].view(np.int64), w[order].view(np.int64), d[order], n[order], bucket[order]
+            order = np.lexsort((d, w, c, side, bucket))
+            side, c, w, d, own_c, own_w, bucket = (x[order] for x in (side, c, w, d, own_c, own_w, bucket))
+            start = np.flatnonzero(np.concatenate(([True], (side[1:] != side[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1]) | (d[1:] != d[:-1]))))
+            n = np.diff(np.append(start, len(c)))
+            side, c, w, d, own_c, own_w, bucket = side[start], c[start].view(np.int64), w[start].view(np.int64), ids[d[start]], own_c[start], own_w[start], bucket[start]
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             for i, j in zip(edges[:-1], edges[1:], strict=True):
-                yield _row(int(bucket[i]), context=c[i:j], word=w[i:j], high=d[i:j] >> 32, low=d[i:j], n=n[i:j])
+                yield _row(int(bucket[i]), side=side[i:j], context=c[i:j], word=w[i:j], high=d[i:j] >> 32, low=d[i:j], n=n[i:j], own_c=own_c[i:j], own_w=own_w[i:j])
 
     return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{k} array<{t}>" for k, t in ARRAYS.items()))
 
 
-ARRAYS = {"context": "long", "word": "long", "high": "int", "low": "int", "n": "int", "seen": "int", "score": "double"}
-_KINDS = {"long": np.int64, "int": np.int32, "double": np.float64}
+ARRAYS = {"side": "tinyint", "context": "long", "word": "long", "high": "int", "low": "int", "n": "int", "own_c": "int", "own_w": "int", "seen": "int", "score": "double", "backs": "int"}
+_KINDS = {"tinyint": np.int8, "long": np.int64, "int": np.int32, "double": np.float64}
 
 
 def _row(bucket: int, **arrays: np.ndarray) -> pa.RecordBatch:
@@ -152,54 +200,71 @@ def _row(bucket: int, **arrays: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *lists], names=["bucket", *ARRAYS])
 
 
-def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, hot_share: float = HOT_SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_seen, log_score) of each whole text under the bigram model of all texts: no context and no bigram
-    is left out, whatever its count.
+def stupid_backoff(
+    docs: DataFrame, backoff: float = BACKOFF, hot_share: float = HOT_SHARE, top_words: int = TOP_WORDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, n_words, n_seen, log_score) of each whole text under the bigram model of all other texts: no context and no
+    bigram is left out, whatever its count.
 
-    Words are lower-cased in A-Z. With counts over the whole corpus, a word w after v scores c(v w) / c(v); the first
-    word of a text, without a context, backs off to backoff * c(w) / N. log_score sums the natural logarithms. n_seen
-    counts the words whose bigram stands in other documents too.
+    Words are lower-cased in A-Z. With counts over the corpus less those of the text itself, a word w after v scores
+    c(v w) / c(v) if other texts have v w; if not, and for the first word, it backs off to backoff * c(w) / N; if no other text
+    has w either, to backoff^2 / (all words). log_score sums the natural logarithms. n_seen counts the words whose
+    bigram other texts have.
 
-    Null and empty texts: no words, score 0. Ids identify documents: rows repeating an id are summed, rows of null
-    id are left out. Empty table: no rows. Other columns are ignored.
+    Null and empty texts: no words, score 0. Rows repeating an id are summed: each is held against all others, N leaves
+    out the words of all; rows of null id are left out. Empty table: no rows. Other columns are ignored.
 
-    1. The unigram table is counted; the frequent words' counts are broadcast, then those of pairs of two of them.
-       Their bigrams, of which one alone can stand in every document, are scored where the documents are.
-    2. All other bigrams are shuffled once, by context; those of a frequent context by their word too.
+    1. The unigram table is counted. The counts of the top_words most frequent words are broadcast, then those of pairs of
+       two frequent ones, of which one alone can stand in every document.
+    2. All bigrams that these don't score are shuffled once, by context, or by word where the word is outside the
+       table; those of a frequent context by their word too.
     3. Their count tables are windows over them, so that counts meet the exploded bigrams without another shuffle.
     4. Logarithms are summed by document, pre-aggregated before that shuffle.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     unigrams = materialize(word_counts(docs))
-    total = int(unigrams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    hot = unigrams.filter(F.col("n") >= F.lit(max(1.0, hot_share * total))).toArrow()
-    drop(unigrams)
-    words = hot["word"].to_numpy().view(np.uint64)
+    total = max(int(unigrams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]), 1)
+    least = frequent_counts(unigrams, top_words)
+    counted = unigrams.filter(F.col("n") >= least)
+    top = counted.toArrow()
+    words = top["word"].to_numpy().view(np.uint64)
     order = np.argsort(words)
-    words, counts = words[order], hot["n"].to_numpy()[order]
-    frequent = spark.sparkContext.broadcast((words, counts, max(total, 1)))
-    paired = frequent_pairs(docs, frequent).toArrow().sort_by([("pair", "ascending")])
+    words, counts = words[order], top["n"].to_numpy()[order]
+    known = words[counts >= max(least, hot_share * total)]
+    model = spark.sparkContext.broadcast((words, counts, least, known, total))
+    paired = frequent_pairs(docs, model).toArrow().sort_by([("pair", "ascending")])
     pairs = spark.sparkContext.broadcast((paired["pair"].to_numpy(), paired["n"].to_numpy()))
-    uses_hot = spark.createDataFrame(pa.table({"hot": pa.array(words.view(np.int64)), "hot_n": pa.array(counts, pa.int64())}))
 
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = bigram_rows(docs, frequent, pairs, buckets, backoff).repartition("bucket")
-    entries = dealt.select("bucket", F.inline(F.arrays_zip(*ARRAYS))).join(F.broadcast(uses_hot), F.col("context") == F.col("hot"), "left")
+    dealt = bigram_rows(docs, model, pairs, buckets, backoff).repartition("bucket")
+    entries = dealt.select("bucket", F.inline(F.arrays_zip(*ARRAYS)))
+    for c in ("context", "word"):  # top_words rows at most
+        entries = entries.join(F.broadcast(counted.select(F.col("word").alias(f"{c}_is"), F.col("n").alias(f"{c}_n"))), F.col(c) == F.col(f"{c}_is"), "left")
     doc = F.shiftleft(F.col("high").cast("long"), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND(0xFFFFFFFF))
-    seen_in = F.sum("n").over(Window.partitionBy("bucket", "context", "word"))
-    uses = F.sum(F.when(F.col("word") != FIRST, F.col("n"))).over(Window.partitionBy("bucket", "context"))
-    counted = entries.select("bucket", "context", "word", doc.alias("doc"), "n", "seen", "score", "hot_n", seen_in.alias("pairs")).withColumn("uses", F.coalesce("hot_n", uses))
-    counted = counted.filter(F.col("context").isNull() | (F.col("word") != LAST))
-    paired, alone = F.col("word") != FIRST, F.log(F.lit(backoff)) + F.log("uses") - F.log(F.lit(float(max(total, 1))))
-    log = F.when(paired, F.log("pairs") - F.log("uses")).otherwise(alone)
+    by_word, first = F.col("side") == 1, F.col("context") == FIRST
+    key = F.when(by_word, F.col("word")).otherwise(F.col("context"))
+    entries = entries.select("bucket", "side", key.alias("key"), "context", "word", doc.alias("doc"), "n", "own_c", "own_w", "seen", "score", "backs", "context_n", "word_n")
+    pair_n = F.sum("n").over(W.partitionBy("bucket", "side", "key", "context", "word"))
+    uses = F.sum("n").over(W.partitionBy("bucket", "side", "key"))
+    counted = entries.withColumn("pair_n", pair_n).withColumn("uses", uses).filter(F.col("side").isNull() | (F.col("word") != LAST))
+    of_context = F.when(by_word, F.col("context_n")).otherwise(F.coalesce("context_n", "uses")) - F.col("own_c")
+    of_word = F.when(by_word, F.col("uses")).otherwise(F.col("word_n")) - F.col("own_w")
+    seen = ~first & (F.col("pair_n") > F.col("n"))
+    # of a bigram that went to two buckets, one knows its context's count and the other its word's
+    scored = F.when(seen, of_context.isNotNull()).otherwise(of_word.isNotNull())
+    log = F.when(seen, F.log(F.col("pair_n") - F.col("n")) - F.log(of_context)).when(of_word > 0, F.log(F.lit(backoff)) + F.log(of_word)).otherwise(F.lit(2 * math.log(backoff) - math.log(total)))
+    here = lambda column, value: F.sum(F.when(F.col("side").isNull(), F.col(column)).when(scored, value).otherwise(0)).alias(column)
     sums = counted.groupBy(F.col("doc").alias("of")).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("context").isNull(), F.col("seen")).when(paired & (F.col("pairs") > F.col("n")), F.col("n")).otherwise(0)).alias("seen"),
-        F.sum(F.when(F.col("context").isNull(), F.col("score")).otherwise(F.col("n") * log)).alias("score"),
+        here("n", F.col("n")),
+        here("seen", F.when(seen, F.col("n")).otherwise(0)),
+        here("score", F.col("n") * log),
+        here("backs", F.when(~seen & (of_word > 0), F.col("n")).otherwise(0)),
     )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    others = F.log(F.greatest(F.lit(float(total)) - F.col("n"), F.lit(1.0)))
     return docs.select("id").distinct().join(sums, F.col("id") == F.col("of"), "left").select(
-        F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_words"), F.coalesce("seen", F.lit(0)).alias("n_seen"), F.coalesce("score", F.lit(0.0)).alias("log_score")
+        F.col("id").alias(id_col), zero("n").alias("n_words"), zero("seen").alias("n_seen"), F.coalesce(F.col("score") - F.col("backs") * others, F.lit(0.0)).alias("log_score")
     )
 
 
@@ -211,12 +276,13 @@ def op5_lm_score(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
 t as (select doc_id, w[i] as w, case when i > 1 then w[i - 1] end as v from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
-u as (select w, count(*) as n from t group by w),
-s as (select count(*) as total from t),
-o as (select doc_id, v, w, count(*) as own from t where v is not null group by doc_id, v, w),
-b as (select v, w, sum(own) as n from o group by v, w),
-x as (select t.doc_id, case when t.v is not null then ln(b.n) - ln(c.n) else ln(0.4) + ln(u.n) - ln(s.total) end as score, coalesce(b.n > o.own, false) as seen
-  from t join u on u.w = t.w cross join s left join b on b.v = t.v and b.w = t.w left join o on o.doc_id = t.doc_id and o.v = t.v and o.w = t.w left join u c on c.w = t.v)
-select d.doc_id, count(x.doc_id)::bigint as n_words, coalesce(sum(x.seen::int), 0)::bigint as n_seen, round(coalesce(sum(x.score), 0e0), 4) as log_score
-from d left join x using (doc_id) group by d.doc_id
+uo as (select doc_id, w, count(*) as own from t group by doc_id, w), u as (select w, sum(own) as n from uo group by w),
+bo as (select doc_id, v, w, count(*) as own from t where v is not null group by doc_id, v, w), b as (select v, w, sum(own) as n from bo group by v, w),
+s as (select count(*) as total from t), l as (select doc_id, count(*) as len from t group by doc_id),
+x as (select t.doc_id, b.n - bo.own as pair, cu.n - co.own as context, wu.n - wo.own as word, total, total - len as others
+  from t cross join s join l using (doc_id) join u wu on wu.w = t.w join uo wo on wo.doc_id = t.doc_id and wo.w = t.w
+  left join b on b.v = t.v and b.w = t.w left join bo on bo.doc_id = t.doc_id and bo.v = t.v and bo.w = t.w left join u cu on cu.w = t.v left join uo co on co.doc_id = t.doc_id and co.w = t.v),
+y as (select doc_id, coalesce(pair > 0, false) as seen, case when pair > 0 then ln(pair) - ln(context) when word > 0 then ln(0.4) + ln(word) - ln(others) else 2 * ln(0.4) - ln(total) end as score from x)
+select d.doc_id, count(y.doc_id)::bigint as n_words, coalesce(sum(y.seen::int), 0)::bigint as n_seen, round(coalesce(sum(y.score), 0e0), 4) as log_score
+from d left join y using (doc_id) group by d.doc_id
 """
