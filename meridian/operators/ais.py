@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meridian.operators.nmea import checksum_ok, once
+from meridian.operators.scan import SLICE, scan
 
 #: Fixed values. The six-bit alphabet.
 SIXBIT = "@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_ !\"#$%&'()*+,-./0123456789:;<=>?"
@@ -143,12 +144,12 @@ def ais_lines(lines: DataFrame, device: str = "file", value: str = "value") -> D
     return rows.select(F.col(device).alias("device"), "line_no", n(1).alias("nfrags"), n(2).alias("ifrag"), F.get("f", F.lit(3)).alias("seq"), channel.alias("channel"), F.get("f", F.lit(5)).alias("payload"), F.coalesce(n(6), F.lit(0)).alias("pad")).filter("channel is not null and nfrags >= ifrag and ifrag >= 1")
 
 
-def assemble_fragments(fragments: DataFrame) -> DataFrame:
+def assemble_fragments(fragments: DataFrame, size: int = SLICE) -> DataFrame:
     """Whole messages (device, channel, line_no of the last part, payload, pad). Parts of a device and channel come one
     after the other; a first part starts anew, a part out of turn loses its message."""
-    w = W.partitionBy("device", "channel").orderBy("line_no")
-    rows = fragments.withColumn("__group", F.sum(F.when(F.col("ifrag") == 1, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("__k", F.row_number().over(W.partitionBy("device", "channel", "__group").orderBy("line_no")))
+    begins = {"__first": F.when(F.col("ifrag") == 1, 1)}
+    rows = scan(fragments, ("device", "channel"), "line_no", begins, total=("__group", "__first", lambda *_: F.lit(1)), size=size).drop("__first")
+    rows = rows.filter("__group > 0").withColumn("__k", F.row_number().over(W.partitionBy("device", "channel", "__group").orderBy("line_no")))
     parts = rows.filter("__k <= nfrags").groupBy("device", "channel", "__group").agg(
         F.max("line_no").alias("line_no"),
         F.max("nfrags").alias("__of"),
@@ -359,17 +360,15 @@ def _type25(rows: DataFrame, type_: int) -> DataFrame:
     return out
 
 
-def merge_24(rows: DataFrame, ring: int = 8) -> DataFrame:
+def merge_24(rows: DataFrame, ring: int = 8, size: int = SLICE) -> DataFrame:
     """Halves of type 24 (device, channel, line_no, mmsi, part) put together: a B takes the name of its ship's last A
     on the channel, if that is not taken yet and no more than ring A halves of the channel back."""
-    on_channel = W.partitionBy("device", "channel").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    of_ship = W.partitionBy("device", "channel", "mmsi").orderBy("line_no")
-    is_a = F.col("part") == "A"
-    rows = rows.withColumn("__a", F.sum(F.when(is_a, 1).otherwise(0)).over(on_channel))
-    rows = rows.withColumn("__last", F.last(F.when(is_a, F.struct("__a", "shipname", "line_no")), ignorenulls=True).over(of_ship.rowsBetween(W.unboundedPreceding, -1)))
-    rows = rows.withColumn("__first", F.row_number().over(W.partitionBy("device", "channel", "mmsi", "part", "__last.line_no").orderBy("line_no")) == 1)
-    both = (F.col("part") == "B") & F.col("__last").isNotNull() & F.col("__first") & (F.col("__a") - F.col("__last.__a") < ring)
-    return rows.withColumns({"shipname": F.when(both, F.col("__last.shipname")).otherwise(F.col("shipname")), "part": F.when(both, "both").otherwise(F.col("part"))}).drop("__a", "__last", "__first")
+    is_a, key = F.col("part") == "A", ("device", "channel")
+    rows = scan(rows, key, "line_no", {"__any": F.when(is_a, 1)}, total=("__a", "__any", lambda *_: F.lit(1)), size=size).drop("__any")
+    of_ship = {"__last": F.when(is_a, F.struct("__a", "shipname")), "__part": F.col("part")}
+    rows = scan(rows, (*key, "mmsi"), "line_no", of_ship, size=size)
+    both = (F.col("part") == "B") & (F.col("__part") == "A") & (F.col("__a") - F.col("__last.__a") < ring)
+    return rows.withColumns({"shipname": F.when(both, F.col("__last.shipname")).otherwise(F.col("shipname")), "part": F.when(both, "both").otherwise(F.col("part"))}).drop("__a", "__last", "__part")
 
 
 def scale_ais(rows: DataFrame, type_: int | None = None) -> DataFrame:

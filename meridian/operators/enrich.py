@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meridian.functions import geo
 from meridian.operators.filters import MAX_SPEED, usable_los
+from meridian.operators.scan import SLICE, scan
 from meridian.operators.sequence import seconds
 
 #: Fixed values. User-equivalent range errors in metres: horizontal, vertical, position; plain and differential.
@@ -54,13 +54,11 @@ def fill_dop(sky: DataFrame, computed: DataFrame, by: tuple[str, ...] = ("device
     return sky.join(own, list(by), "left").withColumns({c: F.coalesce(c, f"__{c}") for c in names}).select(*sky.columns)
 
 
-def previous_fix(tpv: DataFrame, columns: tuple[str, ...], time: str = "time", order: str = "line_no") -> DataFrame:
+def previous_fix(tpv: DataFrame, columns: tuple[str, ...], time: str = "time", order: str = "line_no", size: int = SLICE) -> DataFrame:
     """Adds old_<column> of the device's previous epoch (the last fix whose time is over 9.9 ms away) and dt."""
-    w = W.partitionBy("device").orderBy(order)
     rows = tpv.withColumn("__s", seconds(time))
-    jump = F.coalesce((F.abs(F.col("__s") - F.lag("__s").over(w)) > 0.0099).cast("int"), F.lit(1))
-    rows = rows.withColumn("__before", F.when(jump == 1, F.lag(F.struct(F.col("__s").alias("s"), *columns)).over(w)))
-    rows = rows.withColumn("__old", F.last("__before", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    jump = lambda now, before: F.coalesce(F.abs(now["s"] - before["s"]) > 0.0099, F.lit(True))
+    rows = scan(rows, ("device",), order, {"__before": F.struct(F.col("__s").alias("s"), *columns)}, held=("__old", "__before", jump), size=size)
     return rows.withColumns({f"old_{c}": F.col(f"__old.{c}") for c in columns} | {"dt": F.col("__s") - F.col("__old.s")}).drop("__s", "__before", "__old")
 
 

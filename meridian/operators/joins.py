@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions import geo
 from meridian.functions.gnss import PRN_RANGES
+from meridian.operators.nmea import ranged
 
 
 def join_reports(tpv: DataFrame, *others: DataFrame, by: tuple[str, ...] = ("device", "time"), how: str = "left") -> DataFrame:
@@ -25,15 +26,9 @@ def lookup(df: DataFrame, dimension: DataFrame, key: str, dimension_key: str, co
     return df.join(d, F.col(key) == F.col("__key"), "left").drop("__key")
 
 
-def prn_ranges(spark) -> DataFrame:
-    return spark.createDataFrame(list(PRN_RANGES), "low int, high int, gnssid int, off int")
-
-
 def prn_range_join(sats: DataFrame, prn: str = "prn") -> DataFrame:
-    """System and number within the system of a satellite number: a range join with the fixed ranges."""
-    d = F.broadcast(prn_ranges(sats.sparkSession))  # eleven rows
-    out = sats.join(d, F.col(prn).between(F.col("low"), F.col("high")), "left")
-    return out.withColumn("svid", F.col(prn) - F.col("off")).drop("low", "high", "off")
+    """System and number within the system of a satellite number: the few fixed ranges are one expression, no join."""
+    return sats.withColumns({"gnssid": ranged(F.col(prn), PRN_RANGES, 2), "svid": ranged(F.col(prn), PRN_RANGES, 3)})
 
 
 def nearest_stations(fixes: DataFrame, stations: DataFrame, most: int = 12, within_m: float = 1_600_000.0, cell: float = 5.0, distance=geo.earth_distance_small, key: str = "line_no") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions.geo import KNOTS_TO_MPS
 from meridian.functions.gnss import PRN_RANGES, SYSTEM_RANGES
+from meridian.operators.scan import SLICE, scan
 
 #: Fixed values. Position qualities and mode letters as fix statuses (1 plain, 2 differential, 3 and 4 RTK, ...).
 QUALITY_STATUS = {"0": 0, "1": 1, "2": 2, "3": 1, "4": 3, "5": 4, "6": 5, "7": 7, "8": 8}
@@ -184,23 +185,19 @@ def decode(lines: DataFrame, device: str = "file", value: str = "value") -> Data
     return rows.select(*columns)
 
 
-def carry_date(rows: DataFrame) -> DataFrame:
+def carry_date(rows: DataFrame, size: int = SLICE) -> DataFrame:
     """Adds day: the last date of the device so far, null before the first; a day on where the time wraps since."""
-    w = W.partitionBy("device").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    seen = F.last(F.when(F.col("date").isNotNull(), F.struct("date", F.col("tod").alias("at"))), ignorenulls=True).over(w)
-    rows = rows.withColumn("__seen", seen)
+    own = F.when(F.col("date").isNotNull(), F.struct("date", F.col("tod").alias("at")))
+    rows = scan(rows, ("device",), "line_no", {"__seen": own}, size=size).withColumn("__seen", F.coalesce(own, F.col("__seen")))
     wrapped = (F.col("tod") < F.col("__seen.at") - 43200).cast("int")
     return rows.withColumn("day", F.date_add("__seen.date", F.coalesce(wrapped, F.lit(0)))).drop("__seen")
 
 
-def epochs(rows: DataFrame, step: float = 0.01) -> DataFrame:
+def epochs(rows: DataFrame, step: float = 0.01, size: int = SLICE) -> DataFrame:
     """Adds epoch: it goes up where a sentence's time differs by over step seconds from the time before. Sentences
     without time belong to the epoch that they arrive in; those before the first time to epoch 0."""
-    w = W.partitionBy("device").orderBy("line_no")
-    timed = F.last(F.when(F.col("tod").isNotNull(), F.col("tod")), ignorenulls=True)
-    before = timed.over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(F.col("tod").isNull(), 0).when(before.isNull() | (F.abs(F.col("tod") - before) > step), 1).otherwise(0)
-    return rows.withColumn("__new", new).withColumn("epoch", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__new")
+    new = lambda now, before: F.when(before.isNull() | (F.abs(now - before) > step), 1).otherwise(0)
+    return scan(rows, ("device",), "line_no", {"__before": F.col("tod")}, total=("epoch", "__before", new), size=size).drop("__before")
 
 
 def cycle_enders(rows: DataFrame) -> DataFrame:

@@ -7,32 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meridian.functions import geo
+from meridian.operators.scan import SLICE, scan
+
+
+def shape(n: Column, mean: Column, sigma: Column, skewness: Column, kurtosis: Column, kind: str = "standard") -> tuple[Column, Column]:
+    """Third and fourth moment over n * sigma^k, from Spark's own aggregates of a column.
+
+    Those are mergeable central moments, so nothing is lost where the mean is large against sigma. With deviations from
+    another point, d = mean - point: sum((x - point)^3) = M3 + 3 d M2 + n d^3, and the fourth likewise.
+    """
+    m2 = sigma * sigma * (n - 1)
+    m3, m4 = skewness * F.sqrt(m2 * m2 * m2 / n), (kurtosis + 3) * m2 * m2 / n
+    d = F.lit(0.0) if kind == "standard" else mean - sigma
+    third, fourth = m3 + 3 * d * m2 + n * d * d * d, m4 + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d
+    wide = sigma > 0.0001
+    return F.when(wide, third / (n * sigma * sigma * sigma)), F.when(wide, fourth / (n * sigma * sigma * sigma * sigma))
 
 
 def moments(x: str, kind: str = "standard") -> list[Column]:
-    """Aggregates n, min, max, mean, sigma, skewness, kurtosis of a column, in one pass over power sums.
+    """Aggregates n, min, max, mean, sigma, skewness, kurtosis of a column, in one pass.
 
     kind="standard" centres the third and fourth power on the mean. kind="reference" centres them on sigma, the
     reading that some profile reports are written with; both divide by n * sigma^k and are null for sigma up to
     0.0001 and for fewer than two values.
     """
     c = F.col(x).cast("double")
-    n = F.count(c).cast("double")
-    s1, s2, s3, s4 = F.sum(c), F.sum(c * c), F.sum(c * c * c), F.sum(c * c * c * c)
     sigma, mean = F.stddev_samp(c), F.avg(c)
-    at = mean if kind == "standard" else sigma
-    third = s3 - 3 * at * s2 + 3 * at * at * s1 - n * at * at * at
-    fourth = s4 - 4 * at * s3 + 6 * at * at * s2 - 4 * at * at * at * s1 + n * at * at * at * at
-    wide = sigma > 0.0001
-    return [
-        F.count(c).alias("n"),
-        F.min(c).alias("min"),
-        F.max(c).alias("max"),
-        mean.alias("mean"),
-        sigma.alias("sigma"),
-        F.when(wide, third / (n * sigma * sigma * sigma)).alias("skewness"),
-        F.when(wide, fourth / (n * sigma * sigma * sigma * sigma)).alias("kurtosis"),
-    ]
+    third, fourth = shape(F.count(c).cast("double"), mean, sigma, F.skewness(c), F.kurtosis(c), kind)
+    return [F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), mean.alias("mean"), sigma.alias("sigma"), third.alias("skewness"), fourth.alias("kurtosis")]
 
 
 def stats_1d(df: DataFrame, x: str, by: tuple[str, ...] = (), kind: str = "standard") -> DataFrame:
@@ -198,10 +200,10 @@ def clock_drift(samples: DataFrame) -> DataFrame:
     return samples.withColumn("offset_ns", (F.col("real_sec") - F.col("clock_sec")) * F.lit(1_000_000_000) + F.col("real_nsec") - F.col("clock_nsec"))
 
 
-def clock_offsets(samples: DataFrame, unit: str = "unit", order: str = "line_no") -> DataFrame:
+def clock_offsets(samples: DataFrame, unit: str = "unit", order: str = "line_no", size: int = SLICE) -> DataFrame:
     """Each unit's series of offsets, numbered in order, with its length."""
-    w = W.partitionBy(unit)
-    return samples.withColumn("k", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w))
+    rows = scan(samples, (unit,), order, {"__one": F.lit(1)}, total=("k", "__one", lambda *_: F.lit(1)), whole="n", size=size)
+    return rows.withColumn("k", F.col("k") - 1).drop("__one")
 
 
 def obs_counts(obs: DataFrame, most: int = 99999) -> DataFrame:
@@ -223,10 +225,15 @@ def sats_per_constellation(obs: DataFrame) -> DataFrame:
 
 
 def obs_span(raw: DataFrame, fixes: DataFrame) -> DataFrame:
-    """First and last observation, smallest step between them, and the first 3D position in ECEF."""
-    times = raw.select("time").distinct()
-    steps = times.withColumn("day", F.floor(F.col("time") / 86400)).withColumn("step", F.col("time") - F.lag("time").over(W.partitionBy("day").orderBy("time")))
-    span = steps.agg(F.min("time").alias("first"), F.max("time").alias("last"), F.min("step").alias("interval"))
+    """First and last observation, smallest step between them, and the first 3D position in ECEF.
+
+    Steps are sought within days; the step into a day is told from the last time of the day before that has any, from a
+    table of one row a day."""
+    times = raw.select("time").distinct().filter("time is not null").withColumn("day", F.floor(F.col("time") / 86400))
+    steps = times.withColumn("step", F.col("time") - F.lag("time").over(W.partitionBy("day").orderBy("time")))
+    days = steps.groupBy("day").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.min("step").alias("step"))
+    days = days.withColumn("step", F.least("step", F.col("first") - F.lag("last").over(W.orderBy("day"))))
+    span = days.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("step").alias("interval"))
     position = fixes.filter("mode = 3").agg(F.min_by(F.struct("ecefx", "ecefy", "ecefz"), "time").alias("position"))
     return span.crossJoin(position)  # one row each
 

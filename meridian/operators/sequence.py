@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meridian.functions import geo
+from meridian.operators.scan import SLICE, scan
 
 
 def seconds(time: str | Column) -> Column:
@@ -15,10 +16,6 @@ def seconds(time: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
 
 
-#: Numbers of order that make a slice: what one task sorts of a device.
-SLICE = 1 << 20
-
-
 def _slices(df: DataFrame, order: str, size: int) -> DataFrame:
     return df.withColumn("__slice", F.floor(F.col(order) / size))
 
@@ -33,25 +30,11 @@ def _with_carried(rows: DataFrame, carried: DataFrame) -> DataFrame:
 def segment_tracks(tpv: DataFrame, timeout: int = 5, time: str = "time", order: str = "line_no", size: int = SLICE) -> DataFrame:
     """Fixes of at least 2D with a track_id per device: a new track where the whole seconds to the fix before, in
     order of arrival, are over timeout, forwards or back. A fix at the time of the one before is dropped, and so is one
-    without a time.
-
-    A device is cut into slices of its order, so that no task sorts all of it. Each slice is first summed up (its first
-    and last time, how many tracks begin after its first fix); what comes before a slice is told from these sums.
-    """
-    w = W.partitionBy("device", "__slice").orderBy(order)
-    apart = lambda a, b: (F.floor(F.abs(a - b) / 1_000_000) > timeout).cast("long")
-    fixes = _slices(tpv.filter("mode >= 2").withColumn("__t", F.unix_micros(F.col(time).cast("timestamp"))).filter("__t is not null"), order, size)
-    fixes = fixes.withColumn("__before", F.lag("__t").over(w))
-    fixes = fixes.withColumn("__new", F.coalesce(apart(F.col("__t"), F.col("__before")), F.lit(0)))
-
-    sums = fixes.groupBy("device", "__slice").agg(F.min_by("__t", order).alias("__first"), F.max_by("__t", order).alias("__end"), F.sum("__new").alias("__inner"))
-    of_device = W.partitionBy("device").orderBy("__slice")
-    sums = sums.withColumn("__last", F.lag("__end").over(of_device)).withColumn("__opens", F.coalesce(apart(F.col("__first"), F.col("__last")), F.lit(1)))
-    begun = F.sum(F.col("__inner") + F.col("__opens")).over(of_device.rowsBetween(W.unboundedPreceding, 0)) - F.col("__inner")
-    rows = _with_carried(fixes, sums.select("device", "__slice", "__last", begun.alias("__begun")))
-    rows = rows.withColumn("track_id", F.col("__begun") + F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("__before", F.coalesce("__before", "__last")).filter("__before is null or __t <> __before")
-    return rows.drop("__slice", "__t", "__before", "__new", "__last", "__begun")
+    without a time. One scan."""
+    fixes = tpv.filter("mode >= 2").withColumn("__t", F.unix_micros(F.col(time).cast("timestamp"))).filter("__t is not null")
+    apart = lambda t, before: F.when(before.isNull() | (F.floor(F.abs(t - before) / 1_000_000) > timeout), 1).otherwise(0)
+    rows = scan(fixes, ("device",), order, {"__before": F.col("__t")}, total=("track_id", "__before", apart), size=size)
+    return rows.filter("__before is null or __t <> __before").drop("__t", "__before")
 
 
 def _thin_schema(df: DataFrame) -> str:
@@ -108,11 +91,11 @@ def slip_flag(obs: DataFrame, interval_ms: int) -> DataFrame:
     return obs.withColumn("lli", F.when(F.col("locktime") < interval_ms, F.coalesce("lli", F.lit(0)).bitwiseOR(2)).otherwise(F.col("lli")))
 
 
-def dedupe_samples(samples: DataFrame, unit: str, received: str, clock: str, order: str) -> DataFrame:
+def dedupe_samples(samples: DataFrame, unit: str, received: str, clock: str, order: str, size: int = SLICE) -> DataFrame:
     """Drops a sample whose reception or clock time is that of the unit's sample before."""
-    w = W.partitionBy(unit).orderBy(order)
-    same = F.coalesce((F.col(received) == F.lag(received).over(w)) | (F.col(clock) == F.lag(clock).over(w)), F.lit(False))
-    return samples.withColumn("__same", same).filter(~F.col("__same")).drop("__same")
+    rows = scan(samples, (unit,), order, {"__before": F.struct(F.col(received).alias("r"), F.col(clock).alias("c"))}, size=size)
+    same = F.coalesce((F.col(received) == F.col("__before.r")) | (F.col(clock) == F.col("__before.c")), F.lit(False))
+    return rows.filter(~same).drop("__before")
 
 
 def fix_streak(tpv: DataFrame, good: Column, order: str = "line_no", size: int = SLICE) -> DataFrame:
@@ -133,24 +116,21 @@ def fix_streak(tpv: DataFrame, good: Column, order: str = "line_no", size: int =
     return out.withColumn("streak", F.col("__at") - F.coalesce(F.col("__bad"), -F.col("__open"))).drop("__slice", "__at", "__bad", "__open")
 
 
-def one_per_second(tpv: DataFrame, min_good: int = 3, time: str = "time", order: str = "line_no") -> DataFrame:
+def one_per_second(tpv: DataFrame, min_good: int = 3, time: str = "time", order: str = "line_no", size: int = SLICE) -> DataFrame:
     """Reports of a second that isn't the one reported last, once over min_good good fixes have come in a row. Every
     eligible row is of the second reported last or reported itself, so the eligible row before tells that second."""
-    w = W.partitionBy("device").orderBy(order)
-    rows = fix_streak(tpv, F.col("mode") >= 2, order).filter(F.col("streak") > min_good).withColumn("__s", F.floor(seconds(time))).filter("__s <> 0")
-    return rows.withColumn("__last", F.lag("__s").over(w)).filter(F.col("__last").isNull() | (F.col("__s") != F.col("__last"))).drop("__s", "__last")
+    rows = fix_streak(tpv, F.col("mode") >= 2, order, size).filter(F.col("streak") > min_good).withColumn("__s", F.floor(seconds(time))).filter("__s <> 0")
+    rows = scan(rows, ("device",), order, {"__last": F.col("__s")}, size=size)
+    return rows.filter(F.col("__last").isNull() | (F.col("__s") != F.col("__last"))).drop("__s", "__last")
 
 
-def classify_pulses(edges: DataFrame, time_us: str = "us", edge: str = "edge") -> DataFrame:
+def classify_pulses(edges: DataFrame, time_us: str = "us", edge: str = "edge", size: int = SLICE << 15) -> DataFrame:
     """Adds cycle (since the last same edge), duration (since the last other edge), in microseconds, kind, and
-    whether the edge starts a second."""
-    w = W.partitionBy("device").orderBy(time_us)
-    t = F.col(time_us)
-    same = F.lag(time_us).over(W.partitionBy("device", edge).orderBy(time_us))
-    ups, downs = F.when(F.col(edge) == 1, t), F.when(F.col(edge) == 0, t)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    other = F.when(F.col(edge) == 1, F.last(downs, ignorenulls=True).over(before)).otherwise(F.last(ups, ignorenulls=True).over(before))
-    out = edges.withColumns({"cycle": t - same, "duration": t - other})
+    whether the edge starts a second. size is of microseconds, some ten hours."""
+    t, up = F.col(time_us), F.col(edge) == 1
+    rows = scan(edges, ("device",), time_us, {"__up": F.when(up, t), "__down": F.when(F.col(edge) == 0, t)}, size=size)
+    same, other = F.when(up, F.col("__up")).otherwise(F.col("__down")), F.when(up, F.col("__down")).otherwise(F.col("__up"))
+    out = rows.withColumns({"cycle": t - same, "duration": t - other}).drop("__up", "__down")
     c, d = F.col("cycle"), F.col("duration")
     kind = (
         F.when(c.isNull() | d.isNull(), "too early")
@@ -167,16 +147,15 @@ def classify_pulses(edges: DataFrame, time_us: str = "us", edge: str = "edge") -
     return out.withColumns({"kind": kind, "starts": starts})
 
 
-def sat_tracks(sats: DataFrame, keep: int = 1024, stale: int = 10, update: str = "update") -> DataFrame:
+def sat_tracks(sats: DataFrame, keep: int = 1024, stale: int = 10, update: str = "update", size: int = SLICE) -> DataFrame:
     """Per satellite the last keep positions that differ from the one before; the track is forgotten, and begun
     anew, where the satellite went unseen for over stale updates."""
-    w = W.partitionBy("PRN").orderBy(update)
-    new = F.coalesce((F.col(update) - F.lag(update).over(w) > stale).cast("int"), F.lit(0))
-    moved = F.coalesce((F.col("az") != F.lag("az").over(w)) | (F.col("el") != F.lag("el").over(w)), F.lit(True))
-    rows = sats.withColumns({"__new": new, "__moved": moved}).withColumn("__island", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("__last", F.max("__island").over(W.partitionBy("PRN"))).filter("__island = __last and (__moved or __new = 1)")
-    back = W.partitionBy("PRN").orderBy(F.desc(update))
-    return rows.withColumn("__n", F.row_number().over(back)).filter(F.col("__n") <= keep).drop("__new", "__moved", "__island", "__last", "__n")
+    lost = lambda now, before: F.when(now["u"] - before["u"] > stale, 1).otherwise(0)
+    rows = scan(sats, ("PRN",), update, {"__b": F.struct(F.col(update).alias("u"), "az", "el")}, total=("__island", "__b", lost), whole="__last", size=size)
+    moved = F.coalesce((F.col("az") != F.col("__b.az")) | (F.col("el") != F.col("__b.el")) | (F.col(update) - F.col("__b.u") > stale), F.lit(True))
+    rows = rows.filter(F.col("__island") == F.col("__last")).filter(moved).drop("__b", "__island", "__last")
+    rows = scan(rows, ("PRN",), update, {"__one": F.lit(1)}, total=("__k", "__one", lambda *_: F.lit(1)), whole="__n", size=size)
+    return rows.filter(F.col("__n") - F.col("__k") < keep).drop("__one", "__k", "__n")
 
 
 def asof(left: DataFrame, right: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ("device",), time: str = "time") -> DataFrame:
@@ -223,8 +202,7 @@ def strip_chart(tpv: DataFrame, fields: tuple[str, ...], step: str = "1 minute",
     return rows.groupBy("device", F.window(F.col("time").cast("timestamp"), step)["start"].alias("start")).agg(*[F.avg(f).alias(f) for f in fields])
 
 
-def rollover_count(df: DataFrame, week: str = "week", order: str = "line_no") -> DataFrame:
+def rollover_count(df: DataFrame, week: str = "week", order: str = "line_no", size: int = SLICE) -> DataFrame:
     """Adds rollovers: how often the ten-bit week has dropped so far."""
-    w = W.partitionBy("device").orderBy(order)
-    drop = F.when(F.col(week) < F.lag(week).over(w) % 1024, 1).otherwise(0)
-    return df.withColumn("__drop", drop).withColumn("rollovers", F.sum("__drop").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__drop")
+    drop = lambda now, before: F.when(now < before % 1024, 1).otherwise(0)
+    return scan(df, ("device",), order, {"__week": F.col(week)}, total=("rollovers", "__week", drop), size=size).drop("__week")

@@ -355,7 +355,7 @@ def min_packet_length(spark, sf_dir):
     return profile.min_packet_length(fix_view(spark, sf_dir).select(F.col("event_type").alias("type"), F.col("line_no").cast("string").alias("line")))
 
 
-@query("obs_span", """, t as (select distinct epoch_us(time) / 1e6 as t from fix_view), s as (select t, t - lag(t) over (partition by floor(t / 86400) order by t) as step from t) select round(min(t), 3) as first, round(max(t), 3) as last, round(min(step), 3) as interval from s""")
+@query("obs_span", """, t as (select distinct epoch_us(time) / 1e6 as t from fix_view), s as (select t, t - lag(t) over (order by t) as step from t) select round(min(t), 3) as first, round(max(t), 3) as last, round(min(step), 3) as interval from s""")
 def obs_span(spark, sf_dir):
     rows = fix_view(spark, sf_dir).withColumn("time", F.unix_micros(F.col("time").cast("timestamp")) / F.lit(1e6))
     fixes = rows.selectExpr("time", "mode", "lat as ecefx", "lon as ecefy", "altHAE as ecefz")

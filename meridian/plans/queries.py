@@ -138,22 +138,38 @@ def look_angles(spark, sf_dir):
     return fix_view(spark, sf_dir).select("line_no", F.round(az, 4).alias("az"), F.round(el, 4).alias("el"), F.round(distance, 3).alias("range"))
 
 
-MOMENTS = """, m as (select device, count(*)::double as n, min(value) as lo, max(value) as hi, avg(value) as mean, stddev_samp(value) as s,
-  sum(value) as s1, sum(value * value) as s2, sum(value * value * value) as s3, sum(value * value * value * value) as s4 from fix_view group by device),
-q as (select *, {at} as a from m)
+#: The definition in two passes: means first, then powers of the differences.
+MOMENTS = """, v as (select device, {x} as x from fix_view), m as (select device, count(x)::double as n, min(x) as lo, max(x) as hi, avg(x) as mean, stddev_samp(x) as s from v group by device),
+q as (select *, {at} as a from m), p as (select device, sum(pow(x - a, 3)) as p3, sum(pow(x - a, 4)) as p4 from v join q using (device) group by device)
 select device, n::bigint as n, round(lo, 6) as min, round(hi, 6) as max, round(mean, 6) as mean, round(s, 6) as sigma,
- round(case when s > 0.0001 then (s3 - 3 * a * s2 + 3 * a * a * s1 - n * a * a * a) / (n * s * s * s) end, 6) as skewness,
- round(case when s > 0.0001 then (s4 - 4 * a * s3 + 6 * a * a * s2 - 4 * a * a * a * s1 + n * a * a * a * a) / (n * s * s * s * s) end, 6) as kurtosis from q"""
+ round(case when s > 0.0001 then p3 / (n * s * s * s) end, {digits}) as skewness, round(case when s > 0.0001 then p4 / (n * s * s * s * s) end, {digits}) as kurtosis from q join p using (device)"""
 
 
-@query("stats_standard_moments", MOMENTS.format(at="mean"))
+def _stats(df: DataFrame, x: str, kind: str = "standard", digits: int = 6) -> DataFrame:
+    out = profile.stats_1d(df, x, ("device",), kind).withColumns({c: F.round(c, digits) for c in ("skewness", "kurtosis")})
+    return rounded(out, 6)
+
+
+@query("stats_standard_moments", MOMENTS.format(x="value", at="mean", digits=6))
 def stats_standard_moments(spark, sf_dir):
-    return rounded(profile.stats_1d(fix_view(spark, sf_dir), "value", ("device",)))
+    return _stats(fix_view(spark, sf_dir), "value")
 
 
-@query("stats_reference_moments", MOMENTS.format(at="s"))
+@query("stats_reference_moments", MOMENTS.format(x="value", at="s", digits=6))
 def stats_reference_moments(spark, sf_dir):
-    return rounded(profile.stats_1d(fix_view(spark, sf_dir), "value", ("device",), "reference"))
+    return _stats(fix_view(spark, sf_dir), "value", "reference")
+
+
+@query("stats_latitude", MOMENTS.format(x="lat", at="mean", digits=5))
+def stats_latitude(spark, sf_dir):
+    """Moments of a column that is large against its spread."""
+    return _stats(fix_view(spark, sf_dir), "lat", digits=5)
+
+
+@query("stats_offsets", MOMENTS.format(x="(2000000 + value * 100)", at="mean", digits=5))
+def stats_offsets(spark, sf_dir):
+    """Moments of clock offsets in nanoseconds."""
+    return _stats(fix_view(spark, sf_dir).withColumn("offset", 2000000 + F.col("value") * 100), "offset", digits=5)
 
 
 @query("used_stats", """, u as (select device, count(*) filter (used) as u from fix_view group by device, time::date)
