@@ -22,11 +22,12 @@ HOT_SHARE = 2.0**-10
 TOP_WORDS = 1 << 20
 BACKOFF = 0.4
 #: Words that a task counts, or turns into bigram rows, at a time.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 #: Buckets by which bigrams are dealt out, for each shuffle partition.
 BUCKETS = 16
-#: Stand for the next word where a context ends a text, and where it begins one.
-LAST, FIRST = 0, 1
+#: Stand for the next word where a context ends a text, and where it begins one. Words of the broadcast table are numbered
+#: from WORD on, which takes fewer bytes in a shuffle than their hashes; those of others have their first bit set.
+LAST, FIRST, WORD, OUTSIDE = 0, 1, 2, np.uint64(1 << 63)
 
 
 def _groups(batches) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -103,7 +104,7 @@ def frequent_counts(unigrams: DataFrame, top_words: int) -> int:
 
 def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: int, backoff: float) -> DataFrame:
     """The exploded bigrams of every text, counted by document within a task: rows of a bucket and arrays of side, context,
-    word, document (its upper and lower half), n, and how often the document has the context and the word.
+    word, document (its upper and lower half), n, and how much oftener than n the document has the context and the word.
 
     What the broadcast counts alone tell is scored here and comes as sums by document (n, seen, score, backs; side
     null): bigrams of two frequent words, and those of a word that no other document has. All others meet in a bucket. Words outside
@@ -128,6 +129,7 @@ def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: in
             count = np.where(in_table >= 0, counts[in_table] if len(counts) else 0, np.where(own >= least - 1, own, -1))
             others = np.where(count >= 0, count - own, -1)
             outside = count < 0
+            code = np.where(in_table >= 0, (in_table + WORD).astype(np.uint64), words | OUTSIDE)
             n, seen, score, backs = (np.zeros(len(texts), k) for k in (np.int32, np.int32, np.float64, np.int32))
 
             def alone(where):
@@ -166,23 +168,24 @@ def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: in
             v = w - 1
             by_word, by_context = outside[w], ~outside[w] | outside[v]
             f, e = first[outside[first]], last[outside[last]]
-            sides = [(1, words[v[by_word]], w[by_word], own[v[by_word]]), (1, np.full(len(f), FIRST, np.uint64), f, np.zeros(len(f), np.int64)), (0, words[v[by_context]], w[by_context], own[v[by_context]])]
+            sides = [(1, code[v[by_word]], w[by_word], own[v[by_word]]), (1, np.full(len(f), FIRST, np.uint64), f, np.zeros(len(f), np.int64)), (0, code[v[by_context]], w[by_context], own[v[by_context]])]
             side = np.concatenate([*(np.full(len(x), s) for s, _, x, _ in sides), np.zeros(len(e), np.int64)])
             if not len(side):
                 continue
-            c = np.concatenate([*(x for _, x, _, _ in sides), words[e]])
+            c = np.concatenate([*(x for _, x, _, _ in sides), code[e]])
+            of_hot = np.zeros(len(side), bool)
+            of_hot[-len(e) - len(sides[2][2]) : len(side) - len(e)] = hot[v[by_context]] >= 0
             own_c = np.concatenate([*(x for _, _, _, x in sides), own[e]])
             where = np.concatenate([*(x for _, _, x, _ in sides), e])
             ends = np.arange(len(side)) >= len(side) - len(e)
-            w, d, own_w = np.where(ends, np.uint64(LAST), words[where]), of[where], own[where]
-            of_hot = (_place(known, c) >= 0) & (side == 0)
+            w, d, own_w = np.where(ends, np.uint64(LAST), code[where]), of[where], own[where]
             key = np.where(side == 1, mix(w), np.where(of_hot, mix(c + mix(w)), mix(c)))
             bucket = (key % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((d, w, c, side, bucket))
             side, c, w, d, own_c, own_w, bucket = (x[order] for x in (side, c, w, d, own_c, own_w, bucket))
             start = np.flatnonzero(np.concatenate(([True], (side[1:] != side[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1]) | (d[1:] != d[:-1]))))
             n = np.diff(np.append(start, len(c)))
-            side, c, w, d, own_c, own_w, bucket = side[start], c[start].view(np.int64), w[start].view(np.int64), ids[d[start]], own_c[start], own_w[start], bucket[start]
+            side, c, w, d, own_c, own_w, bucket = side[start], c[start].view(np.int64), w[start].view(np.int64), ids[d[start]], own_c[start] - n, own_w[start] - n, bucket[start]
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 yield _row(int(bucket[i]), side=side[i:j], context=c[i:j], word=w[i:j], high=d[i:j] >> 32, low=d[i:j], n=n[i:j], own_c=own_c[i:j], own_w=own_w[i:j])
@@ -239,12 +242,13 @@ def stupid_backoff(
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = bigram_rows(docs, model, pairs, buckets, backoff).repartition("bucket")
     entries = dealt.select("bucket", F.inline(F.arrays_zip(*ARRAYS)))
+    numbered = materialize(spark.createDataFrame(pa.table({"is": np.arange(len(words), dtype=np.int64) + WORD, "n": counts.astype(np.int64)}), "is long, n long"))
     for c in ("context", "word"):  # top_words rows at most
-        entries = entries.join(F.broadcast(counted.select(F.col("word").alias(f"{c}_is"), F.col("n").alias(f"{c}_n"))), F.col(c) == F.col(f"{c}_is"), "left")
+        entries = entries.join(F.broadcast(numbered.select(F.col("is").alias(f"{c}_is"), F.col("n").alias(f"{c}_n"))), F.col(c) == F.col(f"{c}_is"), "left")
     doc = F.shiftleft(F.col("high").cast("long"), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND(0xFFFFFFFF))
     by_word, first = F.col("side") == 1, F.col("context") == FIRST
     key = F.when(by_word, F.col("word")).otherwise(F.col("context"))
-    entries = entries.select("bucket", "side", key.alias("key"), "context", "word", doc.alias("doc"), "n", "own_c", "own_w", "seen", "score", "backs", "context_n", "word_n")
+    entries = entries.select("bucket", "side", key.alias("key"), "context", "word", doc.alias("doc"), "n", (F.col("own_c") + F.col("n")).alias("own_c"), (F.col("own_w") + F.col("n")).alias("own_w"), "seen", "score", "backs", "context_n", "word_n")
     pair_n = F.sum("n").over(W.partitionBy("bucket", "side", "key", "context", "word"))
     uses = F.sum("n").over(W.partitionBy("bucket", "side", "key"))
     counted = entries.withColumn("pair_n", pair_n).withColumn("uses", uses).filter(F.col("side").isNull() | (F.col("word") != LAST))
