@@ -23,11 +23,14 @@ TOP_WORDS = 1 << 20
 BACKOFF = 0.4
 #: Words that a task counts, or turns into bigram rows, at a time.
 FLUSH = 1 << 18
-#: Buckets by which bigrams are dealt out, for each shuffle partition.
-BUCKETS = 16
+#: Partitions that bigrams are dealt out to, for each shuffle partition, so that a task sorts its part in memory; buckets,
+#: by which they are dealt, for each of these.
+SPREAD, BUCKETS = 4, 4
 #: Stand for the next word where a context ends a text, and where it begins one. Words of the broadcast table are numbered
 #: from WORD on, which takes fewer bytes in a shuffle than their hashes; those of others have their first bit set.
 LAST, FIRST, WORD, OUTSIDE = 0, 1, 2, np.uint64(1 << 63)
+#: Sides of the rows that bigrams are shuffled as: by context, by word, and sums by document.
+BY_CONTEXT, BY_WORD, SUMS = 0, 1, 2
 
 
 def _groups(batches) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -106,11 +109,11 @@ def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: in
     """The exploded bigrams of every text, counted by document within a task: rows of a bucket and arrays of side, context,
     word, document (its upper and lower half), n, and how much oftener than n the document has the context and the word.
 
-    What the broadcast counts alone tell is scored here and comes as sums by document (n, seen, score, backs; side
-    null): bigrams of two frequent words, and those of a word that no other document has. All others meet in a bucket. Words outside
-    the table of counts get theirs there, too: a bigram is dealt out by its word if that is such a word (side 1,
-    first words of texts come with the context FIRST), and by its context otherwise (side 0; last words of texts
-    come as contexts of LAST); if both are, it goes to both. So a bucket has all occurrences of such a word. Bigrams of a
+    What the broadcast counts alone tell is scored here and comes as SUMS by document (n, seen as own_c, words that backed
+    off as own_w, score): bigrams of two frequent words, and those of a word that no other document has. All others meet
+    in a bucket. Words outside the table of counts get theirs there, too: a bigram is dealt out BY_WORD if that is such a
+    word (first words of texts come with the context FIRST), and BY_CONTEXT otherwise (last words of texts come as
+    contexts of LAST); if both are, it goes to both. So a bucket has all occurrences of such a word. Bigrams of a
     frequent context are dealt out by their word too."""
     floor = 2 * np.log(backoff)
 
@@ -162,14 +165,15 @@ def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: in
             alone(w[single])
             some = np.flatnonzero(n)
             if len(some):
-                yield _row(0, high=ids[some] >> 32, low=ids[some], n=n[some], seen=seen[some], score=score[some], backs=backs[some])
+                nothing = np.zeros(len(some))
+                yield _row(int(mix(ids[:1].view(np.uint64))[0] % np.uint64(buckets)), side=nothing + SUMS, context=nothing, word=nothing + WORD, high=ids[some] >> 32, low=ids[some], n=n[some], own_c=seen[some], own_w=backs[some], score=score[some])
 
             w = w[~both & ~single]
             v = w - 1
             by_word, by_context = outside[w], ~outside[w] | outside[v]
             f, e = first[outside[first]], last[outside[last]]
-            sides = [(1, code[v[by_word]], w[by_word], own[v[by_word]]), (1, np.full(len(f), FIRST, np.uint64), f, np.zeros(len(f), np.int64)), (0, code[v[by_context]], w[by_context], own[v[by_context]])]
-            side = np.concatenate([*(np.full(len(x), s) for s, _, x, _ in sides), np.zeros(len(e), np.int64)])
+            sides = [(BY_WORD, code[v[by_word]], w[by_word], own[v[by_word]]), (BY_WORD, np.full(len(f), FIRST, np.uint64), f, np.zeros(len(f), np.int64)), (BY_CONTEXT, code[v[by_context]], w[by_context], own[v[by_context]])]
+            side = np.concatenate([*(np.full(len(x), s) for s, _, x, _ in sides), np.full(len(e), BY_CONTEXT)])
             if not len(side):
                 continue
             c = np.concatenate([*(x for _, x, _, _ in sides), code[e]])
@@ -179,7 +183,7 @@ def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: in
             where = np.concatenate([*(x for _, _, x, _ in sides), e])
             ends = np.arange(len(side)) >= len(side) - len(e)
             w, d, own_w = np.where(ends, np.uint64(LAST), code[where]), of[where], own[where]
-            key = np.where(side == 1, mix(w), np.where(of_hot, mix(c + mix(w)), mix(c)))
+            key = np.where(side == BY_WORD, mix(w), np.where(of_hot, mix(c + mix(w)), mix(c)))
             bucket = (key % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((d, w, c, side, bucket))
             side, c, w, d, own_c, own_w, bucket = (x[order] for x in (side, c, w, d, own_c, own_w, bucket))
@@ -188,17 +192,17 @@ def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: in
             side, c, w, d, own_c, own_w, bucket = side[start], c[start].view(np.int64), w[start].view(np.int64), ids[d[start]], own_c[start] - n, own_w[start] - n, bucket[start]
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             for i, j in zip(edges[:-1], edges[1:], strict=True):
-                yield _row(int(bucket[i]), side=side[i:j], context=c[i:j], word=w[i:j], high=d[i:j] >> 32, low=d[i:j], n=n[i:j], own_c=own_c[i:j], own_w=own_w[i:j])
+                yield _row(int(bucket[i]), side=side[i:j], context=c[i:j], word=w[i:j], high=d[i:j] >> 32, low=d[i:j], n=n[i:j], own_c=own_c[i:j], own_w=own_w[i:j], score=np.zeros(j - i))
 
     return docs.mapInArrow(run, "bucket int, " + ", ".join(f"{k} array<{t}>" for k, t in ARRAYS.items()))
 
 
-ARRAYS = {"side": "tinyint", "context": "long", "word": "long", "high": "int", "low": "int", "n": "int", "own_c": "int", "own_w": "int", "seen": "int", "score": "double", "backs": "int"}
+ARRAYS = {"side": "tinyint", "context": "long", "word": "long", "high": "int", "low": "int", "n": "int", "own_c": "int", "own_w": "int", "score": "double"}
 _KINDS = {"tinyint": np.int8, "long": np.int64, "int": np.int32, "double": np.float64}
 
 
 def _row(bucket: int, **arrays: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(arrays.get(k, np.zeros(0)).astype(_KINDS[t])) for k, t in ARRAYS.items()]
+    columns = [pa.array(arrays[k].astype(_KINDS[t])) for k, t in ARRAYS.items()]
     lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
     return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *lists], names=["bucket", *ARRAYS])
 
@@ -239,31 +243,29 @@ def stupid_backoff(
     paired = frequent_pairs(docs, model).toArrow().sort_by([("pair", "ascending")])
     pairs = spark.sparkContext.broadcast((paired["pair"].to_numpy(), paired["n"].to_numpy()))
 
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = bigram_rows(docs, model, pairs, buckets, backoff).repartition("bucket")
-    entries = dealt.select("bucket", F.inline(F.arrays_zip(*ARRAYS)))
-    numbered = materialize(spark.createDataFrame(pa.table({"is": np.arange(len(words), dtype=np.int64) + WORD, "n": counts.astype(np.int64)}), "is long, n long"))
-    for c in ("context", "word"):  # top_words rows at most
-        entries = entries.join(F.broadcast(numbered.select(F.col("is").alias(f"{c}_is"), F.col("n").alias(f"{c}_n"))), F.col(c) == F.col(f"{c}_is"), "left")
+    partitions = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = bigram_rows(docs, model, pairs, BUCKETS * partitions, backoff).repartition(partitions, "bucket")
     doc = F.shiftleft(F.col("high").cast("long"), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND(0xFFFFFFFF))
-    by_word, first = F.col("side") == 1, F.col("context") == FIRST
-    key = F.when(by_word, F.col("word")).otherwise(F.col("context"))
-    entries = entries.select("bucket", "side", key.alias("key"), "context", "word", doc.alias("doc"), "n", (F.col("own_c") + F.col("n")).alias("own_c"), (F.col("own_w") + F.col("n")).alias("own_w"), "seen", "score", "backs", "context_n", "word_n")
+    sums_, by_word, first = F.col("side") == SUMS, F.col("side") == BY_WORD, F.col("context") == FIRST
+    entries = dealt.select("bucket", F.inline(F.arrays_zip(*ARRAYS))).select("bucket", "side", F.when(by_word, F.col("word")).otherwise(F.col("context")).alias("key"), "context", "word", doc.alias("doc"), "n", "own_c", "own_w", "score")
     pair_n = F.sum("n").over(W.partitionBy("bucket", "side", "key", "context", "word"))
     uses = F.sum("n").over(W.partitionBy("bucket", "side", "key"))
-    counted = entries.withColumn("pair_n", pair_n).withColumn("uses", uses).filter(F.col("side").isNull() | (F.col("word") != LAST))
-    of_context = F.when(by_word, F.col("context_n")).otherwise(F.coalesce("context_n", "uses")) - F.col("own_c")
-    of_word = F.when(by_word, F.col("uses")).otherwise(F.col("word_n")) - F.col("own_w")
+    entries = entries.withColumn("pair_n", pair_n).withColumn("uses", uses).filter(F.col("word") != LAST)
+    numbered = materialize(spark.createDataFrame(pa.table({"is": np.arange(len(words), dtype=np.int64) + WORD, "n": counts.astype(np.int64)}), "is long, n long"))
+    for c in ("context", "word"):  # top_words rows at most
+        entries = entries.join(F.broadcast(numbered.select(F.col("is").alias(f"{c}_is"), F.col("n").alias(f"{c}_n"))), F.col(c) == F.col(f"{c}_is"), "left")
+    of_context = F.when(by_word, F.col("context_n")).otherwise(F.coalesce("context_n", "uses")) - F.col("own_c") - F.col("n")
+    of_word = F.when(by_word, F.col("uses")).otherwise(F.col("word_n")) - F.col("own_w") - F.col("n")
     seen = ~first & (F.col("pair_n") > F.col("n"))
     # of a bigram that went to two buckets, one knows its context's count and the other its word's
     scored = F.when(seen, of_context.isNotNull()).otherwise(of_word.isNotNull())
     log = F.when(seen, F.log(F.col("pair_n") - F.col("n")) - F.log(of_context)).when(of_word > 0, F.log(F.lit(backoff)) + F.log(of_word)).otherwise(F.lit(2 * math.log(backoff) - math.log(total)))
-    here = lambda column, value: F.sum(F.when(F.col("side").isNull(), F.col(column)).when(scored, value).otherwise(0)).alias(column)
-    sums = counted.groupBy(F.col("doc").alias("of")).agg(
-        here("n", F.col("n")),
-        here("seen", F.when(seen, F.col("n")).otherwise(0)),
-        here("score", F.col("n") * log),
-        here("backs", F.when(~seen & (of_word > 0), F.col("n")).otherwise(0)),
+    here = lambda name, given, value: F.sum(F.when(sums_, given).when(scored, value).otherwise(0)).alias(name)
+    sums = entries.groupBy(F.col("doc").alias("of")).agg(
+        here("n", F.col("n"), F.col("n")),
+        here("seen", F.col("own_c"), F.when(seen, F.col("n")).otherwise(0)),
+        here("score", F.col("score"), F.col("n") * log),
+        here("backs", F.col("own_w"), F.when(~seen & (of_word > 0), F.col("n")).otherwise(0)),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
     others = F.log(F.greatest(F.lit(float(total)) - F.col("n"), F.lit(1.0)))
