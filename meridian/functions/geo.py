@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: WGS84 semi-axes and first eccentricity squared, and units in metres or metres a second.
 WGS84_A = 6378137.0
@@ -75,21 +73,100 @@ def _vincenty(lat1, lon1, lat2, lon2, limit=200):
     return distance, np.where(settled | same, first, np.nan), np.where(settled | same, last, np.nan)
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("distance", "bearing_initial", "bearing_final")]))
-def _inverse(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.DataFrame:
-    x = [s.astype("float64").to_numpy() for s in (lat1, lon1, lat2, lon2)]
-    d, a, b = _vincenty(*x)
-    return pd.DataFrame({"distance": d, "bearing_initial": a, "bearing_final": b})
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def inverse(lat1, lon1, lat2, lon2) -> Column:
-    """Struct of distance (m) and initial and final bearing (radians) by Vincenty's inverse, in Arrow batches."""
-    return _inverse(*map(_c, (lat1, lon1, lat2, lon2)))
+def _struct(**columns: Column) -> Column:
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+
+def inverse(lat1, lon1, lat2, lon2, rounds: int = 60) -> Column:
+    """Struct of distance (m) and initial and final bearing (radians) by Vincenty's inverse; null where rounds rounds don't
+    settle the longitude (next to antipodes). Stays in the JVM: a fold over rounds that ends once it is settled."""
+    x = F.lit
+    one = lambda c: x(1.0) - c
+    reduced = lambda lat: F.atan(x(1 - WGS84_F) * F.tan(F.radians(lat)))
+
+    def sides(p, lam):
+        """What depends on the longitude difference on the sphere."""
+        across, along = p["c2"] * F.sin(lam), p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(lam)
+        return _struct(ss=F.sqrt(across * across + along * along), cs=p["s1"] * p["s2"] + p["c1"] * p["c2"] * F.cos(lam), sl=F.sin(lam))
+
+    def angles(p, t):
+        sa = F.when(t["ss"] == 0, 0.0).otherwise(p["c1"] * p["c2"] * t["sl"] / t["ss"])
+        return let(sa, lambda sa: _struct(ss=t["ss"], cs=t["cs"], sigma=F.atan2(t["ss"], t["cs"]), sa=sa, ca2=one(sa * sa), cm=F.when(sa * sa == 1, 0.0).otherwise(t["cs"] - x(2.0) * p["s1"] * p["s2"] / one(sa * sa))))
+
+    def terms(p, lam):
+        return let(sides(p, lam), lambda t: angles(p, t))
+
+    def step(p, state):
+        def longitude(t):
+            k = x(WGS84_F / 16) * t["ca2"] * (x(4.0) + x(WGS84_F) * (x(4.0) - x(3.0) * t["ca2"]))
+            return let(k, lambda k: p["span"] + one(k) * x(WGS84_F) * t["sa"] * (t["sigma"] + k * t["ss"] * (t["cm"] + k * t["cs"] * (x(2.0) * t["cm"] * t["cm"] - 1))))
+
+        new = let(terms(p, state["lam"]), longitude)
+        return F.when(state["done"], state).otherwise(let(new, lambda n: _struct(lam=n, done=F.coalesce(F.abs(n - state["lam"]) < 1e-12, F.lit(False)))))
+
+    def length(t):
+        w = t["ca2"] * x((WGS84_A**2 - WGS84_B**2) / WGS84_B**2)
+        big = lambda w: x(1.0) + w / 16384 * (x(4096.0) + w * (x(-768.0) + w * (x(320.0) - x(175.0) * w)))
+        small = lambda w: w / 1024 * (x(256.0) + w * (x(-128.0) + w * (x(74.0) - x(47.0) * w)))
+        square = x(2.0) * t["cm"] * t["cm"] - 1
+        less = lambda b: b * t["ss"] * (t["cm"] + b / 4 * (t["cs"] * square - b / 6 * t["cm"] * (x(4.0) * t["ss"] * t["ss"] - 3) * (x(4.0) * t["cm"] * t["cm"] - 3)))
+        return let(w, lambda w: x(WGS84_B) * big(w) * (t["sigma"] - let(small(w), less)))
+
+    def result(p, state):
+        lam, same = state["lam"], p["same"]
+        first = F.atan2(p["c2"] * F.sin(lam), p["c1"] * p["s2"] - p["s1"] * p["c2"] * F.cos(lam))
+        last = F.atan2(p["c1"] * F.sin(lam), p["c1"] * p["s2"] * F.cos(lam) - p["s1"] * p["c2"])
+        settled = state["done"] | same
+        distance = F.when(same, 0.0).when(state["done"], let(terms(p, lam), length))
+        return _struct(distance=distance, bearing_initial=F.when(settled, first), bearing_final=F.when(settled, last))
+
+    lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
+    u1, u2 = reduced(lat1), reduced(lat2)
+    given = _struct(s1=F.sin(u1), c1=F.cos(u1), s2=F.sin(u2), c2=F.cos(u2), span=F.radians(lon2 - lon1), same=(lat1 == lat2) & (lon1 == lon2))
+    start = lambda p: _struct(lam=p["span"], done=F.lit(False))
+    fold = lambda p: F.aggregate(F.sequence(x(1), x(rounds)), start(p), lambda state, _: step(p, state))
+    return let(given, lambda p: let(fold(p), lambda state: result(p, state)))
+
+
+def with_inverse(df: DataFrame, lat1, lon1, lat2, lon2, into: str = "inverse", rounds: int = 6) -> DataFrame:
+    """Adds inverse() as a column, with its first rounds as projections that Spark compiles, some ten times faster. Rows
+    that they don't settle, few but for near antipodes, go on with the fold."""
+    x = F.lit
+    lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
+    u1, u2 = (F.atan(x(1 - WGS84_F) * F.tan(F.radians(lat))) for lat in (lat1, lat2))
+    kept = df.columns
+    df = df.withColumns({"__s1": F.sin(u1), "__c1": F.cos(u1), "__s2": F.sin(u2), "__c2": F.cos(u2), "__span": F.radians(lon2 - lon1)}).withColumns({"__lam": F.col("__span"), "__last": x(None).cast("double")})
+    s1, c1, s2, c2, lam = (F.col(f"__{n}") for n in ("s1", "c1", "s2", "c2", "lam"))
+    across, along = c2 * F.sin(lam), c1 * s2 - s1 * c2 * F.cos(lam)
+    ss, cs = F.sqrt(across * across + along * along), s1 * s2 + c1 * c2 * F.cos(lam)
+    sigma, sa = F.atan2(ss, cs), F.when(ss == 0, 0.0).otherwise(c1 * c2 * F.sin(lam) / ss)
+    ca2 = x(1.0) - sa * sa
+    cm = F.when(ca2 == 0, 0.0).otherwise(cs - x(2.0) * s1 * s2 / ca2)
+    k = x(WGS84_F / 16) * ca2 * (x(4.0) + x(WGS84_F) * (x(4.0) - x(3.0) * ca2))
+    new = F.col("__span") + (x(1.0) - k) * x(WGS84_F) * sa * (sigma + k * ss * (cm + k * cs * (x(2.0) * cm * cm - 1)))
+    for _ in range(rounds):
+        df = df.withColumns({"__lam": new, "__last": lam})
+    df = df.withColumns({"__ss": ss, "__cs": cs, "__sigma": sigma, "__ca2": ca2, "__cm": cm})
+    ss, cs, sigma, ca2, cm = (F.col(f"__{n}") for n in ("ss", "cs", "sigma", "ca2", "cm"))
+    w = ca2 * x((WGS84_A**2 - WGS84_B**2) / WGS84_B**2)
+    big = x(1.0) + w / 16384 * (x(4096.0) + w * (x(-768.0) + w * (x(320.0) - x(175.0) * w)))
+    small = w / 1024 * (x(256.0) + w * (x(-128.0) + w * (x(74.0) - x(47.0) * w)))
+    square = x(2.0) * cm * cm - 1
+    less = small * ss * (cm + small / 4 * (cs * square - small / 6 * cm * (x(4.0) * ss * ss - 3) * (x(4.0) * cm * cm - 3)))
+    same = (lat1 == lat2) & (lon1 == lon2)
+    own = _struct(distance=F.when(same, 0.0).otherwise(x(WGS84_B) * big * (sigma - less)), bearing_initial=F.atan2(across, along), bearing_final=F.atan2(c1 * F.sin(lam), c1 * s2 * F.cos(lam) - s1 * c2))
+    settled = same | (F.abs(lam - F.col("__last")) < 1e-12)
+    return df.select(*kept, F.when(settled, own).when(lam.isNotNull(), inverse(lat1, lon1, lat2, lon2)).alias(into))
 
 
 def earth_distance(lat1, lon1, lat2, lon2) -> Column:
     """Vincenty distance; where it doesn't converge (near antipodes) the equirectangular one."""
-    return F.coalesce(F.nanvl(inverse(lat1, lon1, lat2, lon2)["distance"], F.lit(None).cast("double")), earth_distance_small(lat1, lon1, lat2, lon2))
+    return F.coalesce(inverse(lat1, lon1, lat2, lon2)["distance"], earth_distance_small(lat1, lon1, lat2, lon2))
 
 
 def bearing_initial(lat1, lon1, lat2, lon2) -> Column:

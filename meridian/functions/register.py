@@ -58,8 +58,21 @@ SQL_FUNCTIONS = {
 }
 
 
+_M2, _D = "sigma * sigma * (n - 1)", "if(kind = 'reference', mean - sigma, 0D)"
+_M3, _M4 = f"skew * sqrt(pow({_M2}, 3) / n)", f"(kurt + 3D) * pow({_M2}, 2) / n"
+SQL_FUNCTIONS["shape_of"] = (
+    "n BIGINT, mean DOUBLE, sigma DOUBLE, skew DOUBLE, kurt DOUBLE, kind STRING",
+    "STRUCT<skewness DOUBLE, kurtosis DOUBLE>",
+    f"named_struct('skewness', if(sigma > 0.0001D, ({_M3} + 3D * {_D} * {_M2} + n * pow({_D}, 3)) / (n * pow(sigma, 3)), null), 'kurtosis', if(sigma > 0.0001D, ({_M4} + 4D * {_D} * {_M3} + 6D * pow({_D}, 2) * {_M2} + n * pow({_D}, 4)) / (n * pow(sigma, 4)), null))",
+)
+
+
 def register_functions(spark: SparkSession) -> None:
-    """earth_distance (Vincenty, Arrow batches) and the closed forms as SQL functions of the session."""
+    """earth_distance (Vincenty, Arrow batches), the closed forms and shape_of as SQL functions of the session.
+
+    shape_of(count(x), avg(x), stddev_samp(x), skewness(x), kurtosis(x), kind) gives skewness and kurtosis as profiles
+    have them (kind standard or reference) in any grouped or windowed query: its arguments are Spark's own mergeable aggregates.
+    """
 
     @F.pandas_udf(T.DoubleType())
     def earth_distance(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:

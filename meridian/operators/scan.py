@@ -37,11 +37,11 @@ def scan(
     value, inner total, last value held), and what comes before a slice is told from these rows. So the rows are shuffled
     once, by key and slice; tables of one row for each key and slice are what is sorted by key. Null keys are a key.
     """
-    w = W.partitionBy("__by", "__slice").orderBy(order)
+    w = W.partitionBy("__scan_by", "__scan_slice").orderBy(order)
     until, earlier = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
     boxed = lambda c: F.when(c.isNotNull(), F.struct(c.alias("v")))  # noqa: E731  a value of any type, null where there is none
-    names = {name: f"__v{k}" for k, name in enumerate(befores)}
-    rows = df.withColumns({"__by": F.struct(*by), "__slice": F.floor(F.col(order) / size), **{names[n]: boxed(c) for n, c in befores.items()}})
+    names = {name: f"__scan_v{k}" for k, name in enumerate(befores)}
+    rows = df.withColumns({"__scan_by": F.struct(*by), "__scan_slice": F.floor(F.col(order) / size), **{names[n]: boxed(c) for n, c in befores.items()}})
     rows = rows.withColumns({f"{v}_b": F.last(v, ignorenulls=True).over(earlier) for v in names.values()})
     at = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
     ends = {f"{v}_end": F.max_by(v, at(v)) for v in names.values()}
@@ -52,41 +52,41 @@ def scan(
             ends[f"{v}_first"] = F.min_by(v, at(v))
             known = F.col(v).isNotNull() & F.col(b).isNotNull()
             said = spec[2](F.col(f"{v}.v"), F.col(f"{b}.v"))
-            inner[f"__{kind}"] = F.when(known, said).otherwise(0).cast("long") if kind == "t" else F.when(known & said, F.col(b))
+            inner[f"__scan_{kind}"] = F.when(known, said).otherwise(0).cast("long") if kind == "t" else F.when(known & said, F.col(b))
     rows = rows.withColumns(inner)
     if total:
-        ends["__t_sum"] = F.sum("__t")
+        ends["__scan_t_sum"] = F.sum("__scan_t")
     if held:
-        ends["__h_end"] = F.max_by("__h", at("__h"))
+        ends["__scan_h_end"] = F.max_by("__scan_h", at("__scan_h"))
 
-    of_key = W.partitionBy("__by").orderBy("__slice")
+    of_key = W.partitionBy("__scan_by").orderBy("__scan_slice")
     before = of_key.rowsBetween(W.unboundedPreceding, -1)
-    sums = rows.groupBy("__by", "__slice").agg(*[c.alias(n) for n, c in ends.items()])
+    sums = rows.groupBy("__scan_by", "__scan_slice").agg(*[c.alias(n) for n, c in ends.items()])
     sums = sums.withColumns({f"{v}_last": F.last(f"{v}_end", ignorenulls=True).over(before) for v in names.values()})
     kept = [f"{v}_last" for v in names.values()]
     if total:
         v = names[total[1]]
         first, last = F.col(f"{v}_first"), F.col(f"{v}_last")
-        sums = sums.withColumn("__t_opens", F.when(first.isNotNull(), F.coalesce(total[2](first["v"], last["v"]).cast("long"), F.lit(0))).otherwise(0))
-        added = F.col("__t_sum") + F.col("__t_opens")
-        sums = sums.withColumns({"__t_begun": F.coalesce(F.sum(added).over(before), F.lit(0)), "__t_all": F.sum(added).over(W.partitionBy("__by"))})
-        kept += ["__t_opens", "__t_begun", "__t_all"]
+        sums = sums.withColumn("__scan_t_opens", F.when(first.isNotNull(), F.coalesce(total[2](first["v"], last["v"]).cast("long"), F.lit(0))).otherwise(0))
+        added = F.col("__scan_t_sum") + F.col("__scan_t_opens")
+        sums = sums.withColumns({"__scan_t_begun": F.coalesce(F.sum(added).over(before), F.lit(0)), "__scan_t_all": F.sum(added).over(W.partitionBy("__scan_by"))})
+        kept += ["__scan_t_opens", "__scan_t_begun", "__scan_t_all"]
     if held:
         v = names[held[1]]
         first, last = F.col(f"{v}_first"), F.col(f"{v}_last")
-        sums = sums.withColumn("__h_opens", F.when(first.isNotNull() & held[2](first["v"], last["v"]), last))
-        sums = sums.withColumn("__h_before", F.last(F.coalesce("__h_end", "__h_opens"), ignorenulls=True).over(before))
-        kept += ["__h_opens", "__h_before"]
-    out = rows.join(sums.select("__by", "__slice", *kept), ["__by", "__slice"])
+        sums = sums.withColumn("__scan_h_opens", F.when(first.isNotNull() & held[2](first["v"], last["v"]), last))
+        sums = sums.withColumn("__scan_h_before", F.last(F.coalesce("__scan_h_end", "__scan_h_opens"), ignorenulls=True).over(before))
+        kept += ["__scan_h_opens", "__scan_h_before"]
+    out = rows.join(sums.select("__scan_by", "__scan_slice", *kept), ["__scan_by", "__scan_slice"])
     new = {n: F.coalesce(f"{v}_b", f"{v}_last")["v"] for n, v in names.items()}
     if total:
         v = names[total[1]]
-        here = F.when(F.col(v).isNull(), 0).when(F.col(f"{v}_b").isNull(), F.col("__t_opens")).otherwise(F.col("__t"))
-        new[total[0]] = F.col("__t_begun") + F.sum(here).over(until)
+        here = F.when(F.col(v).isNull(), 0).when(F.col(f"{v}_b").isNull(), F.col("__scan_t_opens")).otherwise(F.col("__scan_t"))
+        new[total[0]] = F.col("__scan_t_begun") + F.sum(here).over(until)
         if whole:
-            new[whole] = F.col("__t_all")
+            new[whole] = F.col("__scan_t_all")
     if held:
         v = names[held[1]]
-        opened = F.when(F.coalesce(v, f"{v}_b").isNotNull(), F.col("__h_opens"))
-        new[held[0]] = F.coalesce(F.last("__h", ignorenulls=True).over(until), opened, F.col("__h_before"))["v"]
+        opened = F.when(F.coalesce(v, f"{v}_b").isNotNull(), F.col("__scan_h_opens"))
+        new[held[0]] = F.coalesce(F.last("__scan_h", ignorenulls=True).over(until), opened, F.col("__scan_h_before"))["v"]
     return out.select(*df.columns, *[c.alias(n) for n, c in new.items()])

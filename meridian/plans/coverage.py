@@ -72,12 +72,57 @@ def _value(k: int, n: int) -> str:
     return f"(line_no * {7 * k + 3}) % {1 << min(n, 24)}"
 
 
-def messages_of(spark, sf_dir, type_: int, layout: str | None = None, n_bits: int | None = None) -> DataFrame:
-    """A vessel message of each event: the type, the ship, and a value in every field (of the type, or of a layout)."""
-    layout = next(v for k, v in ais.LAYOUTS.items() if type_ in k) if layout is None else layout
+#: Fixed values. Fields after the ship's number by type, in the order in which they are sent: name, bits and kind; - is spare.
+#: Written down apart from the decoder's table of places, which it is held against.
+_WHERE = "accuracy 1 b, lon 28 s, lat 27 s"
+_SHIP = "to_bow 9 u, to_stern 9 u, to_port 6 u, to_starboard 6 u"
+_BOX = "ne_lon 18 s, ne_lat 17 s, sw_lon 18 s, sw_lat 17 s"
+SENT = {
+    3: f"status 4 u, turn 8 s, speed 10 u, {_WHERE}, course 12 u, heading 9 u, second 6 u, maneuver 2 u, - 3, raim 1 b, radio 19 u",
+    4: f"year 14 u, month 4 u, day 5 u, hour 5 u, minute 6 u, second 6 u, {_WHERE}, epfd 4 u, - 10, raim 1 b, radio 19 u",
+    5: f"ais_version 2 u, imo 30 u, callsign 42 t, shipname 120 t, shiptype 8 u, {_SHIP}, epfd 4 u, month 4 u, day 5 u, hour 5 u, minute 6 u, draught 8 u, destination 120 t, dte 1 u",
+    6: "seqno 2 u, dest_mmsi 30 u, retransmit 1 b, - 1, dac 10 u, fid 6 u",
+    7: "- 2, mmsi1 30 u, - 2, mmsi2 30 u, - 2, mmsi3 30 u, - 2, mmsi4 30 u",
+    8: "- 2, dac 10 u, fid 6 u",
+    9: f"alt 12 u, speed 10 u, {_WHERE}, course 12 u, second 6 u, regional 8 u, dte 1 u, - 4, raim 1 b, radio 20 u",
+    10: "- 2, dest_mmsi 30 u",
+    12: "seqno 2 u, dest_mmsi 30 u, retransmit 1 b, - 1, text 42 t",
+    14: "- 2, text 42 t",
+    15: "- 2, mmsi1 30 u, type1_1 6 u, offset1_1 12 u, - 2, type1_2 6 u, offset1_2 12 u, - 2, mmsi2 30 u, type2_1 6 u, offset2_1 12 u",
+    16: "- 2, mmsi1 30 u, offset1 12 u, increment1 10 u, mmsi2 30 u, offset2 12 u, increment2 10 u",
+    17: "- 2, lon 18 s, lat 17 s",
+    18: f"reserved 8 u, speed 10 u, {_WHERE}, course 12 u, heading 9 u, second 6 u, regional 2 u, cs 1 b, display 1 b, dsc 1 b, band 1 b, msg22 1 b, - 1, raim 1 b, radio 20 u",
+    19: f"reserved 8 u, speed 10 u, {_WHERE}, course 12 u, heading 9 u, second 6 u, regional 4 u, shipname 120 t, shiptype 8 u, {_SHIP}, epfd 4 u, raim 1 b, dte 1 u, assigned 1 b",
+    20: "- 2, " + ", ".join(f"offset{k} 12 u, number{k} 4 u, timeout{k} 3 u, increment{k} 11 u" for k in (1, 2, 3, 4)),
+    21: f"aid_type 5 u, name 120 t, {_WHERE}, {_SHIP}, epfd 4 u, second 6 u, off_position 1 b, regional 8 u, raim 1 b, virtual_aid 1 b",
+    22: f"- 2, channel_a 12 u, channel_b 12 u, txrx 4 u, power 1 b, {_BOX}, addressed 1 b, band_a 1 b, band_b 1 b, zonesize 3 u",
+    23: f"- 2, {_BOX}, stationtype 4 u, shiptype 8 u, - 22, txrx 2 u, interval 4 u, quiet 4 u",
+    25: "addressed 1 b, structured 1 b",
+    27: "accuracy 1 b, raim 1 b, status 4 u, lon 18 s, lat 17 s, speed 6 u, course 9 u, gnss 1 b",
+}
+
+
+def _placed(sent: str) -> list[tuple[str, int, int, str]]:
+    """(name, first bit, bits, kind) of fields in the order in which they are sent."""
+    out, at = [], 38
+    for field in sent.split(", "):
+        name, n, *kind = field.split(" ")
+        if kind:
+            out.append((name, at, int(n), kind[0]))
+        at += int(n)
+    return out
+
+
+def _sent(sent: str) -> str:
+    return ", ".join(f"{name} {at} {n} {kind}" for name, at, n, kind in _placed(sent))
+
+
+def messages_of(spark, sf_dir, type_: int, layout: str | None = None, n_bits: int | None = None, ship: str = "200000000 + device") -> DataFrame:
+    """A vessel message of each event: the type, the ship, and a value in every field (of SENT, or of a layout)."""
+    layout = _sent(SENT[type_]) if layout is None else layout
     pad = 0 if n_bits is None else -n_bits % 6
     n_bits = -(-max(ais.LENGTHS[type_][0], 96) // 6) * 6 if n_bits is None else n_bits + pad
-    fields = [("0", 6, "u", str(type_)), ("6", 2, "u", "0"), ("8", 30, "u", "200000000 + device")]
+    fields = [("0", 6, "u", str(type_)), ("6", 2, "u", "0"), ("8", 30, "u", ship)]
     fields += [(str(at), n, kind, name.rpartition("=")[2] if "=" in name else _value(k, n)) for k, (name, at, n, kind) in enumerate(ais._layout(layout), 1)]
     parts, at = [], 0
     for start, n, kind, value in fields:
@@ -102,7 +147,7 @@ def messages_of(spark, sf_dir, type_: int, layout: str | None = None, n_bits: in
 
 
 #: Types whose decoded columns are the fields themselves, and what of them the query leaves out.
-_PLAIN = {3: (), 4: ("year", "month", "day", "hour", "minute"), 5: ("month", "day", "hour", "minute"), 6: (), 7: (), 8: (), 9: (), 10: (), 12: (), 15: (), 16: (), 17: (), 18: (), 19: (), 20: (), 21: (), 23: (), 25: (), 27: ()}
+_PLAIN = {**dict.fromkeys(SENT, ()), 4: ("year", "month", "day", "hour", "minute"), 5: ("month", "day", "hour", "minute"), 22: ("ne_lon", "ne_lat", "sw_lon", "sw_lat")}
 
 
 def _expected(k: int, name: str, n: int, kind: str) -> str:
@@ -117,7 +162,7 @@ def _expected(k: int, name: str, n: int, kind: str) -> str:
 
 
 for _type, _without in _PLAIN.items():
-    _fields = [(k, name, n, kind) for k, (name, _, n, kind) in enumerate(ais._layout(next(v for t, v in ais.LAYOUTS.items() if _type in t)), 1) if name not in _without]
+    _fields = [(k, name, n, kind) for k, (name, _, n, kind) in enumerate(_placed(SENT[_type]), 1) if name not in _without]
     _text = ", ".join(["line_no", "(200000000 + device)::bigint as mmsi", *(_expected(*f) for f in _fields)])
 
     @query(f"ais_type_{_type}", f" select {_text} from fix_view")
@@ -125,6 +170,60 @@ for _type, _without in _PLAIN.items():
         return ais.decode_type(messages_of(spark, sf_dir, type_), type_).select("line_no", "mmsi", *names)
 
 
+@query("ais_times", f""" select line_no, printf('%04d-%02d-%02dT%02d:%02d:%02dZ', {", ".join(f"({_value(k, n)})::int" for k, n in ((1, 14), (2, 4), (3, 5), (4, 5), (5, 6), (6, 6)))}) as timestamp from fix_view""")
+def ais_times(spark, sf_dir):
+    return ais.decode_type(messages_of(spark, sf_dir, 4), 4).select("line_no", "timestamp")
+
+
+@query("ais_arrivals", f""" select line_no, printf('%02d-%02dT%02d:%02dZ', {", ".join(f"({_value(k, n)})::int" for k, n in ((11, 4), (12, 5), (13, 5), (14, 6)))}) as eta from fix_view""")
+def ais_arrivals(spark, sf_dir):
+    return ais.decode_type(messages_of(spark, sf_dir, 5), 5).select("line_no", "eta")
+
+
+_CORNERS = {c: (k, n) for k, (c, n) in enumerate((("ne_lon", 18), ("ne_lat", 17), ("sw_lon", 18), ("sw_lat", 17)), 5)}
+_ADDRESSED = f"{_value(9, 1)} = 1"
+
+
+@query("ais_type_22_areas", " select line_no, " + ", ".join(f"case when not {_ADDRESSED} then {_expected(k, c, n, 's').removesuffix(' as ' + c)} end as {c}" for c, (k, n) in _CORNERS.items())
+    + f", case when {_ADDRESSED} then ({_value(5, 18)}) * 4096 + ({_value(6, 17)}) // 32 end as dest1, case when {_ADDRESSED} then ({_value(7, 18)}) * 4096 + ({_value(8, 17)}) // 32 end as dest2 from fix_view")
+def ais_type_22_areas(spark, sf_dir):
+    """The corners of the area, or where the message is addressed the two ships whose numbers are sent in their place."""
+    return ais.decode_type(messages_of(spark, sf_dir, 22), 22).select("line_no", *_CORNERS, "dest1", "dest2")
+
+
+#: Fixed values. The halves of type 24 and the single-slot and multiple-slot binary messages, as SENT has the others.
+SENT_A, SENT_B = "partno=0 2 u, shipname 120 t", f"partno=1 2 u, shiptype 8 u, vendorid 18 t, model 4 u, serial 20 u, callsign 42 t, {_SHIP}"
+SENT_OF_CRAFT = "partno=1 2 u, shiptype 8 u, vendorid 18 t, model 4 u, serial 20 u, callsign 42 t, mothership_mmsi 30 u"
+SENT_26 = "addressed=0 1 u, structured=1 1 u, app_id 16 u, payload=line_no*2654435761%4294967296 32 u, radio 20 u"
+
+
+@query("ais_type_24_a", " select line_no, 'A' as part, chr((65 + line_no % 26)::int) as shipname, null::varchar as callsign from fix_view")
+def ais_type_24_a(spark, sf_dir):
+    return ais.decode_type(messages_of(spark, sf_dir, 24, _sent(SENT_A), 160), 24).select("line_no", "part", "shipname", "callsign")
+
+
+def _half(sent: str, *names: str) -> str:
+    return ", ".join(_expected(k, name, n, kind) for k, (name, _, n, kind) in enumerate(_placed(sent), 1) if name in names)
+
+
+@query("ais_type_24_b", f" select line_no, 'B' as part, {_half(SENT_B, 'shiptype', 'vendorid', 'model', 'serial', 'callsign', 'to_bow', 'to_stern', 'to_port', 'to_starboard')}, null::bigint as mothership_mmsi from fix_view")
+def ais_type_24_b(spark, sf_dir):
+    rows = ais.decode_type(messages_of(spark, sf_dir, 24, _sent(SENT_B), 168), 24)
+    return rows.select("line_no", "part", "shiptype", "vendorid", "model", "serial", "callsign", "to_bow", "to_stern", "to_port", "to_starboard", "mothership_mmsi")
+
+
+@query("ais_motherships", f" select line_no, (980000000 + device)::bigint as mmsi, {_half(SENT_OF_CRAFT, 'mothership_mmsi')}, null::bigint as to_bow from fix_view")
+def ais_motherships(spark, sf_dir):
+    """Auxiliary craft name their mother ship where others give their size."""
+    rows = ais.decode_type(messages_of(spark, sf_dir, 24, _sent(SENT_OF_CRAFT), 168, "980000000 + device"), 24)
+    return rows.select("line_no", "mmsi", "mothership_mmsi", "to_bow")
+
+
+@query("ais_type_26", f" select line_no, ({_value(3, 16)})::bigint as app_id, '32:' || printf('%08x', line_no * 2654435761 % 4294967296) as data, ({_value(5, 20)})::bigint as radio from fix_view")
+def ais_type_26(spark, sf_dir):
+    return ais.decode_type(messages_of(spark, sf_dir, 26, _sent(SENT_26), 108), 26).select("line_no", "app_id", "data", "radio")
+
+
 @query("ais_scaled_9", f""" select line_no, case when {_value(1, 12)} < 4094 then ({_value(1, 12)})::bigint end as alt, case {_value(2, 10)} when 1023 then null when 1022 then null else ({_value(2, 10)})::double end as speed from fix_view""")
 def ais_scaled_9(spark, sf_dir):
     return ais.scale_ais(ais.decode_type(messages_of(spark, sf_dir, 9), 9)).select("line_no", "alt", "speed")

@@ -218,11 +218,29 @@ def rollovers(spark, sf_dir):
     return sequence.rollover_count(fix_view(spark, sf_dir).withColumn("week", F.expr("line_no * 37 % 1024"))).select("line_no", "device", "rollovers")
 
 
-@query("vincenty_near")
+def _vincenty_sql(rounds: int = 6) -> str:
+    """Vincenty's inverse from (45, 7), one subquery a round, as the published formulas have it."""
+    a, b, f = geo.WGS84_A, geo.WGS84_B, "(1e0 / 298.257223563e0)"
+    out = f""", l0 as (select line_no, lat, lon, radians(7e0 - lon) as span, radians(7e0 - lon) as lam, sin(atan((1 - {f}) * tan(radians(lat)))) as s1, cos(atan((1 - {f}) * tan(radians(lat)))) as c1,
+ sin(atan((1 - {f}) * tan(radians(45e0)))) as s2, cos(atan((1 - {f}) * tan(radians(45e0)))) as c2 from fix_view)"""
+    for k in range(rounds + 1):
+        out += f""", a{k} as (select *, sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) as ss, s1 * s2 + c1 * c2 * cos(lam) as cs from l{k}), b{k} as (select *, atan2(ss, cs) as sg, case when ss = 0 then 0 else c1 * c2 * sin(lam) / ss end as sa from a{k}),
+ c{k} as (select *, 1 - sa * sa as ca, cs - 2 * s1 * s2 / (1 - sa * sa) as cm from b{k}), d{k} as (select *, {f} / 16 * ca * (4 + {f} * (4 - 3 * ca)) as c from c{k})"""
+        if k < rounds:
+            out += f""", l{k + 1} as (select line_no, lat, lon, span, span + (1 - c) * {f} * sa * (sg + c * ss * (cm + c * cs * (2 * cm * cm - 1))) as lam, s1, c1, s2, c2 from d{k})"""
+    u = f"(ca * ({a!r}e0 * {a!r}e0 - {b!r}e0 * {b!r}e0) / ({b!r}e0 * {b!r}e0))"
+    return out + f""", u as (select *, 1 + {u} / 16384 * (4096 + {u} * (-768 + {u} * (320 - 175 * {u}))) as ka, {u} / 1024 * (256 + {u} * (-128 + {u} * (74 - 47 * {u}))) as kb from d{rounds})
+select line_no, round({b!r}e0 * ka * (sg - kb * ss * (cm + kb / 4 * (cs * (2 * cm * cm - 1) - kb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))), 4) as exact, round({base.e2('lat', 'lon', '45e0', '7e0')}, 4) as small,
+ round(degrees(atan2(c2 * sin(lam), c1 * s2 - s1 * c2 * cos(lam))), 6) + 0e0 as initial, round(degrees(atan2(c1 * sin(lam), c1 * s2 * cos(lam) - s1 * c2)), 6) + 0e0 as final from u"""
+
+
+@query("vincenty_near", _vincenty_sql())
 def vincenty_near(spark, sf_dir):
-    """Exact beside equirectangular distance from one place."""
-    rows = fix_view(spark, sf_dir)
-    return rows.select("line_no", geo.earth_distance("lat", "lon", 45.0, 7.0).alias("exact"), geo.earth_distance_small("lat", "lon", 45.0, 7.0).alias("small"))
+    """Exact beside equirectangular distance to one place, and the bearings there."""
+    rows = geo.with_inverse(fix_view(spark, sf_dir), "lat", "lon", 45.0, 7.0)
+    small = geo.earth_distance_small("lat", "lon", 45.0, 7.0)
+    degrees = lambda c: F.round(F.degrees(f"inverse.{c}"), 6) + F.lit(0.0)
+    return rows.select("line_no", F.round("inverse.distance", 4).alias("exact"), F.round(small, 4).alias("small"), degrees("bearing_initial").alias("initial"), degrees("bearing_final").alias("final"))
 
 
 @query("rate_errors")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from meridian.sources.schemas import SCHEMAS, SESSION
@@ -45,11 +46,19 @@ def report_table(reports: DataFrame, class_: str, value: str = "value") -> DataF
 
 
 def read_sentences(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): sentences with their order. A file is read whole, as only that fixes the order of its
-    lines; cut very large logs into files beforehand."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return lines.withColumn("value", F.rtrim(F.regexp_replace("value", "\r$", ""))).filter("value <> ''").withColumn("line_no", F.col("line_no").cast("long") + 1)
+    """(file, line_no, value): sentences with their place in the file, counted from 1 with empty lines; these are left out.
+
+    A file is read in as many parts as Spark cuts it into. A line's number is its place in its part, which a task
+    knows, plus the lines of all parts before: a prefix sum over a table of one row per part. A part's rows come one
+    after the other in one task, whose row numbers only have to be told from the part's first one.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("__part"), F.monotonically_increasing_id().alias("__row"))
+    parts = lines.groupBy("file", "__part").agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy("file").orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.select("file", "__part", (F.coalesce(before, F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    numbered = lines.join(parts, ["file", "__part"]).select("file", (F.col("__row") + F.col("__shift")).alias("line_no"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("value"))
+    return numbered.filter("value <> ''")
 
 
 def log_headers(lines: DataFrame, names: tuple[str, ...] = ("Name", "Chipset", "Submitter", "Date", "Time", "Location")) -> DataFrame:
