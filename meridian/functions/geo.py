@@ -38,7 +38,7 @@ def earth_distance_small(lat1, lon1, lat2, lon2) -> Column:
     return meters_per_degree(middle) * F.sqrt(dy * dy + dx * dx)
 
 
-def _vincenty(lat1, lon1, lat2, lon2, limit=200):
+def vincenty(lat1, lon1, lat2, lon2, limit=200):
     """(distance, initial bearing, final bearing) of arrays; NaN where the iteration doesn't settle."""
     phi1, phi2 = np.radians(lat1), np.radians(lat2)
     u1, u2 = np.arctan((1 - WGS84_F) * np.tan(phi1)), np.arctan((1 - WGS84_F) * np.tan(phi2))

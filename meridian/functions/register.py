@@ -76,7 +76,7 @@ def register_functions(spark: SparkSession) -> None:
 
     @F.pandas_udf(T.DoubleType())
     def earth_distance(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-        return pd.Series(geo._vincenty(*[s.to_numpy(float) for s in (lat1, lon1, lat2, lon2)])[0])
+        return pd.Series(geo.vincenty(*[s.to_numpy(float) for s in (lat1, lon1, lat2, lon2)])[0])
 
     spark.udf.register("earth_distance", earth_distance)
     for name, (parameters, result, body) in SQL_FUNCTIONS.items():

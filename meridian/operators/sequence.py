@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from meridian.functions import geo
 from meridian.operators.scan import SLICE, scan
+from meridian.operators.tables import written
 
 
 def seconds(time: str | Column) -> Column:
@@ -37,28 +41,113 @@ def segment_tracks(tpv: DataFrame, timeout: int = 5, time: str = "time", order:
     return rows.filter("__before is null or __t <> __before").drop("__t", "__before")
 
 
-def _thin_schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
+Far = Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
 
-def thin(tpv: DataFrame, min_move: float, keys: tuple[str, ...] = ("device", "day"), time: str = "time", order: str = "line_no") -> DataFrame:
-    """Drops fixes closer than min_move metres to the last one kept. Each fix depends on the one kept before, so a
-    device's day (the keys) is folded in order; a day is what bounds a group."""
-    data = tpv if "day" in tpv.columns else tpv.withColumn("day", F.to_date(time))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        keep, last = [], None
-        for lat, lon in zip(pdf["lat"], pdf["lon"], strict=True):
-            if pd.isna(lat) or pd.isna(lon):
-                keep.append(False)
-                continue
-            near = last is not None and geo._vincenty(*([pd.Series([v]).to_numpy(float) for v in (*last, lat, lon)]))[0][0] < min_move
-            keep.append(not near)
-            last = last if near else (lat, lon)
-        return pdf[keep]
+def picked(values: list[np.ndarray], far: Far, last: list[float] | None) -> list[int]:
+    """Places of the rows that a walk keeps: each is the first one after the one kept before that is far from it; last is
+    what was kept before the first row, None if nothing.
 
-    return data.groupBy(*keys).applyInPandas(fold, _thin_schema(data)).select(*tpv.columns)
+    The next row to keep is known for most rows at once, by array operations over NEAR steps; from the others it is sought
+    in stretches of doubling length. So the cost is linear in the rows, however many are kept.
+    """
+    n = len(values[0])
+    following = np.full(n, -1)
+    for step in range(1, min(NEAR, n - 1) + 1):
+        open_ = np.flatnonzero(following[: n - step] < 0)
+        hit = far([v[open_] for v in values], [v[open_ + step] for v in values])
+        following[open_[hit]] = open_[hit] + step
+
+    def sought(kept: list, at: int) -> int:
+        width = 64
+        while at < n:
+            hit = far(kept, [v[at : at + width] for v in values])
+            if hit.any():
+                return at + int(hit.argmax())
+            at, width = at + width, width * 2
+        return n
+
+    out, at = [], 0 if last is None else sought(last, 0)
+    while at < n:
+        out.append(at)
+        at = int(following[at]) if following[at] >= 0 else sought([v[at] for v in values], at + NEAR + 1)
+    return out
+
+
+#: Rows ahead that picked() looks at for all rows at once.
+NEAR = 8
+
+
+def keep_far(df: DataFrame, by: tuple[str, ...], order: str, values: tuple[str, ...], far: Far, size: int = SLICE) -> DataFrame:
+    """Of each key's rows, in order, the first one, and each that is far (in its values, numbers without nulls) from the one
+    kept before it.
+
+    A walk, cut into slices of the order: what a slice keeps depends on the last row kept before it alone. Slices are
+    walked as if that were what the slices before end with, so far as they are known, until no slice's last row changes;
+    only slices whose start has changed are walked again. As a slice mostly comes to the same rows from any start, a few
+    rounds do (one if keys fit in a slice), and no task has a whole key. Between rounds there is a table of a row per
+    slice in the shared folder.
+    """
+    keys = [f"__k{k}" for k in range(len(by))]
+    mine = {f"__x{k}": F.col(v).cast("double") for k, v in enumerate(values)}
+    rows = df.withColumns({**{k: F.col(c) for k, c in zip(keys, by, strict=True)}, "__slice": F.floor(F.col(order) / size), "__order": F.col(order), **mine})
+    keys, numbers, given = [*keys, "__slice"], list(mine), df.columns
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    state = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", last array<double>"
+    slices = rows.select(*keys).distinct().withColumn("last", F.lit(None).cast("array<double>"))
+    before = W.partitionBy(*keys[:-1]).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+
+    def walk(pdf: pd.DataFrame, start: pd.DataFrame) -> tuple[pd.DataFrame, list[int], list | None]:
+        pdf = pdf.sort_values("__order", kind="stable")
+        last = start["last"].iloc[0] if len(start) else None
+        x = [pdf[c].to_numpy() for c in numbers]
+        kept = picked(x, far, None if last is None else list(last))
+        return pdf, kept, [float(v[kept[-1]]) for v in x] if kept else last
+
+    def ends(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=[*keys, "last"])
+        _, _, last = walk(pdf, start)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "last": [last]})
+
+    def rest(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        pdf, kept, _ = walk(pdf, start) if len(pdf) else (pdf, [], None)
+        return pdf.iloc[kept][given]
+
+    together = lambda a, b, f, schema: a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(f, schema)
+    slices = written(slices)
+    if slices.groupBy(*keys[:-1]).count().filter("count > 1").isEmpty():
+        return together(rows, slices, rest, df.schema)
+    narrow = rows.select(*keys, "__order", *mine)
+    done = todo = None
+    while todo is None or not todo.isEmpty():
+        if todo is None:
+            todo, now = slices, narrow
+        else:
+            now = narrow.join(todo.select(*[F.col(k).alias(f"_{k}") for k in keys]), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
+        new = together(now, todo, ends, state)
+        if done is not None:
+            again = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            old = done.select(*keys, "last").join(todo.select(*[F.col(k).alias(f"_{k}") for k in keys]), again, "left_anti")
+            new = old.unionByName(new)
+        starts = new.withColumn("start", F.last("last", ignorenulls=True).over(before))
+        was = slices.withColumnRenamed("last", "was").withColumnsRenamed({k: f"_{k}" for k in keys})
+        done = written(starts.join(was, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, "last", "start", "was"))
+        slices = done.select(*keys, F.col("start").alias("last"))
+        todo = done.filter(~F.col("start").eqNullSafe(F.col("was"))).select(*keys, F.col("start").alias("last"))
+    return together(rows, slices, rest, df.schema)
+
+
+def vincenty_far(min_move: float) -> Far:
+    """Far: at least min_move metres away and not at the same time, of latitude, longitude and seconds."""
+    return lambda a, b: (np.nan_to_num(geo.vincenty(*(np.broadcast_to(np.asarray(v, float), np.shape(b[0])) for v in a[:2]), b[0], b[1])[0], nan=np.inf) >= min_move) & (a[2] != b[2])
+
+
+def thin(tpv: DataFrame, min_move: float, time: str = "time", order: str = "line_no", far: Far | None = None, size: int = SLICE) -> DataFrame:
+    """Drops fixes closer than min_move metres to the last one kept of the device, and those at its time. Fixes without
+    position or time are dropped. segment_tracks after it cuts where the gap to the last fix kept is too long."""
+    rows = tpv.withColumn("__s", seconds(time)).filter("lat is not null and lon is not null and not isnan(lat) and not isnan(lon) and __s is not null")
+    return keep_far(rows, ("device",), order, ("lat", "lon", "__s"), far or vincenty_far(min_move), size).drop("__s")
 
 
 def decimate(df: DataFrame, interval: int, time: str = "time", tie: str = "line_no") -> DataFrame:
@@ -69,21 +158,10 @@ def decimate(df: DataFrame, interval: int, time: str = "time", tie: str = "line_
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__s", "__n")
 
 
-def decimate_exact(df: DataFrame, interval: float, keys: tuple[str, ...] = ("device", "day"), time: str = "time", order: str = "line_no") -> DataFrame:
+def decimate_exact(df: DataFrame, interval: float, time: str = "time", order: str = "line_no", size: int = SLICE) -> DataFrame:
     """As decimate, for epochs at any time: at least interval after the last one kept, on a rounded multiple."""
-    data = df if "day" in df.columns else df.withColumn("day", F.to_date(time))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        keep, last = [], None
-        for t in pdf[time]:
-            s = pd.Timestamp(t).timestamp()
-            ok = (last is None or s - last >= interval) and round(s) % interval == 0
-            keep.append(ok)
-            last = s if ok else last
-        return pdf[keep]
-
-    return data.groupBy(*keys).applyInPandas(fold, _thin_schema(data)).select(*df.columns)
+    rows = df.withColumn("__s", seconds(time)).filter(F.col("__s").isNotNull() & (F.rint("__s") % interval == 0))
+    return keep_far(rows, ("device",), order, ("__s",), lambda a, b: b[0] - a[0] >= interval, size).drop("__s")
 
 
 def slip_flag(obs: DataFrame, interval_ms: int) -> DataFrame:
@@ -187,9 +265,12 @@ def attach_sky(tpv: DataFrame, sky: DataFrame, columns: tuple[str, ...] = ("uSat
     return asof(tpv, sky, columns)
 
 
-def clock_log(tpv: DataFrame, sky: DataFrame, wait: int = 60) -> DataFrame:
-    """Per device and interval of wait seconds: the last time, and satellites used and tdop of the latest skyview."""
-    seen = asof(tpv, sky.filter("uSat is not null"), ("uSat", "tdop"))
+def clock_log(tpv: DataFrame, sky: DataFrame, wait: int = 60, order: str = "line_no", size: int = SLICE) -> DataFrame:
+    """Per device and interval of wait seconds: the last time, and satellites used and tdop of the latest skyview. A fix
+    counts only if its time is later than that of the fix before, in order of arrival."""
+    rows = scan(tpv, ("device",), order, {"__before": F.col("time")}, size=size)
+    rows = rows.filter("__before is null or time > __before").drop("__before")
+    seen = asof(rows, sky.filter("uSat is not null"), ("uSat", "tdop"))
     last = seen.groupBy("device", F.window(F.col("time").cast("timestamp"), f"{wait} seconds").alias("interval"))
     return last.agg(F.max_by(F.struct("time", "uSat", "tdop"), "time").alias("last")).select("device", "last.*")
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions import geo
-from meridian.operators import ais, enrich, filters, joins, nmea, orbit, sequence, sinks
+from meridian.operators import ais, enrich, filters, joins, nmea, orbit, profile, sequence, sinks
+from meridian.operators.tables import shared_path
 from meridian.plans import queries as base
 from meridian.plans.views import FIX_SQL, fix_view
 from meridian.streaming import operators as streaming
@@ -115,14 +117,7 @@ def sat_position(spark, sf_dir):
 
 def _stream(spark, sf_dir, make, name: str) -> DataFrame:
     """Runs make over the events as a file stream to its end, into a table in the shared folder, and reads that."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or "file://" + tempfile.mkdtemp(prefix="meridian-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")
     from meridian.plans.views import FIX_COLUMNS, _split
@@ -247,3 +242,43 @@ def vincenty_near(spark, sf_dir):
 def rate_errors(spark, sf_dir):
     rows = enrich.error_estimates(base.with_dops(fix_view(spark, sf_dir)))
     return enrich.rate_errors(rows).select("line_no", "eps", "epc", "epd")
+
+
+#: A walk over each device's fixes, row by row: what is kept so far goes with it.
+WALK = """, r as (select device, line_no, epoch_us(time) as t, lat, lon, row_number() over (partition by device order by line_no) as k from fix_view where {which}),
+walk as (select device, k, line_no, t as kt, lat as klat, lon as klon, true as kept from r where k = 1
+ union all select device, k, line_no, case when far then t else kt end, case when far then lat else klat end, case when far then lon else klon end, far
+ from (select r.device, r.k, r.line_no, r.t, r.lat, r.lon, w.kt, w.klat, w.klon, {far} as far from walk w join r on r.device = w.device and r.k = w.k + 1))
+select line_no, device from walk where kept"""
+
+
+def _recursive(name: str, sql: str) -> None:
+    ORACLE_SQL[name] = f"with recursive {FIX_SQL}{sql}"
+
+
+def _small_far(least: float):
+    """Far by the equirectangular distance, which SQL can say in a line."""
+
+    def far(a, b):
+        middle = np.radians((a[0] + b[0]) / 2)
+        metres = (111132.954 - 559.822 * np.cos(2 * middle) + 1.175 * np.cos(4 * middle)) * np.hypot(b[0] - a[0], (b[1] - a[1]) * np.cos(middle))
+        return (metres >= least) & (a[2] != b[2])
+
+    return far
+
+
+@query("thinned")
+def thinned(spark, sf_dir):
+    rows = fix_view(spark, sf_dir).filter("mode >= 2")
+    return sequence.thin(rows, 4000.0, far=_small_far(4000.0)).select("line_no", "device")
+
+
+_recursive("thinned", WALK.format(which="mode >= 2", far=f"{base.e2('w.klat', 'w.klon', 'r.lat', 'r.lon')} >= 4000 and r.t <> w.kt"))
+
+
+@query("decimated")
+def decimated(spark, sf_dir):
+    return sequence.decimate_exact(fix_view(spark, sf_dir).withColumn("time", F.date_trunc("hour", F.col("time").cast("timestamp"))), 7200).select("line_no", "device")
+
+
+_recursive("decimated", WALK.replace("epoch_us(time)", "epoch(date_trunc('hour', time))").format(which="epoch(date_trunc('hour', time))::bigint % 7200 = 0", far="r.t - w.kt >= 7200"))

@@ -133,3 +133,60 @@ def test_spans_over_midnight(spark):
     assert span(86370, 86400).interval == 30
     assert span(86370, 86400, 86400, 90000, 400_000).interval == 30
     assert span(5).interval is None and (span(5, 200_000).first, span(5, 200_000).last, span(5, 200_000).interval) == (5, 200_000, 199_995)
+
+
+def plain_walk(rows, far):
+    kept = []
+    for r in sorted(rows, key=lambda r: r.line_no):
+        if not kept or far(kept[-1], r):
+            kept.append(r)
+    return [r.line_no for r in kept]
+
+
+@pytest.mark.parametrize("size", [100, 1 << 20])
+def test_walks_over_several_days_and_slices(spark, size):
+    """A receiver that stands, creeps and moves over three days, in slices that its rests span."""
+    r = random.Random(5)
+    lat, rows = 45.0, []
+    for k in range(600):
+        lat += r.choice([0, 0, 0, 2e-5, 3e-4]) if k % 250 > 120 else 0
+        rows.append(("x" if k % 3 else "y", k, 1_600_000_000.0 + k * 400 + r.choice([0, 0, 200]), lat, 7.0))
+    df = spark.createDataFrame(rows, "device string, line_no long, s double, lat double, lon double").withColumn("time", F.timestamp_micros((F.col("s") * 1e6).cast("long"))).repartition(3)
+    moved = lambda a, b: abs(b.lat - a.lat) * 111_140 >= 25 and a.s != b.s
+    far = lambda a, b: (np.abs(b[0] - a[0]) * 111_140 >= 25) & (a[2] != b[2])
+    later = lambda a, b: b.s - a.s >= 5000
+    by = {d: [x for x in df.collect() if x.device == d] for d in "xy"}
+    got = sequence.thin(df, 25.0, far=far, size=size).collect()
+    assert sorted(x.line_no for x in got) == sorted(sum((plain_walk(x, moved) for x in by.values()), [])) and len(got) > 20
+    got = sequence.decimate_exact(df, 5000, size=size).collect()
+    assert sorted(x.line_no for x in got) == sorted(sum((plain_walk([y for y in x if round(y.s) % 5000 == 0], later) for x in by.values()), []))
+
+
+def test_a_standing_receiver_keeps_one_fix(spark):
+    df = spark.createDataFrame([("d", k, 86_390.0 + k, 45.0, 7.0) for k in range(40)], "device string, line_no long, s double, lat double, lon double").withColumn("time", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
+    assert [r.line_no for r in sequence.thin(df, 10.0, size=8).collect()] == [0]
+    assert sorted(r.line_no for r in sequence.decimate_exact(df, 20, size=8).collect()) == [10, 30]
+    tracks = sequence.segment_tracks(sequence.thin(df.withColumn("mode", F.lit(3)).withColumn("lat", F.when(F.col("line_no") < 30, 45.0).otherwise(46.0)), 10.0), 5)
+    assert [(r.line_no, r.track_id) for r in tracks.orderBy("line_no").collect()] == [(0, 1), (30, 2)]  # the gap counts from the last one kept
+
+
+def test_walks_keep_what_a_loop_keeps():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 5, 400):
+        for spread in (0.1, 1.0, 30.0):
+            x = np.cumsum(r.normal(size=n) * spread)
+            far = lambda a, b: np.abs(np.asarray(b[0]) - a[0]) >= 10
+            for last in (None, [3.0]):
+                want, kept = [], last and last[0]
+                for k, v in enumerate(x):
+                    if kept is None or abs(v - kept) >= 10:
+                        want.append(k)
+                        kept = v
+                assert sequence.picked([x], far, last) == want
+
+
+def test_clock_log_only_goes_on(spark):
+    tpv = spark.createDataFrame([("d", k, t) for k, t in enumerate([100, 160, 130, 150, 170, 30])], "device string, line_no long, s long").withColumn("time", F.timestamp_seconds("s"))
+    sky = spark.createDataFrame([("d", 90, 7, 1.5), ("d", 165, 8, 1.25)], "device string, s long, uSat int, tdop double").withColumn("time", F.timestamp_seconds("s"))
+    got = [(int(r.time.timestamp()), r.uSat) for r in sequence.clock_log(tpv, sky).orderBy("time").collect()]
+    assert got == [(100, 7), (170, 8)]
