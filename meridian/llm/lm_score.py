@@ -163,15 +163,19 @@ def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: in
                 score += np.bincount(d, np.log(rest) - np.log(others[x]), len(texts))
             single = ~both & ((others[v] == 0) | ((others[w] == 0) & ~outside[v])) & ~outside[w]
             alone(w[single])
+            # such a word after one outside the table is scored here too, its place counts for that one as if it were a last word
+            lone = ~both & ~single & (others[w] == 0) & ~outside[w]
+            alone(w[lone])
             some = np.flatnonzero(n)
             if len(some):
                 nothing = np.zeros(len(some))
                 yield _row(int(mix(ids[:1].view(np.uint64))[0] % np.uint64(buckets)), side=nothing + SUMS, context=nothing, word=nothing + WORD, high=ids[some] >> 32, low=ids[some], n=n[some], own_c=seen[some], own_w=backs[some], score=score[some])
 
-            w = w[~both & ~single]
+            e = np.concatenate((last[outside[last]], v[lone]))
+            w = w[~both & ~single & ~lone]
             v = w - 1
             by_word, by_context = outside[w], ~outside[w] | outside[v]
-            f, e = first[outside[first]], last[outside[last]]
+            f = first[outside[first]]
             sides = [(BY_WORD, code[v[by_word]], w[by_word], own[v[by_word]]), (BY_WORD, np.full(len(f), FIRST, np.uint64), f, np.zeros(len(f), np.int64)), (BY_CONTEXT, code[v[by_context]], w[by_context], own[v[by_context]])]
             side = np.concatenate([*(np.full(len(x), s) for s, _, x, _ in sides), np.full(len(e), BY_CONTEXT)])
             if not len(side):
