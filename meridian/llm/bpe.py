@@ -247,7 +247,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         encoder = Encoder(tokenizer_path)
         kinds = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())][: 5 if keep_ids else 3]
         for batch in batches:
-            for part in by_bytes(batch, limit=1 << 21):
+            for part in by_bytes(batch, limit=1 << 20):
                 rows = encoder.encode([t or "" for t in part.column(1).to_pylist()], keep_ids)
                 columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True))], names=[id_col, *(name for name, _ in kinds)])

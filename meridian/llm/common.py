@@ -61,7 +61,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def by_bytes(batch: pa.RecordBatch, column: int = 1, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def by_bytes(batch: pa.RecordBatch, column: int = 1, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts (that column) hold limit bytes at most, or one row: what a task turns into
     Python objects at a time. An empty batch is one slice."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
