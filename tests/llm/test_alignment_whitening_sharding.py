@@ -137,7 +137,7 @@ def test_whitening_of_awkward_tables(spark):
     one = whitening.whiten_vectors(vectors_of(spark, rows[:1])).collect()
     assert [(r.n, r.deviation, r.whitened, r.identity_error) for r in one] == [(1, 0, [None] * 3, 0.0)]
     assert whitening.whiten_vectors(spark.createDataFrame([], VECTORS)).count() == 0
-    assert whitening.whiten_vectors(vectors_of(spark, rows[3:8])).count() == 1  # [1.0] is left, by itself
+    assert whitening.whiten_vectors(vectors_of(spark, rows[3:9])).count() == 1  # [1.0] is left, by itself
 
 
 def test_sums_beyond_a_long_stay_exact():
@@ -217,4 +217,4 @@ def test_movers_fit_into_their_shards():
     flow = {(0, 1): 30.0, (1, 0): 10.0, (2, 1): 50.0}
     part = sharding.fractions([100.0, 90.0, 60.0], 100.0, flow)
     loads = [100 - 30 * part[1] + 10 * part[0], 90 + 80 * part[1] - 10 * part[0], 60 - 50 * part[1]]
-    assert all(n <= 100 + 1e-9 for n in loads) and part[0] == 1.0 and part[1] == pytest.approx(0.25)
+    assert all(n <= 100 + 1e-9 for n in loads) and part == pytest.approx([0.6, 0.2, 1.0])
