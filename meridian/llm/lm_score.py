@@ -17,15 +17,14 @@ from meridian.llm.words import mix, word_hashes
 
 #: A word is frequent if it makes up at least this share of all words. So there are at most 1 / HOT_SHARE of them,
 #: and the square of that in pairs of two frequent words (16 bytes each): the bounds of what is broadcast.
-HOT_SHARE = 2.0**-10
+HOT_SHARE = 2.0**-11
 #: Words whose counts are broadcast at most: the most frequent ones.
 TOP_WORDS = 1 << 20
 BACKOFF = 0.4
 #: Words that a task counts, or turns into bigram rows, at a time.
 FLUSH = 1 << 18
-#: Partitions that bigrams are dealt out to, for each shuffle partition, so that a task sorts its part in memory; buckets,
-#: by which they are dealt, for each of these.
-SPREAD, BUCKETS = 4, 4
+#: Buckets by which bigrams are dealt out, for each shuffle partition.
+BUCKETS = 16
 #: Stand for the next word where a context ends a text, and where it begins one. Words of the broadcast table are numbered
 #: from WORD on, which takes fewer bytes in a shuffle than their hashes; those of others have their first bit set.
 LAST, FIRST, WORD, OUTSIDE = 0, 1, 2, np.uint64(1 << 63)
@@ -247,7 +246,7 @@ def stupid_backoff(
     paired = frequent_pairs(docs, model).toArrow().sort_by([("pair", "ascending")])
     pairs = spark.sparkContext.broadcast((paired["pair"].to_numpy(), paired["n"].to_numpy()))
 
-    partitions = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = bigram_rows(docs, model, pairs, BUCKETS * partitions, backoff).repartition(partitions, "bucket")
     doc = F.shiftleft(F.col("high").cast("long"), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND(0xFFFFFFFF))
     sums_, by_word, first = F.col("side") == SUMS, F.col("side") == BY_WORD, F.col("context") == FIRST
