@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meridian.functions import geo
+from meridian.operators.sequence import asof
 
 #: Fixed values of the GPS interface specification: gravitation, rotation, relativity, light; pi as it defines it.
 MU, OMEGA_E, REL_F, LIGHT, GPS_PI = 3.986005e14, 7.2921151467e-5, -4.442807633e-10, 299792458.0, 3.1415926535898
@@ -90,6 +91,42 @@ def ephemeris(ephem1: DataFrame, ephem2: DataFrame, ephem3: DataFrame, order: st
     return out.withColumns({c: F.col(c) * F.lit(GPS_PI) for c in ANGLES if c in out.columns}).drop("__iod", "__iode2", "__iode3")
 
 
+def ephemerides(ephem1: DataFrame, ephem2: DataFrame, ephem3: DataFrame, order: str = "TOW17", window: float = 7200) -> DataFrame:
+    """All whole ephemerides of a log, not the newest alone: parts of a satellite whose issues (iod) agree and that were first
+    heard within window of the first part; heard1 to heard3 say when. Angles from semicircles to radians.
+
+    A part is sent again every half minute, so parts of equal content come down to one row before they are joined.
+    """
+    out = None
+    for k, (part, issue) in enumerate(((ephem1, F.col("IODC") % 256), (ephem2, F.col("IODE")), (ephem3, F.col("IODE"))), 1):
+        kept = [c for c in part.columns if c not in ("tSV", order)]
+        once = part.withColumn("iod", issue).groupBy("tSV", "iod", *kept).agg(F.min(order).alias(f"heard{k}")).drop("IODC", "IODE")
+        if out is None:
+            out = once
+            continue
+        out = out.join(once, ["tSV", "iod"]).filter(F.abs(F.col(f"heard{k}") - F.col("heard1")) <= window)
+    return out.withColumns({c: F.col(c) * F.lit(GPS_PI) for c in ANGLES if c in out.columns})
+
+
+def orbits_at(times: DataFrame, orbits: DataFrame, by: str = "tSV", time: str = "t", epoch: str = "toe", valid: float = 7200.0) -> DataFrame:
+    """Each time of a satellite with the columns of its orbit whose epoch is nearest, the earlier one of two, no further
+    away than valid seconds; times without such an orbit are left out. Epochs and times are seconds of one count.
+
+    The nearest orbit is the last one before or the first one after: two as-of joins, of which none has all of a
+    satellite's rows in one task.
+    """
+    columns = [c for c in orbits.columns if c != by]
+    nearest = orbits.select(by, F.col(epoch).cast("double").alias("__at"), F.struct(*columns).alias("__orbit")).groupBy(by, "__at").agg(F.max("__orbit").alias("__orbit"))
+    rows = times.withColumn("__t", F.col(time).cast("double"))
+    for side, sign in (("before", 1.0), ("after", -1.0)):
+        other = nearest.select(by, (F.col("__at") * sign).alias("__t"), F.struct("__at", "__orbit").alias(side))
+        rows = asof(rows.withColumn("__t", F.col(time).cast("double") * sign), other, (side,), (by,), "__t")
+    early, late = F.col(time) - F.col("before.__at"), F.col("after.__at") - F.col(time)
+    chosen = F.when(F.col("before").isNull() | (late < early), F.col("after")).otherwise(F.col("before"))
+    rows = rows.withColumn("__chosen", chosen).filter(F.abs(F.col("__chosen.__at") - F.col(time)) <= valid)
+    return rows.select(*times.columns, *[F.col(f"__chosen.__orbit.{c}") for c in columns])
+
+
 def almanac_orbit(almanac: DataFrame) -> DataFrame:
     """Orbits of an almanac: toc = toe = toa, inclination about 0.30 semicircles, no rates or harmonics."""
     out = almanac.withColumns({"toe": F.col("toa"), "toc": F.col("toa"), "i0": (F.col("deltai") + 0.30) * F.lit(GPS_PI), "deltan": F.lit(0.0), "IDOT": F.lit(0.0), "Tgd": F.lit(0.0), "af2": F.lit(0.0)})

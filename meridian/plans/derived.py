@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridian.functions import geo
-from meridian.operators import ais, enrich, filters, joins, nmea, orbit, profile, sequence, sinks
+from meridian.operators import ais, enrich, filters, joins, nested, nmea, orbit, profile, sequence, sinks
 from meridian.operators.tables import shared_path
 from meridian.plans import queries as base
 from meridian.plans.views import FIX_SQL, fix_view
@@ -282,3 +282,179 @@ def decimated(spark, sf_dir):
 
 
 _recursive("decimated", WALK.replace("epoch_us(time)", "epoch(date_trunc('hour', time))").format(which="epoch(date_trunc('hour', time))::bigint % 7200 = 0", far="r.t - w.kt >= 7200"))
+
+
+SHIFTED = "case when line_no % 7 = 0 then time - interval '3' day else time end"
+
+
+@query(
+    "stream_late",
+    f""", s as (select line_no, device, {SHIFTED} as time from fix_view), w as (select *, max(time) over (partition by device order by line_no rows between unbounded preceding and 1 preceding) as newest from s)
+select line_no, device, coalesce(time < newest - interval 10 minute, false) as is_late from w""",
+)
+def stream_late(spark, sf_dir):
+    """A stream with rows out of order: those behind the newest time of their device are told apart, none is lost."""
+    late = lambda s: streaming.split_late(s.selectExpr("line_no", "device", f"{SHIFTED} as time"), ttl_ms=None)
+    return _stream(spark, sf_dir, late, "late").select("line_no", "device", "is_late")
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    """Sentences of each event: position, velocity and date, and now and then one without a fix or without altitude."""
+    rows = fix_view(spark, sf_dir).selectExpr("line_no", "device", "cast(device as string) as file", "line_no * 60 % 86400 as s", "mode", "lat", "lon", "altHAE")
+    clock = F.format_string("%02d%02d%02d.00", F.floor(F.col("s") / 3600).cast("int"), (F.floor(F.col("s") / 60) % 60).cast("int"), (F.col("s") % 60).cast("int"))
+    degree = lambda c, w: F.format_string(f"%0{w}d%08.5f", F.floor(c).cast("int"), (F.col(c) - F.floor(c)) * 60)
+    rmc = F.concat(F.lit("GPRMC,"), clock, F.when(F.col("mode") > 1, ",A,").otherwise(",V,"), degree("lat", 2), F.lit(",N,"), degree("lon", 3), F.lit(",E,"), F.expr("format_string('%.1f,%.1f', line_no % 90 / 2D, line_no % 360 / 1D)"), F.lit(",280224,"), F.expr("format_string('%.1f,%s', line_no % 40 / 2D, if(line_no % 2 = 0, 'W', 'E'))"), F.lit(",A"))
+    return rows.select("file", "line_no", sinks.sentence(rmc).alias("value"))
+
+
+@query(
+    "sentence_RMC",
+    """, s as (select line_no, device, mode > 1 as ok, line_no * 60 % 86400 as s, floor(lat) as a, round((lat - floor(lat)) * 60, 5) as am, floor(lon) as o, round((lon - floor(lon)) * 60, 5) as om from fix_view)
+select line_no, device::varchar as device, s::double as tod, date '2024-02-28' as date, case when ok then 1 else 0 end as status, case when ok then 2 else 1 end as mode, case when ok then round(a + am / 60, 6) end as lat, case when ok then round(o + om / 60, 6) end as lon,
+ case when ok then round(line_no % 90 / 2e0 * 0.514444444e0, 6) end as speed, case when ok then (line_no % 360)::double end as track, case when ok then (line_no % 40) / 2e0 * case when line_no % 2 = 0 then -1 else 1 end + 0e0 end as magvar from s""",
+)
+def sentence_rmc(spark, sf_dir):
+    rows = nmea.decode(_cells(spark, sf_dir))
+    return base.rounded(rows.select("line_no", "device", "tod", "date", "status", "mode", "lat", "lon", "speed", "track", "magvar"))
+
+
+def _cycles(spark, sf_dir) -> DataFrame:
+    """Decoded rows of each event's cycle: altitude first, then a plain position without altitude, then dilutions."""
+    of = "line_no * 3 + {0} as line_no, cast(device as string) as device, '{1}' as tag, 'GP' as talker, {2} as tod"
+    part = lambda k, tag, tod, **more: fix_view(spark, sf_dir).selectExpr(*of.format(k, tag, tod).split(", "), *[f"{v} as {c}" for c, v in more.items()])
+    gga = part(0, "GGA", "cast(line_no div 2 % 80000 as double)", mode="mode", status="if(mode > 1, status, 0)", lat="if(mode > 1, lat, null)", lon="if(mode > 1, lon, null)", altMSL="if(mode > 2, altHAE, null)")
+    rmc = part(1, "RMC", "cast(line_no div 2 % 80000 as double)", mode="if(mode > 1, 2, 1)", status="if(mode > 1, 1, 0)", lat="if(mode > 1, lat + 1, null)", lon="if(mode > 1, lon, null)", speed="line_no / 8D", date="date'2024-02-28'")
+    gsa = part(2, "GSA", "cast(null as double)", pdop="el / 10D")
+    rows = gga.unionByName(rmc, allowMissingColumns=True).unionByName(gsa, allowMissingColumns=True)
+    kinds = {c: "double" for c in nmea.FIELDS} | nmea._TYPES
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in nmea.FIELDS])
+
+
+#: The rows of _cycles in order, and the epochs that their times make.
+CYCLES = """, r as (select line_no * 3 as l, device, 0 as k, (line_no // 2 % 80000)::double as tod, mode, case when mode > 1 then status else 0 end as status, case when mode > 1 then lat end as lat, case when mode > 2 then altHAE end as alt, null::double as speed, null::double as pdop from fix_view
+ union all select line_no * 3 + 1, device, 1, (line_no // 2 % 80000)::double, case when mode > 1 then 2 else 1 end, case when mode > 1 then 1 else 0 end, case when mode > 1 then lat + 1 end, null, line_no / 8e0, null from fix_view
+ union all select line_no * 3 + 2, device, 2, null, null, null, null, null, null, el / 10e0 from fix_view),
+t as (select *, last_value(tod ignore nulls) over (partition by device order by l rows between unbounded preceding and 1 preceding) as before from r),
+e as (select *, sum(case when tod is not null and (before is null or abs(tod - before) > 0.01) then 1 else 0 end) over (partition by device order by l) as epoch from t)"""
+
+
+@query(
+    "merged_fixes",
+    CYCLES
+    + """, g as (select *, lag(tod) over (partition by device, k order by l) as same from e where k = 0),
+x as (select e.* replace (case when e.k = 0 and g.same = g.tod then 1 else e.mode end as mode, case when e.k = 0 and g.same = g.tod then 0 else e.status end as status) from e left join g on g.device = e.device and g.l = e.l),
+m as (select device, epoch, min(l) as line_no, arg_max(tod, l) filter (tod is not null) as tod, max(status) as status, arg_max(mode, l) filter (mode is not null) as last_mode, max(mode) filter (k = 0) as full_mode,
+ arg_max(lat, l) filter (lat is not null) as lat, arg_max(alt, l) filter (alt is not null) as alt, arg_max(speed, l) filter (speed is not null) as speed, arg_max(pdop, l) filter (pdop is not null) as pdop from x where epoch > 0 group by device, epoch)
+select device::varchar as device, epoch::bigint as epoch, line_no, tod, status, case when full_mode = 3 and last_mode = 2 then 3 else last_mode end as mode, round(lat, 6) as lat, round(alt, 6) as alt, round(speed, 6) as speed, round(pdop, 6) as pdop from m""",
+)
+def merged_fixes(spark, sf_dir):
+    """Epochs, lost locks and merged cycles: a position without altitude doesn't undo 3D, a repeated time means no fix."""
+    rows = nmea.merge_fix(nmea.stale_gga(nmea.epochs(nmea.carry_date(_cycles(spark, sf_dir)))))
+    return base.rounded(rows.select("device", "epoch", "line_no", "tod", "status", "mode", "lat", F.col("altMSL").alias("alt"), "speed", "pdop"))
+
+
+@query(
+    "cycle_enders",
+    CYCLES
+    + """, n as (select *, lead(epoch) over (partition by device order by l) as next from e where tod is not null) select device::varchar as device, case k when 0 then 'GGA' else 'RMC' end as tag, count(*) as n from n where next <> epoch group by 1, 2""",
+)
+def cycle_enders(spark, sf_dir):
+    return nmea.cycle_enders(nmea.epochs(_cycles(spark, sf_dir)))
+
+
+@query(
+    "cycle_reports",
+    CYCLES
+    + """, b as (select device, epoch, string_agg(case k when 0 then 'GGA' when 1 then 'RMC' else 'GSA' end, ',' order by l) as tags from e where epoch > 0 group by device, epoch),
+h as (select *, min(epoch) over (partition by device) as lo, max(epoch) over (partition by device) as hi from b)
+select device::varchar as device, count(*) as cycles, count(distinct tags) as kinds from h where epoch > lo and epoch < hi group by device""",
+)
+def cycle_reports(spark, sf_dir):
+    return nmea.cycle_report(nmea.epochs(_cycles(spark, sf_dir))).select("device", "cycles", "kinds")
+
+
+@query("subframe_records", """ select line_no as TOW17, prn as tSV, line_no % 64 as WN, line_no / 4e0 as af0 from fix_view where line_no % 5 = 1 and line_no % 2 = 0""")
+def subframe_records(spark, sf_dir):
+    """Parts of their own frame only."""
+    part = F.when(F.col("line_no") % 2 == 0, F.struct((F.col("line_no") % 64).alias("WN"), (F.col("line_no") / 4.0).alias("af0")))
+    rows = fix_view(spark, sf_dir).select(F.col("line_no").alias("TOW17"), F.col("prn").alias("tSV"), (F.col("line_no") % 5).cast("int").alias("frame"), part.alias("EPHEM1"))
+    return nested.subframe_records(rows, "EPHEM1")
+
+
+@query("obs_records", """ select device, count(*) as n, sum(line_no)::bigint as lines, round(sum(value), 4) as total from fix_view group by device""")
+def obs_records(spark, sf_dir):
+    """Measurements of nested reports, one row each again."""
+    one = F.struct(F.col("prn").alias("svid"), "line_no", "value")
+    raw = fix_view(spark, sf_dir).groupBy("device", F.to_date("time").alias("time")).agg(F.collect_list(one).alias("rawdata")).withColumn("nsec", F.lit(0))
+    flat = nested.obs_records(raw)
+    return base.rounded(flat.groupBy("device").agg(F.count("*").alias("n"), F.sum("line_no").alias("lines"), F.sum("value").alias("total")), 4)
+
+
+@query("correction_records", """, c as (select line_no, device, case line_no % 6 when 0 then 1 when 1 then 5 when 2 then 9 when 3 then 31 else 14 end as type, line_no % 3 as n from fix_view)
+select device, type, line_no as station_id, (line_no % 7) / 2e0 as zcount, case when n > 0 then i::bigint end as ident from c, unnest(case when n = 0 then [0] when n = 1 then [1] else [1, 2] end) as u(i) where type <> 14""")
+def correction_records(spark, sf_dir):
+    """A row for each satellite of the message types that have any; messages without one keep a row."""
+    sats = F.expr("transform(filter(array(1L, 2L), i -> i <= line_no % 3), i -> named_struct('ident', i))")
+    rows = fix_view(spark, sf_dir).select("device", F.expr("element_at(array(1, 5, 9, 31, 14, 14), cast(line_no % 6 as int) + 1)").alias("type"), F.col("line_no").alias("station_id"), (F.expr("line_no % 7") / F.lit(2.0)).alias("zcount"), sats.alias("satellites"))
+    return nested.correction_records(rows)
+
+
+@query("first_pair", """ select (select min(line_no) from fix_view where used and time = (select min(time) from fix_view where used)) as sky_line, (select min(line_no) from fix_view where time = (select min(time) from fix_view)) as fix_line""")
+def first_pair(spark, sf_dir):
+    rows = fix_view(spark, sf_dir)
+    sky = rows.select("line_no", F.struct("time", "line_no").alias("time"), F.when(F.col("used"), F.array("prn")).otherwise(F.expr("array()")).alias("satellites"))
+    return profile.first_pair(sky, rows.select("line_no", F.struct("time", "line_no").alias("time"))).select(F.col("sky.line_no").alias("sky_line"), F.col("tpv.line_no").alias("fix_line"))
+
+
+@query("utc_corrections", f""" select line_no, round(18 + 1e-3 + 1e-9 * (line_no % 604800 - 405504 + 604800 * (line_no % 2)), 9) as utc_offset from fix_view""")
+def utc_corrections(spark, sf_dir):
+    page = F.expr("named_struct('A0', 1e-3D, 'A1', 1e-9D, 'tot', 405504D, 'WNt', 100)")
+    rows = fix_view(spark, sf_dir).select("line_no", F.lit(18).alias("ls"), page.alias("IONO"), F.expr("cast(line_no % 604800 as double)").alias("tow"), F.expr("100 + line_no % 2").alias("week"))
+    return orbit.utc_correction(rows).select("line_no", F.round("utc_offset", 9).alias("utc_offset"))
+
+
+@query("merged_almanacs", """, h as (select prn as sv, device % 4 as IODA, max(line_no) filter (line_no % 2 = 0) as a, max(line_no) filter (line_no % 2 = 1) as b from fix_view group by 1, 2), k as (select *, row_number() over (partition by sv order by IODA desc) as n from h)
+select sv, a as sqrtA, b as e, IODA as toa from k where n = 1 and a > 0""")
+def merged_almanacs(spark, sf_dir):
+    """Halves of an almanac by satellite and issue: one has the orbit's size, the other its shape."""
+    halves = fix_view(spark, sf_dir).selectExpr("prn as sv", "device % 4 as IODA", "line_no % 2 as half", "line_no").groupBy("sv", "IODA", "half").agg(F.max("line_no").alias("x"))
+    halves = halves.selectExpr("sv", "IODA", "if(half = 0, x, null) as sqrtA", "if(half = 1, x, null) as e", "IODA as toa")
+    return orbit.merge_almanac(halves, ("sqrtA", "e", "toa"))
+
+
+@query(
+    "ephemerides",
+    """, p as (select prn as sv, device % 3 as iod, line_no % 3 as part, line_no from fix_view), f as (select sv, iod, part, line_no % 4 as version, min(line_no) as heard from p group by all)
+select a.sv as tSV, a.iod::bigint as iod, a.heard as first_heard, b.heard as second_heard, c.heard as third_heard from f a join f b on a.sv = b.sv and a.iod = b.iod and b.part = 1 and b.version = 2 and abs(a.heard - b.heard) <= 300
+ join f c on a.sv = c.sv and a.iod = c.iod and c.part = 2 and c.version = 3 and abs(a.heard - c.heard) <= 300 where a.part = 0 and a.version = 1""",
+)
+def ephemerides(spark, sf_dir):
+    """Parts that are sent again and again, put together by issue where they were first heard within a window."""
+    of = lambda part, version, issue, heard: fix_view(spark, sf_dir).filter(f"line_no % 3 = {part} and line_no % 4 = {version}").selectExpr("prn as tSV", "line_no as TOW17", f"device % 3 as {issue}", f"{version} as {heard}")
+    out = orbit.ephemerides(of(0, 1, "IODC", "v1"), of(1, 2, "IODE", "v2"), of(2, 3, "IODE", "v3"), window=300)
+    return out.select("tSV", F.col("iod").cast("long").alias("iod"), F.col("heard1").alias("first_heard"), F.col("heard2").alias("second_heard"), F.col("heard3").alias("third_heard"))
+
+
+def _kepler_sql(steps: int = 10) -> str:
+    x = "m"
+    for _ in range(steps):
+        x = f"m + e * sin({x})"
+    return x
+
+
+@query(
+    "orbits_by_time",
+    f""", o as (select distinct prn as sv, line_no % 6 as d, (line_no % 6) * 86400e0 + (prn % 2) * 7200 as toe, radians(prn * 7 + (line_no % 6) * 13) as m0, radians(prn * 3) as w, radians(prn * 11) as node0, 0.01e0 * (prn % 3 + 1) as e from fix_view),
+s as (select line_no, prn as sv, (line_no * 97 % 518400)::double as t from fix_view), r as (select s.line_no, s.t, o.*, row_number() over (partition by s.line_no order by abs(t - toe), toe) as k from s join o on o.sv = s.sv and abs(t - toe) <= 43200),
+k as (select *, {A0!r}e0 as a, m0 + sqrt({orbit.MU!r}e0 / ({A0!r}e0 * {A0!r}e0 * {A0!r}e0)) * (t - toe) as m, node0 - {orbit.OMEGA_E!r} * (t - toe) - {orbit.OMEGA_E!r} * toe as node from r where k = 1),
+b as (select *, {_kepler_sql()} as big from k), u as (select *, atan2(sqrt(1 - e * e) * sin(big), cos(big) - e) + w as u, a * (1 - e * cos(big)) as rad, radians(55e0) as i from b)
+select line_no, toe, round(rad * (cos(u) * cos(node) - sin(u) * cos(i) * sin(node)), 1) as x, round(rad * (cos(u) * sin(node) + sin(u) * cos(i) * cos(node)), 1) as y, round(rad * sin(u) * sin(i), 1) as z from u""",
+)
+def orbits_by_time(spark, sf_dir):
+    """Each time with the orbit nearest to it among six days of a satellite's, elliptic ones."""
+    rows = fix_view(spark, sf_dir)
+    orbits = rows.selectExpr("prn as tSV", "line_no % 6 as d", "line_no % 6 * 86400D + prn % 2 * 7200 as toe", "radians(prn * 7 + line_no % 6 * 13) as M0", "radians(prn * 3) as omega", "radians(prn * 11) as Omega0", "0.01D * (prn % 3 + 1) as e").distinct()
+    orbits = orbits.withColumns({"sqrtA": F.lit(math.sqrt(A0)), "i0": F.radians(F.lit(55.0))})
+    times = rows.selectExpr("line_no", "prn as tSV", "cast(line_no * 97 % 518400 as double) as t")
+    near = orbit.orbits_at(times, orbits, valid=43200.0)
+    return orbit.sat_position(near).select("line_no", "toe", *[F.round(c, 1).alias(c) for c in "xyz"])

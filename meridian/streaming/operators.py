@@ -1,6 +1,6 @@
 """Streaming forms. Most operators run on streams unchanged; here are those that need state, windows or watermarks.
 
-A stream with event time takes a watermark: rows later than it are dropped by Spark; late_rows keeps them aside.
+A stream with event time takes a watermark: rows later than it are dropped by Spark; split_late keeps them.
 """
 
 from __future__ import annotations
@@ -48,9 +48,33 @@ def dedupe(df: DataFrame, keys: tuple[str, ...], time: str = "time", late: str =
     return event_time(df, time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def late_rows(df: DataFrame, batch_time: str, time: str = "time", late: str = "10 minutes") -> DataFrame:
-    """Rows that a watermark will have dropped, for a side table; batch_time holds the newest time seen so far."""
-    return df.filter(F.col(time).cast("timestamp") < F.col(batch_time).cast("timestamp") - F.expr(f"interval {late}"))
+def split_late(df: DataFrame, late: float = 600.0, time: str = "time", order: str = "line_no", ttl_ms: int | None = 3_600_000, key: str = "device") -> DataFrame:
+    """The rows of a stream with is_late: whether their time is over late seconds before the newest time of their device
+    so far, in order of arrival. Nothing is dropped: late rows go to a side table by a filter, the others on.
+
+    State is one number per device, the newest time; it is forgotten after ttl_ms without a row (never, if that is
+    None), from when on the device starts anew. Rows without time are never late. For sinks in append mode.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", is_late boolean"
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        at = rows[time].map(lambda t: None if pd.isna(t) else pd.Timestamp(t).timestamp())
+        so_far = at.astype(float).cummax().shift()
+        so_far = so_far.ffill() if newest is None else so_far.ffill().fillna(newest).clip(lower=newest)
+        yield rows.assign(is_late=(at.astype(float) < so_far - late).fillna(False).astype(bool))
+        seen = [t for t in (newest, at.astype(float).max()) if t is not None and not pd.isna(t)]
+        if seen:
+            state.update((max(seen),))
+            if ttl_ms is not None:
+                state.setTimeoutDuration(ttl_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return df.groupBy(key).applyInPandasWithState(step, schema, "newest double", "append", timeout)
 
 
 _FRAGMENT_STATE = "nfrags int, next int, payload string, line_no long"
@@ -89,11 +113,15 @@ def assemble_fragments(fragments: DataFrame, ttl_ms: int = 60_000) -> DataFrame:
     return fragments.groupBy("device", "channel").applyInPandasWithState(step, "device string, channel string, line_no long, payload string, pad int", _FRAGMENT_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def merge_24(halves: DataFrame, ring: int = 8) -> DataFrame:
-    """Type 24 halves of a stream put together, with a ring of the last A halves per device and channel as state."""
+def merge_24(halves: DataFrame, ring: int = 8, ttl_ms: int = 3_600_000) -> DataFrame:
+    """Type 24 halves of a stream put together, with a ring of the last A halves per device and channel as state; it is
+    forgotten after ttl_ms without a half."""
     schema = "device string, channel string, line_no long, mmsi long, part string, shipname string, callsign string"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         ships, names = (list(x) for x in state.get) if state.exists else ([], [])
         out = []
         for r in pd.concat(list(batches)).sort_values("line_no", kind="stable").itertuples():
@@ -107,9 +135,10 @@ def merge_24(halves: DataFrame, ring: int = 8) -> DataFrame:
                 ships.pop(at), names.pop(at)
             out.append((key[0], key[1], r.line_no, r.mmsi, "B" if at is None else "both", name, r.callsign))
         state.update((ships, names))
+        state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["device", "channel", "line_no", "mmsi", "part", "shipname", "callsign"])
 
-    return halves.groupBy("device", "channel").applyInPandasWithState(step, schema, "ships array<long>, names array<string>", "append", GroupStateTimeout.NoTimeout)
+    return halves.groupBy("device", "channel").applyInPandasWithState(step, schema, "ships array<long>, names array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def end_of_cycle(rows: DataFrame, quiet_ms: int = 1000, step_s: float = 0.01) -> DataFrame:
@@ -160,10 +189,14 @@ def offline_devices(df: DataFrame, silence_ms: int = 2000) -> DataFrame:
     return df.groupBy("device").applyInPandasWithState(step, "device string, reports long", "reports long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def cycle_enders(rows: DataFrame) -> DataFrame:
-    """Tags learnt to be the last timed ones of a cycle, by device, as a stream goes: (device, tag, n so far)."""
+def cycle_enders(rows: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+    """Tags learnt to be the last timed ones of a cycle, by device, as a stream goes: (device, tag, n so far). What was
+    learnt of a device is forgotten after ttl_ms without a sentence."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, tod, tags, counts = (list(state.get) if state.exists else [None, None, [], []])
         seen = dict(zip(list(tags), list(counts), strict=True))
         for r in pd.concat(list(batches)).sort_values("line_no", kind="stable").itertuples():
@@ -173,10 +206,11 @@ def cycle_enders(rows: DataFrame) -> DataFrame:
                 seen[last] = seen.get(last, 0) + 1
             last, tod = r.tag, float(r.tod)
         state.update((last, tod, list(seen), list(seen.values())))
+        state.setTimeoutDuration(ttl_ms)
         if seen:
             yield pd.DataFrame([(str(key[0]), t, n) for t, n in seen.items()], columns=["device", "tag", "n"])
 
-    return rows.groupBy("device").applyInPandasWithState(step, "device string, tag string, n long", "last string, tod double, tags array<string>, counts array<long>", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("device").applyInPandasWithState(step, "device string, tag string, n long", "last string, tod double, tags array<string>, counts array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def fan_out(stream: DataFrame, sinks: dict[str, tuple[Callable[[DataFrame], DataFrame], str]], checkpoint: str):

@@ -190,3 +190,18 @@ def test_clock_log_only_goes_on(spark):
     sky = spark.createDataFrame([("d", 90, 7, 1.5), ("d", 165, 8, 1.25)], "device string, s long, uSat int, tdop double").withColumn("time", F.timestamp_seconds("s"))
     got = [(int(r.time.timestamp()), r.uSat) for r in sequence.clock_log(tpv, sky).orderBy("time").collect()]
     assert got == [(100, 7), (170, 8)]
+
+
+def test_late_rows_of_several_batches(spark, tmp_path, no_idle_batches):
+    """The newest time goes from batch to batch."""
+    from meridian.streaming import operators as streaming
+
+    schema = "device string, line_no long, s long"
+    batches = [[("a", 1, 100), ("a", 2, 50), ("b", 3, 5)], [("a", 4, 95), ("a", 5, 89), ("a", 6, 200), ("b", 7, None), ("b", 8, 4)], [("a", 9, 150), ("b", 10, -6), ("c", 11, 1)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withColumn("time", F.timestamp_seconds("s"))
+        run = streaming.split_late(stream, 10).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert run.awaitTermination(120)
+    got = {r.line_no: r.is_late for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False, 5: True, 6: False, 7: False, 8: False, 9: True, 10: True, 11: False}
