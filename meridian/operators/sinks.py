@@ -28,21 +28,55 @@ def write_csv(df: DataFrame, path: str, fields: tuple[str, ...], header: int = 1
     head.unionByName(text).select("value").write.text(path)
 
 
-def to_gpx(tracks: DataFrame, order: str = "line_no") -> DataFrame:
-    """One <trk> per (device, track_id) of segmented fixes; points in order."""
+def gpx_point(tracks: DataFrame) -> Column:
+    """A fix as a track point."""
     fix = F.when(F.col("status") == 2, "dgps").when(F.col("mode") == 3, "3d").when(F.col("mode") == 2, "2d").otherwise("none")
     optional = lambda c, form: F.when(F.col(c).isNotNull(), F.format_string(form, F.col(c).cast("double"))).otherwise("") if c in tracks.columns else F.lit("")
     sat = F.when((F.col("mode") > 1) & (F.col("uSat") > 0), F.format_string("<sat>%d</sat>", F.col("uSat").cast("int"))).otherwise("") if "uSat" in tracks.columns else F.lit("")
     time = F.coalesce(F.concat(F.lit("<time>"), F.date_format(F.col("time").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("</time>")), F.lit(""))
-    point = F.concat(
+    return F.concat(
         F.format_string('<trkpt lat="%.9f" lon="%.9f">', "lat", "lon"), optional("altHAE", "<ele>%.4f</ele>"), time, F.lit("<fix>"), fix, F.lit("</fix>"), sat,
         optional("hdop", "<hdop>%.1f</hdop>"), optional("vdop", "<vdop>%.1f</vdop>"), optional("pdop", "<pdop>%.1f</pdop>"), optional("depth", "<extensions><depth>%.2f</depth></extensions>"), F.lit("</trkpt>"),
     )
-    lines = tracks.select("device", "track_id", F.col(order).alias("k"), point.alias("value"))
+
+
+def to_gpx(tracks: DataFrame, order: str = "line_no") -> DataFrame:
+    """One <trk> per (device, track_id) of segmented fixes as a row; points in order. For tracks of any length: gpx_lines."""
+    lines = tracks.select("device", "track_id", F.col(order).alias("k"), gpx_point(tracks).alias("value"))
     trk = lines.groupBy("device", "track_id").agg(F.concat(F.lit("<trk><trkseg>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), "\n"), F.lit("</trkseg></trk>")).alias("value"))
     return trk  # a track is bounded by its gap; GPX_HEAD and GPX_FOOT go around the rows
 
 
+#: Keys of the lines of a document: head, body and foot; then within the body.
+KEYS = ("section", "device", "part", "place", "k")
+
+
+def document(body: DataFrame, head: str, foot: str) -> DataFrame:
+    """Lines (KEYS, value) of a document with its first and last line."""
+    ends = body.sparkSession.createDataFrame([(0, head), (2, foot)], "section int, value string")
+    return body.unionByName(ends, allowMissingColumns=True).select(*KEYS, "value")
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """The lines in order: Spark sorts them into ranges, one file each, whose names are in order too, and commits them
+    together. The files one after the other are the document, whatever their number."""
+    lines.orderBy(*KEYS).select("value").write.text(path)
+
+
+def gpx_lines(tracks: DataFrame, order: str = "line_no") -> DataFrame:
+    """A document of segmented fixes, a line each; no row holds a whole track."""
+    point = tracks.select("device", F.col("track_id").cast("long").alias("part"), F.lit(1).alias("place"), F.col(order).cast("long").alias("k"), gpx_point(tracks).alias("value"))
+    each = point.select("device", "part").distinct()
+    ends = [each.select("device", "part", F.lit(place).alias("place"), F.lit(None).cast("long").alias("k"), F.lit(text).alias("value")) for place, text in ((0, "<trk><trkseg>"), (2, "</trkseg></trk>"))]
+    return document(point.unionByName(ends[0]).unionByName(ends[1]).withColumn("section", F.lit(1)), GPX_HEAD, GPX_FOOT)
+
+
+def kml_lines(tpv: DataFrame, order: str = "line_no") -> DataFrame:
+    """A document of placemarks in order."""
+    marks = tpv.select(F.lit(1).alias("section"), "device", F.lit(None).cast("long").alias("part"), F.lit(1).alias("place"), F.col(order).cast("long").alias("k"), kml_mark().alias("value"))
+    return document(marks, KML_HEAD, KML_FOOT)
+
+
 GPX_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<gpx version="1.1" creator="meridian" xmlns="http://www.topografix.com/GPX/1/1">'
 GPX_FOOT = "</gpx>"
 
@@ -51,11 +85,20 @@ def gpx_of(tpv: DataFrame, timeout: int = 5, order: str = "line_no") -> DataFram
     return to_gpx(segment_tracks(tpv, timeout, order=order), order)
 
 
-def to_kml(tpv: DataFrame) -> DataFrame:
-    """A placemark per fix; the heading is shown from 1 km/h on."""
+KML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"><Document>'
+KML_FOOT = "</Document></kml>"
+
+
+def kml_mark() -> Column:
+    """A placemark; the heading is shown from 1 km/h on."""
     kph = F.coalesce(F.col("speed"), F.lit(0.0)) * 3.6
     text = F.when(kph >= 1, F.format_string("%.1f km/h, heading %.0f", kph, F.coalesce(F.col("track"), F.lit(0.0)))).otherwise(F.format_string("%.1f km/h", kph))
-    return tpv.select(F.concat(F.lit("<Placemark><description>"), text, F.format_string("</description><Point><coordinates>%.7f,%.7f,%.2f</coordinates></Point></Placemark>", "lon", "lat", F.coalesce(F.col("altHAE"), F.lit(0.0)))).alias("value"))
+    return F.concat(F.lit("<Placemark><description>"), text, F.format_string("</description><Point><coordinates>%.7f,%.7f,%.2f</coordinates></Point></Placemark>", "lon", "lat", F.coalesce(F.col("altHAE"), F.lit(0.0))))
+
+
+def to_kml(tpv: DataFrame) -> DataFrame:
+    """A placemark per fix."""
+    return tpv.select(kml_mark().alias("value"))
 
 
 def sentence(body: Column) -> Column:

@@ -458,3 +458,24 @@ def orbits_by_time(spark, sf_dir):
     times = rows.selectExpr("line_no", "prn as tSV", "cast(line_no * 97 % 518400 as double) as t")
     near = orbit.orbits_at(times, orbits, valid=43200.0)
     return orbit.sat_position(near).select("line_no", "toe", *[F.round(c, 1).alias(c) for c in "xyz"])
+
+
+@query(
+    "moving_percentiles",
+    f""", m as (select device, time, {base.e2('lat', 'lon', '45e0', '7e0')} as m from fix_view), w as (select device, m, time::date::timestamp - d * interval 1 day as start from m, unnest([0, 1]) as u(d))
+select start, device, count(*) as n, round(quantile_disc(m, 0.5), 4) as cep50, round(quantile_disc(m, 0.95), 4) as cep95, round(quantile_disc(m, 0.99), 4) as cep99 from w group by 1, 2""",
+)
+def moving_percentiles(spark, sf_dir):
+    """Two days wide, a day on each time; windows have fewer fixes than the sketch tells apart."""
+    out = streaming.moving_percentiles(fix_view(spark, sf_dir), 45.0, 7.0, "2 days", "1 day")
+    return base.rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
+
+
+@query(
+    "gpx_points",
+    """, f as (select *, epoch_us(time) as t, lag(epoch_us(time)) over (partition by device order by line_no) as b from fix_view where mode >= 2)
+select line_no, printf('<trkpt lat="%.9f" lon="%.9f"><ele>%.4f</ele><time>%s</time><fix>%s</fix><sat>8</sat></trkpt>', lat, lon, altHAE, strftime(time, '%Y-%m-%dT%H:%M:%S.%gZ'), case when status = 2 then 'dgps' when mode = 3 then '3d' else '2d' end) as value from f where b is null or t <> b""",
+)
+def gpx_points(spark, sf_dir):
+    tracks = sequence.segment_tracks(fix_view(spark, sf_dir).withColumn("uSat", F.lit(8)), 21600)
+    return sinks.gpx_lines(tracks).filter("place = 1").select(F.col("k").alias("line_no"), "value")

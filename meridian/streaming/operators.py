@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from meridian.functions.geo import earth_distance_small
+
 
 def event_time(df: DataFrame, time: str = "time", late: str = "10 minutes") -> DataFrame:
     return df.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
@@ -32,6 +34,17 @@ def moving_accuracy(df: DataFrame, width: str = "1 hour", slide: str = "5 minute
     return agg.select(F.col("w.start").alias("start"), "device", "n", (F.lit(0.5887) * (x + y)).alias("cep"))
 
 
+def moving_percentiles(df: DataFrame, lat: float, lon: float, width: str = "1 hour", slide: str = "5 minutes", late: str = "10 minutes", accuracy: int = 10000) -> DataFrame:
+    """Per device and sliding window: fixes, and the distances in metres from a known place within which 50, 95 and 99 % of
+    them are. Quantiles come from a sketch that Spark merges from partial ones: ranks are off by 1 / accuracy of
+    the fixes at most, and exact up to accuracy fixes."""
+    metres = earth_distance_small("lat", "lon", lat, lon)
+    w = F.window("time", width, slide)
+    shares = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
+    agg = event_time(df.withColumn("__m", metres), "time", late).groupBy(w.alias("w"), "device").agg(F.count("__m").alias("n"), F.percentile_approx("__m", shares, accuracy).alias("p"))
+    return agg.select(F.col("w.start").alias("start"), "device", "n", *[F.col("p")[k].alias(c) for k, c in enumerate(("cep50", "cep95", "cep99"))])
+
+
 def session_tracks(df: DataFrame, timeout: str = "5 seconds", late: str = "10 minutes") -> DataFrame:
     """Tracks as sessions by device: for streams in order of time, where only gaps cut."""
     w = F.session_window("time", timeout)

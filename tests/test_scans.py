@@ -205,3 +205,28 @@ def test_late_rows_of_several_batches(spark, tmp_path, no_idle_batches):
         assert run.awaitTermination(120)
     got = {r.line_no: r.is_late for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: False, 2: True, 3: False, 4: False, 5: True, 6: False, 7: False, 8: False, 9: True, 10: True, 11: False}
+
+
+def test_documents_of_any_number_of_files(spark, tmp_path):
+    """The files of a document one after the other are what one task writes."""
+    from meridian.operators import sinks
+
+    rows = [(f"d{k % 3}", k, 1_700_000_000 + k * 40 + k // 90 * 500, 3, 45.0 + k / 1e4, 7.0, 300.0, 1, 1.5) for k in range(300)]
+    df = spark.createDataFrame(rows, "device string, line_no long, s long, mode int, lat double, lon double, altHAE double, status int, speed double").withColumns({"time": F.timestamp_seconds("s"), "track": F.lit(90.0)})
+    for name, lines in (("gpx", sinks.gpx_lines(sequence.segment_tracks(df, 200))), ("kml", sinks.kml_lines(df))):
+        texts = []
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            sinks.write_document(lines, str(tmp_path / f"{name}{n}"))
+            files = sorted((tmp_path / f"{name}{n}").glob("part-*"))
+            texts.append("".join(f.read_text() for f in files))
+            assert len(files) > 1 or n == "1"
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert texts[0] == texts[1] and texts[0].startswith("<?xml") and texts[0].endswith("</gpx>\n" if name == "gpx" else "</kml>\n")
+        if name == "gpx":
+            from xml.etree import ElementTree
+
+            tree = ElementTree.fromstring(texts[0])
+            assert len(tree) == 3 * 4 and sum(len(seg) for trk in tree for seg in trk) == 300
