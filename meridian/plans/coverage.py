@@ -241,10 +241,15 @@ def ais_scaled_27(spark, sf_dir):
     return base.rounded(ais.scale_ais(ais.decode_type(messages_of(spark, sf_dir, 27), 27)).select("line_no", "lon", "lat", "speed", "course"))
 
 
-@query("ais_shiptype_text", f""" select line_no, case floor(t / 10) when 6 then 'Passenger' when 7 then 'Cargo' when 8 then 'Tanker' end || ' - ' || case t % 10 when 0 then 'all ships of this type' when 9 then 'No additional information' when 1 then 'Hazardous category A' when 2 then 'Hazardous category B' when 3 then 'Hazardous category C' when 4 then 'Hazardous category D' else 'Reserved for future use' end as shiptype_text
-from (select line_no, {_value(5, 8)} as t from fix_view) where t between 60 and 89""")
+_THIRTIES = "when 30 then 'Fishing' when 31 then 'Towing' when 32 then 'Towing: length exceeds 200m or breadth exceeds 25m' when 33 then 'Dredging or underwater ops' when 34 then 'Diving ops' when 35 then 'Military ops' when 36 then 'Sailing' when 37 then 'Pleasure Craft' when 38 then 'Reserved' when 39 then 'Reserved'"
+_FIFTIES = "when 50 then 'Pilot Vessel' when 51 then 'Search and Rescue vessel' when 52 then 'Tug' when 53 then 'Port Tender' when 54 then 'Anti-pollution equipment' when 55 then 'Law Enforcement' when 56 then 'Spare - Local Vessel' when 57 then 'Spare - Local Vessel' when 58 then 'Medical Transport' when 59 then 'Ship according to RR Resolution No. 18'"
+
+
+@query("ais_shiptype_text", f""" select line_no, case when t > 99 then 'INVALID SHIP TYPE' when t = 0 then 'Not available' when t < 20 then 'Reserved for future use' when t between 30 and 39 then case t {_THIRTIES} end when t between 50 and 59 then case t {_FIFTIES} end
+ else case floor(t / 10) when 2 then 'Wing in ground (WIG)' when 4 then 'High speed craft (HSC)' when 6 then 'Passenger' when 7 then 'Cargo' when 8 then 'Tanker' else 'Other Type' end || ' - ' || case t % 10 when 0 then 'all ships of this type' when 1 then 'Hazardous category A' when 2 then 'Hazardous category B' when 3 then 'Hazardous category C'
+ when 4 then 'Hazardous category D' when 9 then case floor(t / 10) when 2 then 'Reserved for future use' when 9 then 'no additional information' else 'No additional information' end else 'Reserved for future use' end end as shiptype_text from (select line_no, {_value(5, 8)} as t from fix_view)""")
 def ais_shiptype_text(spark, sf_dir):
-    return ais.decode_type(messages_of(spark, sf_dir, 5), 5).filter("shiptype between 60 and 89").select("line_no", "shiptype_text")
+    return ais.decode_type(messages_of(spark, sf_dir, 5), 5).select("line_no", "shiptype_text")
 
 
 @query("sat_identity", """, s as (select line_no, (line_no * 7) % 560 as p, case line_no % 4 when 0 then 'GP' when 1 then 'GA' when 2 then 'BD' else 'QZ' end as talker from fix_view)
