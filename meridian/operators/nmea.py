@@ -200,12 +200,10 @@ def epochs(rows: DataFrame, step: float = 0.01, size: int = SLICE) -> DataFrame:
     return scan(rows, ("device",), "line_no", {"__before": F.col("tod")}, total=("epoch", "__before", new), size=size).drop("__before")
 
 
-def cycle_enders(rows: DataFrame) -> DataFrame:
+def cycle_enders(rows: DataFrame, size: int = SLICE) -> DataFrame:
     """Per device the tags that were the last timed ones before the time went on, and how often."""
-    timed = rows.filter("tod is not null")
-    w = W.partitionBy("device").orderBy("line_no")
-    last = timed.withColumn("__next", F.lead("epoch").over(w)).filter("__next <> epoch")
-    return last.groupBy("device", "tag").agg(F.count("*").alias("n"))
+    timed = scan(rows.filter("tod is not null"), ("device",), "line_no", {"__before": F.struct("epoch", "tag")}, size=size)
+    return timed.filter("__before.epoch <> epoch").groupBy("device", F.col("__before.tag").alias("tag")).agg(F.count("*").alias("n"))
 
 
 def cycle_report(rows: DataFrame) -> DataFrame:
@@ -220,11 +218,11 @@ def cycle_report(rows: DataFrame) -> DataFrame:
     return out.select("device", "cycles", "kinds", F.when(enough, F.col("kinds") == 1).alias("regular"), "enders", F.array_intersect("enders", "__inside").alias("also_inside"))
 
 
-def stale_gga(rows: DataFrame) -> DataFrame:
+def stale_gga(rows: DataFrame, size: int = SLICE) -> DataFrame:
     """A position sentence repeating the time of its talker's last one tells that the lock is lost."""
-    w = W.partitionBy("device", "tag", "talker").orderBy("line_no")
-    stale = (F.col("tag") == "GGA") & (F.col("tod") == F.lag("tod").over(w))
-    return rows.withColumn("__stale", F.coalesce(stale, F.lit(False))).withColumns({"mode": F.when(F.col("__stale"), 1).otherwise(F.col("mode")), "status": F.when(F.col("__stale"), 0).otherwise(F.col("status"))}).drop("__stale")
+    rows = scan(rows, ("device", "tag", "talker"), "line_no", {"__before": F.struct("tod")}, size=size)
+    stale = F.coalesce((F.col("tag") == "GGA") & (F.col("tod") == F.col("__before.tod")), F.lit(False))
+    return rows.withColumns({"mode": F.when(stale, 1).otherwise(F.col("mode")), "status": F.when(stale, 0).otherwise(F.col("status"))}).drop("__before")
 
 
 def merge_fix(rows: DataFrame) -> DataFrame:
@@ -288,24 +286,24 @@ def gsv_parts(lines: DataFrame, device: str = "file", value: str = "value") -> D
     return rows.select(F.col(device).alias("device"), "line_no", "talker", _i(1).alias("parts"), _i(2).alias("part"), _i(3).alias("in_view"), signal.alias("signal"), F.when(n > 0, F.filter(sats, lambda s: s["PRN"].isNotNull())).alias("sats"))
 
 
-def assemble_gsv(parts: DataFrame) -> DataFrame:
+def assemble_gsv(parts: DataFrame, size: int = SLICE) -> DataFrame:
     """Complete series of parts as one skyview (device, line_no of the last part, talker, signal, satellites). A series
     that lacks a part, or whose azimuths are all zero or absent, is dropped."""
-    w = W.partitionBy("device", "talker", F.coalesce("signal", F.lit(""))).orderBy("line_no")
-    series = parts.withColumn("series", F.sum(F.when(F.col("part") == 1, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = series.groupBy("device", "talker", F.coalesce("signal", F.lit("")).alias("signal"), "series").agg(
+    parts = parts.withColumn("signal", F.coalesce("signal", F.lit("")))
+    begins = {"__first": F.when(F.col("part") == 1, 1)}
+    series = scan(parts, ("device", "talker", "signal"), "line_no", begins, total=("series", "__first", lambda *_: F.lit(1)), size=size).filter("series > 0")
+    out = series.groupBy("device", "talker", "signal", "series").agg(
         F.max("line_no").alias("line_no"), F.count("*").alias("__n"), F.max("parts").alias("__of"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "sats"))), lambda x: F.coalesce(x["sats"], F.array()))).alias("satellites")
     )  # a series has few parts, so the list is small
     return out.filter("__n = __of").filter(F.exists("satellites", lambda s: s["az"] != 0)).drop("__n", "__of")
 
 
-def union_skyview(series: DataFrame, rows: DataFrame) -> DataFrame:
+def union_skyview(series: DataFrame, rows: DataFrame, size: int = SLICE) -> DataFrame:
     """Satellites of all talkers' series of an epoch: (device, epoch, talker, PRN, el, az, ss). Series get the epoch
     that they arrive in, from the decoded rows."""
     marks = rows.select("device", "line_no", "epoch").withColumn("satellites", F.lit(None).cast(series.schema["satellites"].dataType)).withColumn("talker", F.lit(None).cast("string"))
     both = series.select("device", "line_no", F.lit(None).cast("bigint").alias("epoch"), "satellites", "talker").unionByName(marks)
-    w = W.partitionBy("device").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    placed = both.withColumn("epoch", F.last("epoch", ignorenulls=True).over(w)).filter("satellites is not null")
+    placed = scan(both, ("device",), "line_no", {"__epoch": F.col("epoch")}, size=size).filter("satellites is not null").withColumn("epoch", F.col("__epoch")).drop("__epoch")
     return placed.select("device", "epoch", "talker", F.explode("satellites").alias("s")).select("device", "epoch", "talker", "s.*")
 
 
