@@ -206,9 +206,10 @@ def clock_offsets(samples: DataFrame, unit: str = "unit", order: str = "line_no"
     return rows.withColumn("k", F.col("k") - 1).drop("__one")
 
 
-def obs_counts(obs: DataFrame, most: int = 99999) -> DataFrame:
-    """Observations by satellite and code; header fields hold five digits."""
-    return obs.groupBy("gnssid", "svid", "code").agg(F.least(F.count("value"), F.lit(most)).alias("n"))
+def obs_counts(obs: DataFrame, most: int | None = 99999) -> DataFrame:
+    """Observations by satellite and code; header fields hold five digits, so counts stop at most. None: whole counts."""
+    n = F.count("value")
+    return obs.groupBy("gnssid", "svid", "code").agg((n if most is None else F.least(n, F.lit(most))).alias("n"))
 
 
 def sorted_counts(counts: DataFrame) -> DataFrame:
