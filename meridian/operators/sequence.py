@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,6 +74,12 @@ def picked(values: list[np.ndarray], far: Far, last: list[float] | None) -> list
     return out
 
 
+def _ends(ended: list[tuple[pa.RecordBatch, list[float] | None]]) -> pa.RecordBatch:
+    """Keys of slices, a row each, with what was kept last."""
+    keys = pa.Table.from_batches([k for k, _ in ended]).combine_chunks().to_batches()[0]
+    return keys.append_column("last", pa.array([last for _, last in ended], pa.list_(pa.float64())))
+
+
 #: Rows ahead that picked() looks at for all rows at once.
 NEAR = 8
 
@@ -86,7 +92,8 @@ def keep_far(df: DataFrame, by: tuple[str, ...], order: str, values: tuple[str,
     walked as if that were what the slices before end with, so far as they are known, until no slice's last row changes;
     only slices whose start has changed are walked again. As a slice mostly comes to the same rows from any start, a few
     rounds do (one if keys fit in a slice), and no task has a whole key. Between rounds there is a table of a row per
-    slice in the shared folder.
+    slice in the shared folder. Slices are dealt to tasks and sorted by Spark, and walked batch by batch: a task has many,
+    and holds a batch.
     """
     keys = [f"__k{k}" for k in range(len(by))]
     mine = {f"__x{k}": F.col(v).cast("double") for k, v in enumerate(values)}
@@ -97,27 +104,43 @@ def keep_far(df: DataFrame, by: tuple[str, ...], order: str, values: tuple[str,
     slices = rows.select(*keys).distinct().withColumn("last", F.lit(None).cast("array<double>"))
     before = W.partitionBy(*keys[:-1]).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
 
-    def walk(pdf: pd.DataFrame, start: pd.DataFrame) -> tuple[pd.DataFrame, list[int], list | None]:
-        pdf = pdf.sort_values("__order", kind="stable")
-        last = start["last"].iloc[0] if len(start) else None
-        x = [pdf[c].to_numpy() for c in numbers]
-        kept = picked(x, far, None if last is None else list(last))
-        return pdf, kept, [float(v[kept[-1]]) for v in x] if kept else last
-
-    def ends(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame(columns=[*keys, "last"])
-        _, _, last = walk(pdf, start)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "last": [last]})
-
-    def rest(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, _ = walk(pdf, start) if len(pdf) else (pdf, [], None)
-        return pdf.iloc[kept][given]
+    def walk(whole: bool):
+        """Over sorted rows, each slice behind the row of its start: the rows kept, or of each slice the last of them."""
+
+        def run(batches):
+            held = last = None
+            for batch in batches:
+                x = [batch.column(c).to_numpy(zero_copy_only=False) for c in numbers]
+                starts, known = np.flatnonzero(batch.column("__begins").to_numpy(zero_copy_only=False)), batch.column(numbers[0]).is_valid().to_numpy(zero_copy_only=False)
+                kept, ended, at = [], [], 0
+                for begin in [*starts.tolist(), batch.num_rows]:
+                    part = [v[at:begin] for v in x]
+                    places = picked(part, far, last) if begin > at else []
+                    if places:
+                        kept += [at + i for i in places]
+                        last = [float(v[places[-1]]) for v in part]
+                    if begin < batch.num_rows:
+                        if held is not None:
+                            ended.append((held, last))
+                        held, last, at = batch.slice(begin, 1).select(keys), [float(v[begin]) for v in x] if known[begin] else None, begin + 1
+                if whole:
+                    yield batch.take(pa.array(kept, pa.int64())).select(given)
+                elif ended:
+                    yield _ends(ended)
+            if held is not None and not whole:
+                yield _ends([(held, last)])
+
+        return run
+
+    def walked(of: DataFrame, starts: DataFrame, whole: bool) -> DataFrame:
+        begin = starts.select(*keys, F.lit(True).alias("__begins"), *[F.col("last")[k].alias(c) for k, c in enumerate(numbers)])
+        both = of.withColumn("__begins", F.lit(False)).unionByName(begin, allowMissingColumns=True)
+        ordered = both.repartition(*keys).sortWithinPartitions(*keys, F.desc("__begins"), "__order")
+        return ordered.mapInArrow(walk(whole), df.schema if whole else state)
 
-    together = lambda a, b, f, schema: a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(f, schema)
     slices = written(slices)
     if slices.groupBy(*keys[:-1]).count().filter("count > 1").isEmpty():
-        return together(rows, slices, rest, df.schema)
+        return walked(rows, slices, whole=True)
     narrow = rows.select(*keys, "__order", *mine)
     done = todo = None
     while todo is None or not todo.isEmpty():
@@ -125,7 +148,7 @@ def keep_far(df: DataFrame, by: tuple[str, ...], order: str, values: tuple[str,
             todo, now = slices, narrow
         else:
             now = narrow.join(todo.select(*[F.col(k).alias(f"_{k}") for k in keys]), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_semi")
-        new = together(now, todo, ends, state)
+        new = walked(now, todo, whole=False)
         if done is not None:
             again = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
             old = done.select(*keys, "last").join(todo.select(*[F.col(k).alias(f"_{k}") for k in keys]), again, "left_anti")
@@ -135,7 +158,7 @@ def keep_far(df: DataFrame, by: tuple[str, ...], order: str, values: tuple[str,
         done = written(starts.join(was, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, "last", "start", "was"))
         slices = done.select(*keys, F.col("start").alias("last"))
         todo = done.filter(~F.col("start").eqNullSafe(F.col("was"))).select(*keys, F.col("start").alias("last"))
-    return together(rows, slices, rest, df.schema)
+    return walked(rows, slices, whole=True)
 
 
 def vincenty_far(min_move: float) -> Far:
