@@ -200,14 +200,32 @@ def signed(bits: Column, at: int, n: int) -> Column:
 
 def _readable(hex_: Column) -> Column:
     """Six-bit text of whole groups of three bytes, up to an @, without spaces at its end."""
-    return F.rtrim(F.regexp_extract(F.translate(F.base64(F.unhex(hex_)), BASE64 + "\r\n", SIXBIT), "^([^@]*)", 1))
+    return F.rtrim(F.substring_index(_characters(hex_), "@", 1))
+
+
+def _characters(hex_: Column) -> Column:
+    return F.translate(F.base64(F.unhex(hex_)), BASE64 + "\r\n", SIXBIT)
 
 
 def sixbit(bits: Column, at: int, n: int) -> Column:
-    """Six-bit text up to an @, without spaces at its end; what is left of it where the message ends before."""
-    groups = [F.lpad(F.hex(_number(bits, at + k, 24)), 6, "0") for k in range(0, n, 24)]
+    """Six-bit text up to an @, without spaces at its end; what is left of it where the message ends before.
+
+    From an even bit on, up to two zero digits before the digits bring the text to a whole character; from an odd one on
+    it is read as numbers of 48 bits.
+    """
+    if at % 2:
+        long = bits if n + 48 <= 4 * BEHIND else {"hex": F.rpad(bits["hex"], (at + n) // 4 + 13, "0")}
+        groups = [F.lpad(F.hex(_number(long, at + k, 48)), 12, "0") for k in range(0, n, 48)]
+        text = _characters(F.concat(*groups))
+    else:
+        over = at % 12
+        zeros = over % 6 // 2
+        digits = -(-(over + 4 * zeros + n) // 24) * 6 - zeros
+        taken = F.rpad(F.substring(bits["hex"], (at - over) // 4 + 1, digits), digits, "0")
+        text = F.substring(_characters(F.concat(F.lit("0" * zeros), taken) if zeros else taken), (over + 4 * zeros) // 6 + 1, n // 6)
     there = F.least(F.lit(n - n % 6), bit_length(bits) - at)
-    return F.when(there >= 6, F.rtrim(F.substring(_readable(F.concat(*groups)), F.lit(1), F.floor(there / 6).cast("int"))))
+    text = F.rtrim(F.substring_index(text, "@", 1))
+    return F.when(there >= 6, F.rtrim(F.substring(text, F.lit(1), F.floor(there / 6).cast("int"))))
 
 
 def _field(bits: Column, at: int, n: int, kind: str) -> Column:

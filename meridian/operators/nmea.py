@@ -37,8 +37,24 @@ FIELDS = (
 
 
 def checksum(body: Column) -> Column:
-    """XOR of the characters' codes."""
-    return F.aggregate(F.transform(F.split(body, ""), lambda c: F.ascii(c)), F.lit(0), lambda a, c: a.bitwiseXOR(c))
+    """XOR of the characters' codes. Where all are of one byte, seven of them at a time make a number; these numbers'
+    XOR is folded."""
+    nothing = F.lit(0).cast("bigint")
+
+    def of(text: Column) -> Column:
+        codes = F.aggregate(F.transform(F.split(text, ""), lambda c: F.ascii(c)), F.lit(0), lambda a, c: a.bitwiseXOR(c))
+        seven = lambda k: F.coalesce(F.conv(F.hex(F.substring(text, k, F.lit(7))), 16, 10).cast("bigint"), nothing)
+        sevens = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(7)), nothing, lambda a, k: a.bitwiseXOR(seven(k)), _folded)
+        return F.when(F.length(text) == F.octet_length(text), sevens).otherwise(codes)
+
+    return F.transform(F.array(body), of)[0]  # so that body is worked out once
+
+
+def _folded(x: Column) -> Column:
+    """XOR of the bytes of a number of up to seven."""
+    for k in (32, 16, 8):
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, k))
+    return x.bitwiseAND(255).cast("int")
 
 
 def hex_checksum(body: Column) -> Column:
