@@ -47,7 +47,12 @@ def checksum(body: Column) -> Column:
         sevens = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(7)), nothing, lambda a, k: a.bitwiseXOR(seven(k)), _folded)
         return F.when(F.length(text) == F.octet_length(text), sevens).otherwise(codes)
 
-    return F.transform(F.array(body), of)[0]  # so that body is worked out once
+    return told_once(body, of)
+
+
+def told_once(value: Column, of) -> Column:
+    """of(value), for which value is worked out once."""
+    return F.transform(F.array(value), of)[0]
 
 
 def _folded(x: Column) -> Column:
@@ -69,7 +74,7 @@ def _between(value: Column) -> Column:
 def checksum_ok(value: Column) -> Column:
     """Whether the two hex digits after the last * agree; sentences of one maker's kind are exempt."""
     given = F.regexp_extract(value, r"^[$!].*\*([0-9A-Fa-f]{2})", 1)
-    return value.startswith("$STI,") | ((given != "") & (F.upper(given) == hex_checksum(_between(value))))
+    return value.startswith("$STI,") | ((given != "") & (F.translate(given, "abcdef", "ABCDEF") == hex_checksum(_between(value))))
 
 
 def once(expr: Column) -> Column:
@@ -92,6 +97,15 @@ def _f(i: int) -> Column:
     return F.when(F.trim(c) != "", F.trim(c))
 
 
+def _at(places: dict[str, int], ok: Column | None = None) -> Column:
+    """The field at the place that the sentence has it; null where empty, absent, not ok or without place."""
+    at = F.lit(None).cast("int")
+    for k in sorted(set(places.values())):
+        at = F.when(F.col("tag").isin(*[tag for tag, p in places.items() if p == k]), k + 1).otherwise(at)
+    c = F.try_element_at("f", at if ok is None else F.when(ok, at))
+    return F.when(F.trim(c) != "", F.trim(c))
+
+
 def _d(i: int) -> Column:
     return _f(i).try_cast("double")
 
@@ -106,13 +120,16 @@ def _map(c: Column, names: dict) -> Column:
 
 def degrees(value: Column, hemisphere: Column) -> Column:
     """ddmm.mmmm and a hemisphere letter as signed degrees."""
-    x = value.try_cast("double")
-    whole = F.floor(x / 100)
-    return F.when(hemisphere.isin("S", "W"), F.lit(-1.0)).when(hemisphere.isin("N", "E"), F.lit(1.0)) * (whole + (x - whole * 100) / 60)
+    sign = F.when(hemisphere.isin("S", "W"), F.lit(-1.0)).when(hemisphere.isin("N", "E"), F.lit(1.0))
+    return sign * told_once(value.try_cast("double"), lambda x: F.floor(x / 100) + (x - F.floor(x / 100) * 100) / 60)
 
 
 def date_ddmmyy(c: Column) -> Column:
     """The date; years below 69 are of this century."""
+    return told_once(c, _ddmmyy)
+
+
+def _ddmmyy(c: Column) -> Column:
     year = F.substring(c, 5, 2).try_cast("int")
     good = c.rlike("^[0-9]{6}$") & F.substring(c, 1, 2).between("01", "31") & F.substring(c, 3, 2).between("01", "12")
     return F.when(good, F.try_to_timestamp(F.concat((year + F.when(year < 69, 2000).otherwise(1900)).cast("string"), F.substring(c, 3, 2), F.substring(c, 1, 2)), F.lit("yyyyMMdd")).cast("date"))
@@ -120,12 +137,30 @@ def date_ddmmyy(c: Column) -> Column:
 
 def time_of_day(c: Column) -> Column:
     """Seconds of the day of hhmmss.sss."""
+    return told_once(c, _hhmmss)
+
+
+def _hhmmss(c: Column) -> Column:
     good = c.rlike(r"^[0-9]{6}(\.[0-9]*)?$")
     return F.when(good, F.substring(c, 1, 2).cast("int") * 3600 + F.substring(c, 3, 2).cast("int") * 60 + F.expr("0").cast("double") + F.regexp_extract(c, r"^[0-9]{4}(.*)$", 1).cast("double"))
 
 
-def _position(k: int) -> dict[str, Column]:
-    return {"lat": degrees(_f(k), _f(k + 1)), "lon": degrees(_f(k + 2), _f(k + 3))}
+#: Fixed values. Places of the time, and of latitude, its hemisphere, longitude and its hemisphere, by sentence.
+TOD_AT = {"GGA": 1, "RMC": 1, "GLL": 5, "GNS": 1, "GST": 1, "GBS": 1, "GRS": 1, "ZDA": 1, "BWC": 1}
+POSITION_AT = {"GGA": 2, "RMC": 3, "GLL": 1, "GNS": 2}
+
+
+def _shared_fields() -> dict[str, Column]:
+    """Fields that many sentences have, each picked once."""
+    ok = F.when(F.col("tag") == "RMC", _f(2) == "A").when(F.col("tag") == "GLL", _f(6) == "A").otherwise(True)
+    position = {f"__{name}": _at({tag: k + j for tag, k in POSITION_AT.items()}, ok) for j, name in enumerate(("lat", "ns", "lon", "ew"))}
+    return {"__tod": _at(TOD_AT), "__date": _at({"RMC": 9}), **position}
+
+
+def _shared() -> dict[str, Column]:
+    """Columns told from the shared fields."""
+    x = F.col
+    return {"tod": time_of_day(x("__tod")), "lat": degrees(x("__lat"), x("__ns")), "lon": degrees(x("__lon"), x("__ew"))}
 
 
 def _unknown_if_absent(mode: Column) -> Column:
@@ -133,7 +168,7 @@ def _unknown_if_absent(mode: Column) -> Column:
 
 
 def _decoders() -> dict[str, dict[str, Column]]:
-    """Sentence -> its columns. Numbers are positions of fields in the public sentence descriptions."""
+    """Sentence -> its columns but the shared ones. Numbers are positions of fields in the public sentence descriptions."""
     gga_status = _map(_f(6), QUALITY_STATUS)
     rmc_ok, gll_ok = _f(2) == "A", _f(6) == "A"
     rmc_status = F.when(rmc_ok, F.coalesce(_map(_f(12), FAA_STATUS), F.lit(1))).otherwise(0)
@@ -143,16 +178,16 @@ def _decoders() -> dict[str, dict[str, Column]]:
     wind_speed = _d(3) * F.when(_f(4) == "N", KNOTS_TO_MPS).when(_f(4) == "K", 1 / 3.6).when(_f(4) == "M", 1.0)
     wind_ok = _f(5) == "A"
     return {
-        "GGA": {"tod": time_of_day(_f(1)), **_position(2), "status": gga_status, "mode": fixed(gga_status, _d(9), _i(7)), "used_count": _i(7), "hdop": _d(8), "altMSL": _d(9), "geoidSep": _d(11), "dgpsAge": _d(13), "dgpsSta": F.when(_f(13).isNotNull(), _i(14))},
-        "RMC": {"tod": time_of_day(_f(1)), "date": date_ddmmyy(_f(9)), **{k: F.when(rmc_ok, c) for k, c in _position(3).items()}, "status": rmc_status, "mode": F.when(rmc_ok, 2).otherwise(1), "speed": F.when(rmc_ok, _d(7) * KNOTS_TO_MPS), "track": F.when(rmc_ok, _d(8)), "magvar": F.when(rmc_ok, signed(10)), "nav_status": _f(13)},
-        "GLL": {"tod": time_of_day(_f(5)), **{k: F.when(gll_ok, c) for k, c in _position(1).items()}, "status": F.when(gll_ok, F.coalesce(_map(_f(7), FAA_STATUS), F.lit(1))).otherwise(0), "mode": F.when(gll_ok, 2).otherwise(1)},
-        "GNS": {"tod": time_of_day(_f(1)), **_position(2), "status": gns_status, "mode": fixed(gns_status, _d(9), _i(7)), "used_count": _i(7), "hdop": _d(8), "altMSL": _d(9), "geoidSep": _d(10), "dgpsAge": _d(11), "dgpsSta": _i(12), "nav_status": _f(13)},
+        "GGA": {"status": gga_status, "mode": fixed(gga_status, _d(9), _i(7)), "used_count": _i(7), "hdop": _d(8), "altMSL": _d(9), "geoidSep": _d(11), "dgpsAge": _d(13), "dgpsSta": F.when(_f(13).isNotNull(), _i(14))},
+        "RMC": {"date": date_ddmmyy(F.col("__date")), "status": rmc_status, "mode": F.when(rmc_ok, 2).otherwise(1), "speed": F.when(rmc_ok, _d(7) * KNOTS_TO_MPS), "track": F.when(rmc_ok, _d(8)), "magvar": F.when(rmc_ok, signed(10)), "nav_status": _f(13)},
+        "GLL": {"status": F.when(gll_ok, F.coalesce(_map(_f(7), FAA_STATUS), F.lit(1))).otherwise(0), "mode": F.when(gll_ok, 2).otherwise(1)},
+        "GNS": {"status": gns_status, "mode": fixed(gns_status, _d(9), _i(7)), "used_count": _i(7), "hdop": _d(8), "altMSL": _d(9), "geoidSep": _d(10), "dgpsAge": _d(11), "dgpsSta": _i(12), "nav_status": _f(13)},
         "GSA": {"mode": F.when(_i(2).between(1, 3), _i(2)), "pdop": _d(15), "hdop": _d(16), "vdop": _d(17)},
-        "GST": {"tod": time_of_day(_f(1)), "rms": _d(2), "major": _d(3), "minor": _d(4), "orient": _d(5), "lat_err": _d(6), "lon_err": _d(7), "alt_err": _d(8)},
-        "GBS": {"tod": time_of_day(_f(1)), "epy": _d(2), "epx": _d(3), "epv": _d(4)},
-        "GRS": {"tod": time_of_day(_f(1))},
+        "GST": {"rms": _d(2), "major": _d(3), "minor": _d(4), "orient": _d(5), "lat_err": _d(6), "lon_err": _d(7), "alt_err": _d(8)},
+        "GBS": {"epy": _d(2), "epx": _d(3), "epv": _d(4)},
+        "GRS": {},
         "VTG": {"track": _d(1), "magtrack": _d(3), "speed": F.coalesce(_d(5) * KNOTS_TO_MPS, _d(7) / 3.6)},
-        "ZDA": {"tod": time_of_day(_f(1)), "date": F.when(_i(2).between(1, 31) & _i(3).between(1, 12) & (_i(4) >= 1900), F.try_to_timestamp(F.format_string("%04d%02d%02d", _i(4), _i(3), _i(2)), F.lit("yyyyMMdd")).cast("date"))},
+        "ZDA": {"date": F.when(_i(2).between(1, 31) & _i(3).between(1, 12) & (_i(4) >= 1900), F.try_to_timestamp(F.format_string("%04d%02d%02d", _i(4), _i(3), _i(2)), F.lit("yyyyMMdd")).cast("date"))},
         "HDG": {"magtrack": _d(1) + F.coalesce(_d(2) * F.when(_f(3) == "W", -1.0).otherwise(1.0), F.lit(0.0)), "magvar": signed(4)},
         "HDM": {"magtrack": _d(1)},
         "HDT": {"heading": _d(1)},
@@ -166,7 +201,7 @@ def _decoders() -> dict[str, dict[str, Column]]:
         "XDR": _transducers(),
         "DTM": {"datum": _map(_f(1), {"W84": "WGS84", "W72": "WGS72", "S85": "SGS85", "P90": "PE90", "999": "User Defined"})},
         "TXT": {"text": _f(4)},
-        "BWC": {"tod": time_of_day(_f(1))},
+        "BWC": {},
     }
 
 
@@ -183,37 +218,65 @@ SENTENCES = tuple(sorted({"GGA", "RMC", "GLL", "GNS", "GSA", "GST", "GBS", "GRS"
 
 def decode(lines: DataFrame, device: str = "file", value: str = "value") -> DataFrame:
     """All fix sentences (not GSV) of (device, line_no, value) lines as rows of FIELDS. One pass, no shuffle."""
+    rows = told_apart(lines, device, value)
+    return rows.select(*[c.alias(name) for name, c in columns_of().items()])
+
+
+def told_apart(lines: DataFrame, device: str = "file", value: str = "value") -> DataFrame:
+    """Fix sentences (device, line_no, tag, talker) with their fields, of which columns_of() tells the columns."""
     rows = tokenise(lines, value).filter(F.col("tag").isin(*SENTENCES))
-    decoders = _decoders()
-    columns = []
+    return rows.select(F.col(device).cast("string").alias("device"), F.col("line_no").cast("bigint").alias("line_no"), "tag", "talker", "f").withColumns(_shared_fields())
+
+
+def columns_of() -> dict[str, Column]:
+    """The columns of FIELDS, from the fields of a sentence."""
+    decoders, shared = _decoders(), _shared()
+    columns = {}
     for name in FIELDS:
         kind = _TYPES.get(name, "double")
-        if name == "device":
-            columns.append(F.col(device).cast(kind).alias("device"))
-        elif name in ("line_no", "tag", "talker"):
-            columns.append(F.col(name).cast(kind))
+        if name in ("device", "line_no", "tag", "talker"):
+            columns[name] = F.col(name)
+        elif name in shared:
+            columns[name] = shared[name].cast(kind)
         else:
             cases = [(tag, d[name]) for tag, d in decoders.items() if name in d]
             value_ = F.lit(None).cast(kind)
             for tag, c in cases:
                 value_ = F.when(F.col("tag") == tag, c.cast(kind)).otherwise(value_)
-            columns.append(value_.alias(name))
-    return rows.select(*columns)
+            columns[name] = value_
+    return columns
 
 
-def carry_date(rows: DataFrame, size: int = SLICE) -> DataFrame:
-    """Adds day: the last date of the device so far, null before the first; a day on where the time wraps since."""
-    own = F.when(F.col("date").isNotNull(), F.struct("date", F.col("tod").alias("at")))
-    rows = scan(rows, ("device",), "line_no", {"__seen": own}, size=size).withColumn("__seen", F.coalesce(own, F.col("__seen")))
+def _dated() -> Column:
+    return F.when(F.col("date").isNotNull(), F.struct("date", F.col("tod").alias("at")))
+
+
+def _with_day(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("__seen", F.coalesce(_dated(), F.col("__seen")))
     wrapped = (F.col("tod") < F.col("__seen.at") - 43200).cast("int")
     return rows.withColumn("day", F.date_add("__seen.date", F.coalesce(wrapped, F.lit(0)))).drop("__seen")
 
 
-def epochs(rows: DataFrame, step: float = 0.01, size: int = SLICE) -> DataFrame:
+def carry_date(rows: DataFrame, size: int = SLICE) -> DataFrame:
+    """Adds day: the last date of the device so far, null before the first; a day on where the time wraps since."""
+    return _with_day(scan(rows, ("device",), "line_no", {"__seen": _dated()}, size=size))
+
+
+def _new_epoch(step: float):
+    return lambda now, before: F.when(before.isNull() | (F.abs(now - before) > step), 1).otherwise(0)
+
+
+def epochs(rows: DataFrame, step: float = 0.01, size: int = SLICE, costly: bool = False) -> DataFrame:
     """Adds epoch: it goes up where a sentence's time differs by over step seconds from the time before. Sentences
     without time belong to the epoch that they arrive in; those before the first time to epoch 0."""
-    new = lambda now, before: F.when(before.isNull() | (F.abs(now - before) > step), 1).otherwise(0)
-    return scan(rows, ("device",), "line_no", {"__before": F.col("tod")}, total=("epoch", "__before", new), size=size).drop("__before")
+    return scan(rows, ("device",), "line_no", {"__before": F.col("tod")}, total=("epoch", "__before", _new_epoch(step)), size=size, costly=costly).drop("__before")
+
+
+def dated_epochs(rows: DataFrame, step: float = 0.01, size: int = SLICE) -> DataFrame:
+    """Adds day and epoch in one scan, as carry_date and epochs do in two."""
+    both = {"__seen": _dated(), "__before": F.col("tod")}
+    rows = scan(rows, ("device",), "line_no", both, total=("epoch", "__before", _new_epoch(step)), size=size, costly=True)
+    return _with_day(rows.drop("__before"))
 
 
 def cycle_enders(rows: DataFrame, size: int = SLICE) -> DataFrame:
@@ -234,9 +297,9 @@ def cycle_report(rows: DataFrame) -> DataFrame:
     return out.select("device", "cycles", "kinds", F.when(enough, F.col("kinds") == 1).alias("regular"), "enders", F.array_intersect("enders", "__inside").alias("also_inside"))
 
 
-def stale_gga(rows: DataFrame, size: int = SLICE) -> DataFrame:
+def stale_gga(rows: DataFrame, size: int = SLICE, costly: bool = False) -> DataFrame:
     """A position sentence repeating the time of its talker's last one tells that the lock is lost."""
-    rows = scan(rows, ("device", "tag", "talker"), "line_no", {"__before": F.struct("tod")}, size=size)
+    rows = scan(rows, ("device", "tag", "talker"), "line_no", {"__before": F.struct("tod")}, size=size, costly=costly)
     stale = F.coalesce((F.col("tag") == "GGA") & (F.col("tod") == F.col("__before.tod")), F.lit(False))
     return rows.withColumns({"mode": F.when(stale, 1).otherwise(F.col("mode")), "status": F.when(stale, 0).otherwise(F.col("status"))}).drop("__before")
 
@@ -267,8 +330,13 @@ def merge_fix(rows: DataFrame) -> DataFrame:
 
 
 def fixes(lines: DataFrame, device: str = "file", value: str = "value") -> DataFrame:
-    """Sentence lines to fixes: decode, date, epoch, lost lock, merge."""
-    return merge_fix(stale_gga(epochs(carry_date(decode(lines, device, value)))))
+    """Sentence lines to fixes: date, epoch, decode, lost lock, merge. Only date and time are told before the scans, which
+    carry the sentence's fields, so that a line is read once and only what is asked for is decoded."""
+    told, rows = columns_of(), told_apart(lines, device, value)
+    early = {name: told[name] for name in ("tod", "date", "mode", "status")}
+    rows = stale_gga(dated_epochs(rows.withColumns(early)), costly=True)
+    kept = {*early, "device", "line_no", "tag", "talker"}
+    return merge_fix(rows.withColumns({name: c for name, c in told.items() if name not in kept}))
 
 
 def sat_identity(sats: DataFrame) -> DataFrame:

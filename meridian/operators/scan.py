@@ -23,6 +23,7 @@ def scan(
     held: tuple[str, str, Step] | None = None,
     whole: str | None = None,
     size: int = SLICE,
+    costly: bool = False,
 ) -> DataFrame:
     """Adds what is carried along each key's rows, in the order of a number that is unique within the key.
 
@@ -32,6 +33,8 @@ def scan(
     held: (name, one of befores, mark). The column holds the value that stood before the last row so far, this one
     included, whose mark(value, value before) is true.
     whole: a column with the total at the key's end.
+    costly: rows are dear to make. Both sides of the join then read one shuffle of whole rows, so that rows are made once;
+    otherwise each side makes them, the one that sums up with the few columns that it needs.
 
     These are associative: a key is cut into slices of size numbers of order, each is summed up in one row (first and last
     value, inner total, last value held), and what comes before a slice is told from these rows. So the rows are shuffled
@@ -41,7 +44,13 @@ def scan(
     until, earlier = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
     boxed = lambda c: F.when(c.isNotNull(), F.struct(c.alias("v")))  # noqa: E731  a value of any type, null where there is none
     names = {name: f"__scan_v{k}" for k, name in enumerate(befores)}
-    rows = df.withColumns({"__scan_by": F.struct(*by), "__scan_slice": F.floor(F.col(order) / size), **{names[n]: boxed(c) for n, c in befores.items()}})
+    place = {"__scan_by": F.struct(*by), "__scan_slice": F.coalesce(F.floor(F.col(order) / size), F.lit(-1 << 62))}
+    if costly:  # one column, so that what is unused on one side isn't left out there and the shuffles are the same
+        rows = df.select(*[c.alias(n) for n, c in place.items()], F.array(F.struct(*df.columns)).alias("__scan_row")).repartition("__scan_by", "__scan_slice")
+        rows = rows.select("__scan_by", "__scan_slice", *[F.element_at("__scan_row", 1)[c].alias(c) for c in df.columns])
+    else:
+        rows = df.withColumns(place)
+    rows = rows.withColumns({names[n]: boxed(c) for n, c in befores.items()})
     rows = rows.withColumns({f"{v}_b": F.last(v, ignorenulls=True).over(earlier) for v in names.values()})
     at = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
     ends = {f"{v}_end": F.max_by(v, at(v)) for v in names.values()}

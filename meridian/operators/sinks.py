@@ -103,7 +103,7 @@ def to_kml(tpv: DataFrame) -> DataFrame:
 
 def sentence(body: Column) -> Column:
     """$body*checksum."""
-    return F.concat(F.lit("$"), body, F.lit("*"), hex_checksum(body))
+    return F.transform(F.array(body), lambda b: F.concat(F.lit("$"), b, F.lit("*"), hex_checksum(b)))[0]  # body is worked out once
 
 
 def _angle(c: Column, width: int, positive: str, negative: str) -> Column:

@@ -64,7 +64,8 @@ def nmea_fixes(spark, sf_dir):
 
 @query("nmea_cycles")
 def nmea_cycles(spark, sf_dir):
-    return nmea.cycle_report(nmea.epochs(nmea.decode(_sentences(spark, sf_dir))))
+    rows = nmea.decode(_sentences(spark, sf_dir)).select("device", "line_no", "tag", "tod")
+    return nmea.cycle_report(nmea.epochs(rows, costly=True))
 
 
 def _bits(spark, sf_dir) -> DataFrame:
