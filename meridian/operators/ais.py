@@ -148,7 +148,7 @@ def assemble_fragments(fragments: DataFrame, size: int = SLICE) -> DataFrame:
     """Whole messages (device, channel, line_no of the last part, payload, pad). Parts of a device and channel come one
     after the other; a first part starts anew, a part out of turn loses its message."""
     begins = {"__first": F.when(F.col("ifrag") == 1, 1)}
-    rows = scan(fragments, ("device", "channel"), "line_no", begins, total=("__group", "__first", lambda *_: F.lit(1)), size=size).drop("__first")
+    rows = scan(fragments, ("device", "channel"), "line_no", begins, total=("__group", "__first", lambda *_: F.lit(1)), size=size, costly=True).drop("__first")
     rows = rows.filter("__group > 0").withColumn("__k", F.row_number().over(W.partitionBy("device", "channel", "__group").orderBy("line_no")))
     parts = rows.filter("__k <= nfrags").groupBy("device", "channel", "__group").agg(
         F.max("line_no").alias("line_no"),
