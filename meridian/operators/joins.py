@@ -31,13 +31,13 @@ def prn_range_join(sats: DataFrame, prn: str = "prn") -> DataFrame:
     return sats.withColumns({"gnssid": ranged(F.col(prn), PRN_RANGES, 2), "svid": ranged(F.col(prn), PRN_RANGES, 3)})
 
 
-def nearest_stations(fixes: DataFrame, stations: DataFrame, most: int = 12, within_m: float = 1_600_000.0, cell: float = 5.0, distance=geo.earth_distance_small, key: str = "line_no") -> DataFrame:
+def nearest_stations(fixes: DataFrame, stations: DataFrame, most: int = 12, within_m: float = 1_600_000.0, cell: float = 5.0, distance=geo.earth_distance_small, key: str = "line_no", listed: int = 256) -> DataFrame:
     """The stations nearest to each fix, nearest first, ties by server.
 
     Both sides are dealt to cells of latitude and longitude; a station goes to all cells that its circle touches, with
     those beyond 180 degrees (its longitude there is moved by a turn) and all longitudes near a pole, so the join is by
-    cell and not with every station. The rank limit is applied within
-    each fix, which Spark does before the shuffle as well.
+    cell and not with every station. Cells of up to listed stations join as a list, in which a fix's are sorted beside it:
+    no pair of fix and station is shuffled or sorted among others. Pairs of fuller cells are rows, ranked by a window.
     """
     reach = within_m / 110_000.0
     cells = round(360 / cell)
@@ -49,10 +49,19 @@ def nearest_stations(fixes: DataFrame, stations: DataFrame, most: int = 12, with
     placed = placed.withColumn("at", F.explode(F.sequence(floor(F.col("s_lon") - wide), F.least(floor(F.col("s_lon") + wide), floor(F.col("s_lon") - wide) + cells - 1))))
     placed = placed.withColumn("column", F.pmod("at", F.lit(cells)))
     here = fixes.withColumns({"band": floor(F.col("lat")), "column": F.pmod(floor(F.col("lon")), F.lit(cells))})
-    turned = F.col("s_lon") + F.lit(360.0) * F.floor((F.col("lon") - F.col("s_lon")) / 360.0 + 0.5)
-    near = here.join(placed, ["band", "column"]).withColumn("s_lon", turned).withColumn("distance", distance("lat", "lon", "s_lat", "s_lon")).filter(F.col("distance") <= within_m)
-    w = W.partitionBy(key).orderBy("distance", "server")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("band", "column", "at", "s_lat", "s_lon")
+    turned = lambda lon: lon + F.lit(360.0) * F.floor((F.col("lon") - lon) / 360.0 + 0.5)
+    full = placed.groupBy("band", "column").agg(F.count("*").alias("__n")).filter(F.col("__n") > listed).select("band", "column")
+
+    rows = here.join(placed.join(full, ["band", "column"], "left_semi"), ["band", "column"]).withColumn("s_lon", turned(F.col("s_lon")))
+    rows = rows.withColumn("distance", distance("lat", "lon", "s_lat", "s_lon")).filter(F.col("distance") <= within_m)
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("distance", "server"))).filter(F.col("rank") <= most)
+
+    lists = placed.join(full, ["band", "column"], "left_anti").groupBy("band", "column").agg(F.collect_list(F.struct("server", "s_lat", "s_lon")).alias("__stations"))
+    far = lambda s: F.struct(distance(F.col("lat"), F.col("lon"), s["s_lat"], turned(s["s_lon"])).alias("distance"), s["server"].alias("server"))
+    nearest = F.slice(F.array_sort(F.filter(F.transform("__stations", far), lambda s: s["distance"] <= within_m)), 1, most)
+    ranked = here.join(lists, ["band", "column"]).select(*fixes.columns, F.posexplode(nearest).alias("__k", "__s"))
+    out = ranked.select(*fixes.columns, "__s.server", "__s.distance", (F.col("__k") + 1).alias("rank"))
+    return out.unionByName(rows.select(*out.columns))
 
 
 def never_used(sats: DataFrame, by: tuple[str, ...] = ("device", "prn")) -> DataFrame:
