@@ -1,7 +1,8 @@
-"""Language identification by a byte convolutional network, trained here in numpy."""
+"""Language identification by a byte convolutional network in numpy, trained in Spark's tasks on all labelled texts."""
 
 from __future__ import annotations
 
+import copy
 import re
 
 import numpy as np
@@ -14,11 +15,13 @@ from meridian.llm.common import by_bytes, table
 WINDOW, WIDTHS, FILTERS = 256, (2, 4, 6), 8
 #: Zero bytes after each window, so that no filter sees two windows.
 PAD = max(WIDTHS)
-#: Bounds of the fit: labelled rows a language gives at most (expected number), and characters taken of each, from a
-#: place that the row's hash draws. Predictions read every window of every text.
-PER_LANGUAGE, EXCERPT = 1500, 1024
-#: Held-out rows a language gives for the score under which a text counts as of no language.
-CALIBRATION = 300
+#: The fit: windows of a group of rows, about, which one task learns from at a time; how many times as large a round is as
+#: all before it; windows that a small table's are repeated up to, and how often at most.
+GROUP, GROWTH, REPEATED, EPOCHS = 1 << 15, 4, 1 << 17, 4
+#: Weight of a language's windows at most, where the average is 1.
+MOST = 8.0
+#: Share of the held-out rows that may score under what the rejection of texts is set by, and steps that scores are counted in.
+BELOW, STEPS = 0.001, 1 << 16
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -74,9 +77,13 @@ class ByteCNN:
     def logits(self, x: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
         return np.maximum(self.pooled(x, tables)[0], 0) @ self.out + self.bias
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 6) -> None:
+    def params(self) -> list[np.ndarray]:
+        return [*self.filters, self.out, self.bias]
+
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 6, weight: np.ndarray | None = None) -> None:
+        """Adam over the windows x of classes y; weight: of each class."""
         r = np.random.default_rng(seed)
-        params = [*self.filters, self.out, self.bias]
+        params = self.params()
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         columns = np.arange(FILTERS)[None, :]
         for _ in range(epochs):
@@ -97,6 +104,8 @@ class ByteCNN:
                 p = np.exp(p - p.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(yb)), yb] -= 1
+                if weight is not None:
+                    p *= weight[yb][:, None]
                 p /= len(yb)
                 back = (p @ self.out.T) * (m > 0)
                 grads = []
@@ -125,33 +134,68 @@ class ByteCNN:
         return best, p[np.arange(len(p)), best]
 
 
-def training_rows(rows: DataFrame, per_language: int = PER_LANGUAGE) -> list:
-    """A bounded sample of (lang, excerpt) of labelled (id, text, lang): rows of the lowest hashes of each language."""
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def rounds(rows: DataFrame, total: int, group: int) -> list[DataFrame]:
+    """The rows, each in one of the rounds and of its groups, by their draw; total: their windows."""
+    ends = [1.0]
+    while ends[0] * total > group:
+        ends.insert(0, ends[0] / GROWTH)
+    place = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30)
+    dealt = []
+    for low, high in zip([0.0, *ends], ends, strict=False):
+        groups = max(1, round((high - low) * total / group))
+        dealt.append(rows.filter((place >= low) & (place < high)).withColumn("group", F.pmod(F.shiftright("draw", 30), F.lit(groups))))
+    return dealt
+
+
+def train(rows: DataFrame, group: int = GROUP) -> ByteCNN | None:
+    """The network of labelled (id, text, lang), fitted on all windows of every whole text with a letter; None without any.
+
+    Rows are dealt by hash into rounds, each GROWTH - 1 times as large as all before it, and within a round into groups of
+    about `group` windows. The groups of a round go on side by side from one network, each over its own rows; the
+    networks that come out are averaged by their windows. So each row is learned from, in one round, once (in tables
+    under REPEATED windows up to EPOCHS times), and a group, a network and the driver hold no more in larger tables.
+    Averages are integer sums: the same whatever the partitions and the order of rows. Languages weigh alike, up to MOST.
+    """
+    rows = rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("id", "text").alias("draw"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / WINDOW)).alias("n")).collect()}
     if not counts:
-        return []
-    rate = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    at = F.pmod(F.xxhash64(F.lit("at"), F.col("id").cast("string")), F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1) + 1
-    rows = rows.filter(draw < rate).select("id", "lang", F.col("text").substr(at.cast("int"), F.lit(EXCERPT)).alias("text")).collect()
-    return sorted(rows, key=lambda r: (r["id"], r["lang"], r["text"]))
-
-
-def train(rows: DataFrame) -> ByteCNN | None:
-    """The network of labelled (id, text, lang); None without labels. Trained on the driver from the bounded sample."""
-    rows = [r for r in training_rows(rows) if has_letter(r["text"])]
-    if not rows:
         return None
-    languages = sorted({r["lang"] for r in rows})
-    x, of, used = windows([r["text"].encode("utf-8", "replace").lower() for r in rows])
-    y = np.array([languages.index(r["lang"]) for r in rows])[of]
-    model = ByteCNN(languages)
-    model.train(x[used >= 16], y[used >= 16]) if (used >= 16).any() else model.train(x, y)
+    model, total = ByteCNN(sorted(counts)), sum(counts.values())
+    weight = np.array([min(MOST, total / len(counts) / counts[k]) for k in model.languages], np.float32)
+    epochs = min(EPOCHS, max(1, REPEATED // total))
+    for k, dealt in enumerate(rounds(rows, total, group)):
+        learned = dealt.groupBy("group").applyInArrow(_learner(model, weight, epochs, 0.01 / (1 + k)), "at int, value long")
+        sums = learned.groupBy("at").agg(F.sum("value").alias("value")).toArrow().sort_by("at")["value"].to_numpy()
+        if len(sums):  # a small table's round may have no rows
+            average, at = sums[1:] / (sums[0] * _UNIT), 0
+            for p in model.params():
+                p[...] = average[at : at + p.size].reshape(p.shape)
+                at += p.size
     return model
 
 
+#: Parameters are summed in units of its inverse.
+_UNIT = float(1 << 24)
+
+
+def _learner(model: ByteCNN, weight: np.ndarray, epochs: int, rate: float):
+    """A group's (lang, text, draw) -> its number of windows (at 0) and that many times each parameter of its network."""
+    number = {k: i for i, k in enumerate(model.languages)}
+
+    def learn(rows):
+        rows = rows.sort_by([("draw", "ascending"), ("lang", "ascending")])
+        x, of, used = windows([t.encode("utf-8", "replace").lower() for t in rows["text"].to_pylist()])
+        y = np.array([number[k] for k in rows["lang"].to_pylist()])[of]
+        whole = (used >= 16) | np.concatenate(([True], of[1:] != of[:-1]))  # no shreds at the ends of longer texts
+        x, y = x[whole], y[whole]
+        mine = copy.deepcopy(model)
+        mine.train(x, y, epochs=epochs, rate=rate, weight=weight)
+        flat = np.concatenate([[1.0], *(np.rint(p.ravel().astype(np.float64) * _UNIT) for p in mine.params())]).astype(np.int64) * len(x)
+        return pa.table({"at": pa.array(np.arange(len(flat)), pa.int32()), "value": flat})
+
+    return learn
+
+
 def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of each whole text: all its fixed-length byte windows, in batches.
 
@@ -230,14 +274,19 @@ def keep_identified(docs: DataFrame, model: ByteCNN | None, text_col: str = "tex
     return docs.mapInArrow(run, docs.schema)
 
 
-def calibrate(model: ByteCNN | None, held_out: DataFrame, per_language: int = CALIBRATION, margin: float = 0.25) -> ByteCNN | None:
-    """The model, whose `unsure` lies margin of the way from chance to the lowest score of a bounded sample of held-out
-    labelled (id, text, lang): well below what texts known to be of a language get. Without such rows, or with one
-    language, nothing counts as unsure."""
-    rows = [r["text"] for r in training_rows(held_out, per_language) if has_letter(r["text"])]
-    if model and rows and len(model.languages) > 1:
-        chance = 1 / len(model.languages)
-        model.unsure = chance + margin * max(0.0, min(labeller(model)(rows)[1]) - chance)
+def calibrate(model: ByteCNN | None, held_out: DataFrame, below: float = BELOW, margin: float = 0.25) -> ByteCNN | None:
+    """The model, whose `unsure` lies margin of the way from chance to the score that all but a share `below` of the held-out
+    labelled (id, text, lang) reach: well below what texts known to be of a language get. Every such row is scored; scores
+    are counted in STEPS steps and taken from a step's lower end. Without such rows, or with one language, nothing counts as
+    unsure."""
+    if model and len(model.languages) > 1:
+        scored = identify(held_out, model, id_col="id").filter("lang_pred <> 'und'")
+        levels = sorted(map(tuple, scored.groupBy(F.floor(F.col("score") * STEPS)).count().collect()))
+        if levels:
+            steps, counts = np.array(levels).T
+            lowest = steps[np.searchsorted(counts.cumsum(), below * counts.sum(), side="right")] / STEPS
+            chance = 1 / len(model.languages)
+            model.unsure = chance + margin * max(0.0, float(lowest) - chance)
     return model
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,32 @@ def test_language_stage_rejects_the_unsure_and_keeps_without_a_model(spark):
     assert langid.keep_identified(df, model).count() == 0
 
 
+def test_language_fit_takes_every_row_and_window_once(spark):
+    """No sample: all rows are dealt into rounds and groups, whole texts are learned from, in any partitions alike."""
+    r = random.Random(8)
+    texts = {"a": "abcdefg ", "b": "klmnopq "}
+    rows = [(i, "".join(r.choice(texts[k]) for _ in range(r.randrange(20, 90))), k) for i in range(1800) for k in "ab"]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    dealt = langid.rounds(df.withColumn("draw", F.xxhash64("id", "text")), 6000, 256)
+    assert len(dealt) == 4 and dealt[-1].select("group").distinct().count() > 10
+    assert sorted((x.id, x.text, x.lang) for d in dealt for x in d.collect()) == sorted(rows)
+    long_ = "abcdefg " * 12_500
+    learned = langid._learner(langid.ByteCNN(["a", "b"]), np.ones(2, np.float32), 1, 0.01)(pa.table({"lang": ["a", "b"], "text": [long_, "klm"], "draw": [1, 2]}))
+    assert learned["value"][0].as_py() == 391 + 1
+    one, other = langid.train(df.coalesce(1), group=256), langid.train(df.repartition(7), group=256)
+    assert all(np.array_equal(p, q) for p, q in zip(one.params(), other.params(), strict=True))
+    assert [one.languages[k] for k in one.predict([b"abc gfe dab", b"klm qpo nkl"], one.pair_tables())[0]] == ["a", "b"]
+
+
+def test_language_threshold_is_of_all_held_out_rows(spark):
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice("abcdefghijklm ") for _ in range(40)) + "x", "ab"[i % 2]) for i in range(3500)]
+    model = langid.ByteCNN(["a", "b"])
+    scores = sorted(langid.labeller(model)([t for _, t, _ in rows])[1])
+    langid.calibrate(model, spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert model.unsure == pytest.approx(0.5 + 0.25 * (scores[3] - 0.5), abs=1e-5)  # three rows are under a thousandth
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(WORDS[:60])
     rows = [(1, text), (2, text), (None, text), (None, text), (5, "other text"), (5, "other text"), (5, " ".join(WORDS[100:180])), (7, None), (8, "")]
