@@ -25,6 +25,8 @@ BACKOFF = 0.4
 FLUSH = 1 << 18
 #: Buckets by which bigrams are dealt out, for each shuffle partition.
 BUCKETS = 16
+#: Bound of numbers that tell bigrams of a task's texts apart.
+ONE_NUMBER = 1 << 63
 #: Stand for the next word where a context ends a text, and where it begins one. Words of the broadcast table are numbered
 #: from WORD on, which takes fewer bytes in a shuffle than their hashes; those of others have their first bit set.
 LAST, FIRST, WORD, OUTSIDE = 0, 1, 2, np.uint64(1 << 63)
@@ -114,7 +116,7 @@ def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: in
     word (first words of texts come with the context FIRST), and BY_CONTEXT otherwise (last words of texts come as
     contexts of LAST); if both are, it goes to both. So a bucket has all occurrences of such a word. Bigrams of a
     frequent context are dealt out by their word too."""
-    floor = 2 * np.log(backoff)
+    floor, limit = 2 * np.log(backoff), ONE_NUMBER
 
     def run(batches):
         table, counts, least, known, total = model.value
@@ -126,12 +128,16 @@ def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: in
             distinct, at = np.unique(words, return_inverse=True)
             _, place, n = np.unique(of.astype(np.int64) * len(distinct) + at, return_inverse=True, return_counts=True)
             own = n[place]
-            in_table, hot = _place(table, distinct)[at], _place(known, distinct)[at]
+            numbers = _place(table, distinct)
+            in_table, hot = numbers[at], _place(known, distinct)[at]
             # the count of a word; a word outside the table that has all that it can have here, has it here alone
             count = np.where(in_table >= 0, counts[in_table] if len(counts) else 0, np.where(own >= least - 1, own, -1))
             others = np.where(count >= 0, count - own, -1)
             outside = count < 0
-            code = np.where(in_table >= 0, (in_table + WORD).astype(np.uint64), words | OUTSIDE)
+            codes = np.where(numbers >= 0, (numbers + WORD).astype(np.uint64), distinct | OUTSIDE)
+            ranks = np.empty(len(codes), np.int64)
+            ranks[np.argsort(codes)] = np.arange(len(codes)) + WORD
+            code, rank = codes[at], ranks[at]
             n, seen, score, backs = (np.zeros(len(texts), k) for k in (np.int32, np.int32, np.float64, np.int32))
 
             def alone(where):
@@ -175,24 +181,35 @@ def bigram_rows(docs: DataFrame, model: Broadcast, pairs: Broadcast, buckets: in
             v = w - 1
             by_word, by_context = outside[w], ~outside[w] | outside[v]
             f = first[outside[first]]
-            sides = [(BY_WORD, code[v[by_word]], w[by_word], own[v[by_word]]), (BY_WORD, np.full(len(f), FIRST, np.uint64), f, np.zeros(len(f), np.int64)), (BY_CONTEXT, code[v[by_context]], w[by_context], own[v[by_context]])]
-            side = np.concatenate([*(np.full(len(x), s) for s, _, x, _ in sides), np.full(len(e), BY_CONTEXT)])
+            sides = [(BY_WORD, v[by_word], w[by_word]), (BY_WORD, None, f), (BY_CONTEXT, v[by_context], w[by_context]), (BY_CONTEXT, e, None)]
+            side = np.concatenate([np.full(len(x if y is None else y), s) for s, x, y in sides])
             if not len(side):
                 continue
-            c = np.concatenate([*(x for _, x, _, _ in sides), code[e]])
-            of_hot = np.zeros(len(side), bool)
-            of_hot[-len(e) - len(sides[2][2]) : len(side) - len(e)] = hot[v[by_context]] >= 0
-            own_c = np.concatenate([*(x for _, _, _, x in sides), own[e]])
-            where = np.concatenate([*(x for _, _, x, _ in sides), e])
-            ends = np.arange(len(side)) >= len(side) - len(e)
-            w, d, own_w = np.where(ends, np.uint64(LAST), code[where]), of[where], own[where]
-            key = np.where(side == BY_WORD, mix(w), np.where(of_hot, mix(c + mix(w)), mix(c)))
-            bucket = (key % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((d, w, c, side, bucket))
-            side, c, w, d, own_c, own_w, bucket = (x[order] for x in (side, c, w, d, own_c, own_w, bucket))
-            start = np.flatnonzero(np.concatenate(([True], (side[1:] != side[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1]) | (d[1:] != d[:-1]))))
-            n = np.diff(np.append(start, len(c)))
-            side, c, w, d, own_c, own_w, bucket = side[start], c[start].view(np.int64), w[start].view(np.int64), ids[d[start]], own_c[start] - n, own_w[start] - n, bucket[start]
+            pick = lambda k, of, none: np.concatenate([np.full(len(s[3 - k]), none, of.dtype) if s[k] is None else of[s[k]] for s in sides])
+            c_rank, w_rank = pick(1, rank, FIRST), pick(2, rank, LAST)
+            d = of[np.concatenate([x if y is None else y for _, x, y in sides])]
+            size = len(codes) + WORD
+            if 2 * size * size * len(texts) < limit:  # all in one number, unless a text is huge
+                same = ((side * size + c_rank) * size + w_rank) * len(texts) + d
+                order = np.argsort(same)
+                same = same[order]
+                start = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
+            else:
+                order = np.lexsort((d, w_rank, c_rank, side))
+                new = [x[order][1:] != x[order][:-1] for x in (side, c_rank, w_rank, d)]
+                start = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce(new))))
+            n = np.diff(np.append(start, len(order)))
+            one = order[start]
+            side, d = side[one], d[one]
+            c, w = pick(1, code, FIRST)[one], pick(2, code, LAST)[one]
+            own_c, own_w = pick(1, own, 0)[one] - n, pick(2, own, 0)[one] - n
+            of_hot = pick(1, hot, -1)[one] >= 0
+            mixed = mix(np.where(side == BY_WORD, w, c))
+            by_both = np.flatnonzero(of_hot & (side == BY_CONTEXT) & (w != LAST))
+            mixed[by_both] = mix(c[by_both] + mix(w[by_both]))
+            bucket = (mixed % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            order = np.argsort(bucket, kind="stable")
+            side, c, w, d, own_c, own_w, n, bucket = (x[order] for x in (side, c.view(np.int64), w.view(np.int64), ids[d], own_c, own_w, n, bucket))
             edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 yield _row(int(bucket[i]), side=side[i:j], context=c[i:j], word=w[i:j], high=d[i:j] >> 32, low=d[i:j], n=n[i:j], own_c=own_c[i:j], own_w=own_w[i:j], score=np.zeros(j - i))
@@ -250,10 +267,15 @@ def stupid_backoff(
     dealt = bigram_rows(docs, model, pairs, BUCKETS * partitions, backoff).repartition(partitions, "bucket")
     doc = F.shiftleft(F.col("high").cast("long"), 32).bitwiseOR(F.col("low").cast("long").bitwiseAND(0xFFFFFFFF))
     sums_, by_word, first = F.col("side") == SUMS, F.col("side") == BY_WORD, F.col("context") == FIRST
-    entries = dealt.select("bucket", F.inline(F.arrays_zip(*ARRAYS))).select("bucket", "side", F.when(by_word, F.col("word")).otherwise(F.col("context")).alias("key"), "context", "word", doc.alias("doc"), "n", "own_c", "own_w", "score")
-    pair_n = F.sum("n").over(W.partitionBy("bucket", "side", "key", "context", "word"))
-    uses = F.sum("n").over(W.partitionBy("bucket", "side", "key"))
-    entries = entries.withColumn("pair_n", pair_n).withColumn("uses", uses).filter(F.col("word") != LAST)
+    # arrays are read in place, without a row made of them all first
+    entries = dealt.select("*", F.posexplode("side").alias("i", "of_side")).select("bucket", F.col("of_side").alias("side"), *(F.get(k, "i").alias(k) for k in ARRAYS if k != "side"))
+    key, other = F.when(by_word, F.col("word")).otherwise(F.col("context")), F.when(by_word, F.col("context")).otherwise(F.col("word"))
+    entries = entries.select("bucket", "side", key.alias("key"), other.alias("other"), doc.alias("doc"), "n", "own_c", "own_w", "score")
+    # one sort for both: the wider window comes first and has the order of the other. The key leads, so that it seldom looks further
+    uses = F.sum("n").over(W.partitionBy("key", "bucket", "side").orderBy("other").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    pair_n = F.sum("n").over(W.partitionBy("key", "bucket", "side", "other"))
+    entries = entries.withColumn("uses", uses).withColumn("pair_n", pair_n)
+    entries = entries.withColumn("context", F.when(by_word, F.col("other")).otherwise(F.col("key"))).withColumn("word", F.when(by_word, F.col("key")).otherwise(F.col("other"))).filter(F.col("word") != LAST)
     numbered = materialize(spark.createDataFrame(pa.table({"is": np.arange(len(words), dtype=np.int64) + WORD, "n": counts.astype(np.int64)}), "is long, n long"))
     for c in ("context", "word"):  # top_words rows at most
         entries = entries.join(F.broadcast(numbered.select(F.col("is").alias(f"{c}_is"), F.col("n").alias(f"{c}_n"))), F.col(c) == F.col(f"{c}_is"), "left")

@@ -574,6 +574,28 @@ def test_documents_that_occur_twice_score_apart(spark):
     assert min(share[:5]) >= 0.98 and max(share[5:40]) < 0.1
 
 
+def test_bigrams_are_sorted_once_for_both_counts(spark):
+    plan = lm_score.stupid_backoff(docs_of(spark, ["a b c", "b c d"]))._jdf.queryExecution().executedPlan().toString().split("\n")
+    nodes = [m.group() for line in plan if (m := re.search(r"[A-Z]\w+", line))]
+    first, second = (i for i, x in enumerate(nodes) if x == "Window")
+    assert "Sort" not in nodes[first:second] and nodes[second:].count("Sort") == 1
+
+
+@pytest.mark.parametrize("buckets", [32, 1 << 17])
+def test_bigram_rows_of_a_huge_text_are_the_same(spark, monkeypatch, buckets):
+    """However its words are told apart: by one number, or by several where that is too large."""
+    r = random.Random(12)
+    df = docs_of(spark, [" ".join(f"x{r.randrange(50)}" for _ in range(300)) for _ in range(6)]).select("doc_id", "text").coalesce(1)
+    table = np.sort(np.array(list({h for w in word_hashes([f"x{i}".encode() for i in range(0, 50, 2)]) for h in w}), np.uint64))
+    model = spark.sparkContext.broadcast((table, np.full(len(table), 99), 99, table[:2], 1800))
+    n = [(a, b) for a in range(2) for b in range(2)]
+    pairs = spark.sparkContext.broadcast((np.arange(len(n)), np.full(len(n), 50)))
+    rows = sorted(map(tuple, lm_score.bigram_rows(df, model, pairs, buckets, 0.4).select("bucket", F.inline(F.arrays_zip(*lm_score.ARRAYS))).collect()))
+    assert len(rows) > 500 and len({x[1:5] + (x[5],) for x in rows if x[1] != lm_score.SUMS}) == sum(x[1] != lm_score.SUMS for x in rows)
+    monkeypatch.setattr(lm_score, "ONE_NUMBER", 0)
+    assert rows == sorted(map(tuple, lm_score.bigram_rows(df, model, pairs, buckets, 0.4).select("bucket", F.inline(F.arrays_zip(*lm_score.ARRAYS))).collect()))
+
+
 VECTORS = "vec_id long, embedding array<double>, label int, id long, unit string, node long, cell long, leader string"
 
 
